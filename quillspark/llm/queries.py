@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import language_id, quality
+from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.substring_dedup import repeated_windows
 from quillspark.llm.suffix_dedup import repeated_bytes
@@ -16,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("held_out", F.coalesce(language_id.fold_of("doc_id") == 0, F.lit(False)))
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
     return found.select(
@@ -27,14 +37,31 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(language_id.fold_of("doc_id") != 0), "text", "lang", "doc_id")
+    found = language_id.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return _held_out(found).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_windows(_table(spark, sf_dir, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.where(language_id.fold_of("doc_id") != 0))
+    found = quality.score(docs, weights).withColumnRenamed("id", "doc_id")
+    return _held_out(found).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_language_id": op4_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
