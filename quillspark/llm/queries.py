@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, quality
+from quillspark.llm import html_extract, language_id, line_dedup, mpeg_audio, quality, sentence_pieces
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.substring_dedup import repeated_windows
@@ -44,11 +44,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = _table(spark, sf_dir, "documents"), sentence_pieces.Vocabulary.load()
+    both = sentence_pieces.decode_docs(sentence_pieces.encode_docs(docs, vocabulary), vocabulary)
+    return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_windows(_table(spark, sf_dir, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.read(mpeg_audio.store(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_chunks(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     weights = quality.fit(docs, labels.where(language_id.fold_of("doc_id") != 0))
@@ -61,7 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_language_id": op4_language_id,
+    "op5_sentence_pieces": op5_sentence_pieces,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
