@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20  # two Python workers with a chunk each fit beside a 2 GB heap in 3 GB
 MIN_CHUNKS = 24
 NO_ID = (1 << 63) - 1
 
@@ -36,6 +36,12 @@ def chunked(docs: DataFrame, doc_id: str, text: str, chunks: int) -> DataFrame:
 
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def squeeze(array: np.ndarray) -> bytes:
     """Bytes of equal rank stand together, so zstd sees the zero bytes of small numbers."""
     planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.dtype.itemsize).T

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.exchange import distinct
 from quillspark.llm.graph import components, cut_lineage
 from quillspark.llm.text_hash import U64, Rolling, Words, mix, slabs
 
@@ -36,7 +37,7 @@ def shingle_sets(texts: list[bytes], k: int, rolling: Rolling):
         for i in range(hi - lo):
             a, b = w.first[i], w.first[i + 1]
             if b - a >= k:
-                yield np.unique(windows[a : b - k + 1])
+                yield distinct(windows[a : b - k + 1])
             elif b > a:
                 yield rolling.ranges(h[a:b], np.array([0]), np.array([b - a]), 1)
             else:

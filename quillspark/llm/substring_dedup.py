@@ -122,7 +122,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def sketch(table: pa.Table) -> pa.Table:
         w = windows(X.documents(table)[2], False)
-        rows = [(part, np.unique(c)) for part, c in enumerate(_cells(w.h1, bits))]
+        rows = [(part, X.distinct(c)) for part, c in enumerate(_cells(w.h1, bits))]
         return X.send(table["chunk"][0].as_py(), rows, bits, segments)
 
     def learn(table: pa.Table, replies: pa.Table):

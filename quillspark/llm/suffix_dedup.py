@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm import exchange as X
-from quillspark.llm.text_hash import Rolling, byte_table, slabs
+from quillspark.llm.text_hash import U64, Rolling, byte_table, slabs, stir
 
 FLAGS, RUN = 9, 2
 RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -36,46 +36,87 @@ OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.i
 def anchors(bodies: list[bytes], length: int, k: int):
     """For each stretch of windows with one anchor: document, first and last window, anchor, hash."""
     rolling, table, parts = Rolling(), byte_table(), []
-    width = length - k + 1
+    width, low = length - k + 1, U64(0xFFFFFFFF)
     for lo, hi in slabs([len(b) for b in bodies]):
         sizes = np.array([len(b) for b in bodies[lo:hi]])
         offset = np.concatenate([[0], np.cumsum(sizes)])
-        windows = np.maximum(sizes - length + 1, 0)
-        if not windows.sum():
+        if offset[-1] < length:
             continue
-        h = rolling.fixed(table[np.frombuffer(b"".join(bodies[lo:hi]), dtype=np.uint8)], k)
-        least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        h = rolling.fixed(table[np.frombuffer(b"".join(bodies[lo:hi]), dtype=np.uint8)], k, finish=stir)
+        least = (h & ~low) | np.arange(len(h), dtype=U64)
         span = 1
         while 2 * span <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        doc = np.repeat(np.arange(hi - lo), windows)
-        starts = np.arange(len(doc)) + np.repeat(offset[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
-        at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        d = doc[first]
-        parts.append((d + lo, starts[first] - offset[d], starts[last] - offset[d], at[first] - offset[d], h[at[first]]))
+        # Windows from a document's last length - 1 bytes on would cross into the next one.
+        begins, stops = offset[:-1], np.maximum(offset[1:] - length + 1, offset[:-1])
+        edge = X.distinct(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, begins, stops, [len(least)]]))
+        edge = edge[edge <= len(least)]
+        first, last = edge[:-1], edge[1:] - 1
+        doc = np.searchsorted(begins, first, side="right") - 1
+        real = first < stops[doc]
+        first, last, doc = first[real], last[real], doc[real]
+        at = (least[first] & low).astype(np.int64)
+        parts.append((doc + lo, first - begins[doc], last - begins[doc], at - begins[doc], h[at]))
     if not parts:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
     return [np.concatenate([p[i] for p in parts]) for i in range(5)]
 
 
-def front_code(rights: list[bytes], lefts: list[bytes], ranks: np.ndarray) -> bytes:
-    """A sorted run: common prefix lengths, lengths, remaining bytes, payloads, ids."""
-    wide = max(map(len, rights))
-    m = np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in rights), dtype=np.uint8).reshape(-1, wide)
-    size = np.array([len(r) for r in rights])
-    common = np.zeros(len(rights), dtype=np.int64)
-    if len(rights) > 1:
-        differ = m[1:] != m[:-1]
-        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
-        common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
-    rest = b"".join(r[c:] for r, c in zip(rights, common.tolist(), strict=True))
-    blobs = [X.squeeze(common.astype(np.uint8)), X.squeeze(size.astype(np.uint8)), X.squeeze(np.array([len(x) for x in lefts], dtype=np.uint8)), X.squeeze(np.frombuffer(rest, dtype=np.uint8)), X.squeeze(np.frombuffer(b"".join(lefts), dtype=np.uint8)), X.squeeze(ranks.astype(np.int64))]
-    return np.array([len(b) for b in blobs], dtype=np.uint32).tobytes() + b"".join(blobs)
+class Suffixes:
+    """The distinct suffixes of some stretches, sorted by segment, text from the anchor on, and
+    text before it. Rows are fixed-width: segment (4 bytes), right text, left text, both lengths."""
+
+    def __init__(self, bodies: list[bytes], ranks: np.ndarray, doc, first, last, anchor, seg, length: int, k: int) -> None:
+        self.right, self.left = 2 * length - k, length - k
+        n, self.each = len(doc), 4 + self.right + self.left + 2
+        rows = np.zeros((n, self.each), dtype=np.uint8)
+        rows[:, :4] = seg.astype(">u4").view(np.uint8).reshape(-1, 4)
+        edge = np.searchsorted(doc, np.arange(len(bodies) + 1))
+        for lo, hi in slabs([len(b) for b in bodies]):
+            a, b = edge[lo], edge[hi]
+            if a == b:
+                continue
+            buf = np.frombuffer(b"".join(bodies[lo:hi]) + bytes(self.right), dtype=np.uint8)
+            base = np.cumsum([0] + [len(x) for x in bodies[lo:hi]])[doc[a:b] - lo]
+            for to, width, start, size in ((4, self.right, anchor[a:b], last[a:b] + length - anchor[a:b]), (4 + self.right, self.left, first[a:b], anchor[a:b] - first[a:b])):
+                col = np.arange(width)
+                text = buf[np.minimum((base + start)[:, None] + col, len(buf) - 1)]
+                text[col >= size[:, None]] = 0
+                rows[a:b, to : to + width] = text
+        rows[:, -2], rows[:, -1] = last + length - anchor, anchor - first
+        keys = rows.view(f"V{self.each}").ravel()
+        by = np.lexsort((doc, first)) if n else np.zeros(0, np.int64)  # any fixed order among equals
+        by = by[np.argsort(rows[by].view(f"S{self.each}").ravel(), kind="stable")]
+        keys = keys[by]
+        new = np.ones(n, dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        head = np.flatnonzero(new)
+        self.rows = rows[by[head]]
+        self.ranks = np.minimum.reduceat(ranks[doc[by]], head) if n else np.zeros(0, np.int64)
+        self.of = np.zeros(n, dtype=np.int64)  # each stretch's suffix
+        self.of[by] = np.cumsum(new) - 1
+        self.segments = np.ascontiguousarray(self.rows[:, :4]).view(">u4").ravel().astype(np.int64)
+
+    def runs(self):
+        """(segment, front-coded run)."""
+        for seg in np.unique(self.segments).tolist():
+            a, b = np.searchsorted(self.segments, [seg, seg + 1])
+            part = self.rows[a:b]
+            size, before = part[:, -2], part[:, -1]
+            right, left = part[:, 4 : 4 + self.right], part[:, 4 + self.right : -2]
+            shared = np.zeros(b - a, dtype=np.uint8)
+            if b - a > 1:
+                differ = right[1:] != right[:-1]
+                shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), self.right)
+                shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+            col = np.arange(self.right)
+            rest = right[(col >= shared[:, None]) & (col < size[:, None])]
+            payload = left[np.arange(self.left) < before[:, None]]
+            blobs = [X.squeeze(x) for x in (shared, size, before, rest, payload, self.ranks[a:b])]
+            yield seg, np.array([len(x) for x in blobs], dtype=np.uint32).tobytes() + b"".join(blobs)
 
 
 class Run:
@@ -221,32 +262,21 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cells(found) -> tuple[np.ndarray, np.ndarray]:
         own = found[4] >> np.uint64(64 - bits)
-        return own, np.unique(own)
+        return own, X.distinct(own)
 
     def send_anchors(table: pa.Table) -> pa.Table:
         found = anchors(X.documents(table)[2], length, k)
         return X.send(table["chunk"][0].as_py(), [(0, cells(found)[1])], bits, segments)
 
-    def entries(bodies: list[bytes], order: np.ndarray, found, own, unique, flags):
-        """Stretches whose anchor may repeat, and their distinct suffixes, sorted, by segment."""
-        doc, first, last, anchor, _ = found
+    def suffixes(bodies: list[bytes], order: np.ndarray, found, own, unique, flags):
+        """Stretches whose anchor may repeat, and their suffixes."""
+        doc = found[0]
         by = np.searchsorted(unique, own)
         low, high = np.full(len(unique), X.NO_ID), np.full(len(unique), -X.NO_ID)
         np.minimum.at(low, by, order[doc])
         np.maximum.at(high, by, order[doc])
         at = np.flatnonzero((flags | (low < high))[by])
-        seg = np.searchsorted(edges, own[at], side="right")
-        least: dict[bytes, list] = {}
-        texts = []
-        for d, s, e, a, g in zip(doc[at].tolist(), first[at].tolist(), last[at].tolist(), anchor[at].tolist(), seg.tolist(), strict=True):
-            full, rank = bodies[d][s : e + length], order[d]
-            texts.append(full)
-            x = least.get(full)
-            if x is None:
-                least[full] = [g, full[a - s :], full[: a - s], rank]
-            elif rank < x[3]:
-                x[3] = rank
-        return at, texts, least, sorted(least.values(), key=lambda x: x[:3])
+        return at, Suffixes(bodies, order, *(x[at] for x in found[:4]), np.searchsorted(edges, own[at], side="right"), length, k)
 
     def table_of(rows: list[tuple]) -> pa.Table:
         return pa.table({c.name: [r[i] for r in rows] for i, c in enumerate(X.SENT)}, schema=X.SENT)
@@ -259,14 +289,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = anchors(bodies, length, k)
         own, unique = cells(found)
         flags = X.answers(replies, 0, unique, bits, segments)
-        run = entries(bodies, order, found, own, unique, flags)[3]
-        rows, lo = [(chunk, FLAGS, chunk % segments, X.squeeze(np.packbits(flags)))], 0
-        while lo < len(run):
-            hi = lo
-            while hi < len(run) and run[hi][0] == run[lo][0]:
-                hi += 1
-            rows.append((chunk, RUN, run[lo][0], front_code([x[1] for x in run[lo:hi]], [x[2] for x in run[lo:hi]], np.array([x[3] for x in run[lo:hi]]))))
-            lo = hi
+        rows = [(chunk, FLAGS, chunk % segments, X.squeeze(np.packbits(flags)))]
+        rows += [(chunk, RUN, seg, run) for seg, run in suffixes(bodies, order, found, own, unique, flags)[1].runs()]
         return table_of(rows)
 
     def merge(group: pa.Table) -> pa.Table:
@@ -285,16 +309,11 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             own, unique = cells(found)
             back = {(r["part"], r["seg"] if r["part"] == RUN else 0): r["blob"] for r in replies.to_pylist()}
             flags = np.unpackbits(X.loosen(back[FLAGS, 0], np.uint8))[: len(unique)].astype(bool)
-            at, texts, least, run = entries(bodies, order, found, own, unique, flags)
-            mask = np.concatenate([X.loosen(back[RUN, g], np.uint64) for g in sorted({x[0] for x in run})]) if run else np.zeros(0, np.uint64)
-            for x, m in zip(run, mask.tolist(), strict=True):
-                x.append(m)
+            at, own_suffixes = suffixes(bodies, order, found, own, unique, flags)
+            mask = np.concatenate([np.zeros(0, np.uint64), *(X.loosen(back[RUN, g], np.uint64) for g in np.unique(own_suffixes.segments).tolist())])
             doc, start = found[0][at], found[1][at]
-            count = (found[2][at] - start + 1).astype(np.uint64)
-            whole = (np.uint64(1) << count) - np.uint64(1)
-            own_mask = np.array([least[t][4] for t in texts], dtype=np.uint64)
-            local = np.array([least[t][3] for t in texts], dtype=np.int64) < order[doc]
-            mask = np.where(local, whole, own_mask)
+            whole = (U64(1) << (found[2][at] - start + 1).astype(np.uint64)) - U64(1)
+            mask = np.where(own_suffixes.ranks[own_suffixes.of] < order[doc], whole, mask[own_suffixes.of])
             edge = np.searchsorted(doc, np.arange(len(bodies) + 1))
             bit = np.arange(length - k + 1, dtype=np.uint64)
             for i, body in enumerate(bodies):
