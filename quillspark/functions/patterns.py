@@ -80,6 +80,7 @@ RATE_LIMITS = {"compress": 30, "messages": 20, "estimate": 120, "health": 120}
 TIERS = {"blocked": 0.0, "strict": 0.5, "default": 1.0, "trusted": 4.0}
 PERIOD_SECONDS = 60
 
+_START = r"(?<![\p{L}\p{N}_])"
 _EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
 
 
@@ -89,7 +90,9 @@ def java(pattern: str) -> str:
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\b":
-            out.append(_EDGE)
+            # Before what can only be a word character, looking back is enough.
+            starts = pattern[i + 2 : i + 4] == r"\d" or pattern.startswith("[A-Z]", i + 2) or pattern.startswith("(?:", i + 2) and pattern[i + 5 : i + 6].isalpha()
+            out.append(_START if starts else _EDGE)
             i += 2
         elif two == r"\w":
             out.append(r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]")

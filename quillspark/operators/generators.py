@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
@@ -23,10 +23,19 @@ def explode_blocks(df: DataFrame, text: str, unit: str = "paragraph") -> DataFra
     return found.where("block <> ''").withColumn("raw", F.trim("raw"))
 
 
+def matches_with_gaps(text: Column, pattern: str) -> Column:
+    """array<struct<m, gap>>: each match and the length of the text between it and the one before.
+
+    Both arrays are made once and zipped; a lambda that named the second would make it anew for
+    each element.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))), lambda x: x["m"].isNotNull())
+
+
 def span_array(text: Column, kind: str) -> Column:
     """array<struct<start, minus_length, end, kind, text>> of one kind, by offsets summed over the gaps."""
-    found, gaps = F.regexp_extract_all(text, F.lit(P.JAVA_SPANS[kind]), F.lit(0)), F.split(text, P.JAVA_SPANS[kind], -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.element_at(gaps, i + 1)).alias("gap")))
+    pairs = matches_with_gaps(text, P.JAVA_SPANS[kind])
     empty = F.array().cast("array<struct<start:int,minus_length:int,end:int,kind:string,text:string>>")
 
     def add(state: Column, p: Column) -> Column:
@@ -34,8 +43,7 @@ def span_array(text: Column, kind: str) -> Column:
         row = F.struct(start.alias("start"), (-n).alias("minus_length"), (start + n).alias("end"), F.lit(kind).alias("kind"), p["m"].alias("text"))
         return F.struct((start + n).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("rows")), add, lambda s: s["rows"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("rows")), add, lambda s: s["rows"])
 
 
 def spans(text: Column, kinds: tuple[str, ...] = tuple(P.SPANS)) -> Column:
@@ -91,7 +99,7 @@ def explode_segments(df: DataFrame, text: str) -> DataFrame:
     """pos, segment, kind, compressible: regions that must stay as they are, and prose between."""
     t = F.col(text)
     regions, gaps = F.regexp_extract_all(t, F.lit(SEGMENT), F.lit(0)), F.split(t, SEGMENT, -1)
-    woven = F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(regions, i), F.lit("")))))
+    woven = F.flatten(F.zip_with(gaps, regions, lambda g, r: F.array(g, F.coalesce(r, F.lit("")))))
     found = df.select("*", F.posexplode(woven).alias("pos", "segment")).where("segment <> ''")
     kind = F.when(F.col("pos") % 2 == 0, "prose").when(F.col("segment").startswith("<nocompress>"), "nocompress").when(F.col("segment").rlike("^(?:```|~~~)"), "code").otherwise("html")
     return found.withColumn("kind", kind).withColumn("compressible", F.col("kind") == "prose")
@@ -117,16 +125,14 @@ def explode_label_tokens(df: DataFrame, text: str, terms: DataFrame) -> DataFram
     by the caller; it joins on the token itself, so no pairs are formed.
     """
     (name,) = terms.columns
-    words, gaps = F.regexp_extract_all(F.col(text), F.lit(P.WORD), F.lit(0)), F.split(F.col(text), P.WORD, -1)
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.length(F.element_at(gaps, i + 1)).alias("gap")))
-    empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        end = start + F.length(p["w"])
-        return F.struct(end.alias("at"), F.concat(state["rows"], F.array(F.struct(start.alias("start"), end.alias("end"), p["w"].alias("token")))).alias("rows"))
-
-    rows = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("rows")), add, lambda s: s["rows"])
-    found = df.withColumn("__t", rows).select("*", F.posexplode("__t").alias("pos", "__x")).select("*", "__x.start", "__x.end", "__x.token").drop("__t", "__x")
+    # Texts may hold very many words: offsets are a running sum over rows, not a fold in one array.
+    # The text itself is not carried along; rows are told apart by a hash of all their columns.
+    others = [c for c in df.columns if c != text]
+    row = F.struct(F.xxhash64(text, *others).alias("a"), F.crc32(F.col(text).cast("binary")).alias("b"))
+    rows = df.select(*others, row.alias("__row"), F.posexplode(matches_with_gaps(F.col(text), P.WORD)).alias("pos", "__x"))
+    w = Window.partitionBy("__row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("__x.m")
+    rows = rows.withColumn("end", F.sum(F.col("__x.gap") + size).over(w).cast("int"))
+    found = rows.withColumn("start", F.col("end") - size).withColumn("token", F.col("__x.m")).drop("__x", "__row")
     keep = terms.select(F.lower(F.col(name)).alias("__term")).distinct()
     return found.join(keep, F.lower("token") == F.col("__term"), "left").withColumn("label", F.col("__term").isNotNull().cast("int")).drop("__term")

@@ -16,7 +16,7 @@ HTML_WHOLE = r"(?is)^\s*<(?:!doctype|html|body|table|div|section|article|main)\b
 def _outside(text: Column, pattern: str, change) -> Column:
     """Applies ``change`` to what the pattern does not match."""
     regions, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(change(g), F.coalesce(F.get(regions, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, regions, lambda g, r: F.concat(change(g), F.coalesce(r, F.lit("")))), "")
 
 
 def _plain_lines(text: Column, line=lambda x: x) -> Column:

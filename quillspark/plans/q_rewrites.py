@@ -109,10 +109,15 @@ def e8(spark, sf):
     return table(spark, sf, "events", spread=True).select("event_id", R.json_minify(wide).alias("small"))
 
 
-@query("e9_tabular_encode", """select n_regionkey, count(*) as n, 'nations[' || count(*) || ']{n_nationkey,n_name}:' || chr(10) || string_agg('  ' || n_nationkey || ',' || n_name, chr(10) order by n_nationkey) as encoded, true as applied from nation group by n_regionkey""")
+COLS = ("l_linenumber", "l_partkey", "l_suppkey")
+ROW_JSON = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {c}" for c in COLS) + " || '}'"
+
+
+@query("e9_tabular_encode", f"""select l_orderkey, count(*) as n, count(*) >= 2 as applied, case when count(*) >= 2 then 'lines[' || count(*) || ']{{{','.join(COLS)}}}:' || chr(10) || string_agg('  ' || {" || ',' || ".join(COLS)}, chr(10) order by l_linenumber, l_partkey, l_suppkey)
+  else '[' || string_agg({ROW_JSON}, ',') || ']' end as encoded from lineitem group by l_orderkey""")
 def e9(spark, sf):
-    out = R.tabular_encode(table(spark, sf, "nation"), "n_regionkey", F.lit("nations"), ["n_nationkey", "n_name"], ["n_nationkey"])
-    return out.select("n_regionkey", "n", "encoded", "applied")
+    out = R.tabular_encode(table(spark, sf, "lineitem"), "l_orderkey", F.lit("lines"), list(COLS), list(COLS))
+    return out.select("l_orderkey", "n", "encoded", "applied")
 
 
 @query("e10_literal_candidates", f"""select doc_id, literal, n, row_number() over (partition by doc_id order by first) as nth from (
