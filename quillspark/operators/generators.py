@@ -63,8 +63,11 @@ def spans(text: Column, kinds: tuple[str, ...] = tuple(P.SPANS)) -> Column:
 
 def explode_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = tuple(P.SPANS)) -> DataFrame:
     """start, end, kind, span for each protected literal."""
+    # An inner explode would make Spark infer a filter that works the spans out once more, with the
+    # text's own expression written into every use; an outer one and a test behind it do not.
     some = df.withColumn("__spans", spans(F.col(text), kinds))
-    return some.select("*", F.explode("__spans").alias("__s")).select("*", "__s.start", "__s.end", "__s.kind", F.col("__s.text").alias("span")).drop("__spans", "__s")
+    rows = some.select("*", F.explode_outer("__spans").alias("__s")).where("__s is not null")
+    return rows.select("*", "__s.start", "__s.end", "__s.kind", F.col("__s.text").alias("span")).drop("__spans", "__s")
 
 
 def explode_clauses(df: DataFrame, text: str) -> DataFrame:
