@@ -135,11 +135,12 @@ def g4(spark, sf):
     return C.verify_cohort(rows.withColumn("digest", digest), ["doc_id"], "condition_id", "digest", [c for c, _ in CONDITIONS])
 
 
-@query("g5_select_cases", "select doc_id, true as known from documents where doc_id % 7 = 3 union all select -doc_id, false from documents where doc_id % 70 = 3")
+@query("g5_select_cases", "select doc_id, true as known from documents where doc_id in (select doc_id from labels) union all select distinct -doc_id - 1, false from labels where quality = 0")
 def g5(spark, sf):
-    d = docs(spark, sf)
-    wanted = d.where("doc_id % 7 = 3").select("doc_id").unionAll(d.where("doc_id % 70 = 3").select((-F.col("doc_id")).alias("doc_id")))
-    found, unknown = C.select_cases(d, wanted, "doc_id")
+    """Cases asked for are the labelled ones; ids that no document has are reported."""
+    labels = table(spark, sf, "labels")
+    wanted = labels.select("doc_id").unionAll(labels.where("quality = 0").select((-F.col("doc_id") - 1).alias("doc_id"))).distinct()
+    found, unknown = C.select_cases(docs(spark, sf), wanted, "doc_id")
     return found.select("doc_id", F.lit(True).alias("known")).unionAll(unknown.select("doc_id", F.lit(False).alias("known")))
 
 
@@ -196,10 +197,10 @@ def f21(spark, sf):
     return V.message_totals(rows, "conv_id", "role", "text", "after")
 
 
-@query("i3_union_cohorts", "select cohort, lang, count(*) as n from (select 'a' as cohort, lang from documents union all select 'b', lang from documents where doc_id % 2 = 0 union all select 'c', null from conversations) group by cohort, lang")
+@query("i3_union_cohorts", "select cohort, lang, count(*) as n from (select 'a' as cohort, lang from documents union all select 'b', d.lang from documents d join labels using (doc_id) union all select 'c', null from conversations) group by cohort, lang")
 def i3(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    out = C.union_cohorts({"a": d, "b": d.where("doc_id % 2 = 0"), "c": table(spark, sf, "conversations").select("conv_id")})
+    out = C.union_cohorts({"a": d, "b": d.join(table(spark, sf, "labels").select("doc_id"), "doc_id"), "c": table(spark, sf, "conversations").select("conv_id")})
     return out.groupBy("cohort", "lang").agg(F.count("*").alias("n"))
 
 
