@@ -68,7 +68,7 @@ def condition_summary(records: DataFrame, condition: str) -> DataFrame:
     return records.groupBy(condition).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"), F.round(F.median("latency_ms"), 6).alias("median_latency"))
 
 
-def cohort_fingerprint(df: DataFrame, key: str, digest: str, buckets: int = 256) -> DataFrame:
+def cohort_fingerprint(df: DataFrame, key: str, digest: str, buckets: int = 65_536) -> DataFrame:
     """16 hex digits over ordered ``id:hash`` lines.
 
     Lines are hashed by range of the key first (``buckets`` equal parts of its hash), then the

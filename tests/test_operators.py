@@ -187,7 +187,7 @@ def test_fingerprint(spark):
     got = reports.cohort_fingerprint(spark.createDataFrame(rows, "id long, h string"), "id", "h").first()
     by = {}
     for i, h in rows:
-        by.setdefault(zlib.crc32(str(i).encode()) % 256, []).append(f"{i}:{h}")
+        by.setdefault(zlib.crc32(str(i).encode()) % 65_536, []).append(f"{i}:{h}")
     each = [hashlib.sha256("\n".join(by[b]).encode()).hexdigest() for b in sorted(by)]
     assert (got.rows, got.fingerprint) == (500, hashlib.sha256("\n".join(each).encode()).hexdigest()[:16])
 
