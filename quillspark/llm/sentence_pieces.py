@@ -12,6 +12,7 @@ the driver and broadcast; its size is fixed.
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.text_hash import slabs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 1 << 21
-REMEMBERED = 400_000
+BATCH_CHARS = 1 << 20
+REMEMBERED = 300_000  # words kept with their ids
+AT_ONCE = 30_000  # words in one suffix array
 GAP = "▁"  # a space, in pieces
-UNITS = re.compile(f"\n|{GAP}*[^{GAP}\n]+|{GAP}+")
-LANE = 3  # code points of 21 bits in one 63-bit key
+LANES = 2  # 63-bit keys by which suffixes are sorted; what a longer piece has beyond them is compared after
 
 
 @dataclass
@@ -53,39 +54,60 @@ class Vocabulary:
         return Vocabulary([sp.id_to_piece(i) for i in range(n)], [rank[s] for s in scores], at, sp.unk_id(), [i for i in range(n) if not special[i]])
 
 
-def _keys(codes: np.ndarray, starts: np.ndarray, lanes: int) -> list[np.ndarray]:
-    """The text from each start as ``lanes`` numbers that compare as the text does; 0 ends a word."""
-    padded = np.concatenate([codes, np.zeros(lanes * LANE, np.uint64)])
-    found, live = [], np.ones(len(starts), dtype=bool)
-    for lane in range(lanes):
-        key = np.zeros(len(starts), dtype=np.uint64)
-        for j in range(LANE):
-            c = padded[starts + lane * LANE + j]
-            live &= c > 0  # beyond the word's end nothing counts
-            key = key << np.uint64(21) | np.where(live, c, np.uint64(0))
-        found.append(key)
-    return found
+def units_of(pieces: list[str]) -> re.Pattern:
+    """Words that are encoded by themselves: no piece reaches over a later run of spaces, a line
+    feed, or from a letter or digit to one of the marks found here (none joins the two)."""
+    joined = {b for p in pieces for a, b in zip(p, p[1:]) if a.isalnum()}
+    marks = re.escape("".join(sorted(set(string.punctuation) - joined)))
+    if not marks:
+        return re.compile(f"\n|{GAP}*[^{GAP}\n]+|{GAP}+")
+    return re.compile(f"\n|{GAP}*[^{GAP}\n{marks}]*[^\\W_{GAP}](?=[{marks}])|{GAP}*[^{GAP}\n]+|{GAP}+")
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         v = vocabulary
-        self.v, self.known = v, {}
+        self.v, self.known, self.parts = v, {}, {}  # ids of what stands between single spaces, and of units
         self.single = np.full(0x110000, -1, dtype=np.int32)  # ids of one-character pieces
         for i in v.plain:
             if len(v.pieces[i]) == 1:
                 self.single[ord(v.pieces[i])] = i
         many = [i for i in v.plain if len(v.pieces[i]) > 1]
+        self.units = units_of([v.pieces[i] for i in many])
         self.ids, self.length = np.array(many), np.array([len(v.pieces[i]) for i in many])
         self.rank = np.array([v.ranks[i] for i in many])
-        self.lanes = -(-int(self.length.max(initial=1)) // LANE)
-        text = np.array([ord(c) for c in "\0".join(v.pieces[i] for i in many) + "\0"], dtype=np.uint64)
+        letters = sorted({c for i in many for c in v.pieces[i]})
+        self.bits = (len(letters) + 1).bit_length()
+        self.lane = 63 // self.bits
+        self.dense = np.full(0x110000, len(letters) + 1, dtype=np.uint64)  # all characters outside pieces are alike
+        self.dense[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.dense[0] = 0
+        text = self.dense[[ord(c) for c in "\0".join(v.pieces[i] for i in many) + "\0"]]
         starts = np.cumsum(np.concatenate([[0], self.length[:-1] + 1])) if len(many) else np.zeros(0, np.int64)
-        self.low = _keys(text, starts, self.lanes)
-        self.high = []
-        for lane, key in enumerate(self.low):
-            free = np.clip(LANE * (lane + 1) - self.length, 0, LANE).astype(np.uint64) * np.uint64(21)
-            self.high.append(key | ((np.uint64(1) << free) - np.uint64(1)))
+        all_lanes = -(-int(self.length.max(initial=1)) // self.lane)
+        keys = self._keys(text, starts, max(LANES, all_lanes))
+        self.low, self.rest = keys[:LANES], keys[LANES:]
+        self.high = [key | self._free(lane) for lane, key in enumerate(self.low)]
+
+    def _free(self, lane: int) -> np.ndarray:
+        """The bits of a lane that lie behind each piece's end."""
+        free = np.clip(self.lane * (lane + 1) - self.length, 0, self.lane).astype(np.uint64) * np.uint64(self.bits)
+        return (np.uint64(1) << free) - np.uint64(1)
+
+    def _keys(self, codes: np.ndarray, starts: np.ndarray, lanes: int, first: int = 0) -> list[np.ndarray]:
+        """The text from each start as numbers that compare as the text does; 0 ends a word."""
+        padded = np.concatenate([codes, np.zeros((first + lanes) * self.lane, np.uint64)])
+        found, live = [], np.ones(len(starts), dtype=bool)
+        for j in range(first * self.lane):
+            live &= padded[starts + j] > 0
+        for lane in range(first, first + lanes):
+            key = np.zeros(len(starts), dtype=np.uint64)
+            for j in range(self.lane):
+                c = padded[starts + lane * self.lane + j]
+                live &= c > 0  # beyond the word's end nothing counts
+                key = key << np.uint64(self.bits) | np.where(live, c, np.uint64(0))
+            found.append(key)
+        return found
 
     def _bound(self, suffixes: list[np.ndarray], wanted: list[np.ndarray], after: bool) -> np.ndarray:
         """For each wanted key: how many suffixes are smaller (or, after, not greater)."""
@@ -106,7 +128,7 @@ class Encoder:
     def edges(self, codes: np.ndarray):
         """(start, end, row in ids) of every occurrence of every piece, by position."""
         at = np.flatnonzero(codes)
-        keys = _keys(codes, at, self.lanes)
+        keys = self._keys(codes, at, LANES)
         order = np.lexsort(keys[::-1])
         suffixes = [k[order] for k in keys]
         first, stop = self._bound(suffixes, self.low, False), self._bound(suffixes, self.high, True)
@@ -114,22 +136,32 @@ class Encoder:
         piece = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
         start = at[order[first[piece] + within]]
+        for lane, wanted in enumerate(self.rest, LANES):
+            long = np.flatnonzero(self.length[piece] > lane * self.lane)
+            if len(long):
+                mine = piece[long]
+                (key,) = self._keys(codes, start[long], 1, lane)
+                free = self._free(lane)[mine]
+                bad = (key | free) != (wanted[mine] | free)
+                keep = np.ones(len(piece), dtype=bool)
+                keep[long[bad]] = False
+                piece, start = piece[keep], start[keep]
         by = np.argsort(start, kind="stable")
-        return start[by], (start + self.length[piece])[by], piece[by]
+        return start[by].astype(np.int32), (start + self.length[piece])[by].astype(np.int32), piece[by].astype(np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that are not remembered yet."""
         text = "\0".join(w.replace("\0", "") if "\0" in w else w for w in words) + "\0"
         odd = {i for i, w in enumerate(words) if "\0" in w}
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        token = self.single[codes].astype(np.int64)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes, token = self.dense[points], self.single[points].astype(np.int64)
         alive = np.ones(len(codes) + 1, dtype=bool)  # a symbol starts here
         s, e, p = self.edges(codes)
         word = np.cumsum(codes == 0)[s]
         while len(s):
-            count = np.cumsum(alive)
+            count = np.cumsum(alive, dtype=np.int32)
             two = count[e - 1] - count[s] == 1
-            best_of = np.where(two, self.rank[p], np.iinfo(np.int64).max >> 24) << 22 | np.minimum(s - s[0], (1 << 22) - 1)
+            best_of = np.where(two, self.rank[p], 1 << 29) << 32 | (s - s[0])
             head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.minimum.reduceat(best_of, head)
             group = np.cumsum(np.concatenate([[False], word[1:] != word[:-1]]))
@@ -155,7 +187,7 @@ class Encoder:
                 found = [t for part in re.split("(\0)", w) if part for t in ([self.v.bytes_at[0]] if part == "\0" else self.word(part))]
             elif -1 in found:
                 found = [t for k, t in enumerate(found, lo) for t in ([t] if t >= 0 else self.fallback(text[symbols[k]]))]
-            self.known[w] = tuple(found)
+            self.parts[w] = tuple(found)
             lo = hi + 1
 
     def fallback(self, char: str) -> list[int]:
@@ -164,22 +196,35 @@ class Encoder:
         return [self.v.bytes_at.get(b, self.v.unknown) for b in raw] if self.v.bytes_at else [self.v.unknown]
 
     def word(self, w: str) -> tuple[int, ...]:
-        if w not in self.known:
+        if w not in self.parts:
             self.learn([w])
-        return self.known[w]
+        return self.parts[w]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        units = [UNITS.findall(GAP + t.replace(" ", GAP)) if t else [] for t in texts]
-        new: set[str] = set()
-        for us in units:
-            new.update(us)
-        new.difference_update(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, us))) for us in units]
+        for known in (self.known, self.parts):
+            if len(known) > REMEMBERED:
+                known.clear()
+        rows: list[tuple[dict, list[str]]] = []
+        words: set[str] = set()
+        units: set[str] = set()
+        for t in texts:
+            if t and t[0] != " " and t[-1] != " " and "  " not in t and GAP not in t:
+                found = t.split(" ")
+                words.update(found)
+                rows.append((self.known, found))
+            else:
+                found = self.units.findall(GAP + t.replace(" ", GAP)) if t else []
+                units.update(found)
+                rows.append((self.parts, found))
+        words.difference_update(self.known)
+        split = {w: [GAP + w] if w.isalnum() else self.units.findall(GAP + w) for w in words}
+        units.update(chain.from_iterable(split.values()))
+        new = list(units.difference(self.parts))
+        for at in range(0, len(new), AT_ONCE):
+            self.learn(new[at : at + AT_ONCE])
+        for w, us in split.items():
+            self.known[w] = self.parts[us[0]] if len(us) == 1 else tuple(chain.from_iterable([self.parts[u] for u in us]))
+        return [list(chain.from_iterable(map(known.__getitem__, found))) for known, found in rows]
 
 
 def decode(vocabulary: Vocabulary):
@@ -222,7 +267,8 @@ def decode_docs(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         back = decode(shared.value)
         for b in batches:
-            texts = [None if x is None else back(x) for x in b["ids"].to_pylist()]
+            # A document at a time: a batch's ids as Python numbers would be many times its size.
+            texts = [back(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in b["ids"]]
             yield pa.record_batch([b["id"], b["ids"], pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
