@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A set holds the distinct ``words``-word shingles of the text, A-Z lower-cased; a shorter
     text is one shingle; a null or blank text has none and is linked with nothing. The banding
-    finds a pair at the threshold with probability above 1 - 1e-5 (25 bands of 5 at 0.8 and up).
+    (25 bands of 5) finds a pair with probability above 1 - 5e-5 at 0.8, 1 - 1e-6 at 0.85.
     component_id is the smallest id reachable. Rows that share an id are one node with all
     their links. A row without an id is never linked: its component_id is null, it is kept.
     Columns other than the two named are not read. An empty table gives an empty result.
