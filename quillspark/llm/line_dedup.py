@@ -68,14 +68,15 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Input columns may have any names: they travel inside ``row``. An empty table gives an
     empty result.
     """
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(F.col(text)).alias("m"), F.col(text).alias("body"))
-    slim = _with_chunks(base.select("k", "m", "body"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(F.col(text)).alias("m")
+    base, bodies = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key), docs.select(*key, F.col(text).alias("body"))
+    slim = _with_chunks(bodies)
     hashed = slim.select("k", "m", F.posexplode(F.transform("chunks", lambda c: F.when(_real(c), F.xxhash64(F.array_join(c, "\n"))))).alias("no", "h")).where("h is not null")
     hashed = cut_lineage(hashed)
     twice = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     asked = hashed.join(twice, "h").groupBy("k", "m").agg(F.collect_set("no").alias("asked"))
 
-    found = base.select("k", "m", "body").join(asked, ["k", "m"])
+    found = bodies.join(asked, ["k", "m"])
     found = _with_chunks(found).select("k", "m", F.explode("asked").alias("no"), "chunks")
     place = F.struct("k", "m", "no")
     texts = found.select(place.alias("place"), F.array_join(F.element_at("chunks", F.col("no") + 1), "\n").alias("chunk"))
@@ -83,7 +84,8 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     gone = texts.join(first, "chunk").where("place > first").select("place.*")
     gone = gone.groupBy("k", "m").agg(F.collect_set("no").alias("gone"))
 
-    whole = _with_chunks(base.join(gone, ["k", "m"], "left"))
+    # The body is taken from the row behind the join, so that the text is shuffled once there.
+    whole = _with_chunks(base.join(gone, ["k", "m"], "left").withColumn("body", F.col("row")[text]))
     none = F.array().cast("array<int>")
     whole = whole.withColumn("gone", F.coalesce("gone", none))
     kept = F.filter("chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
