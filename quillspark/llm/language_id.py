@@ -7,7 +7,6 @@ language has the greatest sum; the score is its share under a softmax of the sum
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -48,43 +47,49 @@ def _count(batches):
 class Model:
     """Log frequency of each known word and n-gram in each language."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, list[int]]], totals: dict[int, list[int]]) -> None:
+    def __init__(self, langs: list[str], sizes: list[int], grams: list[str], counts: np.ndarray, totals: dict[int, list[int]]) -> None:
+        """counts: a row for each gram, a column for each language; totals: by size, for each language."""
         self.langs = langs
         self.at: dict[int, dict[str, int]] = {n: {} for n in (0, *SIZES)}
-        self.logs = np.zeros((len(rows), len(langs)), dtype=np.float32)
-        for i, (n, gram, counts) in enumerate(rows):
+        for i, (n, gram) in enumerate(zip(sizes, grams, strict=True)):
             self.at[n][gram] = i
-            self.logs[i] = [math.log((c + 0.1) / (t + 1.0)) for c, t in zip(counts, totals[n], strict=True)]
+        self.logs = np.zeros((0, len(langs)), np.float32)
+        if sizes:
+            whole = np.array([totals.get(n, [0] * len(langs)) for n in range(max(SIZES) + 1)], dtype=np.float64)
+            self.logs = np.log((counts + 0.1) / (whole[sizes] + 1.0)).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray | None:
+
+    def word(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of an unseen word that are known at all."""
         for n in SIZES:
             known = [i for g in grams(word, n) if (i := self.at[n].get(g)) is not None]
             if known:
-                return self.logs[known].mean(axis=0)
-        return None
+                return known
+        return []
 
     def scorer(self):
-        words, logs, seen = self.at[0], self.logs, {}
+        words, seen = self.at[0], {}
 
         def score(text: str | None) -> tuple[str, float]:
             counts = Counter(LETTERS.findall((text or "").lower()))
             if not counts or not self.langs:
                 return "und", 0.0
-            rows, times, total = [], [], np.zeros(len(self.langs))
+            rows, times = [], []
             for word, n in counts.items():
                 i = words.get(word)
                 if i is not None:
                     rows.append(i)
                     times.append(n)
                     continue
-                if word not in seen:
+                known = seen.get(word)
+                if known is None:
                     if len(seen) >= CACHE:
                         seen.clear()
-                    seen[word] = self.word(word)
-                if seen[word] is not None:
-                    total += n * seen[word]
-            if rows:
-                total += np.array(times, dtype=np.float64) @ logs[rows]
+                    known = seen[word] = self.word(word)
+                if known:  # the mean over its n-grams
+                    rows += known
+                    times += [n / len(known)] * len(known)
+            total = np.array(times, dtype=np.float64) @ self.logs[rows] if rows else np.zeros(len(self.langs))
             best = int(total.argmax())
             return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
@@ -105,7 +110,7 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, per_lang: int = 4000, f
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
-        return Model([], [], {})
+        return Model([], [], [], np.zeros(0), {})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.where(unit < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("body"))
@@ -114,8 +119,9 @@ def fit(rows: DataFrame, text: str, lang: str, key: str, per_lang: int = 4000, f
     per = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, k in enumerate(langs)]
     wide = found.groupBy("size", "gram").agg(F.sum("n").alias("total"), *per).where("total > 1")
     sizes = {r[0]: list(r[1:]) for r in found.groupBy("size").agg(*per).collect()}
-    kept = wide.orderBy(F.desc("total"), "size", "gram").limit(features).collect()
-    return Model(langs, [(r["size"], r["gram"], [r[f"c{i}"] for i in range(len(langs))]) for r in kept], sizes)
+    kept = wide.orderBy(F.desc("total"), "size", "gram").limit(features).drop("total").toArrow()
+    each = [kept[f"c{i}"].to_numpy() for i in range(len(langs))]
+    return Model(langs, kept["size"].to_pylist(), kept["gram"].to_pylist(), np.stack(each, axis=1), sizes)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import zlib
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -106,7 +107,8 @@ def test_language_is_right_on_held_out_documents(spark, sf):
 
 def test_language_backs_off_to_shorter_grams():
     rows = [(0, "haus", [9, 0]), (0, "maison", [0, 9]), (3, "<ha", [9, 0]), (2, "ma", [0, 9]), (1, "z", [5, 1])]
-    model = language_id.Model(["de", "fr"], rows, {n: [20, 20] for n in (0, 1, 2, 3, 4, 5)})
+    sizes, grams, counts = zip(*rows)
+    model = language_id.Model(["de", "fr"], list(sizes), list(grams), np.array(counts), {n: [20, 20] for n in range(6)})
     score = model.scorer()
     assert score("Haus")[0] == "de" and score("haben")[0] == "de" and score("xmax")[0] == "fr" and score("z")[0] == "de"
     assert score(None) == ("und", 0.0) and score("123 !?") == ("und", 0.0)
