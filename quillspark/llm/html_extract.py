@@ -3,9 +3,10 @@
 Pages are ordered by host and URL path; each page's partner is the neighbour of the same host
 with the longer common path. The text lines of a page and its partner are aligned by their
 longest common subsequence, and shared lines, which come from the site's template, are
-deleted. Lines of a declared main region (``article`` or ``main``) are exempt: there a shared
-line is the author's own, repeated on purpose or copied. Markup rules then drop what a template
-fills differently on each page (menus, adverts, footers).
+deleted; the page's own lines stay, wherever they are. In a declared main region (``article`` or
+``main``) one page's word is not enough, as authors repeat and copy lines: there a line goes
+only if all neighbours within REACH of the same host share it, AGREE of them at least. Markup
+rules then drop what a template fills differently on each page (menus, adverts, footers).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import deque
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
@@ -40,6 +42,8 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("br td th option wbr".split()) - {"wbr"}
 COPY = 0.8  # a partner that shares this part of the lines is a copy of the page, no sign of a template
+REACH = 2  # neighbours looked at on each side
+AGREE = 3  # of them, those that must share a line of a main region
 MAIN, PLAIN, FRAME = 2, 1, 0
 
 
@@ -133,16 +137,20 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def main_text(page: str, partner: list[int] | None) -> str:
-    """The page's main text, given the line hashes of its partner page."""
+def template(own: list[int], other: list[int]) -> set[int] | None:
+    """Indexes of own lines shared with another page; None if that is empty or a copy."""
+    found = shared(own, other) if other else set()
+    return found if other and len(found) < COPY * max(len(own), len(other)) else None
+
+
+def main_text(page: str, partner: list[int] | None, others: list[list[int]] = ()) -> str:
+    """The page's main text, given the line hashes of its partner page and of further neighbours."""
     blocks = lines(page)
-    gone: set[int] = set()
-    if partner:
-        gone = shared([line_hash(t) for t, _ in blocks], partner)
-        if len(gone) >= COPY * max(len(blocks), len(partner)):
-            gone = set()
-    least = MAIN if any(r == MAIN for _, r in blocks) else PLAIN
-    return "\n".join(t for i, (t, r) in enumerate(blocks) if r >= least and (r == MAIN or i not in gone))
+    own = [line_hash(t) for t, _ in blocks]
+    found = [template(own, p or []) for p in (partner, *others)]
+    gone, told = found[0] or set(), [f for f in found if f is not None]
+    agreed = set.intersection(*told) if len(told) >= AGREE else set()
+    return "\n".join(t for i, (t, r) in enumerate(blocks) if r != FRAME and i not in (agreed if r == MAIN else gone))
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -163,8 +171,9 @@ def common(a: str, b: str) -> int:
 
 
 LINES = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
-PAIRS = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("common", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("path", pa.string())])
-PAIRS_DDL = "id long, other long, common int, part int, host string, path string"
+PAIRS = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("common", pa.int32()), ("away", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("path", pa.string())])
+PAIRS_DDL = "id long, other long, common int, away int, part int, host string, path string"
+AWAY = [k for k in range(-REACH, REACH + 1) if k]
 
 
 def _addressed(batches):
@@ -174,34 +183,50 @@ def _addressed(batches):
         yield pa.record_batch([b["id"], pa.array([u[0] for u in urls], pa.string()), pa.array([u[1] for u in urls], pa.string()), pa.array(hashes, pa.list_(pa.int64()))], schema=LINES)
 
 
+def _paired(x: tuple, y: tuple, away: int) -> list[tuple]:
+    """Both directions of a pair of (host, path, id); y stands ``away`` rows behind x."""
+    n = common(x[1], y[1])
+    return [(x[2], y[2], n, away), (y[2], x[2], n, -away)]
+
+
 def _neighbours(batches):
-    """Pairs of neighbours within a sorted partition, and its first and last row for the seams."""
-    part, before, rows = TaskContext.get().partitionId(), None, []
+    """Pairs up to REACH rows apart within a sorted partition, and its outer rows for the seams.
+
+    An outer row carries its place from the front (``away``) and the partition's size (``common``).
+    """
+    part, first, last, size = TaskContext.get().partitionId(), [], deque(maxlen=REACH), 0
     for b in batches:
+        rows = []
         for now in zip(b["host"].to_pylist(), b["path"].to_pylist(), b["id"].to_pylist(), strict=True):
-            if before is None:
-                rows.append((now[2], None, None, part, now[0], now[1]))
-            elif before[0] == now[0]:
-                n = common(before[1], now[1])
-                rows += [(now[2], before[2], n, None, None, None), (before[2], now[2], n, None, None, None)]
-            before = now
+            for k, before in enumerate(reversed(last), 1):
+                if before[0] == now[0]:
+                    rows += [(*p, None, None, None) for p in _paired(before, now, k)]
+            if size < REACH:
+                first.append(now)
+            last.append(now)
+            size += 1
         yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PAIRS)], schema=PAIRS)
-        rows = []
-    if before is not None:
-        yield pa.record_batch([pa.array([v], f.type) for v, f in zip((before[2], None, None, part, before[0], before[1]), PAIRS, strict=True)], schema=PAIRS)
+    outer = {**dict(enumerate(first)), **dict(enumerate(last, size - len(last)))}
+    rows = [(x[2], None, size, at, part, x[0], x[1]) for at, x in outer.items()]
+    yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(PAIRS)], schema=PAIRS)
 
 
 def _seams(batches):
-    """Pairs across partition borders, from each partition's first and last row."""
+    """Pairs across partition borders, from each partition's outer rows."""
     rows, ends = [], []
     for b in batches:
         ends += b.to_pylist()
-    ends.sort(key=lambda r: (r["part"], r["host"], r["path"], r["id"]))
-    for x, y in zip(ends, ends[1:]):
-        if x["part"] != y["part"] and x["host"] == y["host"]:
-            n = common(x["path"], y["path"])
-            rows += [(x["id"], y["id"], n), (y["id"], x["id"], n)]
-    yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["id", "other", "common"])
+    ends.sort(key=lambda r: (r["part"], r["away"]))
+    start, part, size, placed = 0, None, 0, []
+    for r in ends:
+        if r["part"] != part:
+            start, part, size = start + size, r["part"], r["common"]
+        placed.append((start + r["away"], r["part"], (r["host"], r["path"], r["id"])))
+    for i, (at, part, x) in enumerate(placed):
+        for there, other, y in placed[i + 1 : i + 1 + REACH]:
+            if there - at <= REACH and part != other and x[0] == y[0]:
+                rows += _paired(x, y, there - at)
+    yield pa.record_batch([pa.array([r[k] for r in rows], PAIRS.field(k).type) for k in range(4)], names=["id", "other", "common", "away"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -209,22 +234,28 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     A null page is empty and gives an empty text. A null or broken URL is the host "" with the
     URL as path. Rows without an id have no partner and are read by markup alone; rows that
-    share an id share one partner. Ties in common path length go to the smaller partner id. A
-    partner that holds COPY of the lines is a copy and deletes nothing. An empty table gives an
-    empty result. Only the named columns are read.
+    share an id share one partner, and one neighbour at each distance. Ties in common path length
+    go to the smaller partner id. A partner that holds COPY of the lines is a copy and deletes
+    nothing; nor does such a neighbour count as one. An empty table gives an empty result. Only
+    the named columns are read.
 
     Ordering is a range sort over all hosts, so a hot host spreads over many partitions; only
-    two rows of each partition meet to pair across borders.
+    the outer REACH rows of each partition meet to pair across borders.
     """
     source = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
     seen = cut_lineage(source.where("id is not null").mapInArrow(_addressed, "id long, host string, path string, hashes array<long>"))
     ordered = seen.select("host", "path", "id").repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
     pairs = cut_lineage(ordered.mapInArrow(_neighbours, PAIRS_DDL))
-    seams = pairs.where("part is not null").coalesce(1).mapInArrow(_seams, "id long, other long, common int")
-    near = pairs.where("part is null").select("id", "other", "common").unionAll(seams).where("id <> other")
-    chosen = near.groupBy("id").agg(F.max(F.struct("common", (-F.col("other")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("other"))
+    seams = pairs.where("part is not null").coalesce(1).mapInArrow(_seams, "id long, other long, common int, away int")
+    near = pairs.where("part is null").select("id", "other", "common", "away").unionAll(seams).where("id <> other")
+    best = near.groupBy("id").agg(*[F.max(F.when(F.col("away") == k, F.struct("common", (-F.col("other")).alias("minus")))).alias(f"at{k}") for k in AWAY])
+    partner = F.greatest("at-1", "at1")["minus"]
+    asked = F.array_distinct(F.array(*[F.col(f"`at{k}`")["minus"] for k in AWAY]))
+    chosen = best.select("id", partner.alias("partner"), F.explode(asked).alias("minus")).where("minus is not null")
+    chosen = chosen.select("id", (-F.col("minus")).alias("other"), F.equal_null("minus", "partner").alias("nearest"))
     theirs = seen.groupBy(F.col("id").alias("other")).agg(F.max("hashes").alias("theirs"))
-    partner = chosen.join(theirs, "other").select("id", "theirs")
+    found = chosen.join(theirs, "other").groupBy("id")
+    partner = found.agg(F.max(F.when(F.col("nearest"), F.col("theirs"))).alias("theirs"), F.collect_list(F.when(~F.col("nearest"), F.col("theirs"))).alias("others"))
 
     zipped = pa.schema([("id", pa.int64()), ("url", pa.string()), ("body", pa.binary())])
 
@@ -236,7 +267,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     def read(batches):
         loosen = zstandard.ZstdDecompressor()
         for b in batches:
-            texts = [main_text(loosen.decompress(z).decode(), p) for z, p in zip(b["body"].to_pylist(), b["theirs"].to_pylist(), strict=True)]
+            near = zip(b["body"].to_pylist(), b["theirs"].to_pylist(), b["others"].to_pylist(), strict=True)
+            texts = [main_text(loosen.decompress(z).decode(), p, more or []) for z, p, more in near]
             yield pa.record_batch([b["id"], b["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     small = source.mapInArrow(squeeze, "id long, url string, body binary")

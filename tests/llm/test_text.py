@@ -228,6 +228,39 @@ def test_shared_lines_go_where_no_region_is_declared():
     assert H.main_text(a, [H.line_hash(t) for t, _ in H.lines(a)]) == "Site name\nOwn one\nShare this"
 
 
+def test_own_lines_beside_a_main_region_stay_and_agreed_lines_in_it_go():
+    def page(own, copied=""):
+        return f"<div>Site name</div><p>Lead {own}</p><article><p>Card {own}</p><p>{copied}</p><p>Read more</p></article><p>Body {own}</p><div>Share this</div>"
+
+    def hashes(*pages):
+        return [[H.line_hash(t) for t, _ in H.lines(p)] for p in pages]
+
+    a = page("one", "Quoted")
+    first, *rest = hashes(page("two", "Quoted"), page("three"), page("four"))
+    assert H.main_text(a, first, rest) == "Lead one\nCard one\nQuoted\nBody one"
+    assert H.main_text(a, first, rest[:1]) == "Lead one\nCard one\nQuoted\nRead more\nBody one"
+    assert H.main_text(a, first, [rest[0], *hashes(a)]) == "Lead one\nCard one\nQuoted\nRead more\nBody one"
+    assert H.main_text(a, None).splitlines()[:2] == ["Site name", "Lead one"]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_extract_asks_neighbours_across_borders(spark, parts):
+    def page(own):
+        return f"<p>Lead {own}</p><article><p>Text {own}</p><p>Tail {own}</p><p>Read more</p></article><p>Share this</p>"
+
+    rows = [(i, f"https://h.example/a/{i:03}", page(i)) for i in range(30)]
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = {r.page_id: r.text for r in H.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    ends = {0, 29}  # these have two neighbours only
+    assert out == {i: f"Lead {i}\nText {i}\nTail {i}" + "\nRead more" * (i in ends) for i in range(30)}
+
+
 def test_shared_is_a_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(300):
