@@ -168,6 +168,24 @@ def test_messages(spark):
     assert V.compact_empty(df, "role", "text").count() == 4
 
 
+def test_segments_and_gate_on_whole_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = G.explode_segments(df.withColumn("t", F.concat("text", F.lit("\n```\ncode\n```\n"), "text")), "t").collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
+        got.setdefault(r.doc_id, []).append((r.kind, r.segment))
+    for r in df.collect():
+        assert "".join(s for _, s in got[r.doc_id]) == f"{r.text}\n```\ncode\n```\n{r.text}" and "code" in [k for k, _ in got[r.doc_id]]
+
+    wrapper = "Generated support export. " + "routing code alpha beta gamma " * 8
+    wrapped = df.withColumn("t", F.concat(F.lit(wrapper + "\n\n"), "text", F.lit("\n\n" + wrapper)))
+    out = R.alias_duplicate_blocks(wrapped, "doc_id", "t", ["Generated support export."])
+    want = F.concat(F.lit(f"[D1]={wrapper.strip()}\n[D1] \n\n"), "text", F.lit("\n\n[D1] "))
+    before, after = M.token_count(F.col("t")), M.token_count(want)
+    gates = {(r.applied, r.open, r.same) for r in out.select("applied", ((before - after >= 32) & (before - after >= before * 0.1)).alias("open"), (F.col("aliased") == F.when(F.col("applied"), want).otherwise(F.col("t"))).alias("same")).collect()}
+    assert gates == {(True, True, True), (False, False, True)}
+
+
 def test_profiles(spark):
     req = spark.createDataFrame([(" t ", 0.4), ("t", None), (None, None)], "tenant_id string, aggressiveness double")
     dim = spark.createDataFrame([("t", 0.3, " ")], "tenant_id string, default_aggressiveness double, profile_id string")
