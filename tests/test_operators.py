@@ -186,6 +186,18 @@ def test_segments_and_gate_on_whole_documents(spark, sf):
     assert gates == {(True, True, True), (False, False, True)}
 
 
+def test_label_tokens_on_whole_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat("text", F.lit(" LORATENANT tail")).alias("text"))
+    got = {}
+    for r in G.explode_label_tokens(df, "text", spark.createDataFrame([("LORATENANT",)], "term string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.token, r.label))
+    long = 0
+    for r in df.collect():
+        assert sorted(got[r.doc_id]) == [(m.start(), m.end(), m[0], int(m[0] == "LORATENANT")) for m in re.finditer(P.WORD, r.text)]
+        long += len(r.text) > 2000
+    assert long > 20
+
+
 def test_profiles(spark):
     req = spark.createDataFrame([(" t ", 0.4), ("t", None), (None, None)], "tenant_id string, aggressiveness double")
     dim = spark.createDataFrame([("t", 0.3, " ")], "tenant_id string, default_aggressiveness double, profile_id string")
