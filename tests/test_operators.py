@@ -198,6 +198,14 @@ def test_label_tokens_on_whole_documents(spark, sf):
     assert long > 20
 
 
+def test_duplicates_compare_whole_messages(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    late = rows.withColumn("turn", F.col("turn") + 1000)
+    near = late.withColumn("turn", F.col("turn") + 1000).withColumn("text", F.concat("text", F.lit(".")))
+    found = V.compact_duplicates(rows.unionAll(late).unionAll(near), "conv_id", ["turn"], "text", "role").where("duplicate").collect()
+    assert sorted((r.conv_id, r.turn) for r in found) == sorted((r.conv_id, r.turn) for r in late.where("role = 'user'").collect())
+
+
 def test_profiles(spark):
     req = spark.createDataFrame([(" t ", 0.4), ("t", None), (None, None)], "tenant_id string, aggressiveness double")
     dim = spark.createDataFrame([("t", 0.3, " ")], "tenant_id string, default_aggressiveness double, profile_id string")
