@@ -3,12 +3,14 @@
 A test item of n characters may differ in ``floor(rate * n)`` edits. Cut into one piece more
 than that, at least one piece of a leaked item is untouched, so exact piece hits (one
 Aho-Corasick scan of each text) find every leak. Around a hit, Myers' bit-parallel algorithm
-gives the smallest edit distance of the whole item to any stretch of the text.
+gives the smallest edit distance of the whole item to any stretch of the text. Short items
+must begin and end at word boundaries, as they would else be found inside of words.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_CHARS = 1 << 20
 SPACE = re.compile(r"\s+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")  # scripts without spaces between words
 HITS = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("budget", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 HITS_DDL = "id long, item_id long, distance long, budget long, start long, end long"
 
@@ -71,6 +74,39 @@ def locate(pattern: str, text: str) -> tuple[int, int, int]:
     return best, end - back, end
 
 
+def _word(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LNM" and not UNSPACED.match(c)
+
+
+def boundary(text: str, at: int) -> bool:
+    """No word goes on across this place."""
+    return at in (0, len(text)) or not (_word(text[at - 1]) and _word(text[at]))
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def locate_words(pattern: str, text: str, starts: list[int], budget: int) -> tuple[int, int, int] | None:
+    """Distance, start and end of the nearest stretch of whole words near one of the sorted starts."""
+    best, n = None, len(pattern)
+    for at in starts:
+        for a in range(max(0, at - budget), min(len(text), at + budget + 1)):
+            if not boundary(text, a):
+                continue
+            for b in range(max(a + 1, a + n - budget), min(len(text), a + n + budget) + 1):
+                if boundary(text, b) and (d := edits(pattern, text[a:b])) <= budget:
+                    best = min(best or (d, a, b), (d, a, b))
+        if best and not best[0]:
+            break
+    return best
+
+
 def pieces(item: str, rate: float) -> list[tuple[str, int]]:
     k = int(len(item) * rate) + 1
     cuts = [len(item) * j // k for j in range(k + 1)]
@@ -78,9 +114,10 @@ def pieces(item: str, rate: float) -> list[tuple[str, int]]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 0) -> None:
         import ahocorasick
 
+        self.min_chars = min_chars
         self.items = [(i, t, int(len(t) * rate)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, _) in enumerate(self.items):
@@ -102,7 +139,10 @@ class Matcher:
         for item, starts in diagonals.items():
             name, pattern, budget = self.items[item]
             best, lo, hi, starts = None, None, None, sorted(set(starts))
-            for s in [*starts, None]:
+            short = len(pattern) < self.min_chars
+            if short:
+                best = locate_words(pattern, low, starts, budget)
+            for s in [] if short else [*starts, None]:
                 if lo is not None and (s is None or s > hi + 2 * budget):
                     a = max(0, lo - budget)
                     d, x, y = locate(pattern, low[a : hi + len(pattern) + budget])
@@ -124,8 +164,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     start, end (code points of the original text).
 
     Both sides are compared in lower case with white space runs as one space. Items that are
-    null or shorter than ``min_chars`` after that match nothing; null and empty texts have no
-    hit. A row without an id is searched like others and reported with a null id. Repeated
+    null or empty after that match nothing; those shorter than ``min_chars`` match stretches of
+    whole words within the same edit budget (0 or 1 edits by default). Null and empty texts have
+    no hit. A row without an id is searched like others and reported with a null id. Repeated
     rows give repeated hits; an empty table on either side gives an empty result. Only the
     named columns are read.
 
@@ -140,13 +181,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     found = spark.createDataFrame([], HITS_DDL)
     for b in range(blocks):
         rows = query.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == b).collect()
-        block = [(r[0], t) for r in rows if len(t := fold(r[1])) >= min_chars]
+        block = [(r[0], t) for r in rows if (t := fold(r[1]))]
         if not block:
             continue
         shared = spark.sparkContext.broadcast(sorted(block, key=lambda x: (x[0] is None, x)))
 
         def search(batches, shared=shared):
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, min_chars)
             for batch in batches:
                 rows = [(i, *h) for i, t in zip(batch["id"].to_pylist(), batch["body"].to_pylist(), strict=True) for h in matcher.hits(t)]
                 yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(HITS)], schema=HITS)

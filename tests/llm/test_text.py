@@ -85,6 +85,14 @@ def test_leak_spans_point_into_the_original(spark):
     assert text[x.start : x.end] == "ALPHA  beta\ngamma delta epsilon zeta" and x.distance == 0
 
 
+def test_short_items_match_whole_words(spark):
+    items = [(1, "Cat"), (2, "red green blue"), (3, "3.14"), (4, "你好"), (5, " "), (6, "")]
+    docs = [(1, "a  CAT!"), (2, "concatenate 13.145 cats"), (3, "x red\ngreen blues y"), (4, "pi=3.14"), (5, "说你好吗"), (6, "xred green blue"), (7, "scattered green blue"), (8, "cat"), (9, "red gren blu")]
+    found = leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    got = {(x.id, x.item_id, x.distance, dict(docs)[x.id][x.start : x.end]) for x in found}
+    assert got == {(1, 1, 0, "CAT"), (3, 2, 1, "red\ngreen blues"), (4, 3, 0, "3.14"), (5, 4, 0, "你好"), (6, 2, 1, "xred green blue"), (8, 1, 0, "cat")}
+
+
 def test_planted_leaks_are_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
