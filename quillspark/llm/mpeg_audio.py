@@ -2,9 +2,9 @@
 
 ``write_stream`` puts a payload into the main data of Layer III frames behind an ID3v2 tag and
 a Xing frame (frame count, bytes, table of contents); ``read_stream`` resynchronises on frame
-headers, parses ID3v2, ID3v1, Xing, Info and VBRI data, verifies the frame checksums, and gives
-the exact duration and every frame's offset. Samples are never decoded, so any MPEG-1, 2 or 2.5
-stream of Layer I to III can be read.
+headers, parses ID3v2, ID3v1, Xing, Info and VBRI data, verifies the frame checksums of all
+layers, and gives the exact duration and every frame's offset. Samples are never decoded, so any
+MPEG-1, 2 or 2.5 stream of Layer I to III can be read, free-format ones too.
 """
 
 from __future__ import annotations
@@ -31,26 +31,32 @@ KBITS = {
 HERTZ = (44100, 48000, 32000)
 SIDE = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}  # bytes of Layer III side information by (MPEG-1?, mono?)
 
+# Bits of a Layer II allocation by subband: MPEG-1 at high and at low bitrates, MPEG-2.
+ALLOCATION_HIGH, ALLOCATION_LOW, ALLOCATION_2 = [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 10, [4] * 4 + [3] * 7 + [2] * 19
+
 LENGTH_FRAME = b"payload_bytes"
+FREE_BYTES = 1 << 14  # no free-format frame is longer: the next sync is looked for that far
 PAD = 64
 
 
 class Header:
-    """A frame header, or ValueError."""
+    """A frame header, or ValueError. ``free`` is the size of the stream's free-format frames without padding."""
 
-    def __init__(self, data: bytes, at: int) -> None:
+    def __init__(self, data: bytes, at: int, free: int = 0) -> None:
         if at + 4 > len(data):
             raise ValueError("cut off")
         word = int.from_bytes(data[at : at + 4], "big")
         version, layer, rate, hertz = word >> 19 & 3, 4 - (word >> 17 & 3), word >> 12 & 15, word >> 10 & 3
-        if word >> 21 != 0x7FF or version == 1 or layer == 4 or rate in (0, 15) or hertz == 3:
+        if word >> 21 != 0x7FF or version == 1 or layer == 4 or rate == 15 or not (rate or free) or hertz == 3:
             raise ValueError("no frame")
         self.mpeg1, self.layer, self.protected, self.mono = version == 3, layer, not word >> 16 & 1, word >> 6 & 3 == 3
+        self.joint = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 0 if self.mono else 32  # subbands with two allocations
         self.hertz = HERTZ[hertz] >> (0 if version == 3 else 1 if version == 2 else 2)
-        self.kbits = KBITS[self.mpeg1, layer][rate - 1]
         self.samples = 384 if layer == 1 else 1152 if layer == 2 or self.mpeg1 else 576
         unit = 4 if layer == 1 else 1
-        self.size = (self.samples // 8 * self.kbits * 1000 // self.hertz // unit + (word >> 9 & 1)) * unit
+        self.free, self.padding = not rate, (word >> 9 & 1) * unit
+        self.kbits = KBITS[self.mpeg1, layer][rate - 1] if rate else free * 8 * self.hertz // self.samples // 1000
+        self.size = (self.samples // 8 * self.kbits * 1000 // self.hertz // unit * unit if rate else free) + self.padding
         self.side = SIDE[self.mpeg1, self.mono] if layer == 3 else 0
         self.body = 4 + 2 * self.protected + self.side
         self.kind = word & 0xFFFE0C00  # what may not change within a stream
@@ -69,14 +75,78 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def checksum(covered: bytes) -> int:
-    """CRC-16 of the last two header bytes and the side information."""
+def checksum(covered: bytes, bits: int | None = None) -> int:
+    """CRC-16 of the last two header bytes and what follows them; of that many bits, if given."""
+    whole, spare = divmod(len(covered) * 8 if bits is None else bits, 8)
     c = 0xFFFF
-    for b in covered:
+    for b in covered[:whole]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for i in range(spare):
+        top = c >> 15 ^ covered[whole] >> 7 - i & 1
+        c = (c << 1 & 0xFFFF) ^ 0x8005 * top
     return c
 
 
+def covered_bits(frame: bytes, h: Header) -> int:
+    """Bits behind the checksum that it covers: side information, or allocation and, in Layer II, scale factor selection."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 + h.joint)
+    each = h.kbits if h.mono else h.kbits // 2
+    if not h.mpeg1:
+        widths = ALLOCATION_2
+    elif each < 56:
+        widths = ALLOCATION_LOW[: 12 if h.hertz == 32000 else 8]
+    else:
+        widths = ALLOCATION_HIGH[: 30 if each >= 96 and h.hertz != 48000 else 27]
+    text, at, used = int.from_bytes(frame[6:54].ljust(48, b"\0"), "big"), 0, 0
+    for band, width in enumerate(widths):
+        both = not h.mono and band >= h.joint  # one allocation for two channels, each with its own selection
+        for _ in range(2 if band < h.joint else 1):
+            at += width
+            used += (1 + both) * bool(text >> 384 - at & (1 << width) - 1)
+    return at + 2 * used
+
+
+def is_sound(frame: bytes, h: Header) -> bool:
+    """A protected frame whose checksum agrees."""
+    if not h.protected:
+        return False
+    bits = covered_bits(frame, h)
+    return len(frame) * 8 >= 48 + bits and int.from_bytes(frame[4:6], "big") == checksum(frame[2:4] + frame[6:], 16 + bits)
+
+
+def free_size(data: bytes, at: int, end: int) -> int:
+    """Size without padding of the free-format frames that begin here, from the next sync; 0 if there are none.
+
+    The sync must be confirmed by a third one at the same distance, or by the end of the data.
+    """
+
+    def header(place: int) -> Header:
+        h = Header(data, place, 1)
+        if not h.free or place + 4 > end:
+            raise ValueError("not free format")
+        return h
+
+    try:
+        first = header(at)
+    except ValueError:
+        return 0
+    there = at + first.body - 1
+    while 0 <= (there := data.find(b"\xff", there + 1, min(end, at + FREE_BYTES))):
+        try:
+            if header(there).kind != first.kind:
+                continue
+            size = there - at - first.padding
+            after = there + size + header(there).padding
+            if size > 0 and (after == end or header(after).kind == first.kind):
+                return size
+        except ValueError:
+            continue
+    return 0
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -139,14 +209,17 @@ class Stream:
         self.id3v1, self.vbr = end < len(data), None
         self.offsets, self.skipped, self.bad, self.checked = [], 0, 0, 0
         self.samples, self.duration, bodies, kind = 0, Fraction(0), [], None
+        free, own = 0, LENGTH_FRAME.decode() in self.tags
         while at < end:
+            if kind is None:
+                free = free_size(data, at, end) if at + 4 <= end and not data[at + 2] >> 4 else 0
             try:
-                h = Header(data, at)
+                h = Header(data, at, free)
                 if at + h.size > end or kind not in (None, h.kind):
                     raise ValueError
                 frame = data[at : at + h.size]
-                sound = h.protected and h.layer == 3 and int.from_bytes(frame[4:6], "big") == checksum(frame[2:4] + frame[6 : h.body])
-                if kind is None and not sound and at + h.size + 4 <= end and Header(data, at + h.size).kind != h.kind:
+                sound = is_sound(frame, h)
+                if kind is None and not sound and at + h.size + 4 <= end and Header(data, at + h.size, free).kind != h.kind:
                     raise ValueError  # the first frame needs a good checksum or a second that agrees
             except ValueError:
                 step = data.find(b"\xff", at + 1, end)
@@ -155,7 +228,7 @@ class Stream:
                 at = step
                 continue
             kind = h.kind
-            if h.protected and h.layer == 3:
+            if h.protected:
                 self.checked += 1
                 self.bad += not sound
             table = self._table(frame, h) if not self.offsets and self.vbr is None else None
@@ -166,7 +239,7 @@ class Stream:
                 self.samples += h.samples
                 self.duration += Fraction(h.samples, h.hertz)
                 used = int.from_bytes(frame[h.body - h.side : h.body - h.side + 2], "big")
-                bodies.append(frame[h.body :] if h.layer != 3 or used > h.size - h.body else frame[h.body : h.body + used])
+                bodies.append(frame[h.body :] if not own or h.layer != 3 or used > h.size - h.body else frame[h.body : h.body + used])
             self.last, at = h, at + h.size
         self.body = b"".join(bodies)
 

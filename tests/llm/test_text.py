@@ -203,6 +203,45 @@ def test_audio_resynchronises_and_verifies():
     assert mpeg_audio.read_stream(b"no audio here").offsets == []
 
 
+@pytest.mark.parametrize(
+    ("head", "bits"),  # bits: allocation and selection that the checksum covers, behind the two header bytes
+    [
+        ("fffe90c4", "1" * 128),
+        ("fffe9004", "1" * 256),
+        ("fffe9074", "1" * 192),
+        ("fffc8004", "1" * (2 * 88 + 2 * 2 * 27)),
+        ("fffc8054", "1" * (2 * 32 + 56 + 2 * 2 * 27)),
+        ("fffc2004", "0" * 46 + "111111" + "1010"),
+        ("fff480c4", "0" * 4 + "1" * (75 - 4) + "1" * (2 * 29)),
+    ],
+)
+def test_audio_verifies_layers_one_and_two(head, bits):
+    head = bytes.fromhex(head)
+    h = mpeg_audio.Header(head, 0)
+    crc = 0xFFFF
+    for b in f"{int.from_bytes(head[2:], 'big'):016b}" + bits:
+        crc = (crc << 1 & 0xFFFF) ^ 0x8005 * (crc >> 15 ^ int(b))
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    frame = (head + crc.to_bytes(2, "big") + body).ljust(h.size, b"\0")
+    s = mpeg_audio.read_stream(frame * 3)
+    assert (s.checked, s.bad, len(s.offsets)) == (3, 0, 3)
+    broken = bytearray(frame * 3)
+    broken[h.size + 6] ^= 128
+    assert mpeg_audio.read_stream(bytes(broken)).bad == 1
+
+
+def test_audio_free_format_and_foreign_bodies():
+    def frame(pad, fill):
+        return bytes((0xFF, 0xFB, pad << 1, 0xC0)) + b"\xff\xfb\0\xc0" + bytes([fill]) * (492 + pad)
+
+    data = frame(0, 1) + frame(1, 2) + frame(0, 3) + frame(1, 4)
+    s = mpeg_audio.read_stream(b"junk" + data)
+    assert s.offsets == [4, 504, 1005, 1505] and s.skipped == 4 and s.duration == Fraction(4 * 1152, 44100)
+    assert s.body == b"".join(frame(p, f)[21:] for p, f in ((0, 1), (1, 2), (0, 3), (1, 4)))
+    foreign = (bytes.fromhex("fffb90c0") + b"\0\3").ljust(417, b"x")
+    assert mpeg_audio.read_stream(foreign * 2).body == foreign[21:] * 2
+
+
 def test_audio_query(spark, sf):
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op7_mpeg_audio(spark, sf).collect():
