@@ -29,6 +29,7 @@ from quillspark.llm import exchange as X
 from quillspark.llm.text_hash import U64, Rolling, byte_table, slabs, stir
 
 FLAGS, RUN = 9, 2
+HOT = 1000  # an anchor with more different contexts is settled one window offset after the other
 RESULT = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -217,7 +218,20 @@ def masks(blobs: list[bytes], length: int, k: int) -> list[np.ndarray]:
                 if runs[w].ranks[i] > rank:
                     found[w][i] = every
             return
-        windows: dict[bytes, int] = {}
+        if len(least) > HOT:
+            # Equal windows hold the anchor at the same offset: windows of other offsets need not be at hand.
+            for offset in range(length - k + 1):
+                windows: dict[bytes, int] = {}
+                for w, i in group:
+                    full, j, rank = runs[w].lefts[i] + runs[w].rights[i], len(runs[w].lefts[i]) - offset, runs[w].ranks[i]
+                    if 0 <= j <= len(full) - length and rank < windows.get(s := full[j : j + length], X.NO_ID + 1):
+                        windows[s] = rank
+                for w, i in group:
+                    full, j = runs[w].lefts[i] + runs[w].rights[i], len(runs[w].lefts[i]) - offset
+                    if 0 <= j <= len(full) - length and windows[full[j : j + length]] < runs[w].ranks[i]:
+                        found[w][i] |= np.uint64(1 << j)
+            return
+        windows = {}
         for full, rank in least.items():
             for j in range(len(full) - length + 1):
                 s = full[j : j + length]

@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm import brute
 
-from quillspark.llm import queries
+from quillspark.llm import queries, suffix_dedup
 from quillspark.llm.graph import components
 from quillspark.llm.line_dedup import drop_repeated_chunks
 from quillspark.llm.minhash_dedup import least_matches, near_duplicates
@@ -131,6 +132,31 @@ def test_ids_shared_or_missing(spark):
     assert got == {(1, 1, True), (2, 1, False), (None, None, True)}
 
 
+def test_hot_anchor_is_settled_by_offset(monkeypatch):
+    import tracemalloc
+
+    r = random.Random(12)
+    hot = "a common phrase of every document in this test, and quite long"
+    texts = ["".join(r.choices("abcdefgh ", k=60)) + hot + "".join(r.choices("abcdefgh ", k=60)) for _ in range(4000)]
+    bodies = [t.encode() for t in texts + [texts[5][20:] + "x", "y" + texts[9][:150]]]
+
+    def runs(part):
+        found = suffix_dedup.anchors([bodies[i] for i in part], 50, 24)
+        own = suffix_dedup.Suffixes([bodies[i] for i in part], np.array(part), *found[:4], np.zeros(len(found[0]), np.int64), 50, 24)
+        return [blob for _, blob in own.runs()]
+
+    blobs = runs(range(0, len(bodies), 2)) + runs(range(1, len(bodies), 2))
+    tracemalloc.start()
+    got = suffix_dedup.masks(blobs, 50, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    monkeypatch.setattr(suffix_dedup, "HOT", 10**9)
+    tracemalloc.reset_peak()
+    want = suffix_dedup.masks(blobs, 50, 24)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and sum(int((m != 0).sum()) for m in got) > 4000
+    assert peak < 0.8 * tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+
+
 def test_line_chunks_are_shift_resistant(spark):
     body = "\n".join(f"shared line number {i}" for i in range(30))
     rows = [(1, "top\n" + body), (2, "another\nhead\n" + body + "\nend"), (3, "\n\n\n\n"), (4, "\n\n\n\n")]
