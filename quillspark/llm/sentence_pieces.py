@@ -1,23 +1,26 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct words (no piece reaches over a word's leading spaces or a line feed) are
-concatenated; the suffixes of that text are sorted, and a vectorised binary search finds each
-vocabulary piece's range of occurrences. The ranges, sorted by position, are the edges of a
-lattice over all words at once. Relaxing it for a BPE model repeats, for all words side by
-side: of the edges that span exactly two current symbols, each word takes the one of best
-score, leftmost among equals. Words are remembered within a task. The vocabulary is read on
-the driver and broadcast; its size is fixed.
+The texts of a batch are concatenated and cut into words (no piece reaches over a word's leading
+spaces or a line feed); equal words are one entry. What is new among them is laid end to end; the
+suffixes of that text are sorted, and a vectorised binary search finds each vocabulary piece's
+range of occurrences. The ranges, sorted by position, are the edges of a lattice over all
+words at once. Relaxing it for a BPE model repeats, for all words side by side: of the edges
+that span exactly two current symbols, each word takes the one of best score, leftmost among
+equals. Ids of words are kept within a task and copied to every occurrence by array
+operations, as are the bytes of pieces in decoding. The vocabulary is read on the driver and
+broadcast; its size is fixed.
 """
 
 from __future__ import annotations
 
-import re
 import string
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,10 @@ from quillspark.llm.text_hash import slabs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 1 << 20
-REMEMBERED = 300_000  # words kept with their ids
-AT_ONCE = 30_000  # words in one suffix array
+REMEMBERED = 400_000  # units kept with their ids
+AT_ONCE = 30_000  # units in one suffix array
 GAP = "▁"  # a space, in pieces
+GAP_BYTES = GAP.encode()
 LANES = 2  # 63-bit keys by which suffixes are sorted; what a longer piece has beyond them is compared after
 
 
@@ -54,26 +58,45 @@ class Vocabulary:
         return Vocabulary([sp.id_to_piece(i) for i in range(n)], [rank[s] for s in scores], at, sp.unk_id(), [i for i in range(n) if not special[i]])
 
 
-def units_of(pieces: list[str]) -> re.Pattern:
-    """Words that are encoded by themselves: no piece reaches over a later run of spaces, a line
-    feed, or from a letter or digit to one of the marks found here (none joins the two)."""
-    joined = {b for p in pieces for a, b in zip(p, p[1:]) if a.isalnum()}
-    marks = re.escape("".join(sorted(set(string.punctuation) - joined)))
-    if not marks:
-        return re.compile(f"\n|{GAP}*[^{GAP}\n]+|{GAP}+")
-    return re.compile(f"\n|{GAP}*[^{GAP}\n{marks}]*[^\\W_{GAP}](?=[{marks}])|{GAP}*[^{GAP}\n]+|{GAP}+")
+class Cutter:
+    """Cuts UTF-8 text into units that are encoded by themselves, as no piece reaches over their ends.
+
+    A unit starts at a run of spaces, at a line feed or NUL and behind it, and at a mark behind a letter,
+    a digit or a byte beyond ASCII, if no piece has that mark in such a place.
+    """
+
+    def __init__(self, pieces: list[str]) -> None:
+        if any(GAP in p.lstrip(GAP) or {"\n", "\0"} & set(p) for p in pieces):
+            raise ValueError("a piece reaches over a word, a line feed or a NUL")
+        joined = {b for p in pieces for a, b in zip(p, p[1:]) if a != GAP and (a.isalnum() or a > "\x7f")}
+        self.mark, self.letter, self.alone = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[[ord(c) for c in string.punctuation if c not in joined]] = True
+        self.letter[[*map(ord, string.ascii_letters + string.digits), *range(128, 256)]] = True
+        self.alone[[0, 10]] = True
+
+    def cut(self, bodies: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The units, end to end, and the number of the first one of each body, and of the end."""
+        data = b"".join(bodies)
+        buf, begins = np.frombuffer(data, dtype=np.uint8), np.cumsum([0] + [len(b) for b in bodies])
+        space, alone, head = buf == 32, self.alone[buf], np.zeros(len(buf) + 1, dtype=bool)
+        head[1:-1] = space[1:] & ~space[:-1] | alone[1:] | alone[:-1] | self.mark[buf[1:]] & self.letter[buf[:-1]]
+        head[begins] = True
+        cuts = np.flatnonzero(head)
+        units = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+        return units, np.searchsorted(cuts, begins)
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         v = vocabulary
-        self.v, self.known, self.parts = v, {}, {}  # ids of what stands between single spaces, and of units
+        self.v = v
+        self.forget()
         self.single = np.full(0x110000, -1, dtype=np.int32)  # ids of one-character pieces
         for i in v.plain:
             if len(v.pieces[i]) == 1:
                 self.single[ord(v.pieces[i])] = i
         many = [i for i in v.plain if len(v.pieces[i]) > 1]
-        self.units = units_of([v.pieces[i] for i in many])
+        self.cutter = Cutter([v.pieces[i] for i in many])
         self.ids, self.length = np.array(many), np.array([len(v.pieces[i]) for i in many])
         self.rank = np.array([v.ranks[i] for i in many])
         letters = sorted({c for i in many for c in v.pieces[i]})
@@ -149,10 +172,9 @@ class Encoder:
         by = np.argsort(start, kind="stable")
         return start[by].astype(np.int32), (start + self.length[piece])[by].astype(np.int32), piece[by].astype(np.int32)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words that are not remembered yet."""
-        text = "\0".join(w.replace("\0", "") if "\0" in w else w for w in words) + "\0"
-        odd = {i for i, w in enumerate(words) if "\0" in w}
+    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, end to end, and how many each has."""
+        text = (b"\0".join(units) + b"\0").decode().replace(" ", GAP)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes, token = self.dense[points], self.single[points].astype(np.int64)
         alive = np.ones(len(codes) + 1, dtype=bool)  # a symbol starts here
@@ -176,67 +198,79 @@ class Encoder:
             keep = alive[s] & alive[e] & done[group]
             keep[take] = False
             s, e, p, word = s[keep], e[keep], p[keep], word[keep]
-        symbol = np.flatnonzero(alive[:-1])
-        ends = np.flatnonzero(codes == 0)
-        at = np.searchsorted(symbol, ends)
-        tokens, lo = token[symbol].tolist(), 0
-        symbols = symbol.tolist()
-        for i, (w, hi) in enumerate(zip(words, at.tolist(), strict=True)):
-            found = tokens[lo:hi]
-            if i in odd:
-                found = [t for part in re.split("(\0)", w) if part for t in ([self.v.bytes_at[0]] if part == "\0" else self.word(part))]
-            elif -1 in found:
-                found = [t for k, t in enumerate(found, lo) for t in ([t] if t >= 0 else self.fallback(text[symbols[k]]))]
-            self.parts[w] = tuple(found)
-            lo = hi + 1
+        ends = codes == 0
+        symbol = np.flatnonzero(alive[:-1] & ~ends)
+        found, size = token[symbol], np.ones(len(symbol), dtype=np.int64)
+        odd = np.flatnonzero(found < 0)
+        if len(odd):
+            more = [self.fallback(text[k]) for k in symbol[odd].tolist()]
+            size[odd] = [len(m) for m in more]
+            strange = np.repeat(found < 0, size)
+            found = np.repeat(found, size)
+            found[strange] = list(chain.from_iterable(more))
+        unit = (np.cumsum(ends) - ends)[symbol]
+        return found, np.bincount(unit, weights=size, minlength=len(units)).astype(np.int64)
 
     def fallback(self, char: str) -> list[int]:
         """Byte pieces of a character outside the vocabulary, or the unknown id."""
         raw = char.encode("utf-8", "replace")
         return [self.v.bytes_at.get(b, self.v.unknown) for b in raw] if self.v.bytes_at else [self.v.unknown]
 
-    def word(self, w: str) -> tuple[int, ...]:
-        if w not in self.parts:
-            self.learn([w])
-        return self.parts[w]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        for known in (self.known, self.parts):
-            if len(known) > REMEMBERED:
-                known.clear()
-        rows: list[tuple[dict, list[str]]] = []
-        words: set[str] = set()
-        units: set[str] = set()
-        for t in texts:
-            if t and t[0] != " " and t[-1] != " " and "  " not in t and GAP not in t:
-                found = t.split(" ")
-                words.update(found)
-                rows.append((self.known, found))
-            else:
-                found = self.units.findall(GAP + t.replace(" ", GAP)) if t else []
-                units.update(found)
-                rows.append((self.parts, found))
-        words.difference_update(self.known)
-        split = {w: [GAP + w] if w.isalnum() else self.units.findall(GAP + w) for w in words}
-        units.update(chain.from_iterable(split.values()))
-        new = list(units.difference(self.parts))
-        for at in range(0, len(new), AT_ONCE):
-            self.learn(new[at : at + AT_ONCE])
-        for w, us in split.items():
-            self.known[w] = self.parts[us[0]] if len(us) == 1 else tuple(chain.from_iterable([self.parts[u] for u in us]))
-        return [list(chain.from_iterable(map(known.__getitem__, found))) for known, found in rows]
-
-
-def decode(vocabulary: Vocabulary):
-    """ids -> text: pieces joined, byte pieces as bytes, without the leading space."""
-    table = [p.replace(GAP, " ").encode() for p in vocabulary.pieces]
-    for b, i in vocabulary.bytes_at.items():
-        table[i] = bytes((b,))
-
-    def run(ids: list[int]) -> str:
-        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
-
-    return run
+    def forget(self) -> None:
+        """Only the NUL is known: it parts the units in ``learn``."""
+        self.known = {b"\0": 0}  # places of units in starts and sizes
+        self.flat = array("i", self.fallback("\0"))
+        self.starts, self.sizes = array("q", [0]), array("q", [len(self.flat)])
+
+    def remember(self, units: list[bytes]) -> np.ndarray:
+        """Each unit's place in ``starts`` and ``sizes``; new units are encoded first."""
+        fresh = [u for u in units if u not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.forget()
+            fresh = [u for u in units if u not in self.known]
+        for at in range(0, len(fresh), AT_ONCE):
+            some = fresh[at : at + AT_ONCE]
+            ids, size = self.learn(some)
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.starts.frombytes((len(self.flat) + np.cumsum(size) - size).tobytes())
+            self.sizes.frombytes(size.tobytes())
+            self.flat.frombytes(ids.astype(np.int32).tobytes())
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text. A text gets a space in front, as the model has it; an empty one none."""
+        units, first = self.cutter.cut([b" " + t.encode().replace(GAP_BYTES, b" ") if t else b"" for t in texts])
+        units = units.dictionary_encode()
+        place = self.remember(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        ids, ends = gather(np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), place)
+        return pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(ids))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + size] of each entry asked for, end to end, and where each begins."""
+    size = sizes[of]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(starts[of] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+class Decoder:
+    """ids -> texts: pieces joined, byte pieces as bytes, without the leading space."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        table = [p.replace(GAP, " ").encode() for p in vocabulary.pieces]
+        for b, i in vocabulary.bytes_at.items():
+            table[i] = bytes((b,))
+        self.sizes = np.array([len(t) for t in table])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(table), dtype=np.uint8)
+
+    def decode(self, rows: pa.ListArray) -> list[str | None]:
+        offsets = rows.offsets.to_numpy()
+        ids = rows.values.to_numpy()[offsets[0] : offsets[-1]]
+        found, ends = gather(self.flat, self.starts, self.sizes, ids)
+        data, cuts = found.tobytes(), ends[offsets - offsets[0]].tolist()
+        texts = [data[a + data.startswith(b" ", a, b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return [t if valid else None for t, valid in zip(texts, rows.is_valid().to_pylist(), strict=True)] if rows.null_count else texts
 
 
 def encode_docs(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,11 +285,12 @@ def encode_docs(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id",
     def run(batches):
         encoder = Encoder(shared.value)
         for b in batches:
-            ids, texts = b["id"].to_pylist(), b["body"].to_pylist()
+            texts = b["body"].to_pylist()
             for lo, hi in slabs([len(t or "") for t in texts], BATCH_CHARS):
                 found = encoder.encode([t or "" for t in texts[lo:hi]])
-                rows = [None if t is None else f for t, f in zip(texts[lo:hi], found, strict=True)]
-                yield pa.record_batch([pa.array(ids[lo:hi], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], schema=out)
+                null = pa.array([t is None for t in texts[lo:hi]])
+                found = pa.ListArray.from_arrays(found.offsets, found.values, mask=null) if null.true_count else found
+                yield pa.record_batch([b["id"].slice(lo, hi - lo), found], schema=out)
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, "id long, ids array<int>")
 
@@ -265,10 +300,11 @@ def decode_docs(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        back = decode(shared.value)
+        decoder = Decoder(shared.value)
         for b in batches:
-            # A document at a time: a batch's ids as Python numbers would be many times its size.
-            texts = [back(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in b["ids"]]
-            yield pa.record_batch([b["id"], b["ids"], pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            sizes = pc.list_value_length(b["ids"]).fill_null(0).to_pylist()
+            for lo, hi in slabs(sizes, BATCH_CHARS):
+                part = b.slice(lo, hi - lo)
+                yield pa.record_batch([part["id"], part["ids"], pa.array(decoder.decode(part["ids"]), pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
