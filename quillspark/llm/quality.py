@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.text_hash import U64, Rolling, byte_table, mix, slabs
+from quillspark.llm.text_hash import U64, Quick, byte_table, mix, slabs
 
 BITS, SCALE, SHARDS, EPOCHS = 20, 40.0, 6, 4
 BACK = (11, 12, 13, 14)  # buckets of "repeats the last word", "does not", and the same for the second last
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 
 
-def features(texts: list[bytes], rolling: Rolling):
+def features(texts: list[bytes], rolling: Quick):
     """Hashed unigrams and bigrams of each text, with repetition."""
     for lo, hi in slabs([len(t) for t in texts]):
         part = texts[lo:hi]
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = source.join(F.broadcast(chosen), "id")
 
     def hashed(batches):
-        rolling = Rolling()
+        rolling = Quick()
         for b in batches:
             found = [x.tobytes() for x in features(b["body"].to_pylist(), rolling)]
             yield pa.record_batch([b["id"], b["y"], pa.array(found, pa.binary())], names=["id", "y", "found"])
@@ -105,7 +105,7 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
     out = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        rolling, w = Rolling(), shared.value.astype(np.float64)
+        rolling, w = Quick(), shared.value.astype(np.float64)
         for b in batches:
             dots = [w[-1] + (w[f].sum() * (SCALE / len(f)) if len(f) else 0.0) for f in features(b["body"].to_pylist(), rolling)]
             p = 1 / (1 + np.exp(-np.clip(np.array(dots, dtype=np.float64), -30, 30)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm import exchange as X
-from quillspark.llm.text_hash import U64, Rolling, byte_table, slabs, stir
+from quillspark.llm.text_hash import U64, Quick, byte_table, slabs, stir
 
 FLAGS, RUN = 9, 2
 HOT = 1000  # an anchor with more different contexts is settled one window offset after the other
@@ -36,7 +36,7 @@ OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.i
 
 def anchors(bodies: list[bytes], length: int, k: int):
     """For each stretch of windows with one anchor: document, first and last window, anchor, hash."""
-    rolling, table, parts = Rolling(), byte_table(), []
+    rolling, table, parts = Quick(), byte_table(), []
     width, low = length - k + 1, U64(0xFFFFFFFF)
     for lo, hi in slabs([len(b) for b in bodies]):
         sizes = np.array([len(b) for b in bodies[lo:hi]])

@@ -4,10 +4,12 @@ import hashlib
 import random
 import tempfile
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import html_extract as H
@@ -113,13 +115,64 @@ def test_language_is_right_on_held_out_documents(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def gram_key(word, n, at=0):
+    """The hash of a word (n = 0), or of its n-gram that starts at a place; places count the edge."""
+    slab = language_id.Slab([word], language_id.Quick())
+    return slab.hashes[0] if n == 0 else slab.grams(np.array([0]), n)[0][at]
+
+
 def test_language_backs_off_to_shorter_grams():
-    rows = [(0, "haus", [9, 0]), (0, "maison", [0, 9]), (3, "<ha", [9, 0]), (2, "ma", [0, 9]), (1, "z", [5, 1])]
+    rows = [(0, gram_key("haus", 0), [9, 0]), (0, gram_key("maison", 0), [0, 9]), (3, gram_key("ha", 3), [9, 0]), (2, gram_key("ma", 2, 1), [0, 9]), (1, gram_key("z", 1), [5, 1])]
     sizes, grams, counts = zip(*rows)
-    model = language_id.Model(["de", "fr"], list(sizes), list(grams), np.array(counts), {n: [20, 20] for n in range(6)})
-    score = model.scorer()
-    assert score("Haus")[0] == "de" and score("haben")[0] == "de" and score("xmax")[0] == "fr" and score("z")[0] == "de"
-    assert score(None) == ("und", 0.0) and score("123 !?") == ("und", 0.0)
+    model = language_id.Model(["de", "fr"], np.array(grams), np.array(sizes), np.array(counts), {n: [20, 20] for n in range(6)})
+    said = [x[0] for x in model.score(["Haus", "haben", "xmax", "z", "Maison 12", "zz ha maison"])]
+    assert said == ["de", "de", "fr", "de", "fr", "de"]
+    assert model.score([None, "123 !?", "²½", "", "日"]) == [("und", 0.0)] * 4 + [("de", 0.5)]
+
+
+def plain_language(rows, texts, langs):
+    """Word-first backoff with dictionaries: words and n-grams counted from (lang, text) rows."""
+    counts = {n: {k: Counter() for k in langs} for n in range(6)}
+    words = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+
+    def grams(w, n):
+        w = f"<{w}>" if n > 1 else w
+        return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+    for lang, text in rows:
+        for w in words(text):
+            for n in range(6):
+                counts[n][lang].update(grams(w, n) if n else [w])
+    logs = lambda n, g: np.log([(counts[n][k][g] + 0.1) / (counts[n][k].total() + 1) for k in langs])
+    for text in texts:
+        total = np.zeros(len(langs))
+        for w in words(text):
+            if any(counts[0][k][w] for k in langs):
+                total += logs(0, w)
+                continue
+            for n in (5, 4, 3, 2, 1):
+                known = [g for g in grams(w, n) if any(counts[n][k][g] for k in langs)]
+                if known:
+                    total += np.mean([logs(n, g) for g in known], axis=0)
+                    break
+        best = int(total.argmax())
+        yield (langs[best], 1 / np.exp(total - total[best]).sum()) if words(text) else ("und", 0.0)
+
+
+def test_language_matches_plain_counts(spark):
+    r = random.Random(3)
+    parts = {"a": "ka lo mi tu éa".split(), "b": "sch ung ei lo".split(), "c": "tion the ou".split()}
+    make = lambda k: " ".join("".join(r.choices(parts[k], k=r.randint(1, 3))) for _ in range(r.randint(1, 12)))
+    rows = [(i, make(k), k) for i, k in enumerate("abc" * 20)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    tests = [(i, make(k) + r.choice(["", " 12²", "\nQx!"])) for i, k in enumerate("abc" * 30)] + [(900, None), (901, "½"), (902, "x" * 5000)]
+    model = language_id.fit(docs, "text", "lang", "doc_id")
+    got = {r.id: (r.lang_pred, r.score) for r in language_id.predict(frame(spark, tests), model).collect()}
+    for (i, _), (lang, score) in zip(tests, plain_language([(k, t) for _, t, k in rows], [t or "" for _, t in tests], "abc")):
+        assert got[i] == (lang, pytest.approx(score, abs=1e-4))
+    more = language_id.annotate(docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(2)), model, score_name="sure")
+    assert more.columns == ["doc_id", "text", "lang", "score", "lang_pred", "sure"]
+    assert {x.lang_pred for x in more.collect()} <= set("abc")
 
 
 def test_language_edge_cases(spark):
@@ -160,12 +213,12 @@ def test_pieces_equal_the_library():
 
     sp = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
     v = S.Vocabulary.load()
-    encoder, back = S.Encoder(v), S.decode(v)
+    encoder, back = S.Encoder(v), S.Decoder(v)
     r = random.Random(8)
     texts = ODD + ["".join(r.choices("the aeiou\n é語🙂.,", k=r.randint(1, 300))) for _ in range(200)]
     got = encoder.encode(texts)
-    assert got == sp.encode(texts)
-    assert [back(x) for x in got] == texts
+    assert got.to_pylist() == sp.encode(texts)
+    assert back.decode(got) == texts
 
 
 def test_pieces_query_round_trips(spark, sf):
@@ -322,6 +375,31 @@ def test_shared_is_a_longest_common_subsequence():
         assert all(a[i] in it for i in got)
 
 
+def test_shared_takes_long_pages_of_equal_lines():
+    import time
+
+    began = time.perf_counter()
+    a, b = [1, 2] * 10_000, [1] * 15_000 + [2, 3] * 2_000
+    assert len(H.shared(a, b)) == 10_001
+    assert H.shared([7] * 20_000, [7] * 9_000) >= set(range(9_000)) and time.perf_counter() - began < 20
+
+
+def test_labels_are_read_as_whole_names():
+    page = '<article><div class="related-work">A</div><p id="share-prices">B</p><p class="no-comment">C</p><div class="x ad-slot-2">D</div><div id=comments>E</div><section role="complementary">F</section></article>'
+    assert H.main_text(page, None) == "A\nB\nC"
+
+
+def test_the_partner_decides_what_goes_inside_an_article():
+    """Notices, menus and comment boxes without any label, the same on neighbouring pages."""
+
+    def page(i):
+        return f"<article><div>Home News Contact</div><h1>Title {i}</h1><p>Text {i}</p><p>This site uses cookies.</p><p>More {i}</p><div>Leave a reply</div></article>"
+
+    hashes = [[H.line_hash(t) for t, _ in H.lines(page(i))] for i in range(4)]
+    assert H.main_text(page(0), hashes[1], hashes[2:]) == "Title 0\nText 0\nMore 0"
+    assert len(H.main_text(page(0), None).splitlines()) == 6
+
+
 def test_extract_pairs_neighbours_of_a_host(spark):
     def page(own):
         return f"<div>Top bar</div><p>{own}</p><p>and {own} again</p><div>Bottom bar</div>"
