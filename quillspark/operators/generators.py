@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,40 +36,61 @@ def matches_with_gaps(text: Column, pattern: str) -> Column:
     return F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))), lambda x: x["m"].isNotNull())
 
 
-def span_array(text: Column, kind: str) -> Column:
-    """array<struct<start, minus_length, end, kind, text>> of one kind, by offsets summed over the gaps."""
-    pairs = matches_with_gaps(text, P.JAVA_SPANS[kind])
-    empty = F.array().cast("array<struct<start:int,minus_length:int,end:int,kind:string,text:string>>")
+SPANS_TYPE = "array<struct<start:int,end:int,kind:string,text:string>>"
 
-    def add(state: Column, p: Column) -> Column:
-        start, n = state["at"] + p["gap"], F.length(p["m"])
-        row = F.struct(start.alias("start"), (-n).alias("minus_length"), (start + n).alias("end"), F.lit(kind).alias("kind"), p["m"].alias("text"))
-        return F.struct((start + n).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("rows")), add, lambda s: s["rows"])
+def _found(text: Column, kinds: list[str]) -> Column:
+    return F.array(*[matches_with_gaps(text, P.JAVA_SPANS[k]) for k in kinds])
 
 
-def spans(text: Column, kinds: tuple[str, ...] = tuple(P.SPANS)) -> Column:
-    """Protected literals of a text: earliest first, longest at equal starts, without overlaps."""
-    order = {k: i for i, k in enumerate(P.SPANS)}
-    every = F.concat(*[span_array(text, k) for k in sorted(kinds, key=order.get)])
-    ranked = F.array_sort(F.transform(every, lambda x, i: F.struct(x["start"].alias("start"), x["minus_length"].alias("minus_length"), i.alias("i"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,text:string>>")
+def _placer(kinds: list[str], settle: bool):
+    """Arrow function from ``_found`` to spans in order of start, longest and then first kind first.
+
+    Matching stays in the JVM; the running sums of offsets and the choice among overlaps, where each
+    step depends on the last one kept, are linear here and quadratic in a fold over arrays.
+    """
 
-    def keep(state: Column, x: Column) -> Column:
-        row = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"))
-        fits = x["start"] >= state["end"]
-        return F.struct(F.when(fits, x["end"]).otherwise(state["end"]).alias("end"), F.when(fits, F.concat(state["rows"], F.array(row))).otherwise(state["rows"]).alias("rows"))
+    @F.arrow_udf(SPANS_TYPE)
+    def place(found: pa.Array) -> pa.Array:
+        lists = found.flatten()
+        pairs, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        texts = pairs.field("m")
+        gap, size = pairs.field("gap").to_numpy(zero_copy_only=False).astype(np.int64), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(lists)), sizes)
+        ends = np.cumsum(gap + size)
+        before = np.concatenate([[0], ends])[np.cumsum(sizes) - sizes]  # what lists in front add up to
+        ends = ends - before[of]
+        row, kind = of // len(kinds), of % len(kinds)
+        order = np.lexsort((kind, -size, ends - size, row))
+        if settle:
+            kept, last, free = [], -1, 0
+            for at, r, start, end in zip(order.tolist(), row[order].tolist(), (ends - size)[order].tolist(), ends[order].tolist(), strict=True):
+                if r != last or start >= free:
+                    kept.append(at)
+                    last, free = r, end
+            order = np.array(kept, dtype=np.int64)
+        cuts = np.searchsorted(row[order], np.arange(len(found) + 1)).astype(np.int32)
+        names = pa.array(kinds).take(pa.array(kind[order]))
+        columns = [pa.array((ends - size)[order].astype(np.int32)), pa.array(ends[order].astype(np.int32)), names, texts.take(pa.array(order))]
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(columns, ["start", "end", "kind", "text"]))
+
+    return place
+
+
+def span_array(text: Column, kinds: tuple[str, ...]) -> Column:
+    """Every match of the kinds, overlapping or not; a null text has none."""
+    return _placer(list(kinds), False)(_found(text, list(kinds)))
 
-    return F.aggregate(ranked, F.struct(F.lit(0).alias("end"), empty.alias("rows")), keep, lambda s: s["rows"])
+
+def spans(text: Column, kinds: tuple[str, ...] = tuple(P.SPANS)) -> Column:
+    """Protected literals of a text: earliest first, longest at equal starts, without overlaps."""
+    order = sorted(kinds, key=list(P.SPANS).index)
+    return _placer(order, True)(_found(text, order))
 
 
 def explode_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = tuple(P.SPANS)) -> DataFrame:
     """start, end, kind, span for each protected literal."""
-    # An inner explode would make Spark infer a filter that works the spans out once more, with the
-    # text's own expression written into every use; an outer one and a test behind it do not.
-    some = df.withColumn("__spans", spans(F.col(text), kinds))
-    rows = some.select("*", F.explode_outer("__spans").alias("__s")).where("__s is not null")
+    rows = df.withColumn("__spans", spans(F.col(text), kinds)).select("*", F.explode("__spans").alias("__s"))
     return rows.select("*", "__s.start", "__s.end", "__s.kind", F.col("__s.text").alias("span")).drop("__spans", "__s")
 
 

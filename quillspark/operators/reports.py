@@ -68,16 +68,24 @@ def condition_summary(records: DataFrame, condition: str) -> DataFrame:
     return records.groupBy(condition).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"), F.round(F.median("latency_ms"), 6).alias("median_latency"))
 
 
-def cohort_fingerprint(df: DataFrame, key: str, digest: str, buckets: int = 65_536) -> DataFrame:
-    """16 hex digits over ordered ``id:hash`` lines.
+def cohort_fingerprint(df: DataFrame, key: str, digest: str, levels: tuple[int, ...] = (6, 3)) -> DataFrame:
+    """16 hex digits over the ``id:hash`` lines of a cohort, as a tree of hashes.
 
-    Lines are hashed by range of the key first (``buckets`` equal parts of its hash), then the
-    bucket hashes in order, so no task holds a whole cohort's lines.
+    Lines are dealt by the first ``levels[0]`` hex digits of their key's md5 and hashed in the order of the
+    key; these hashes are joined in the order of their digits and hashed at each further level,
+    and at last over all. No task holds more than a small part of a large cohort; the value is not that
+    of one hash over all lines in a row, which one task would have to see.
     """
     line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest))
-    rows = df.select(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)).alias("b"), F.col(key).alias("k"), line.alias("line"))
-    each = rows.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"))
-    return each.agg(F.sum("n").alias("rows"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256), 1, 16).alias("fingerprint"))
+    rows = df.select(F.md5(F.col(key).cast("string").cast("binary")).alias("b"), F.col(key).alias("k"), line.alias("h"), F.lit(1).alias("n"))
+
+    def hashed(order: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "h"))), lambda x: x["h"]), "\n"), 256).alias("h")
+
+    for i, digits in enumerate(levels):
+        part = F.substring("b", 1, digits).alias("part")
+        rows = rows.groupBy(part).agg(hashed("b" if i else "k"), F.sum("n").alias("n")).withColumnRenamed("part", "b")
+    return rows.agg(F.sum("n").alias("rows"), hashed("b")).select("rows", F.substring("h", 1, 16).alias("fingerprint"))
 
 
 def repeatability(records: DataFrame, keys: list[str], output: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
 from quillspark.functions.measures import collapsible_line, is_critical_clause, safe_boilerplate, token_count, whole_json
@@ -26,14 +28,9 @@ def _plain_lines(text: Column, line=lambda x: x) -> Column:
         short = F.regexp_replace(x, r"[ \t]+$", "")
         return F.when(F.length(x) - F.length(short) >= 2, F.concat(short, F.lit("  "))).otherwise(short)
 
-    lines = F.transform(F.split(text, "\n", -1), lambda x: line(trim(x)))
-    empty = F.array().cast("array<string>")
-
-    def fold(state: Column, x: Column) -> Column:
-        run = F.when(x == "", state["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), F.when(run <= 2, F.concat(state["rows"], F.array(x))).otherwise(state["rows"]).alias("rows"))
-
-    joined = F.array_join(F.aggregate(lines, F.struct(F.lit(0).alias("run"), empty.alias("rows")), fold, lambda s: s["rows"]), "\n")
+    joined = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: line(trim(x))), "\n")
+    for run, kept in ((r"\A\n{2,}\z", "\n"), (r"\A\n{3,}(?=[^\n])", "\n\n"), (r"(?<=[^\n])\n{4,}(?=[^\n])", "\n\n\n"), (r"(?<=[^\n])\n{3,}\z", "\n\n")):
+        joined = F.regexp_replace(joined, run, kept)
     hanging = text.rlike(r"[ \t]$") & (joined != "") & ~joined.endswith(" ")
     return F.when(text == "", text).when(hanging, F.concat(joined, F.lit(" "))).otherwise(joined)
 
@@ -180,34 +177,37 @@ def alias_duplicate_blocks(df: DataFrame, doc_id: str, text: str, prefixes: list
     return _with_aliases(df, doc_id, text, each, min_tokens, min_reduction)
 
 
-def mask_token(i: Column) -> Column:
-    return F.concat(F.lit("__CK_KEEP_"), F.lpad(i.cast("string"), 4, "0"), F.lit("__"))
-
-
-def mask_spans(text: Column, gap: int = 24, longest: int = 240) -> Column:
-    """struct<masked, kept>: spans of a line at most ``gap`` apart are joined up to ``longest`` characters."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+MASKED = T.StructType([T.StructField("masked", T.StringType()), T.StructField("kept", T.ArrayType(T.StringType()))])
 
-    def join(rows: Column, x: Column) -> Column:
-        last = F.element_at(rows, -1)
-        near = (F.size(rows) > 0) & (x["start"] - last["end"] <= gap) & (x["end"] - last["start"] <= longest) & ~F.substring(text, last["end"] + 1, x["start"] - last["end"]).contains("\n")
-        both = F.struct(last["start"].alias("start"), x["end"].alias("end"))
-        return F.when(near, F.concat(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(rows, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
 
-    joined = F.aggregate(spans(text), empty, join)
-    kept = F.transform(joined, lambda r: F.substring(text, r["start"] + 1, r["end"] - r["start"]))
+@F.arrow_udf(MASKED)
+def _mask(text: pa.Array, found: pa.Array, gap: pa.Array, longest: pa.Array) -> pa.Array:
+    masked, kept = [], []
+    for t, rows, near, most in zip(text.to_pylist(), found.to_pylist(), gap.to_pylist(), longest.to_pylist(), strict=True):
+        joined: list[list[int]] = []
+        for x in rows or []:
+            if joined and x["start"] - joined[-1][1] <= near and x["end"] - joined[-1][0] <= most and "\n" not in t[joined[-1][1] : x["start"]]:
+                joined[-1][1] = x["end"]
+            else:
+                joined.append([x["start"], x["end"]])
+        out, at = [], 0
+        for i, (a, b) in enumerate(joined):
+            out += [t[at:a], f"__CK_KEEP_{i:04}__"]
+            at = b
+        masked.append(None if t is None else "".join([*out, t[at:]]))
+        kept.append([t[a:b] for a, b in joined])
+    return pa.StructArray.from_arrays([pa.array(masked, pa.string()), pa.array(kept, pa.list_(pa.string()))], ["masked", "kept"])
 
-    def write(s: Column, r: Column) -> Column:
-        return F.struct(F.concat(s["out"], F.substring(text, s["at"] + 1, r["start"] - s["at"]), mask_token(s["n"])).alias("out"), r["end"].alias("at"), (s["n"] + 1).alias("n"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
-    masked = F.aggregate(joined, start, write, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.struct(masked.alias("masked"), kept.alias("kept"))
+def mask_spans(text: Column, gap: int = 24, longest: int = 240) -> Column:
+    """struct<masked, kept>: spans of a line at most ``gap`` apart are joined up to ``longest`` characters."""
+    return _mask(text, spans(text), F.lit(gap), F.lit(longest))
 
 
 def restore_spans(masked: Column, kept: Column) -> Column:
-    rows = F.transform(kept, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    return F.aggregate(rows, masked, lambda t, r: F.replace(t, mask_token(r["i"]), r["k"]))
+    """Tokens give way to what they stand for, in one walk; a token without one stays."""
+    numbers, gaps = F.regexp_extract_all(masked, F.lit(r"__CK_KEEP_(\d{4,})__"), F.lit(1)), F.split(masked, r"__CK_KEEP_\d{4,}__", -1)
+    return F.array_join(F.zip_with(gaps, numbers, lambda g, n: F.concat(g, F.coalesce(F.get(kept, n.try_cast("int")), F.concat(F.lit("__CK_KEEP_"), n, F.lit("__")), F.lit("")))), "")
 
 
 def mask_is_whole(masked: Column, kept: Column) -> Column:

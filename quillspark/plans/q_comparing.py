@@ -159,7 +159,7 @@ def g7(spark, sf):
     none = spark.createDataFrame([], "term string")
     tokens = G.explode_label_tokens(rows, "text", none).select("doc_id", "pos", "start", "end")
     kinds = ("money", "identifier", "constraint")
-    spans = rows.select("doc_id", F.inline(F.concat(*[G.span_array(F.col("text"), k) for k in kinds]))).select("doc_id", "start", "end", "kind")
+    spans = rows.select("doc_id", F.inline(G.span_array(F.col("text"), kinds))).select("doc_id", "start", "end", "kind")
     return C.overlap_join(tokens, spans, "doc_id").groupBy("t.doc_id", "kind").agg(F.count_distinct(F.struct("t.pos", "s.start")).alias("tokens"))
 
 
@@ -177,10 +177,9 @@ def h1(spark, sf):
     return V.compact_duplicates(lines, "doc_id", ["pos"], "line").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("duplicate").alias("duplicates"))
 
 
-@query("h1_conversations", "select conv_id, turn, role = 'user' and r > 1 as duplicate from (select *, row_number() over (partition by conv_id, role = 'user', substr(text, 1, 3) order by turn) as r from conversations)")
+@query("h1_conversations", "select conv_id, turn, role = 'user' and r > 1 as duplicate from (select *, row_number() over (partition by conv_id, role = 'user', text order by turn) as r from conversations)")
 def h1c(spark, sf):
-    parts = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 3))
-    return V.compact_duplicates(parts, "conv_id", ["turn"], "text", "role").select("conv_id", "turn", "duplicate")
+    return V.compact_duplicates(table(spark, sf, "conversations"), "conv_id", ["turn"], "text", "role").select("conv_id", "turn", "duplicate")
 
 
 @query("h2_compact_empty", "select conv_id, turn, role from conversations where not (role = 'user' and turn % 4 = 0)")

@@ -8,7 +8,7 @@ from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import conversations, profiles
 from quillspark.operators import generators as G
-from quillspark.plans.common import INCIDENTS, LINES, count, critical, fold, has, lit, query, reasons, squashed, table, tok
+from quillspark.plans.common import INCIDENTS, LAYOUT, LINES, RE2_SPANS, count, critical, fold, has, lit, query, reasons, squashed, table, tok
 from quillspark.sources import corpus
 
 
@@ -208,9 +208,6 @@ def c6(spark, sf):
     return table(spark, sf, "events", spread=True).select("event_id", M.has_tool_exchange(value).alias("tool"))
 
 
-LAYOUT = " or ".join(has("line", p) for p in (P.ORDERED_LIST, P.UNORDERED_LIST, P.TABLE_RULE, P.YAML_LIKE, "^[ \\t>]"))
-
-
 @query("c7_collapsible_line", f"select doc_id, count(*) as lines, count(*) filter (where trim(line) <> '' and not contains(line, '|') and not ({LAYOUT})) as collapsible from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by doc_id")
 def c7(spark, sf):
     lines = docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -238,9 +235,23 @@ def d1(spark, sf):
     return G.explode_blocks(docs(spark, sf), "text", "line").select("doc_id", F.col("pos").cast("long").alias("pos"), "block")
 
 
-@query("d2_explode_spans")
+#: Matches of every kind with offsets summed over the gaps, in order; then one after the other, kept if it starts behind the last one kept.
+SPAN_ROWS = " union all ".join(
+    f"""select doc_id, text, {i} as k, '{kind}' as kind, m, (sum(g + len(m)) over (partition by doc_id order by i))::bigint as "end" from
+    (select doc_id, text, unnest(l) as m, generate_subscripts(l, 1) as i, unnest(list_transform(string_split_regex({fold('text')}, {lit(p)})[:len(l)], lambda x: len(x))) as g
+     from (select doc_id, text, regexp_extract_all({fold('text')}, {lit(p)}) as l from src) where len(l) > 0)"""
+    for i, (kind, p) in enumerate((k, RE2_SPANS[k]) for k in P.SPANS)
+)
+SETTLED = f"""with recursive src as (select doc_id, text from ({INCIDENTS}) union all select -doc_id - 1, text from documents),
+ r as (select doc_id, kind, "end" - len(m) as start, "end", substr(text, ("end" - len(m) + 1)::bigint, len(m)::bigint) as span, row_number() over (partition by doc_id order by "end" - len(m), -len(m), k) as i from ({SPAN_ROWS})),
+ s as (select distinct doc_id, 0::bigint as i, 0::bigint as free, false as kept from r union all
+  select r.doc_id, r.i, case when r.start >= s.free then r."end" else s.free end, r.start >= s.free from s join r on r.doc_id = s.doc_id and r.i = s.i + 1)
+ select r.doc_id, r.start::int as start, r."end"::int as "end", r.kind, r.span from s join r on r.doc_id = s.doc_id and r.i = s.i where s.kept"""
+
+
+@query("d2_explode_spans", SETTLED)
 def d2(spark, sf):
-    """Every protected literal of incidents and documents, with offsets; brute force in the tests."""
+    """Every protected literal of incidents and documents, with offsets."""
     both = corpus.incident_corpus(table(spark, sf, "orders", spread=True)).unionByName(docs(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
     return G.explode_spans(both, "text").select("doc_id", "start", "end", "kind", "span")
 
@@ -263,11 +274,18 @@ def d4(spark, sf):
     return G.explode_words(docs(spark, sf), "text").groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
 
 
-@query("d5_chunk_text", "select doc_id, length(text)::bigint as chars, sha256(text) as joined_sha256, true as within from documents")
+#: The last line feed or space within the first 4,000 characters, if it is not the first of them.
+LAST_GAP = "list_min(list_filter([instr(reverse(left(rest, 4000)), ' '), instr(reverse(left(rest, 4000)), chr(10))], lambda x: x > 0))"
+CUT = f"case when whole or coalesce({LAST_GAP} >= least(length(rest), 4000), true) then least(length(rest), 4000) else least(length(rest), 4000) + 1 - {LAST_GAP} end"
+
+
+@query("d5_chunk_text", f"""with recursive c as (select doc_id, 0 as pos, text as rest, length(text) <= 4000 as whole, 0::bigint as n from documents union all
+  select doc_id, pos + 1, substr(rest, n2 + 1), whole, n2 from (select *, ({CUT})::bigint as n2 from c where rest <> '') )
+ select doc_id, sum(n)::bigint as chars, string_agg(n::varchar, ',' order by pos) as sizes, max(n) <= 4000 as within from c where pos > 0 group by doc_id""")
 def d5(spark, sf):
-    chunks = G.chunk_text(docs(spark, sf).select("doc_id", "text"), "text", 4000).drop("text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: x["chunk"]), "")
-    return chunks.groupBy("doc_id").agg(F.sum(F.length("chunk")).alias("chars"), F.sha2(joined, 256).alias("joined_sha256"), (F.max(F.length("chunk")) <= 4000).alias("within"))
+    chunks = G.chunk_text(docs(spark, sf).select("doc_id", "text"), "text", 4000)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.length("chunk").alias("n")))), lambda x: x["n"].cast("string"))
+    return chunks.groupBy("doc_id").agg(F.sum(F.length("chunk")).alias("chars"), F.array_join(rows, ",").alias("sizes"), (F.max(F.length("chunk")) <= 4000).alias("within"))
 
 
 @query("d6_explode_parts", "select conv_id, turn, i as part, case i when 0 then length(text) when 1 then 0 else length(text) + 2 end::bigint as chars from conversations, range(3) r(i)")
@@ -276,10 +294,10 @@ def d6(spark, sf):
     return rows.select("conv_id", "turn", F.col("part").cast("long").alias("part"), F.length("value.text").cast("long").alias("chars"))
 
 
-WRAPPED = "'Intro ' || left(text, 200) || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '<nocompress>' || lang || '</nocompress><table><tr></tr></table>' || source"
+WRAPPED = "'Intro ' || text || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '<nocompress>' || lang || '</nocompress><table><tr></tr></table>' || source"
 
 
-@query("d7_explode_segments", "select doc_id, 'prose' as kind, 3::bigint as n, (6 + length(left(text, 200)) + 1 + 1 + length(source))::bigint as chars from documents union all select doc_id, 'code', 1, 12 from documents union all select doc_id, 'nocompress', 1, 25 + length(lang) from documents union all select doc_id, 'html', 1, 24 from documents")
+@query("d7_explode_segments", "select doc_id, 'prose' as kind, 3::bigint as n, (6 + length(text) + 1 + 1 + length(source))::bigint as chars from documents union all select doc_id, 'code', 1, 12 from documents union all select doc_id, 'nocompress', 1, 25 + length(lang) from documents union all select doc_id, 'html', 1, 24 from documents")
 def d7(spark, sf):
     text = F.expr(WRAPPED.replace("chr(10)", "char(10)"))
     found = G.explode_segments(docs(spark, sf).select("doc_id", text.alias("t")), "t")
@@ -294,7 +312,7 @@ def d8(spark, sf):
     return G.explode_html(table(spark, sf, "pages", spread=True), "html").select("page_id", "kind", F.col("pos").cast("long").alias("pos"), "piece")
 
 
-LABELLED = "select doc_id, repeat('LORATENANT ', (doc_id % 5 + 1)::int) || substr(text, 1, 2000) || repeat(' tenantnoise', (5 - doc_id % 5)::int) as text from documents"
+LABELLED = "select doc_id, repeat('LORATENANT ', (doc_id % 5 + 1)::int) || text || repeat(' tenantnoise', (5 - doc_id % 5)::int) as text from documents"
 
 
 @query("d9_label_tokens", f"select doc_id, count(*) as tokens, count(*) filter (where lower(w) = 'loratenant') as kept from (select doc_id, unnest(regexp_extract_all(text, {lit(P.WORD)})) as w from ({LABELLED})) group by doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import rewrite as R
-from quillspark.plans.common import FIRST, INCIDENTS, WORDS, lit, query, table, tok
+from quillspark.plans.common import FIRST, INCIDENTS, LAYOUT, WORDS, critical, fold, lit, query, table, tok
 from quillspark.sources import corpus
 
 
@@ -45,9 +45,13 @@ def e2(spark, sf):
     return loose(spark, sf).select("doc_id", M.token_count(F.col("text")).alias("before"), M.token_count(out).alias("after"), F.sha2(out, 256).alias("out_sha256"))
 
 
-@query("e3_collapse_prose")
+#: A line with its inner runs of blanks closed, unless they are layout or the line is a critical clause.
+STRICT = f"case when trim(x) <> '' and not contains(x, '|') and not ({LAYOUT.replace('line', 'x')}) and not {critical(fold('x'))} then regexp_replace(regexp_replace(x, '  $', ''), '[ \t]{{2,}}', ' ', 'g') || case when x like '%  ' then '  ' else '' end else x end"
+
+
+@query("e3_collapse_prose", f"""select doc_id, {tok('text')} as before, {tok('t')} as after, length(t)::bigint as chars, sha256(t) as out_sha256
+  from (select doc_id, text, array_to_string(list_transform(string_split({BLANKS}, chr(10)), lambda x: {STRICT}), chr(10)) as t from (select doc_id, {LOOSE} as text from documents))""")
 def e3(spark, sf):
-    """Strict whitespace; examples and invariants are in the tests."""
     out = R.collapse_prose(F.col("text"))
     return loose(spark, sf).select("doc_id", M.token_count(F.col("text")).alias("before"), M.token_count(out).alias("after"), F.length(out).cast("long").alias("chars"), F.sha2(out, 256).alias("out_sha256"))
 
@@ -127,26 +131,41 @@ def e10(spark, sf):
     return found.select("doc_id", "literal", "n", F.col("nth").cast("long").alias("nth"))
 
 
-@query("e10_alias_literals")
+LONG = f"list_filter(list_distinct(u), lambda x: length(x) >= 32 and len(list_filter(u, lambda y: y = x)) >= 2)"
+
+
+@query("e10_alias_literals", f"""select doc_id, ok as applied, {tok('text')} as before, case when ok then {tok('new')} else {tok('text')} end as after, sha256(case when ok then new else text end) as out_sha256
+  from (select *, {tok('text')} - {tok('new')} >= 1 and {tok('text')} - {tok('new')} >= 0.01 * {tok('text')} and not contains(text, '[A]') as ok
+  from (select doc_id, text, coalesce('[A]=' || l[1] || chr(10) || replace(text, l[1], '[A]'), text) as new from (select doc_id, text, {LONG} as l from (select doc_id, text, regexp_extract_all(text, {lit(P.SPANS['url'])}) as u from ({INCIDENTS})))))""")
 def e10b(spark, sf):
-    """The rewrite with its gate; that aliases expand to the input is tested."""
+    """An incident holds one literal that is long and repeated, its run's URL."""
     out = R.alias_literals(incidents(spark, sf), "doc_id", "text", min_tokens=1, min_reduction=0.01)
     return out.select("doc_id", "applied", M.token_count(F.col("text")).alias("before"), M.token_count(F.col("aliased")).alias("after"), F.sha2("aliased", 256).alias("out_sha256"))
 
 
-@query("e11_alias_duplicate_blocks", "select doc_id, doc_id % 2 = 0 as applied from documents")
+WRAPPER = BANNER + " " + ("routing code alpha beta gamma " * 8).strip()
+BETWEEN = f"{lit(WRAPPER)} || chr(10) || chr(10) || text || chr(10) || chr(10) || case when doc_id % 2 = 0 then {lit(WRAPPER)} else 'Other closing paragraph.' end"
+
+
+@query("e11_alias_duplicate_blocks", f"""select doc_id, ok as applied, sha256(case when ok then new else t end) as out_sha256
+  from (select *, doc_id % 2 = 0 and {tok('t')} - {tok('new')} >= 32 and {tok('t')} - {tok('new')} >= 0.10 * {tok('t')} and not contains(t, '[D1]') as ok
+  from (select doc_id, t, '[D1]=' || {lit(WRAPPER)} || chr(10) || replace(t, {lit(WRAPPER)}, '[D1]') as new from (select doc_id, {BETWEEN} as t from documents)))""")
 def e11(spark, sf):
-    """Documents between wrappers: every other one repeats an approved paragraph."""
-    wrapper = BANNER + " " + "routing code alpha beta gamma " * 8
-    both = F.concat(F.lit(wrapper + "\n\n"), F.substring("text", 1, 200), F.lit("\n\n"), F.when(F.col("doc_id") % 2 == 0, wrapper).otherwise("Other closing paragraph."))
-    out = R.alias_duplicate_blocks(docs(spark, sf).select("doc_id", both.alias("t")), "doc_id", "t", [BANNER])
-    return out.select("doc_id", "applied")
+    """Whole documents between wrappers: every other one repeats an approved paragraph; long ones don't save enough."""
+    rows = docs(spark, sf).select("doc_id", F.expr(BETWEEN.replace("chr(10)", "char(10)")).alias("t"))
+    return R.alias_duplicate_blocks(rows, "doc_id", "t", [BANNER]).select("doc_id", "applied", F.sha2("aliased", 256).alias("out_sha256"))
+
+
+#: All incidents have one form, so their masks are one text and what is kept follows from the order.
+MASKED = "'Incident __CK_KEEP_0000__ shows queue latency above __CK_KEEP_0001__. The customer may receive a credit only if the outage exceeds __CK_KEEP_0002__ minutes.' || chr(10) || 'Dashboard __CK_KEEP_0003__.' || chr(10) || 'Keep retry_limit at __CK_KEEP_0004__ unless legal approves a written amendment.'"
+KEPT = r"concat_ws('|', regexp_extract(text, 'INC-[0-9]+'), regexp_extract(text, '250 ms .*[0-9]{4}-[0-9]{2}-[0-9]{2}'), '240', regexp_extract(text, 'https.*example[.]com'), '3')"
 
 
-@query("e12_mask_restore", f"select doc_id, sha256(text) as restored_sha256, true as whole from ({INCIDENTS})")
+@query("e12_mask_restore", f"select doc_id, sha256(text) as restored_sha256, true as whole, sha256({MASKED}) as masked_sha256, {KEPT} as kept from ({INCIDENTS})")
 def e12(spark, sf):
     rows = incidents(spark, sf).withColumn("m", R.mask_spans(F.col("text"))).select("doc_id", "m.masked", "m.kept")
-    return rows.select("doc_id", F.sha2(R.restore_spans(F.col("masked"), F.col("kept")), 256).alias("restored_sha256"), R.mask_is_whole(F.col("masked"), F.col("kept")).alias("whole"))
+    restored, whole = R.restore_spans(F.col("masked"), F.col("kept")), R.mask_is_whole(F.col("masked"), F.col("kept"))
+    return rows.select("doc_id", F.sha2(restored, 256).alias("restored_sha256"), whole.alias("whole"), F.sha2("masked", 256).alias("masked_sha256"), F.array_join("kept", "|").alias("kept"))
 
 
 @query("e13_prune_to_rate", f"""with w as ({WORDS}), s as (select word, round(ln((select count(distinct doc_id) from documents) / count(distinct doc_id)), 6) as score from w group by word),

@@ -16,17 +16,34 @@ def _stream(spark, sf):
     return S.read_requests(spark, f"{sf}/events.parquet", late="60 days")
 
 
-@query("k1_rate_limit")
+#: One request of each key after the other: the state is the window's end and its count.
+LIMITED = """with recursive r as (select user_id, event_type, event_id, (epoch_ms(ts)) as t, row_number() over (partition by user_id, event_type order by ts, event_id) as i,
+   case when user_id % 10 = 0 then 0 when user_id % 3 = 0 then 1 else 3 end as lim from events),
+ s as (select user_id, event_type, null::bigint as event_id, 0::bigint as i, 0::bigint as reset, 0 as n, false as allowed, 0::bigint as retry_after_s from (select distinct user_id, event_type from events) union all
+  select r.user_id, r.event_type, r.event_id, r.i, case when lim > 0 and s.reset <= t then t + 86400000 else s.reset end, case when lim = 0 then s.n when s.reset <= t then 1 when s.n >= lim then s.n else s.n + 1 end,
+   lim > 0 and (s.reset <= t or s.n < lim), case when lim = 0 then 86400 when s.reset <= t or s.n < lim then 0 else greatest(1, ceil((s.reset - t) / 1000.0)::bigint) end
+  from s join r on r.user_id = s.user_id and r.event_type = s.event_type and r.i = s.i + 1)
+ select user_id, event_type, event_id, allowed, retry_after_s from s where i > 0"""
+
+
+@query("k1_rate_limit", LIMITED)
 def k1(spark, sf):
-    """A window of a day for each user and type, limits by tier; the tests hold it against a plain loop."""
+    """A window of a day for each user and type, limits by tier."""
     tier = F.when(F.col("user_id") % 10 == 0, "blocked").when(F.col("user_id") % 3 == 0, "strict").otherwise("default")
     stream = _stream(spark, sf).withColumn("limit", S.limit_of(3, tier)).select("user_id", "event_type", "event_id", "ts", "limit")
     return S.run_once(S.rate_limit(stream, ["user_id", "event_type"], period_s=86_400))
 
 
-@query("k2_reuse_within_ttl")
+REUSED = """with recursive r as (select sha256('v1|' || event_type || '|' || (user_id % 20) || '|{}') as key, event_id, epoch_ms(ts) as t, event_id % 50 = 0 as skip, row_number() over (partition by event_type, user_id % 20 order by ts, event_id) as i from events),
+ s as (select key, null::bigint as event_id, 0::bigint as i, -1::bigint as stored, '' as outcome from (select distinct key from r) union all
+  select r.key, r.event_id, r.i, case when skip or (s.stored >= 0 and t < s.stored + 21600000) then s.stored else t end, case when skip then 'bypass' when s.stored >= 0 and t < s.stored + 21600000 then 'hit' else 'miss' end
+  from s join r on r.key = s.key and r.i = s.i + 1)
+ select key, event_id, outcome from s where i > 0"""
+
+
+@query("k2_reuse_within_ttl", REUSED)
 def k2(spark, sf):
-    """Answers reused for six hours from when they were stored; the tests hold it against a plain loop."""
+    """Answers reused for six hours from when they were stored."""
     key = S.request_key(F.col("event_type"), F.col("user_id") % 20, F.lit("{}"))
     stream = _stream(spark, sf).withColumn("key", key).withColumn("no_store", F.col("event_id") % 50 == 0).select("key", "event_id", "ts", "no_store")
     return S.run_once(S.reuse_within_ttl(stream, "key", 6 * 3600))

@@ -70,7 +70,7 @@ def incident_corpus(orders: DataFrame) -> DataFrame:
 def label_corpus(docs: DataFrame, keep: str = "LORATENANT", drop: str = "tenantnoise") -> DataFrame:
     """Texts with keep and drop marker terms placed by the document's id."""
     n = F.pmod(F.col("doc_id"), F.lit(5))
-    return docs.select("doc_id", F.concat(F.repeat(F.lit(f"{keep} "), (n + 1).cast("int")), F.substring("text", 1, 2000), F.repeat(F.lit(f" {drop}"), (F.lit(5) - n).cast("int"))).alias("text"))
+    return docs.select("doc_id", F.concat(F.repeat(F.lit(f"{keep} "), (n + 1).cast("int")), F.col("text"), F.repeat(F.lit(f" {drop}"), (F.lit(5) - n).cast("int"))).alias("text"))
 
 
 def version_records(docs: DataFrame) -> DataFrame:

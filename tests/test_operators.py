@@ -219,15 +219,44 @@ def test_eval_run(spark):
 
 
 def test_fingerprint(spark):
-    import zlib
-
     rows = [(i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(500)]
-    got = reports.cohort_fingerprint(spark.createDataFrame(rows, "id long, h string"), "id", "h").first()
-    by = {}
-    for i, h in rows:
-        by.setdefault(zlib.crc32(str(i).encode()) % 65_536, []).append(f"{i}:{h}")
-    each = [hashlib.sha256("\n".join(by[b]).encode()).hexdigest() for b in sorted(by)]
-    assert (got.rows, got.fingerprint) == (500, hashlib.sha256("\n".join(each).encode()).hexdigest()[:16])
+    sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    for levels in ((6, 3), (2, 1), (1,)):
+        got = reports.cohort_fingerprint(spark.createDataFrame(rows[::-1], "id long, h string"), "id", "h", levels).first()
+        by = {}
+        for i, h in rows:
+            by.setdefault(hashlib.md5(str(i).encode()).hexdigest()[: levels[0]], []).append(f"{i}:{h}")
+        tree = {b: sha(lines) for b, lines in by.items()}
+        for digits in levels[1:]:
+            up = {}
+            for b in sorted(tree):
+                up.setdefault(b[:digits], []).append(tree[b])
+            tree = {b: sha(h) for b, h in up.items()}
+        assert (got.rows, got.fingerprint) == (500, sha(tree[b] for b in sorted(tree))[:16])
+
+
+def test_many_spans_of_one_text(spark):
+    import time
+
+    text = " ".join(f"{i}," for i in range(40_000))
+    began = time.perf_counter()
+    assert G.explode_spans(texts(spark, text, None), "text").count() == 40_000
+    assert time.perf_counter() - began < 30
+    masked = texts(spark, text[:60_000], None).withColumn("m", R.mask_spans(F.col("text"))).select("text", R.restore_spans(F.col("m.masked"), F.col("m.kept")).alias("back"))
+    assert all(r.back == r.text for r in masked.collect())
+
+
+@pytest.mark.parametrize("blank", range(6))
+def test_blank_runs(spark, blank):
+    gap = "\n" * blank
+    for text in (gap, f"a{gap}", f"{gap}a", f"a{gap}b", f"a{gap}b{gap}c \n \nd{gap}"):
+        run, out = 0, []
+        for x in text.split("\n"):
+            x = x.rstrip(" \t")
+            run = run + 1 if x == "" else 0
+            if run <= 2:
+                out.append(x)
+        assert one(spark, R.normalize_whitespace, text) == "\n".join(out)
 
 
 def test_tool_exchange_and_contexts(spark):
