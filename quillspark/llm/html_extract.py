@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import deque
 from hashlib import blake2b
+from math import isqrt
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -34,9 +34,10 @@ NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CHROME = frozenset("nav footer aside form menu dialog button select".split())
 CHROME_LABELS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead complementary contentinfo "
     "cookie cookies consent notice notices newsletter subscribe popup modal overlay comment comments disqus share sharing social related recommended widget login signup".split()
 )
+FILLERS = frozenset("area bar block bottom box buttons container content global group inner item items left links list main outer page right section site slot thread top unit wrap wrapper".split())  # beside such a word
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
@@ -47,6 +48,16 @@ AGREE = 3  # of them, those that must share a line of a main region
 MAIN, PLAIN, FRAME = 2, 1, 0
 
 
+def labelled(tag: str) -> bool:
+    """Whether a class, id or role is made of chrome words alone: ``ad-slot``, not ``related-work``."""
+    for found in LABELS.findall(tag):
+        for name in "".join(found).lower().split():
+            words = {w.rstrip("0123456789") for w in re.split(r"[^a-z0-9]+", name)} - {""}
+            if words & CHROME_LABELS and words <= CHROME_LABELS | FILLERS:
+                return True
+    return False
+
+
 def lines(page: str) -> list[tuple[str, int]]:
     """Text blocks in page order, each with MAIN, PLAIN or FRAME (menus, adverts and the like)."""
     out: list[tuple[str, int]] = []
@@ -89,8 +100,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             else:
                 continue
         if opens:
-            labels = {x for g in LABELS.findall(tag) for x in re.split(r"[^a-z0-9]+", "".join(g).lower())} if "=" in tag else set()
-            if name not in ("html", "body") and not tag.endswith("/>") and (name in CHROME or name == "header" and not main or labels & CHROME_LABELS):
+            if name not in ("html", "body") and not tag.endswith("/>") and (name in CHROME or name == "header" and not main or "=" in tag and labelled(tag)):
                 if words:
                     close()
                 hidden, depth = name, 1
@@ -108,32 +118,47 @@ def line_hash(text: str) -> int:
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
-    """Indexes into a of a longest common subsequence with b."""
+    """Indexes into a of a longest common subsequence with b.
+
+    One number holds a row of the table, a bit for each line of b that is 0 where the length
+    grows; len(a) * len(b) / 64 steps whatever repeats. Rows are kept at every ``step``, and those
+    between are made again on the way back, so that memory is len(b) * sqrt(len(a)) / 4 bytes.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    found = {*range(lo), *range(len(a) - hi, len(a))}
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - hi - 1, lo - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    chains: list[tuple] = []
-    for i in range(lo, len(a) - hi):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                chains.append(chain)
+    found, rows, cols = {*range(lo), *range(len(a) - hi, len(a))}, len(a) - hi - lo, len(b) - hi - lo
+    at: dict[int, int] = {}
+    for j in range(cols):
+        at[b[lo + j]] = at.get(b[lo + j], 0) | 1 << j
+    full, step = (1 << cols) - 1, isqrt(rows) + 1
+
+    def follow(row: int, start: int, end: int) -> list[int]:
+        out = [row]
+        for i in range(start, end):
+            if here := row & at.get(a[lo + i], 0):
+                row = (row + here | row - here) & full
+            out.append(row)
+        return out
+
+    marks = [full]
+    for start in range(0, rows - step, step):
+        marks.append(follow(marks[-1], start, start + step)[-1])
+    i, j = rows, cols
+    while i and j:
+        start = (i - 1) // step * step
+        table = follow(marks[start // step], start, i)
+        while i > start and j:
+            if table[i - start] >> j - 1 & 1:
+                j -= 1
+            elif table[i - 1 - start] >> j - 1 & 1:
+                i, j = i - 1, j - 1
+                found.add(lo + i)
             else:
-                tails[k], chains[k] = j, chain
-    chain = chains[-1] if chains else None
-    while chain:
-        found.add(chain[0])
-        chain = chain[1]
+                i -= 1
     return found
 
 

@@ -1,15 +1,19 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Rows of equal shingle sets collapse to one class. Classes that share a signature band are
-candidates; their groups (components of the band graph) are compared block by block. A pair's
-signatures are compared in batches: given m of n equal values, the posterior of the similarity
-under a flat prior is Beta(m + 1, n - m + 1), and the pair is dropped once the chance that it
-reaches the threshold is below ``miss``. Survivors are verified on the full shingle sets, the
-most similar first; a pair that is connected already adds nothing and is not looked at.
+1. Rows of equal shingle sets collapse to one class, whose least id stands for it.
+2. Classes that share a signature band are banded pairs. A pair's signatures are compared in
+   batches: given m of n equal values, the posterior of the similarity under a flat prior is
+   Beta(m + 1, n - m + 1), and the pair is dropped once the chance that it reaches the
+   threshold is below ``miss``. Survivors are verified on the words of both texts.
+3. First each band's members are held against its least id, which is linear in their number
+   and settles groups of near copies. What is left are pairs of a band whose two sides are not
+   connected by then; they are compared block by block. A pair that is connected already adds
+   nothing and is not looked at. Texts are fetched for rows of surviving pairs alone.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -22,14 +26,17 @@ from quillspark.llm.graph import components, cut_lineage
 from quillspark.llm.text_hash import U64, Rolling, Words, mix, slabs
 
 BANDS, ROWS = 25, 5
-BLOCK = 1024
+BLOCK = 1024  # rows of a block
+BLOCK_BYTES = 4 << 20  # and bytes of their texts
 BATCH = 25
-SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-SIGNED_DDL = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"
+SIGNED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+SIGNED_DDL = "id long, n_bytes long, n_shingles long, digest binary, bands array<long>, sig binary"
+UNITS_DDL = "place int, unit long, i int, j int, side int, hub boolean, label long, id long, n_shingles long, bands array<long>, sig binary"
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def shingle_sets(texts: list[bytes], k: int, rolling: Rolling):
-    """Sorted distinct 64-bit shingle hashes of each text, A-Z lower-cased."""
+    """Sorted distinct shingle hashes of each text, A-Z lower-cased; modulo a prime, then mixed."""
     for lo, hi in slabs([len(t) for t in texts]):
         w = Words(texts[lo:hi])
         h = w.hashes(rolling, 0, lower=True)
@@ -45,7 +52,7 @@ def shingle_sets(texts: list[bytes], k: int, rolling: Rolling):
 
 
 def signatures(k: int):
-    """mapInArrow function: id, set size, 128-bit set digest, band keys, 16-bit signature."""
+    """mapInArrow function: id, size of text and set, 128-bit digest of the set, band keys, 16-bit signature."""
 
     def run(batches):
         rolling = Rolling()
@@ -54,15 +61,15 @@ def signatures(k: int):
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in SIGNED}
             ids, texts = batch["id"].to_pylist(), batch["body"].to_pylist()
-            for doc, s in zip(ids, shingle_sets(texts, k, rolling), strict=True):
-                row = [doc, len(s), 0, 0, [], b""]
+            for doc, text, s in zip(ids, texts, shingle_sets(texts, k, rolling), strict=True):
+                row = [doc, len(text), len(s), b"", [], b""]
                 if len(s):
                     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=U64)
                     for at in range(0, len(s), 4096):
                         np.minimum(least, (s[at : at + 4096, None] * factor).min(axis=0), out=least)
                     least = mix(least)
                     keys = mix((least.reshape(BANDS, ROWS) * band).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64))
-                    row[2:] = [int(mix(s).sum(dtype=U64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + U64(77))).astype(np.int64)), keys.astype(np.int64), (least & U64(0xFFFF)).astype(np.uint16).tobytes()]
+                    row[3:] = [blake2b(s.tobytes(), digest_size=16).digest(), keys.astype(np.int64), (least & U64(0xFFFF)).astype(np.uint16).tobytes()]
                 for name, v in zip(out, row, strict=True):
                     out[name].append(v)
             yield from pa.table(out, schema=SIGNED).to_batches()
@@ -93,15 +100,51 @@ class Union:
         return x
 
 
-def unit_links(ids: list[int], sides: np.ndarray | None, sigs: np.ndarray, sets: list[np.ndarray], percent: int, bounds) -> list[tuple[int, int]]:
-    """Verified links that span the components of one block, or between two blocks (sides)."""
-    size = np.array([len(s) for s in sets])
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's sorted distinct shingles as numbers that are equal for equal words only.
+
+    Texts of fewer than ``k`` words get an empty set: they equal no other class.
+    """
+    w = Words(texts)
+    buf = np.where((w.buf >= 65) & (w.buf <= 90), w.buf + 32, w.buf).astype(np.uint8)
+    letters = np.zeros(len(buf) + 1, dtype=np.int8)
+    letters[w.starts] += 1
+    letters[w.ends] -= 1
+    data = buf[np.cumsum(letters[:-1]) > 0].tobytes()
+    offsets = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    code, many = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    key, size = code, many
+    for j in range(1, k):
+        if size * many >= 1 << 62:
+            unique, key = np.unique(key, return_inverse=True)
+            size = len(unique)
+        key, size = key[:-1] * many + code[j:], size * many
+    return [distinct(key[a : b - k + 1]) if b - a >= k else key[:0] for a, b in zip(w.first, w.first[1:])]
+
+
+def surviving(rows: dict[str, np.ndarray], unit: int, percent: int, bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left, right, equal values) of one unit that the posterior bound does not drop.
+
+    A unit with hubs pairs them with the other rows; any other one pairs rows of different
+    labels and, between two blocks, of different sides, if ``unit`` is the first band they share.
+    """
+    size, label, side, bands, sigs = (rows[c] for c in ("n_shingles", "label", "side", "bands", "sig"))
+    hubs = np.flatnonzero(rows["hub"])
+    two = (side != side[0]).any()
     left, right, score = [], [], []
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        if sides is not None:
-            j = j[sides[j] != sides[i]]
+    for i in hubs.tolist() or range(len(size) - 1):
+        if len(hubs):
+            j = np.flatnonzero((label != label[i]) & ~rows["hub"])
+        else:
+            j = np.arange(i + 1, len(size))
+            j = j[label[j] != label[i]]
+            if two:
+                j = j[side[j] != side[i]]
         j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+        if not len(hubs) and len(j):
+            first = (bands[j] == bands[i]).argmax(axis=1)
+            j = j[(bands[i][first] == unit) & (bands[j, first] == unit)]
         matches, at = np.zeros(len(j), dtype=np.int64), 0
         for n, least in bounds:
             matches += (sigs[j, at:n] == sigs[i, at:n]).sum(axis=1)
@@ -110,17 +153,50 @@ def unit_links(ids: list[int], sides: np.ndarray | None, sigs: np.ndarray, sets:
         left.append(np.full(len(j), i))
         right.append(j)
         score.append(matches)
-    if not left:
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, score))
+
+
+def units_of(table: pa.Table):
+    """(unit, its rows in the table) of what a task got together."""
+    keys = [table[c].to_numpy() for c in ("id", "side", "j", "i", "unit")]
+    by = np.lexsort(keys)
+    change = np.zeros(len(by), dtype=bool)
+    change[:1] = True
+    for k in keys[2:]:
+        change[1:] |= k[by][1:] != k[by][:-1]
+    cuts = np.append(np.flatnonzero(change), len(by))
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(keys[4][by[a]]), by[a:b]
+
+
+def columns(table: pa.Table) -> dict[str, np.ndarray]:
+    table = table.combine_chunks()
+    rows = {c: table[c].to_numpy() for c in ("n_shingles", "label", "side", "hub", "id")}
+    rows["bands"] = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), BANDS)
+    rows["sig"] = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(len(table), BANDS * ROWS)
+    return rows
+
+
+def verified(rows: dict[str, np.ndarray], texts: list[bytes], unit: int, words: int, percent: int, bounds) -> list[tuple[int, int]]:
+    """Links of one unit that span what is not connected yet, the most similar first."""
+    left, right, score = surviving(rows, unit, percent, bounds)
+    if not len(left):
         return []
-    left, right, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-    union, links = Union(len(ids)), []
+    sets, links, up = exact_sets(texts, words), [], {x: x for x in rows["label"].tolist()}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    label, ids = rows["label"].tolist(), rows["id"].tolist()
     for p in np.argsort(-score, kind="stable").tolist():
         a, b = int(left[p]), int(right[p])
-        ra, rb = union.root(a), union.root(b)
+        ra, rb = root(label[a]), root(label[b])
         if ra != rb:
             both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                union.up[rb] = ra
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                up[rb] = ra
                 links.append((ids[a], ids[b]))
     return links
 
@@ -135,60 +211,70 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     their links. A row without an id is never linked: its component_id is null, it is kept.
     Columns other than the two named are not read. An empty table gives an empty result.
 
-    A candidate group of any size is dealt to block pairs of bounded size; no pair is emitted
-    but the links that span a block.
+    A band of any size is dealt to pairs of blocks of bounded size (one text longer than
+    BLOCK_BYTES is a block of its own); no pair is emitted but the links that span a block.
+    Within a band, the rows of the most frequent label are not compared with each other again.
     """
     bounds = least_matches(percent / 100, miss)
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     signed = cut_lineage(source.mapInArrow(signatures(words), SIGNED_DDL))
     real = signed.where("n_shingles > 0 and id is not null")
-    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"))
-    copies = real.select("id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = real.join(classes.select(F.col("rep").alias("id"), "d1", "d2", "n_shingles"), ["id", "d1", "d2", "n_shingles"], "left_semi")
+    classes = real.groupBy("digest").agg(F.min("id").alias("rep"))
+    copies = real.select("id", "digest").join(classes, "digest").where("id > rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    reps = real.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
 
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = reps.select("id", "n_bytes", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first")
-    star = banded.join(shared, "band").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    group = components(star)
-    heads = group.select(F.col("component").alias("id"), "component").distinct()
-    members = cut_lineage(group.unionAll(heads))
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m")).select("component", blocks.alias("blocks"))
-    slots = max(1, members.count() // block)
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "component").select("id", "component", "blocks", mine.alias("block"))
-
-    set_schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("sig", pa.binary()), ("hashes", pa.binary())])
-
-    def sets(batches):
-        rolling = Rolling()
-        for b in batches:
-            hashes = [s.tobytes() for s in shingle_sets(b["body"].to_pylist(), words, rolling)]
-            yield pa.record_batch([b["id"], b["component"], b["blocks"], b["block"], b["sig"], pa.array(hashes, pa.binary())], schema=set_schema)
-
-    held = source.join(placed, "id").join(reps.select("id", "sig"), "id").select("id", "component", "blocks", "block", "sig", "body")
-    full = held.mapInArrow(sets, "id long, component long, blocks int, block int, sig binary, hashes binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    alone = F.col("blocks") == 1
-    units = full.withColumn("unit", F.explode(pair)).select(
-        F.when(alone, F.pmod(F.xxhash64("component"), F.lit(slots))).otherwise(F.col("component")).alias("place"), alone.alias("alone"), "unit", "id", "component", "block", "sig", "hashes"
-    )
+    members = cut_lineage(banded.join(shared, "band").where("id > first"))
+
+    def blocks(rows: str, size: str):
+        return F.ceil(F.greatest(F.col(rows) / block, F.col(size) / BLOCK_BYTES)).cast("int")
+
+    def compared(units: DataFrame) -> DataFrame:
+        """Links of units: unit, i, j, side, hub, label, id, n_bytes."""
+        rows, size = units.agg(F.count("*"), F.sum("n_bytes")).first()
+        places = max(1, rows // (2 * block), (size or 0) // (2 * BLOCK_BYTES))
+        placed = units.drop("n_bytes").withColumn("place", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(places)).cast("int"))
+        signs = placed.join(reps.select("id", "n_shingles", "bands", "sig"), "id").select(*[x.split()[0] for x in UNITS_DDL.split(", ")])
+
+        def prune(table: pa.Table) -> pa.Table:
+            rows, live = columns(table), np.zeros(len(table), dtype=bool)
+            for unit, at in units_of(table):
+                left, right, _ = surviving({k: v[at] for k, v in rows.items()}, unit, percent, bounds)
+                live[at[left]] = live[at[right]] = True
+            return table.filter(pa.array(live))
+
+        def verify(table: pa.Table) -> pa.Table:
+            rows, texts, found = columns(table), table["body"].combine_chunks(), []
+            for unit, at in units_of(table):
+                found += verified({k: v[at] for k, v in rows.items()}, texts.take(pa.array(at)).to_pylist(), unit, words, percent, bounds)
+            return pa.table({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=LINKS)
+
+        alive = signs.groupBy("place").applyInArrow(prune, UNITS_DDL)
+        return alive.join(source, "id").groupBy("place").applyInArrow(verify, "a long, b long")
+
+    star = members.select(F.col("first").alias("unit"), "id", "n_bytes").distinct()
+    salts = star.groupBy("unit").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).select("unit", blocks("n", "size").alias("salts"))
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
+    flag, zero = lambda hub: F.lit(hub).alias("hub"), F.lit(0)
+    spokes = star.join(salts, "unit").select("unit", salt.alias("i"), flag(False), "id", "n_bytes")
+    hubs = salts.select("unit", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("i"), flag(True), F.col("unit").alias("id"), F.lit(0).cast("long").alias("n_bytes"))
+    links = cut_lineage(compared(spokes.unionAll(hubs).select("unit", "i", F.col("i").alias("j"), zero.alias("side"), "hub", F.col("id").alias("label"), "id", "n_bytes")))
+    known = components(links)
 
-    def verify(table: pa.Table) -> pa.Table:
-        groups: dict[int, list] = {}
-        for r in zip(*(table[c].to_pylist() for c in ("component", "id", "block", "sig", "hashes")), strict=True):
-            groups.setdefault(r[0], []).append(r[1:])
-        found = []
-        for rows in groups.values():
-            rows.sort(key=lambda r: r[:3])
-            block = np.array([r[1] for r in rows])
-            sides = block if (block != block[0]).any() else None
-            sigs = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
-            found += unit_links([r[0] for r in rows], sides, sigs, [np.frombuffer(r[3], dtype=U64) for r in rows], percent, bounds)
-        return pa.table({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    links = units.groupBy("place", "alone", "unit").applyInArrow(verify, "a long, b long")
-    labels = components(links.unionAll(copies))
+    labelled = members.join(known, "id", "left").select("band", "id", "n_bytes", F.coalesce("component", "id").alias("label"))
+    per = labelled.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    top = F.max(F.struct("n", "size", "label"))
+    open_bands = per.groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), top.alias("top")).where("labels > 1")
+    open_bands = open_bands.select("band", F.col("top.label").alias("main"), F.col("top.n").alias("n_main"), F.col("top.size").alias("s_main"), (F.col("n") - F.col("top.n")).alias("n_rest"), (F.col("size") - F.col("top.size")).alias("s_rest"))
+    dealt = labelled.join(open_bands.select("band", "main", blocks("n_rest", "s_rest").alias("rest"), blocks("n_main", "s_main").alias("mains")), "band")
+    is_main, spread = F.col("label") == F.col("main"), F.xxhash64("id")
+    own = F.when(is_main, F.col("rest") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("rest"))).cast("int")
+    others = F.explode(F.sequence(zero, F.when(is_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1)))
+    pairs = dealt.select("band", own.alias("side"), others.alias("other"), "label", "id", "n_bytes")
+    more = compared(cut_lineage(pairs.select(F.col("band").alias("unit"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", flag(False), "label", "id", "n_bytes")))
+    edges = known.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    labels = components(edges.unionAll(more).unionAll(copies))
     return signed.select("id", "n_shingles").join(labels, "id", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("id")), F.lit(True)).alias("kept")
     )

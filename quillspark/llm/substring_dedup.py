@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from quillspark.llm import exchange as X
 from quillspark.llm.text_hash import Rolling, Words, slabs
 
-FLAGS = 9
+FLAGS, KEYS = 9, 2
 RESULT = "id long, n_words long, n_removed long, kept string"
 
 
@@ -69,35 +69,70 @@ def _distinct_keys(w: ChunkWindows, at: np.ndarray, order: np.ndarray):
     return at, ids, new, np.flatnonzero(new)
 
 
-def _exact(group: pa.Table) -> pa.Table:
-    """For each key that a chunk sent: whether another chunk has it in a smaller document."""
-    out = {"chunk": [], "part": [], "seg": [], "blob": []}
-    rows, arrays = [], []
-    for r in group.to_pylist():
-        if r["part"] == FLAGS:
-            for k in out:
-                out[k].append(r[k])
-        else:
-            n1, n2 = np.frombuffer(r["blob"][:8], dtype=np.uint32)
-            b = r["blob"][8:]
-            arrays.append((X.unpack_sorted(b[:n1]), X.loosen(b[n1 : n1 + n2], np.uint64), X.loosen(b[n1 + n2 :], np.int64)))
-            rows.append(r)
-    if rows:
+def _pack(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> bytes:
+    blobs = [X.pack_sorted(h1), X.squeeze(h2), X.squeeze(ids)]
+    return np.array([len(b) for b in blobs[:2]], dtype=np.uint32).tobytes() + b"".join(blobs)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n1, n2 = np.frombuffer(blob[:8], dtype=np.uint32)
+    b = blob[8:]
+    return X.unpack_sorted(b[:n1]), X.loosen(b[n1 : n1 + n2], np.uint64), X.loosen(b[n1 + n2 :], np.int64)
+
+
+class LeastIds:
+    """The exchange for "does another chunk have this key in a smaller document"."""
+
+    def __init__(self, fan: int) -> None:
+        self.fan = fan
+
+    def merged(self, arrays: list[tuple]) -> tuple:
+        """Distinct keys in order with their least id, and each sent key's place among them."""
         h1, h2, ids = (np.concatenate([a[i] for a in arrays]) for i in range(3))
         by = np.lexsort((ids, h2, h1))
         s1, s2 = h1[by], h2[by]
         new = np.ones(len(by), dtype=bool)
         new[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        least = ids[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-        flag = np.zeros(len(by), dtype=bool)
-        flag[by] = least < ids[by]
-        lo = 0
-        for r, a in zip(rows, arrays, strict=True):
-            bits = np.packbits(flag[lo : lo + len(a[0])]).tobytes()
-            lo += len(a[0])
-            for k, v in (("chunk", r["chunk"]), ("part", r["part"]), ("seg", r["seg"]), ("blob", bits)):
-                out[k].append(v)
-    return pa.table(out, schema=X.SENT)
+        first, of = np.flatnonzero(new), np.zeros(len(by), dtype=np.int64)
+        of[by] = np.cumsum(new) - 1
+        return s1[first], s2[first], ids[by][first], of, ids
+
+    def below(self, table: pa.Table, total: int) -> X.Ranges:
+        return X.Ranges(64, total, table["seg"][0].as_py() * self.fan, self.fan)
+
+    def sent(self, table: pa.Table) -> tuple[list[dict], list[tuple]]:
+        rows = [r for r in table.to_pylist() if r["part"] != FLAGS]
+        return rows, [_unpack(r["blob"]) for r in rows]
+
+    def merge(self, table: pa.Table, total: int) -> pa.Table:
+        rows, arrays = self.sent(table)
+        if not rows:
+            return X.sent_table([])
+        h1, h2, ids, _, _ = self.merged(arrays)
+        return X.sent_table(X.send(table["up"][0].as_py(), KEYS, _ranged(h1, h2, ids, self.below(table, total))))
+
+    def settle(self, table: pa.Table) -> pa.Table:
+        return self.answer(table, None, 0)
+
+    def answer(self, table: pa.Table, replies: pa.Table | None, total: int) -> pa.Table:
+        """What a chunk sent as flags goes back as it is."""
+        rows, arrays = self.sent(table)
+        out = [(r["chunk"], r["part"], r["seg"], r["blob"]) for r in table.to_pylist() if r["part"] == FLAGS]
+        if rows:
+            h1, _, least, of, ids = self.merged(arrays)
+            flag = least[of] < ids
+            if replies is not None:
+                flag |= X.bits_of(replies, KEYS, h1, self.below(table, total))[of]
+            lo = 0
+            for r, a in zip(rows, arrays, strict=True):
+                out.append((r["chunk"], KEYS, r["seg"], np.packbits(flag[lo : lo + len(a[0])]).tobytes()))
+                lo += len(a[0])
+        return X.sent_table(out)
+
+
+def _ranged(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, ranges: X.Ranges) -> list[tuple[int, bytes]]:
+    at = ranges.cut(h1)
+    return [(ranges.first + i, _pack(h1[a:b], h2[a:b], ids[a:b])) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
@@ -111,9 +146,11 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     table gives an empty result.
     """
     chunks = X.chunk_count(docs, text)
-    segments, n = chunks, window
+    (levels, fan), n = X.fans(chunks), window
     bits = min(60, max(20, math.ceil(math.log2(chunks * X.CHUNK_BYTES / 6)) + 4))
     dealt = X.chunked(docs, doc_id, text, chunks)
+    cells_of, keys_of = X.Ranges(bits, fan, 0, fan), X.Ranges(64, fan, 0, fan)
+    repeats, least = X.Repeats(bits, fan), LeastIds(fan)
 
     def windows(bodies: list[bytes], both: bool) -> ChunkWindows:
         w = ChunkWindows(bodies, n, both)
@@ -122,8 +159,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def sketch(table: pa.Table) -> pa.Table:
         w = windows(X.documents(table)[2], False)
-        rows = [(part, X.distinct(c)) for part, c in enumerate(_cells(w.h1, bits))]
-        return X.send(table["chunk"][0].as_py(), rows, bits, segments)
+        chunk = table["chunk"][0].as_py()
+        return X.sent_table([row for part, c in enumerate(_cells(w.h1, bits)) for row in X.send(chunk, part, X.pack_ranges(X.distinct(c), cells_of))])
 
     def learn(table: pa.Table, replies: pa.Table):
         ids, order, bodies = X.documents(table)
@@ -132,24 +169,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return ids, order, bodies, w, cells
 
     def group(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out = {"chunk": [], "part": [], "seg": [], "blob": []}
-        if len(table):
-            chunk = table["chunk"][0].as_py()
-            _, order, _, w, cells = learn(table, replies)
-            flags = [X.answers(replies, p, c[0], bits, segments) for p, c in enumerate(cells)]
-            at, ids, _, first = _distinct_keys(w, _candidates(w, flags, cells), order)
-            h1, h2, ids = w.h1[at[first]], w.h2[at[first]], ids[first]
-            edge = X.cut(h1, 64, segments)
-            sent = [(FLAGS, chunk % segments, X.squeeze(np.packbits(np.concatenate(flags))))]
-            for seg in range(segments):
-                part = slice(edge[seg], edge[seg + 1])
-                if edge[seg] < edge[seg + 1]:
-                    blobs = [X.pack_sorted(h1[part]), X.squeeze(h2[part]), X.squeeze(ids[part])]
-                    sent.append((2, seg, np.array([len(b) for b in blobs[:2]], dtype=np.uint32).tobytes() + b"".join(blobs)))
-            for part, seg, blob in sent:
-                for k, v in (("chunk", chunk), ("part", part), ("seg", seg), ("blob", blob)):
-                    out[k].append(v)
-        return pa.table(out, schema=X.SENT)
+        if not len(table):
+            return X.sent_table([])
+        chunk = table["chunk"][0].as_py()
+        _, order, _, w, cells = learn(table, replies)
+        flags = [X.bits_of(replies, p, c[0], cells_of) for p, c in enumerate(cells)]
+        at, ids, _, first = _distinct_keys(w, _candidates(w, flags, cells), order)
+        keys = _ranged(w.h1[at[first]], w.h2[at[first]], ids[first], keys_of)
+        return X.sent_table([(chunk, FLAGS, chunk % fan, X.squeeze(np.packbits(np.concatenate(flags)))), *X.send(chunk, KEYS, keys)])
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {"id": [], "n_words": [], "n_removed": [], "kept": []}
@@ -160,7 +187,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             n0 = len(cells[0][0])
             flags = [flat[:n0], flat[n0 : n0 + len(cells[1][0])]]
             at, rank, new, first = _distinct_keys(w, _candidates(w, flags, cells), order)
-            elsewhere = X.answers(replies, 2, w.h1[at[first]], 64, segments)
+            elsewhere = X.bits_of(replies, KEYS, w.h1[at[first]], keys_of)
             nth = np.cumsum(new) - 1
             again = ~new & (np.concatenate([[-1], w.doc[at[:-1]]]) == w.doc[at]) if len(at) else new
             gone = at[again | elsewhere[nth] | (rank > rank[first][nth])] if len(at) else at
@@ -184,7 +211,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
         return pa.table(out, schema=pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    first = dealt.groupBy("chunk").applyInArrow(sketch, X.SENT_DDL).groupBy("part", "seg").applyInArrow(X.repeated, X.SENT_DDL)
+    first = X.climb(dealt.groupBy("chunk").applyInArrow(sketch, X.SENT_DDL), levels, fan, ("part", "seg"), repeats.merge, repeats.settle, repeats.answer)
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(group, X.SENT_DDL)
-    second = second.groupBy("seg").applyInArrow(_exact, X.SENT_DDL)
+    second = X.climb(second, levels, fan, ("seg",), least.merge, least.settle, least.answer)
     return dealt.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(remove, RESULT)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm import brute
 
-from quillspark.llm import queries, suffix_dedup
+from quillspark.llm import exchange, queries, suffix_dedup
 from quillspark.llm.graph import components
 from quillspark.llm.line_dedup import drop_repeated_chunks
 from quillspark.llm.minhash_dedup import least_matches, near_duplicates
@@ -47,6 +47,25 @@ def test_substring_matches_brute_force(spark):
         assert got == brute.substring(rows, window)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_substring_over_levels_of_exchange(spark, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(exchange, "MIN_CHUNKS", 11)
+    rows = corpus(n=30)
+    got = sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in repeated_windows(frame(spark, rows), window=4).collect())
+    assert got == brute.substring(rows, 4)
+
+
+def test_blobs_grow_with_chunks_times_levels():
+    for chunks in (24, 250, 1_000, 7_150, 60_000, 1 << 20, 25 << 20):
+        levels, fan = exchange.fans(chunks)
+        assert fan <= exchange.FAN and fan**levels >= chunks and (levels == 1 or exchange.FAN ** (levels - 1) < chunks)
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
+    for total in (1, 7, 256):
+        at = np.concatenate([exchange.Ranges(40, total * 3, first * 3, 3).of(keys) for first in range(total)])
+        assert (exchange.Ranges(40, total * 3, 0, total * 3).of(keys) < total * 3).all() and len(at) == total * len(keys)
+
+
 def test_suffix_matches_brute_force(spark):
     rows = corpus(seed=9)
     for length, k in ((50, 24), (12, 6)):
@@ -101,6 +120,40 @@ def test_near_duplicates_in_small_blocks(spark):
     assert got == brute.near(rows, 3, 85)
 
 
+def twisted(n):
+    """Two different words that every polynomial hash modulo 2**64 takes for the same."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_defeat_plain_polynomials(spark, n):
+    a, b = twisted(n)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*words[:10], x, *words[10:]]) for x in (a, b)] + [" ".join([*words[:5], b, *words[5:]]), a, b, f"{a} {a} {a} {a}", f"{b} {b} {b} {b}"]
+    rows = list(enumerate(texts))
+    assert sorted(tuple(x) for x in near_duplicates(frame(spark, rows), words=3, percent=85).collect()) == brute.near(rows)
+    got = sorted((r.id, r.n_words, r.n_removed, sha(r.kept)) for r in repeated_windows(frame(spark, rows)).collect())
+    assert got == brute.substring(rows)
+
+
+def test_links_that_miss_the_least_id_of_a_band(spark):
+    """Chains in which neighbours are alike and the ends are not; two groups around each other."""
+    r = random.Random(21)
+    base, rows = [f"c{i}" for i in range(100)], []
+    for i in range(60):
+        base[r.randrange(100)] = f"new{i}"
+        rows.append((5000 - 7 * i, " ".join(base)))
+    for g in range(2):
+        words = [f"d{i}" for i in range(100)]
+        words[: 9 * g] = [f"g{i}" for i in range(9 * g)]
+        rows += [(9000 + 2 * i + g, " ".join(words[:99] + [f"end{g}{i}"])) for i in range(30)]
+    for block in (4, 1024):
+        got = sorted(tuple(x) for x in near_duplicates(frame(spark, rows), words=3, percent=85, block=block).collect())
+        assert got == brute.near(rows)
+        assert len({x[2] for x in got if x[0] < 9000}) < 30
+
+
 def test_bayes_bounds_keep_what_is_likely():
     bounds = least_matches(0.85, 1e-5)
     assert [n for n, _ in bounds] == [25, 50, 75, 100, 125]
@@ -132,29 +185,19 @@ def test_ids_shared_or_missing(spark):
     assert got == {(1, 1, True), (2, 1, False), (None, None, True)}
 
 
-def test_hot_anchor_is_settled_by_offset(monkeypatch):
-    import tracemalloc
-
+@pytest.mark.parametrize(("fan", "hot"), [(256, 1), (2, 4096), (3, 2)])
+def test_suffix_over_levels_and_hot_anchors(spark, monkeypatch, fan, hot):
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(exchange, "MIN_CHUNKS", 11)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     r = random.Random(12)
-    hot = "a common phrase of every document in this test, and quite long"
-    texts = ["".join(r.choices("abcdefgh ", k=60)) + hot + "".join(r.choices("abcdefgh ", k=60)) for _ in range(4000)]
-    bodies = [t.encode() for t in texts + [texts[5][20:] + "x", "y" + texts[9][:150]]]
-
-    def runs(part):
-        found = suffix_dedup.anchors([bodies[i] for i in part], 50, 24)
-        own = suffix_dedup.Suffixes([bodies[i] for i in part], np.array(part), *found[:4], np.zeros(len(found[0]), np.int64), 50, 24)
-        return [blob for _, blob in own.runs()]
-
-    blobs = runs(range(0, len(bodies), 2)) + runs(range(1, len(bodies), 2))
-    tracemalloc.start()
-    got = suffix_dedup.masks(blobs, 50, 24)
-    peak = tracemalloc.get_traced_memory()[1]
-    monkeypatch.setattr(suffix_dedup, "HOT", 10**9)
-    tracemalloc.reset_peak()
-    want = suffix_dedup.masks(blobs, 50, 24)
-    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and sum(int((m != 0).sum()) for m in got) > 4000
-    assert peak < 0.8 * tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
+    phrase = " a common phrase of every document in this test, and quite long "
+    rows = [(7 * i % 50, "".join(r.choices("abcdefgh ", k=60)) + phrase + r.choice(["", "ab", "tail of some"]) + "".join(r.choices("abcdefgh ", k=60))) for i in range(40)]
+    rows += corpus(n=12, seed=4) + [(2000, rows[3][1]), (1999, rows[3][1][20:]), (2001, "\0" * 200), (2002, "\0" * 90)]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    for length, k in ((50, 24), (12, 6)):
+        got = sorted((x.id, x.n_bytes, x.n_removed, len(x.spans), sha(bytes(x.kept))) for x in repeated_bytes(frame(spark, rows), length=length, k=k).collect())
+        assert got == brute.byte_strings(rows, length)
 
 
 def test_line_chunks_are_shift_resistant(spark):
