@@ -6,7 +6,6 @@ and read again for the next one. All but the last return the columns of document
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import language_id, line_dedup, sentence_pieces
 from quillspark.llm.decontaminate import leaks
+from quillspark.llm.graph import shared_folder
 from quillspark.llm.minhash_dedup import near_duplicates
 
 
@@ -26,14 +26,12 @@ def _unique(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and null ones (``und``); sets lang to the prediction.
 
-    The model learns from the rows that carry a language, as op4 does. Rows that share an id
-    stay if one of them is identified, with the smallest prediction; rows without an id stay
-    as they are. An empty table stays empty.
+    The model learns from the rows that carry a language, as op4 does. Each row is judged by
+    itself, whatever its id. An empty table stays empty.
     """
     model = language_id.fit(docs.where(language_id.fold_of("doc_id") != 0), "text", "lang", "doc_id")
-    found = language_id.predict(docs, model).where("id is not null and lang_pred <> 'und'").groupBy("id").agg(F.min("lang_pred").alias("__lang"))
-    known = docs.join(found.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left").where("doc_id is null or __id is not null")
-    return known.withColumn("lang", F.coalesce("__lang", "lang")).select(*docs.columns)
+    found = language_id.annotate(docs, model, "text", "__lang", "__score").where("__lang <> 'und'")
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +74,8 @@ ORACLE_SQL = None
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors see."""
+    return f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
