@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import patterns as P
 from quillspark.functions.measures import is_critical_clause
@@ -145,21 +151,88 @@ def explode_html(pages: DataFrame, html: str) -> DataFrame:
     return pages.select("*", F.inline(F.concat(*[each(k, p, g) for k, (p, g) in HTML_PIECES.items()])))
 
 
-def explode_label_tokens(df: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """Word tokens with offsets and label 1 where one overlaps an occurrence of a keep term.
+TOKENS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("label", T.IntegerType())]))
+
+
+def _labeller(terms: list[str], ignore_case: bool):
+    """Arrow function from texts to their tokens. Occurrences of terms may overlap and reach over tokens."""
+    flags = re.IGNORECASE if ignore_case else 0
+    wanted = re.compile("(?=(" + "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) + "))", flags) if terms else None
+    word = re.compile(P.WORD)
+
+    @F.arrow_udf(TOKENS)
+    def label(text: pa.Array) -> pa.Array:
+        rows = []
+        for t in text.to_pylist():
+            # Longest first at each place, so these are enough to tell what any occurrence covers.
+            hits = [(m.start(), m.end(1)) for m in wanted.finditer(t or "")] if wanted else []
+            out, at, reach = [], 0, 0
+            for pos, m in enumerate(word.finditer(t or "")):
+                while at < len(hits) and hits[at][0] < m.end():
+                    reach = max(reach, hits[at][1])
+                    at += 1
+                out.append((pos, m.start(), m.end(), m[0], int(reach > m.start())))
+            rows.append([dict(zip(("pos", "start", "end", "token", "label"), x, strict=True)) for x in out])
+        return pa.array(rows, to_arrow_type(TOKENS))
 
-    ``terms`` has one string column; its size is that of a vocabulary of marker terms, checked
-    by the caller; it joins on the token itself, so no pairs are formed.
+    return label
+
+
+def explode_label_tokens(df: DataFrame, text: str, terms: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """pos, start, end, token of each word, and label 1 where it overlaps an occurrence of a keep term, else 0.
+
+    A term may lie inside a word or reach over several. ``terms`` has one string column, a
+    vocabulary of marker terms: more than 10,000 are refused.
+    """
+    wanted = [r[0] for r in terms.where(F.length(F.col(terms.columns[0])) > 0).distinct().limit(10_001).collect()]
+    if len(wanted) > 10_000:
+        raise ValueError("more than 10,000 keep terms are no vocabulary of marker terms")
+    tokens = _labeller(sorted(wanted), ignore_case)(F.col(text))
+    return df.withColumn("__t", tokens).drop(text).select("*", F.inline("__t")).drop("__t")
+
+
+REGIONS = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("syntax", T.StringType()),
+    T.StructField("duplicate_keys", T.ArrayType(T.StringType())), T.StructField("ambiguous", T.BooleanType()), T.StructField("region", T.StringType()),
+]))
+
+
+def _json_regions(text: str) -> list[dict]:
+    found: list[dict] = []
+    twice: list[str] = []
+
+    def pairs(items: list[tuple]) -> dict:
+        twice.extend(k for k, n in Counter(k for k, _ in items).items() if n > 1)
+        return dict(items)
+
+    decoder, at, broken = json.JSONDecoder(object_pairs_hook=pairs), 0, False
+    while m := re.compile(r"[\[{]").search(text, at):
+        at, end = m.start() + 1, 0
+        twice.clear()
+        try:
+            _, end = decoder.raw_decode(text, m.start())
+        except (json.JSONDecodeError, RecursionError):
+            broken = True  # an opening that doesn't close as JSON may be the parent of what follows
+        if end and not (text[end : end + 1].isalnum() or text[end : end + 1] == "_"):
+            syntax = "strict_json_object" if m[0] == "{" else "strict_json_array"
+            found.append({"start": m.start(), "end": end, "syntax": syntax, "duplicate_keys": sorted(set(twice)), "ambiguous": broken, "region": text[m.start() : end]})
+            at = end
+    for a, b in zip(found, found[1:]):
+        if not (between := text[a["end"] : b["start"]]).strip():
+            a["syntax"] = b["syntax"] = "ndjson" if "\n" in between else "concatenated_json"
+    return found
+
+
+@F.arrow_udf(REGIONS)
+def _regions(text: pa.Array) -> pa.Array:
+    return pa.array([_json_regions(t or "") for t in text.to_pylist()], to_arrow_type(REGIONS))
+
+
+def explode_json_regions(df: DataFrame, text: str) -> DataFrame:
+    """start, end, syntax, duplicate_keys, ambiguous, region: JSON objects and arrays inside prose.
+
+    A region is the longest value that starts at an opening bracket and isn't followed by a word
+    character. Neighbours with only white space between are ndjson or concatenated_json;
+    ``ambiguous`` ones come after a bracket that opens no JSON.
     """
-    (name,) = terms.columns
-    # Texts may hold very many words: offsets are a running sum over rows, not a fold in one array.
-    # The text itself is not carried along; rows are told apart by a hash of all their columns.
-    others = [c for c in df.columns if c != text]
-    row = F.struct(F.xxhash64(text, *others).alias("a"), F.crc32(F.col(text).cast("binary")).alias("b"))
-    rows = df.select(*others, row.alias("__row"), F.posexplode(matches_with_gaps(F.col(text), P.WORD)).alias("pos", "__x"))
-    w = Window.partitionBy("__row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.length("__x.m")
-    rows = rows.withColumn("end", F.sum(F.col("__x.gap") + size).over(w).cast("int"))
-    found = rows.withColumn("start", F.col("end") - size).withColumn("token", F.col("__x.m")).drop("__x", "__row")
-    keep = terms.select(F.lower(F.col(name)).alias("__term")).distinct()
-    return found.join(keep, F.lower("token") == F.col("__term"), "left").withColumn("label", F.col("__term").isNotNull().cast("int")).drop("__term")
+    return df.withColumn("__r", _regions(F.col(text))).select("*", F.inline("__r")).drop("__r")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import patterns as P
+
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded part / whole; null where there is nothing to divide by."""
@@ -31,18 +35,57 @@ def pathways(records: DataFrame) -> DataFrame:
     )
 
 
+def exact_percentiles(df: DataFrame, value: str, by: list[str], ps: tuple[float, ...], parts: int = 64) -> DataFrame:
+    """by and ``p``, an array of exact percentiles with linear interpolation, nulls left out.
+
+    ``F.percentile`` holds every value of a group in one task. Here equal values are counted
+    first, approximate percentiles (a bounded sketch) cut each group into ``parts`` ranges, and
+    running counts within ranges find the two ranks that each percentile lies between.
+    """
+    group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__all")).alias("g")
+    seen = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    edges = seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e"), F.sum("c").alias("n"))
+    placed = seen.join(edges, "g").withColumn("b", F.size(F.filter("e", lambda e: e < F.col("v")))).drop("e")
+    sizes = placed.groupBy("g", "b").agg(F.sum("c").alias("size"))
+    front = F.coalesce(F.sum("size").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("g", "b", front.alias("before"))
+    run = placed.withColumn("run", F.sum("c").over(Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).join(before, ["g", "b"])
+    end = F.col("before") + F.col("run")
+    place = [(F.col("n") - 1) * F.lit(float(p)) for p in ps]
+    ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("i"), f(x).cast("long").alias("rank")) for i, x in enumerate(place) for k, f in enumerate((F.floor, F.ceil))])
+    hit = F.filter(ranks, lambda r: (r["rank"] < end) & (r["rank"] >= end - F.col("c")))
+    found = run.select("g", "v", "n", F.explode(hit).alias("r"))
+    at = found.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r.i", F.col("v").cast("double").alias("v")))).alias("m"))
+    low, high = (lambda i: F.element_at("m", F.lit(2 * i))), (lambda i: F.element_at("m", F.lit(2 * i + 1)))
+    mixed = F.array(*[low(i) + (high(i) - low(i)) * (x - F.floor(x)) for i, x in enumerate(place)])
+    return at.select(*[F.col(f"g.{c}") for c in by], mixed.alias("p"))
+
+
+def _with_percentiles(sums: DataFrame, df: DataFrame, value: str, by: list[str], ps: tuple[float, ...]) -> DataFrame:
+    """Sums by group beside ``p``; null keys are groups of their own."""
+    found = exact_percentiles(df, value, by, ps).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = [sums[c].eqNullSafe(found[f"__{c}"]) for c in by] or [F.lit(True)]
+    return sums.join(found, reduce(lambda a, b: a & b, same), "left")
+
+
 def distribution(df: DataFrame, value: str, by: list[str], digits: int = 6) -> DataFrame:
     """Exact percentiles with linear interpolation, and min, max, mean."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9, 0.95)]))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), digits).alias("mean"), p.alias("__p"))
-    return out.select(*by, "n", "least", "most", "mean", *[F.round(F.element_at("__p", i + 1), digits).alias(n) for i, n in enumerate(("p10", "p50", "p90", "p95"))])
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), digits).alias("mean"))
+    out = _with_percentiles(sums, df, value, by, (0.1, 0.5, 0.9, 0.95))
+    return out.select(*by, "n", "least", "most", "mean", *[F.round(F.element_at("p", i + 1), digits).alias(n) for i, n in enumerate(("p10", "p50", "p90", "p95"))])
 
 
 def grouped_summary(df: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Overall, by each dimension, and by all of them, in one pass over grouping sets."""
+    """Overall, by each dimension, and by all of them: each row counts in every one of these groups."""
     sets = [[], *[[d] for d in dims], list(dims)]
-    named = F.coalesce(*[F.when(F.grouping_id() == sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in s), "overall" if not s else "all" if len(s) == len(dims) else s[0]) for s in sets])
-    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims]).agg(named.alias("group_type"), F.count("*").alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.avg(value), 6).alias("mean"))
+    named = ["overall", *dims, "all"]
+    kinds = df.schema
+    rows = F.array(*[F.struct(F.lit(n).alias("group_type"), *[(F.col(d) if d in s else F.lit(None).cast(kinds[d].dataType)).alias(d) for d in dims]) for n, s in zip(named, sets, strict=True)])
+    each = df.select(F.col(value).alias("v"), F.inline(rows))
+    by = ["group_type", *dims]
+    sums = each.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    return _with_percentiles(sums, each, "v", by, (0.5,)).select(*by, "n", F.round(F.element_at("p", 1), 6).alias("p50"), "mean")
 
 
 def transform_funnel(records: DataFrame) -> DataFrame:
@@ -65,7 +108,9 @@ def failure_rates(df: DataFrame, checks: list[str]) -> DataFrame:
 
 
 def condition_summary(records: DataFrame, condition: str) -> DataFrame:
-    return records.groupBy(condition).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"), F.round(F.median("latency_ms"), 6).alias("median_latency"))
+    sums = records.groupBy(condition).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"))
+    out = _with_percentiles(sums, records, "latency_ms", [condition], (0.5,))
+    return out.select(condition, "records", "tokens_saved", "failures", F.round(F.element_at("p", 1), 6).alias("median_latency"))
 
 
 def cohort_fingerprint(df: DataFrame, key: str, digest: str, levels: tuple[int, ...] = (6, 3)) -> DataFrame:
@@ -98,6 +143,36 @@ def kind_counts(segments: DataFrame, key: str, kind: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("kinds"))
 
 
+def eval_checks(results: DataFrame, case: str) -> DataFrame:
+    """case, check, severity, passed: the checks of each result against what its case expects.
+
+    results: ``output``, ``original_tokens``, ``compressed_tokens``, ``elapsed_ms``, ``sections`` (kinds seen),
+    and the case's ``required``, ``spaceless`` (required, white space aside), ``forbidden`` and ``section_kinds``
+    arrays, ``min_reduction`` and ``max_elapsed_ms``; null arrays and bounds ask for nothing.
+    """
+    out, bare = F.col("output"), lambda c: F.regexp_replace(c, rf"[{P.SPACE_CLASS}]+", "")
+
+    def check(name: Column, severity: str, passed: Column) -> Column:
+        return F.struct(name.alias("check"), F.lit(severity).alias("severity"), passed.alias("passed"))
+
+    def each(items: str, name: str, passed) -> Column:
+        numbered = F.transform(F.col(items), lambda x, i: check(F.concat(F.lit(f"{name}_"), i.cast("string")), "error", passed(x)))
+        return F.coalesce(numbered, F.array().cast("array<struct<check:string,severity:string,passed:boolean>>"))
+
+    def bound(column: str, passed: Column) -> Column:
+        return F.filter(F.array(check(F.lit(column), "warning", passed)), lambda _: F.col(column).isNotNull())
+
+    reduction = F.when(F.col("original_tokens") > 0, (F.col("original_tokens") - F.col("compressed_tokens")) / F.col("original_tokens")).otherwise(0.0)
+    kinds = F.transform(F.col("section_kinds"), lambda k: check(F.concat(F.lit("section_"), k), "error", F.array_contains(F.col("sections"), k)))
+    always = F.array(check(F.lit("non_empty_output"), "error", bare(out) != ""), check(F.lit("not_larger_than_input"), "error", F.col("compressed_tokens") <= F.col("original_tokens")))
+    rows = F.concat(
+        always, each("required", "required", lambda x: F.contains(out, x)), each("spaceless", "required_whitespace_insensitive", lambda x: F.contains(F.col("__bare"), bare(x))),
+        each("forbidden", "forbidden", lambda x: ~F.contains(out, x)), F.coalesce(kinds, F.array().cast("array<struct<check:string,severity:string,passed:boolean>>")),
+        bound("min_reduction", reduction >= F.col("min_reduction")), bound("max_elapsed_ms", F.col("elapsed_ms") <= F.col("max_elapsed_ms")),
+    )
+    return results.withColumn("__bare", bare(out)).select(case, F.inline(rows))
+
+
 def eval_run(checks: DataFrame, case: str) -> DataFrame:
     """checks: case, check, severity, passed. Errors decide; warnings are counted."""
     error = F.col("severity") == "error"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html as html_entities
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,19 +82,20 @@ def drop_phrases(df: DataFrame, text: str, key: str, phrases: DataFrame) -> Data
     return df.join(each, key, "left").withColumn("dropped", F.when(F.col("__p").isNull() | (cut == F.col(text)), F.col(text)).otherwise(healed)).drop("__p")
 
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+@F.arrow_udf(T.StringType())
+def decode_entities(text: pa.Array) -> pa.Array:
+    """Named and numbered character references of HTML 5, which are too many for an expression."""
+    return pa.array([t if t is None or "&" not in t else html_entities.unescape(t) for t in text.to_pylist()], pa.string())
 
 
 def page_text(html: Column) -> Column:
-    """Markup to text: headings as #, items as -, breaks as line feeds, the entity set decoded."""
+    """Markup to text: headings as #, items as -, breaks as line feeds, character references decoded."""
     t = F.regexp_replace(html, r"(?is)<(script|style|template|svg|noscript)\b.*?</\1\s*>|<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?i)<h[1-6][^>]*>", "\n# ")
     t = F.regexp_replace(t, r"(?i)<li[^>]*>", "\n- ")
     t = F.regexp_replace(t, r"(?i)<(?:br|p|div|tr|article|main|section|footer|header|nav|ul|ol|table|title)[^>]*>|</(?:p|div|h[1-6]|tr|article|main|section|footer|header|nav|ul|ol|table|title)>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, value in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(value))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    t = F.replace(F.regexp_replace(t, r"<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))
+    t = F.regexp_replace(decode_entities(t), r"[ \t]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 

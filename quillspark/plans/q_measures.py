@@ -315,13 +315,32 @@ def d8(spark, sf):
 LABELLED = "select doc_id, repeat('LORATENANT ', (doc_id % 5 + 1)::int) || text || repeat(' tenantnoise', (5 - doc_id % 5)::int) as text from documents"
 
 
-@query("d9_label_tokens", f"select doc_id, count(*) as tokens, count(*) filter (where lower(w) = 'loratenant') as kept from (select doc_id, unnest(regexp_extract_all(text, {lit(P.WORD)})) as w from ({LABELLED})) group by doc_id")
+#: Words of the texts are told from term occurrences by place: "Loraten" is inside a word, "er th" reaches over two.
+@query("d9_label_tokens", f"""with w as (select doc_id, text, unnest(l) as m, generate_subscripts(l, 1) as i, unnest(list_transform(string_split_regex(text, {lit(P.WORD)})[:len(l)], lambda x: len(x))) as g
+   from (select doc_id, text, regexp_extract_all(text, {lit(P.WORD)}) as l from ({LABELLED}))),
+ t as (select *, sum(g + len(m)) over (partition by doc_id order by i) as e from w)
+ select doc_id, count(*) as tokens, count(*) filter (where contains(lower(m), 'loraten') or regexp_matches(lower(m), '^th') and regexp_matches(lower(substr(text, greatest(1, (e - len(m) - 2)::bigint), 3)), '^er $')
+   or regexp_matches(lower(m), 'er$') and lower(substr(text, (e + 1)::bigint, 3)) = ' th') as kept from t group by doc_id""")
 def d9(spark, sf):
-    terms = spark.createDataFrame([("LORATENANT",), ("ADAPTERACTIVE",)], "term string")
+    terms = spark.createDataFrame([("Loraten",), ("ADAPTERACTIVE",), ("er th",)], "term string")
     found = G.explode_label_tokens(corpus.label_corpus(docs(spark, sf)), "text", terms)
     return found.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("label").alias("kept"))
 
 
+JSON_PROSE = "'Event {' || event_type || '} of ' || user_id || ': ' || props || ' and [1, {\"k\": 2, \"k\": 3}]' || chr(10) || '{\"done\": true}. [x](y)'"
+
+
+@query("d10_explode_json_regions", """select event_id, r.start::int as start, r."end"::int as "end", r.syntax, r.keys as duplicate_keys, r.region from (select event_id, unnest([
+   {'start': p, 'end': p + len(props), 'syntax': 'strict_json_object', 'keys': '', 'region': props},
+   {'start': p + len(props) + 5, 'end': p + len(props) + 26, 'syntax': 'ndjson', 'keys': 'k', 'region': '[1, {"k": 2, "k": 3}]'},
+   {'start': p + len(props) + 27, 'end': p + len(props) + 41, 'syntax': 'ndjson', 'keys': '', 'region': '{"done": true}'}]) as r
+  from (select event_id, props, 14 + len(event_type) + len(user_id::varchar) as p from events))""")
+def d10(spark, sf):
+    """JSON inside prose, between brackets that hold none."""
+    rows = table(spark, sf, "events", spread=True).select("event_id", F.expr(JSON_PROSE.replace("chr(10)", "char(10)")).alias("text"))
+    return G.explode_json_regions(rows, "text").select("event_id", "start", "end", "syntax", F.array_join("duplicate_keys", ",").alias("duplicate_keys"), "region")
+
+
 @query("m1_synthesize_corpus", f"select doc_id, sha256(text) as text_sha256, length(text)::bigint as chars from ({INCIDENTS})")
 def m1(spark, sf):
     return corpus.incident_corpus(table(spark, sf, "orders", spread=True)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))

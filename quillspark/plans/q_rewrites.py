@@ -79,6 +79,10 @@ def e5(spark, sf):
     return out.select("doc_id", "lang", F.sha2(F.when(F.col("lang") == "fr", fr).otherwise(F.col("dropped")), 256).alias("same_body"))
 
 
+#: The character references that the pages hold; the operator decodes all of them.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def _page_sql():
     x = "html"
     for t in ("script", "style", "template", "svg", "noscript"):
@@ -88,7 +92,7 @@ def _page_sql():
     x = rf"regexp_replace({x}, '(?i)<li[^>]*>', chr(10) || '- ', 'g')"
     x = rf"regexp_replace({x}, '(?i)<(?:br|p|div|tr|article|main|section|footer|header|nav|ul|ol|table|title)[^>]*>|</(?:p|div|h[1-6]|tr|article|main|section|footer|header|nav|ul|ol|table|title)>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    for name, value in R.ENTITIES:
+    for name, value in ENTITIES:
         x = f"replace({x}, {lit(name)}, {lit(value)})"
     x = rf"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
     return rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"

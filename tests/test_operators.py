@@ -130,6 +130,54 @@ def test_page_text(spark):
     assert one(spark, R.page_text, page) == "- Home\n\n# Title\n\nA & B\nC"
 
 
+def test_page_text_decodes_all_references(spark):
+    assert one(spark, R.page_text, "<p>a&mdash;b caf&eacute; &#8217;x&#x27; &amp;lt; &hellip;&unknown; R&D</p>") == "a—b café ’x' &lt; …&unknown; R&D"
+
+
+def test_labels_overlap_terms(spark):
+    rows = texts(spark, "LORATENANT tenantnoise", "a big red-ish Dog, bigger dogs", None, "")
+    terms = spark.createDataFrame([("ORATEN",), ("big red",), ("d dog",), ("ger d",), ("",)], "t string")
+    got = {}
+    for r in G.explode_label_tokens(rows, "text", terms).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.token, r.label))
+    assert got == {0: [(0, 10, "LORATENANT", 1), (11, 22, "tenantnoise", 0)], 1: [(0, 1, "a", 0), (2, 5, "big", 1), (6, 13, "red-ish", 1), (14, 17, "Dog", 0), (19, 25, "bigger", 1), (26, 30, "dogs", 1)]}
+    none = G.explode_label_tokens(rows, "text", terms.where("false"))
+    assert {r.label for r in none.collect()} == {0}
+
+
+def test_json_regions(spark):
+    text = 'See {name} and {"a": [1, {"a": 2, "a": 3}]}x {"b": 1}\n\n[2] tail {"c": 1} {bad: 1} [' + "[" * 3000
+    got = [(r.syntax, r.region, r.duplicate_keys, r.ambiguous) for r in G.explode_json_regions(texts(spark, text, None), "text").orderBy("start").collect()]
+    assert got == [("strict_json_array", '[1, {"a": 2, "a": 3}]', ["a"], True), ("ndjson", '{"b": 1}', [], True), ("ndjson", "[2]", [], True), ("strict_json_object", '{"c": 1}', [], True)]
+    (plain,) = G.explode_json_regions(texts(spark, 'é {"k": "]"}'), "text").collect()
+    assert (plain.start, plain.end, plain.ambiguous) == (2, 12, False)
+
+
+def test_eval_checks(spark):
+    schema = "case string, output string, original_tokens long, compressed_tokens long, elapsed_ms double, sections array<string>, required array<string>, spaceless array<string>, forbidden array<string>, section_kinds array<string>, min_reduction double, max_elapsed_ms double"
+    rows = [("a", "keep  this", 10, 8, 5.0, ["prose"], ["keep"], ["keep this"], ["drop"], ["prose"], 0.1, 10.0), ("b", " ", 10, 12, 5.0, [], ["keep"], None, [" "], ["code"], 0.1, 1.0), ("c", "x", 0, 0, 1.0, None, None, None, None, None, None, None)]
+    got = {}
+    for r in reports.eval_checks(spark.createDataFrame(rows, schema), "case").collect():
+        got.setdefault(r.case, {})[r.check] = (r.severity, r.passed)
+    names = ["non_empty_output", "not_larger_than_input", "required_0", "required_whitespace_insensitive_0", "forbidden_0", "section_prose"]
+    assert got["a"] == {n: ("error", True) for n in names} | {n: ("warning", True) for n in ("min_reduction", "max_elapsed_ms")}
+    assert got["b"] == {n: ("error", False) for n in ("non_empty_output", "not_larger_than_input", "required_0", "forbidden_0", "section_code")} | {n: ("warning", False) for n in ("min_reduction", "max_elapsed_ms")}
+    assert got["c"] == {"non_empty_output": ("error", True), "not_larger_than_input": ("error", True)}
+
+
+def test_exact_percentiles(spark):
+    import random
+    from statistics import quantiles
+
+    r = random.Random(5)
+    rows = [(k, float(r.choice((r.randint(0, 9), r.random() * 100)))) for k in ("a", "b", None) for _ in range(301)] + [("one", 4.0), ("nulls", None), ("a", None)]
+    got = {x.k: x.p for x in reports.exact_percentiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
+    for k in ("a", "b", None):
+        v = [x for g, x in rows if g == k and x is not None]
+        assert got[k] == pytest.approx([min(v), *quantiles(v, n=4, method="inclusive"), max(v)])
+    assert got["one"] == [4.0] * 5 and "nulls" not in got
+
+
 def test_masks_round_trip(spark):
     text = "Call ORD-7781 and ORD-7782 for $15,000.\nThen mail a@b.co or see https://x.y/z now, item 12."
     row = texts(spark, text, "nothing").withColumn("m", R.mask_spans(F.col("text"))).select("text", "m.masked", "m.kept")
