@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of WINDOW lines ends a chunk wherever it is 0 modulo SPREAD, so
-boundaries depend on nearby lines alone and survive insertions above. Chunks of several lines
+A rolling hash over the hashes of two lines ends a chunk wherever it is 0 modulo SPREAD, so
+boundaries depend on nearby lines alone and survive insertions above; chunks have SPREAD lines on
+average. Chunks of several lines
 are compared by a 64-bit hash first, with small rows; only chunks whose hash repeats are taken
 from the text and grouped by their bytes. All but the first of a group go.
 """
@@ -88,8 +89,8 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     whole = _with_chunks(base.join(gone, ["k", "m"], "left").withColumn("body", F.col("row")[text]))
     none = F.array().cast("array<int>")
     whole = whole.withColumn("gone", F.coalesce("gone", none))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains(F.col("gone"), i))
-    whole = whole.withColumn("left", F.flatten(kept))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
+    whole = whole.withColumn("left", F.flatten(F.transform(kept, lambda i: F.get("chunks", i))))
     return whole.select(
         "row",
         F.size("lines").cast("long").alias("n_lines"),

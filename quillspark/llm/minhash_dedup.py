@@ -278,3 +278,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return signed.select("id", "n_shingles").join(labels, "id", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("id")), F.lit(True)).alias("kept")
     )
+
+
+#: The contract of the registered query, for DuckDB.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+ sets as (select doc_id, case when len(ws) < 3 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end as s from w where len(ws) > 0),
+ items as (select doc_id, len(s) as n, unnest(s) as x from sets),
+ pairs as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from items a join items b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+ links as materialized (select a, b from pairs where 100 * c >= 85 * (na + nb - c)),
+ edges as materialized (select a, b from links union all select b, a from links),
+ reach(id, r) as (select doc_id, doc_id from documents union select e.b, reach.r from reach join edges e on e.a = reach.id)
+select d.doc_id, coalesce(len(s.s), 0)::bigint as n_shingles, m.component as component_id, m.component = d.doc_id as kept
+from documents d left join sets s using (doc_id) join (select id, min(r) as component from reach group by id) m on m.id = d.doc_id
+"""

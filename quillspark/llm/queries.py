@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_extract, language_id, line_dedup, mpeg_audio, quality, sentence_pieces
+from quillspark.llm import html_extract, language_id, line_dedup, minhash_dedup, mpeg_audio, quality, sentence_pieces, substring_dedup, suffix_dedup
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.substring_dedup import repeated_windows
@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = _table(spark, sf_dir, "documents"), sentence_pieces.Vocabulary.load()
-    both = sentence_pieces.decode_docs(sentence_pieces.encode_docs(docs, vocabulary), vocabulary)
+    both = sentence_pieces.round_trip(docs, vocabulary)
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -87,4 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op3_minhash_dedup": minhash_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+}

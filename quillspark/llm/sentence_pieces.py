@@ -28,7 +28,7 @@ from quillspark.llm.text_hash import slabs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 1 << 20
-REMEMBERED = 400_000  # units kept with their ids
+REMEMBERED = 250_000  # units kept with their ids
 AT_ONCE = 30_000  # units in one suffix array
 GAP = "▁"  # a space, in pieces
 GAP_BYTES = GAP.encode()
@@ -273,6 +273,35 @@ class Decoder:
         return [t if valid else None for t, valid in zip(texts, rows.is_valid().to_pylist(), strict=True)] if rows.null_count else texts
 
 
+ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def _encoded(batches, vocabulary: Vocabulary):
+    """Batches of (id, body) as batches of (id, ids), of at most BATCH_CHARS characters each."""
+    encoder = Encoder(vocabulary)
+    for b in batches:
+        texts = b["body"].to_pylist()
+        for lo, hi in slabs([len(t or "") for t in texts], BATCH_CHARS):
+            found = encoder.encode([t or "" for t in texts[lo:hi]])
+            null = pa.array([t is None for t in texts[lo:hi]])
+            found = pa.ListArray.from_arrays(found.offsets, found.values, mask=null) if null.true_count else found
+            yield pa.record_batch([b["id"].slice(lo, hi - lo), found], schema=ENCODED)
+
+
+def _decoded(batches, vocabulary: Vocabulary):
+    """Batches of (id, ids) with the text of the ids."""
+    decoder = Decoder(vocabulary)
+    for b in batches:
+        sizes = pc.list_value_length(b["ids"]).fill_null(0).to_pylist()
+        for lo, hi in slabs(sizes, BATCH_CHARS):
+            part = b.slice(lo, hi - lo)
+            yield pa.record_batch([part["id"], part["ids"], pa.array(decoder.decode(part["ids"]), pa.string())], names=["id", "ids", "text"])
+
+
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
+
+
 def encode_docs(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, ids array<int> for each row; a null text stays null, an empty one has no ids.
 
@@ -280,19 +309,11 @@ def encode_docs(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id",
     back as one. Only the named columns are read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    out = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder = Encoder(shared.value)
-        for b in batches:
-            texts = b["body"].to_pylist()
-            for lo, hi in slabs([len(t or "") for t in texts], BATCH_CHARS):
-                found = encoder.encode([t or "" for t in texts[lo:hi]])
-                null = pa.array([t is None for t in texts[lo:hi]])
-                found = pa.ListArray.from_arrays(found.offsets, found.values, mask=null) if null.true_count else found
-                yield pa.record_batch([b["id"].slice(lo, hi - lo), found], schema=out)
+        yield from _encoded(batches, shared.value)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(run, "id long, ids array<int>")
+    return _source(docs, doc_id, text).mapInArrow(run, "id long, ids array<int>")
 
 
 def decode_docs(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -300,11 +321,17 @@ def decode_docs(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        decoder = Decoder(shared.value)
-        for b in batches:
-            sizes = pc.list_value_length(b["ids"]).fill_null(0).to_pylist()
-            for lo, hi in slabs(sizes, BATCH_CHARS):
-                part = b.slice(lo, hi - lo)
-                yield pa.record_batch([part["id"], part["ids"], pa.array(decoder.decode(part["ids"]), pa.string())], names=["id", "ids", "text"])
+        yield from _decoded(batches, shared.value)
 
     return encoded.select("id", "ids").mapInArrow(run, "id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode_docs`` and ``decode_docs`` in one Python worker for each task, where two would hold twice the memory."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        yield from _decoded(_encoded(batches, shared.value), shared.value)
+        pa.default_memory_pool().release_unused()
+
+    return _source(docs, doc_id, text).mapInArrow(run, "id long, ids array<int>, text string")

@@ -215,3 +215,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(group, X.SENT_DDL)
     second = X.climb(second, levels, fan, ("seg",), least.merge, least.settle, least.answer)
     return dealt.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(remove, RESULT)
+
+
+#: The contract of the registered query, for DuckDB.
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+ pos as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i, unnest(list_transform(range(1, len(ws) + 1), lambda i: case when i + 19 <= len(ws) then array_to_string(ws[i:i + 19], ' ') end)) as k from w),
+ ranked as (select *, k is not null and row_number() over (partition by k order by doc_id, i) > 1 as again from pos),
+ told as (select *, coalesce(bool_or(again) over (partition by doc_id order by i rows between 19 preceding and current row), false) as gone from ranked)
+select w.doc_id, w.n::bigint as n_words, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from (select doc_id, len(ws) as n from w) w left join told using (doc_id) group by w.doc_id, w.n
+"""

@@ -508,3 +508,17 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_runs, X.SENT_DDL)
     second = X.climb(second, levels, fan, ("seg",), runs_of.merge, runs_of.settle, runs_of.answer)
     return dealt.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(remove, RESULT)
+
+
+#: The contract of the registered query, for DuckDB.
+ORACLE = r"""
+with h as (select doc_id, hex(coalesce(text, '')) as s from documents),
+ win as (select doc_id, unnest(range(len(s) // 2)) as i, unnest(list_transform(range(len(s) // 2), lambda i: substr(s, 2 * i + 1, 2))) as byte,
+   unnest(list_transform(range(len(s) // 2), lambda i: case when 2 * i + 100 <= len(s) then substr(s, 2 * i + 1, 100) end)) as k from h),
+ firsts as (select k, min(doc_id) as first, max(doc_id) as last from win where k is not null group by k having min(doc_id) < max(doc_id)),
+ ranked as (select win.doc_id, i, byte, coalesce(first < win.doc_id, false) as again from win left join firsts using (k)),
+ told as (select *, coalesce(bool_or(again) over (partition by doc_id order by i rows between 49 preceding and current row), false) as gone from ranked),
+ runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from told)
+select h.doc_id, h.n::bigint as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans, sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (where not gone), ''))) as kept_sha256
+from (select doc_id, len(s) // 2 as n from h) h left join runs using (doc_id) group by h.doc_id, h.n
+"""

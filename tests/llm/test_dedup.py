@@ -214,3 +214,15 @@ def test_queries_match_brute_force(spark, sf):
     assert sorted(tuple(r) for r in queries.op2_suffix_dedup(spark, sf).collect()) == brute.byte_strings(rows)
     assert sorted(tuple(r) for r in queries.op3_minhash_dedup(spark, sf).collect()) == brute.near(rows)
     assert sorted(tuple(r) for r in queries.op6_substring_dedup(spark, sf).collect()) == brute.substring(rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, sf, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got, want = queries.QUERIES[name](spark, sf), duck.sql(queries.ORACLE[name])
+    columns = [c for c in want.columns if c in got.columns]
+    assert sorted(columns) == sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())

@@ -1,6 +1,7 @@
 """Decontamination, language ID, quality, pieces, audio, pages and the pipeline."""
 
 import hashlib
+import math
 import random
 import tempfile
 import zlib
@@ -193,6 +194,70 @@ def test_quality_on_held_out_labels(spark):
     assert wins > 0.9 and sum(s >= 0.3 for s in good) >= 0.98 * len(good)
 
 
+def plain_ftrl(rows):
+    """FTRL with dictionaries, one weight after the other."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for found, y in rows:
+            x = {k: c * quality.SCALE / max(1, len(found)) for k, c in Counter(found).items()} | {1 << quality.BITS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / quality.ALPHA * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_quality_matches_a_plain_loop(spark):
+    r = random.Random(17)
+    words = "good fine well bad awful click buy now now the a of".split()
+    rows = [(i, " ".join(r.choices(words[: 6 + 6 * (i % 2)], k=r.randint(0, 30)))) for i in range(60)]
+    labels = [(i, 1 - i % 2) for i in range(50)]
+    docs = frame(spark, rows)
+    got = {x.id: x.score for x in quality.score(docs, quality.fit(docs, frame(spark, labels, "doc_id long, quality int"))).collect()}
+    found = {i: f.tolist() for (i, _), f in zip(rows, quality.features([t.encode() for _, t in rows], quality.Quick()))}
+    shards: dict[int, list] = {}
+    for x in frame(spark, labels, "id long, y int").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(quality.SHARDS))).collect():
+        shards.setdefault(x.shard, []).append((x.id, x.y))
+    total: Counter = Counter()
+    for part in shards.values():
+        part.sort(key=lambda x: (hash((x[0], 1)), x[0]))
+        for k, w in plain_ftrl([(found[i], y) for i, y in part]).items():
+            total[k] += w * len(part) / len(labels)
+    for i, f in found.items():
+        dot = total[1 << quality.BITS] + sum(total[k] for k in f) * quality.SCALE / max(1, len(f))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-4)
+
+
+def test_extra_columns_and_long_texts(spark):
+    """Columns with the names that operators use inside, nulls in them, repeated rows, a very long text."""
+    schema = "doc_id long, text string, id long, body string, lang string, score double, row string, html string, url string, page_id long, item_id long, y int"
+    long = " ".join(f"word{i % 977}" for i in range(150_000))
+    rows = [(1, "some text here", 5, "b", "en", 0.1, "r", "<p>x</p>", "http://a/b", 1, 1, 1), (1, "some text here", None, None, None, None, None, None, None, None, None, None), (2, long, 5, "b", "en", 0.1, "r", "<p>y</p>", "http://a/c", 2, 1, 1), (None, None, 1, "", "", 0.0, "", "", "", 3, 2, 0)]
+    docs, none = frame(spark, rows, schema), frame(spark, [], schema)
+    v = S.Vocabulary.load()
+    model = language_id.fit(docs, "text", "lang", "doc_id")
+    weights = quality.fit(docs, docs.select("doc_id", F.col("y").alias("quality"), "id", "text"))
+    runs = [
+        lambda d: S.decode_docs(S.encode_docs(d, v), v), lambda d: S.round_trip(d, v), lambda d: language_id.predict(d, model), lambda d: quality.score(d, weights), lambda d: mpeg_audio.read(mpeg_audio.store(d)),
+        lambda d: H.extract(d), lambda d: leaks(d, docs, item_text="body", item_id="item_id").select("id").distinct().unionAll(d.select("doc_id")),
+    ]
+    for k, run in enumerate(runs):
+        assert run(docs).count() >= len(rows) and run(none).count() == 0, k
+    (text,) = [x.text for x in S.decode_docs(S.encode_docs(docs, v), v).collect() if x.id == 2]
+    assert text == long
+    page = "<body>" + "<p>same</p>" * 20_000 + "<p>own</p></body>"
+    out = H.extract(frame(spark, [(1, "http://h/a", page), (2, "http://h/b", page.replace("own", "other"))], "page_id long, url string, html string"))
+    assert {x.page_id: x.text[-5:] for x in out.collect()} == {1: "e\nown", 2: "other"}
+
+
 def test_quality_edge_cases(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "a b"), (3, "x " * 50_000)])
     weights = quality.fit(docs, frame(spark, [(1, None), (None, 1)], "doc_id long, quality int"))
