@@ -56,8 +56,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256: the ids and the digest of the text they decode to."""
-    vocabulary = sentence_pieces.Vocabulary.load()
-    both = sentence_pieces.decode_docs(sentence_pieces.encode_docs(docs, vocabulary), vocabulary)
+    both = sentence_pieces.round_trip(docs, sentence_pieces.Vocabulary.load())
     return both.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
