@@ -226,6 +226,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     banded = reps.select("id", "n_bytes", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("band", "first")
     members = cut_lineage(banded.join(shared, "band").where("id > first"))
+    # Texts are taken from the table once, for members of bands alone; both passes read these.
+    ids = members.select("id").unionAll(members.select(F.col("first").alias("id"))).distinct()
+    texts = cut_lineage(source.join(ids, "id", "left_semi"))
 
     def blocks(rows: str, size: str):
         return F.ceil(F.greatest(F.col(rows) / block, F.col(size) / BLOCK_BYTES)).cast("int")
@@ -245,13 +248,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return table.filter(pa.array(live))
 
         def verify(table: pa.Table) -> pa.Table:
-            rows, texts, found = columns(table), table["body"].combine_chunks(), []
+            rows, bodies, found = columns(table), table["body"].combine_chunks(), []
             for unit, at in units_of(table):
-                found += verified({k: v[at] for k, v in rows.items()}, texts.take(pa.array(at)).to_pylist(), unit, words, percent, bounds)
+                found += verified({k: v[at] for k, v in rows.items()}, bodies.take(pa.array(at)).to_pylist(), unit, words, percent, bounds)
             return pa.table({"a": [x[0] for x in found], "b": [x[1] for x in found]}, schema=LINKS)
 
         alive = signs.groupBy("place").applyInArrow(prune, UNITS_DDL)
-        return alive.join(source, "id").groupBy("place").applyInArrow(verify, "a long, b long")
+        return alive.join(texts, "id").groupBy("place").applyInArrow(verify, "a long, b long")
 
     star = members.select(F.col("first").alias("unit"), "id", "n_bytes").distinct()
     salts = star.groupBy("unit").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size")).select("unit", blocks("n", "size").alias("salts"))
