@@ -181,23 +181,52 @@ def write_stream(payload: bytes) -> bytes:
     return b"ID3\3\0\0" + _syncsafe(len(tag)) + tag + _frame(first + 1, xing, sizes[first]) + b"".join(frames)
 
 
+def _unsafe(raw: bytes) -> int:
+    """A number of seven bits a byte."""
+    return sum((b & 127) << 7 * i for i, b in enumerate(reversed(raw)))
+
+
+def _synchronised(raw: bytes) -> bytes:
+    """Takes out the zero bytes that unsynchronisation put behind 0xFF."""
+    return raw.replace(b"\xff\0", b"\xff")
+
+
+def _texts(body: bytes) -> list[str]:
+    """The strings of a text frame; its first byte names the encoding."""
+    codec = {1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1")
+    raw = body[1:]
+    if codec == "utf-16":
+        codec = "utf-16-be" if raw[:2] == b"\xfe\xff" else "utf-16-le"
+    return [x.removeprefix("\ufeff") for x in raw.decode(codec, "replace").split("\0")]
+
+
 def read_tag(data: bytes) -> tuple[dict[str, str], int]:
-    """User text of a leading ID3v2 tag, and where the tag ends."""
+    """Texts of a leading ID3v2 tag (2.2, 2.3 and 2.4), and where the tag ends."""
     found: dict[str, str] = {}
     if data[:3] != b"ID3" or len(data) < 10:
         return found, 0
-    end = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    at = 10
-    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
-        n = int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + n]
-        if data[at : at + 4] == b"TXXX":
-            name, _, value = body[1:].partition(b"\0")
-            found[name.decode("latin-1")] = value.decode("latin-1")
-        elif data[at : at + 1] == b"T":
-            found[data[at : at + 4].decode("latin-1")] = body[1:].decode("latin-1")
-        at += 10 + n
-    return found, min(end, len(data))
+    version, flags, end = data[3], data[5], 10 + _unsafe(data[6:10])
+    tag, at = data[10:end], 0
+    if flags & 0x80 and version < 4:
+        tag = _synchronised(tag)
+    if flags & 0x40 and version >= 3:  # an extended header; its size leaves itself out up to 2.3
+        at = _unsafe(tag[:4]) if version >= 4 else 4 + int.from_bytes(tag[:4], "big")
+    letters, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(tag) and tag[at : at + letters].strip(b"\0"):
+        name, raw = tag[at : at + letters].decode("latin-1"), tag[at + letters : at + 2 * letters]
+        n = _unsafe(raw) if version >= 4 else int.from_bytes(raw, "big")
+        body = tag[at + head : at + head + n]
+        if version >= 4:
+            body = body[4:] if tag[at + 9] & 1 else body  # a data length comes first
+            body = _synchronised(body) if tag[at + 9] & 2 or flags & 0x80 else body
+        if name[0] == "T":
+            texts = _texts(body)
+            if name.startswith("TXX"):
+                found[texts[0]] = texts[1] if len(texts) > 1 else ""
+            else:
+                found[name] = texts[0]
+        at += head + n
+    return found, min(end + 10 * bool(version >= 4 and flags & 0x10), len(data))
 
 
 class Stream:
@@ -206,7 +235,7 @@ class Stream:
     def __init__(self, data: bytes) -> None:
         self.tags, at = read_tag(data)
         end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
-        self.id3v1, self.vbr = end < len(data), None
+        self.id3v1, self.vbr, self.start = end < len(data), None, 0
         self.offsets, self.skipped, self.bad, self.checked = [], 0, 0, 0
         self.samples, self.duration, bodies, kind = 0, Fraction(0), [], None
         free, own = 0, LENGTH_FRAME.decode() in self.tags
@@ -233,7 +262,7 @@ class Stream:
                 self.bad += not sound
             table = self._table(frame, h) if not self.offsets and self.vbr is None else None
             if table:
-                self.vbr = table
+                self.vbr, self.start = table, at
             else:
                 self.offsets.append(at)
                 self.samples += h.samples
@@ -242,6 +271,8 @@ class Stream:
                 bodies.append(frame[h.body :] if not own or h.layer != 3 or used > h.size - h.body else frame[h.body : h.body + used])
             self.last, at = h, at + h.size
         self.body = b"".join(bodies)
+        gaps = (self.vbr or {}).get("delay", 0) + (self.vbr or {}).get("filler", 0)
+        self.played = max(Fraction(0), self.duration - Fraction(gaps, self.last.hertz)) if self.offsets else self.duration  # without what the encoder added
 
     @staticmethod
     def _table(frame: bytes, h: Header) -> dict | None:
@@ -255,11 +286,40 @@ class Stream:
                     at += 4
             if flags & 4:
                 found["toc"] = list(frame[at : at + 100])
+                found["seek"] = [x * found.get("bytes", 0) // 256 for x in found["toc"]]
+                at += 100
+            at += 4 * bool(flags & 8)
+            if frame[at : at + 4] in (b"LAME", b"Lavc", b"Lavf"):  # samples that an encoder put before and behind
+                gaps = int.from_bytes(frame[at + 21 : at + 24], "big")
+                found["delay"], found["filler"] = gaps >> 12, gaps & 0xFFF
             return found
         if own == b"VBRI":
-            return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+            entries, scale, width, each = (int.from_bytes(frame[i : i + 2], "big") for i in (54, 56, 58, 60))
+            steps = [int.from_bytes(frame[62 + width * i : 62 + width * (i + 1)], "big") * scale for i in range(entries if 0 < width <= 4 else 0)]
+            found = {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+            return found | {"seek": [sum(steps[:i]) for i in range(len(steps))], "frames_per_entry": each}
         return None
 
+    def seek(self, seconds: Fraction | float) -> tuple[int, int]:
+        """Number and offset of the frame that holds a moment, from the frames themselves; the last one beyond the end."""
+        if not self.offsets:
+            raise ValueError("no frames")
+        n = min(len(self.offsets) - 1, max(0, int(Fraction(seconds) * len(self.offsets) / self.duration)))
+        return n, self.offsets[n]
+
+    def table_error(self) -> int | None:
+        """Most bytes by which the stored seek table is off a frame's true place; null without a table.
+
+        A Xing entry is a 256th of the bytes, so up to that much is rounding.
+        """
+        if not self.vbr or not self.offsets or not self.vbr.get("seek"):
+            return None
+        places, n = self.vbr["seek"], len(self.offsets)
+        step = self.vbr.get("frames_per_entry")
+        first = self.start
+        at = [min(n - 1, i * step if step else i * n // len(places)) for i in range(len(places))]
+        return max(abs(first + p - self.offsets[k]) for p, k in zip(places, at, strict=True))
+
 
 def read_stream(data: bytes) -> Stream:
     return Stream(data)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import tempfile
 import zlib
 from collections import Counter
@@ -360,6 +361,44 @@ def test_audio_free_format_and_foreign_bodies():
     assert mpeg_audio.read_stream(foreign * 2).body == foreign[21:] * 2
 
 
+def id3(version, flags, body):
+    return b"ID3" + bytes((version, 0, flags)) + mpeg_audio._syncsafe(len(body)) + body
+
+
+def test_audio_tags_of_all_versions():
+    utf16 = b"\1" + "é\0".encode("utf-16") + "x".encode("utf-16")
+    frame4 = lambda name, body, flag=0: name + mpeg_audio._syncsafe(len(body)) + bytes((0, flag)) + body
+    frame3 = lambda name, body: name + len(body).to_bytes(4, "big") + b"\0\0" + body
+    long = b"\0" + b"t" * 300
+    cases = [
+        (id3(4, 0, frame4(b"TIT2", long) + frame4(b"TXXX", utf16) + bytes(9)), {"TIT2": "t" * 300, "é": "x"}, 0),
+        (id3(4, 0x50, mpeg_audio._syncsafe(6) + b"\1\0" + frame4(b"TALB", b"\3\xc3\xa9")) + b"3DI" + bytes(7), {"TALB": "é"}, 0),
+        (id3(4, 0, frame4(b"TALB", b"\0\0\0\4\0\xff\0b", 3)), {"TALB": "ÿb"}, 0),
+        (id3(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + frame3(b"TPE1", b"\2" + "é".encode("utf-16-be"))), {"TPE1": "é"}, 0),
+        (id3(3, 0x80, frame3(b"TPE1", b"\0a\xffb").replace(b"\xff", b"\xff\0")), {"TPE1": "aÿb"}, 0),
+        (id3(2, 0, b"TT2" + (3).to_bytes(3, "big") + b"\0hi"), {"TT2": "hi"}, 0),
+    ]
+    for data, want, _ in cases:
+        assert mpeg_audio.read_tag(data + b"rest") == (want, len(data))
+
+
+def test_audio_seek_tables_and_gaps():
+    s = mpeg_audio.read_stream(mpeg_audio.write_stream(bytes(range(256)) * 600))
+    assert s.seek(0) == (0, s.offsets[0]) and s.seek(10**6) == (len(s.offsets) - 1, s.offsets[-1])
+    n = len(s.offsets) // 2
+    assert s.seek(Fraction(1152 * n, 44100)) == (n, s.offsets[n]) and s.table_error() <= s.vbr["bytes"] // 256 + 1 and s.played == s.duration
+
+    def frame(body):
+        return (b"\xff\xfb\x90\xc0" + bytes(17) + body).ljust(417, b"\0")
+
+    vbri = b"\xff\xfb\x90\xc0" + bytes(32) + b"VBRI" + bytes(6) + (417 * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + struct.pack(">4H", 2, 1, 2, 2) + struct.pack(">2H", 417 * 3, 834)
+    s = mpeg_audio.read_stream(vbri.ljust(417, b"\0") + frame(b"x") * 4)
+    assert s.vbr["kind"] == "VBRI" and s.vbr["seek"] == [0, 1251] and s.vbr["frames_per_entry"] == 2 and s.table_error() == 417
+    lame = b"Info" + struct.pack(">I", 1) + (3).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 100).to_bytes(3, "big")
+    s = mpeg_audio.read_stream(frame(lame) + frame(b"y") * 3)
+    assert s.duration == Fraction(3456, 44100) and s.played == Fraction(3456 - 676, 44100)
+
+
 def test_audio_query(spark, sf):
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op7_mpeg_audio(spark, sf).collect():
