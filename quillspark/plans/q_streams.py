@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillspark.plans.common import query, table, tok
 from quillspark.sources import corpus
+from quillspark.sources.folders import scratch_folder
 from quillspark.streaming import streams as S
 
 
@@ -71,15 +69,15 @@ def k5(spark, sf):
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "files")
 
 
 @query("a2_read_export", "select 'c' || (doc_id % 3) as condition_id, lang as tenant_id, count(*) as records, sum(n_chars)::bigint as tokens from documents group by 1, 2")
 def a2(spark, sf):
     """Exports written by condition, read back by version, one row for each record."""
     folder = _folder(spark)
-    d = table(spark, sf, "documents").withColumn("condition_id", F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    d = table(spark, sf, "documents").withColumn("condition_id", F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))
+    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, d.count() // 10_000))))
     record = F.struct(F.col("doc_id").cast("string").alias("case_id"), "condition_id", F.col("lang").alias("tenant_id"), F.col("n_chars").alias("original_tokens"), F.col("n_chars").alias("final_tokens"), F.lit(1.5).alias("latency_ms"))
     # Exports are files of bounded size: a condition's records are split into parts, one envelope each.
     d.groupBy("condition_id", "part").agg(F.collect_list(record).alias("records")).select(F.lit(corpus.EXPORT_VERSION).alias("schema_version"), "records").repartition(8).write.option("maxRecordsPerFile", 1).json(folder)

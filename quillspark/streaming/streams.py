@@ -7,8 +7,6 @@ Idle keys leave the state by a timeout on the watermark.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillspark.functions import patterns as P
 from quillspark.functions.measures import requires_exact_output, token_count
 from quillspark.operators.rewrite import compact_text
+from quillspark.sources.folders import scratch_folder
 
 
 def read_requests(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
@@ -163,8 +162,7 @@ def stream_measures(stream: DataFrame, text: str) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into the shared folder, and reads the result back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     schema = stream.schema
     if mode == "append":
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
