@@ -115,10 +115,23 @@ def select_cases(cases: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFra
     return cases.join(wanted, key, "left_semi"), wanted.join(cases, key, "left_anti")
 
 
-def overlap_join(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Tokens with the spans of their document that they overlap (half-open intervals)."""
-    t, s = tokens.alias("t"), spans.alias("s")
-    return t.join(s, (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t.start") < F.col("s.end")) & (F.col("t.end") > F.col("s.start")))
+def overlap_join(tokens: DataFrame, spans: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """Tokens with the spans of their document that they overlap (half-open intervals).
+
+    Both sides are dealt to stretches of ``width`` characters, so that a long document's rows meet
+    only near each other; a pair counts in the stretch where the later of the two begins.
+    """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        first, last = F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width)
+        return df.withColumn("__at", F.explode(F.sequence(first, last)))
+
+    t, s = dealt(tokens).alias("t"), dealt(spans).alias("s")
+    near = (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t.__at") == F.col("s.__at"))
+    meet = (F.col("t.start") < F.col("s.end")) & (F.col("t.end") > F.col("s.start"))
+    once = F.col("t.__at") == F.floor(F.greatest("t.start", "s.start") / width)
+    found = t.join(s, near & meet & once)
+    return found.select(*[F.col(f"t.{c}") for c in tokens.columns], *[F.col(f"s.{c}") for c in spans.columns])
 
 
 def constraint_check(docs: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:

@@ -153,6 +153,18 @@ def test_json_regions(spark):
     assert (plain.start, plain.end, plain.ambiguous) == (2, 12, False)
 
 
+def test_overlaps_meet_once(spark):
+    import random
+
+    r = random.Random(8)
+    make = lambda n, long: [(r.randint(0, 2), i, a := r.randint(0, 3000), a + r.randint(0, long)) for i in range(n)]  # noqa: E731, F841
+    tokens, spans = make(150, 12), make(60, 2500)
+    t = spark.createDataFrame(tokens, "doc long, pos long, start long, end long")
+    s = spark.createDataFrame(spans, "doc long, pos long, start long, end long")
+    got = sorted(tuple(x) for x in C.overlap_join(t, s, "doc", width=256).select("t.doc", "t.pos", "s.pos").collect())
+    assert got == sorted((d, i, j) for d, i, a, b in tokens for e, j, x, y in spans if d == e and a < y and b > x)
+
+
 def test_eval_checks(spark):
     schema = "case string, output string, original_tokens long, compressed_tokens long, elapsed_ms double, sections array<string>, required array<string>, spaceless array<string>, forbidden array<string>, section_kinds array<string>, min_reduction double, max_elapsed_ms double"
     rows = [("a", "keep  this", 10, 8, 5.0, ["prose"], ["keep"], ["keep this"], ["drop"], ["prose"], 0.1, 10.0), ("b", " ", 10, 12, 5.0, [], ["keep"], None, [" "], ["code"], 0.1, 1.0), ("c", "x", 0, 0, 1.0, None, None, None, None, None, None, None)]
