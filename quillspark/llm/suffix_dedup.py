@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspark.llm import exchange as X
-from quillspark.llm.text_hash import U64, Quick, byte_table, slabs, stir
+from quillspark.llm.text_hash import U64, Quick, byte_table, mix, slabs, stir
 
 ANCHORS, RUN, WINDOWS, FLAGS = 0, 2, 3, 9
 HOT = 4096  # an anchor of more different contexts is dealt out by its windows
@@ -64,16 +64,19 @@ def anchors(bodies: list[bytes], length: int, k: int):
         real = first < stops[doc]
         first, last, doc = first[real], last[real], doc[real]
         at = (least[first] & low).astype(np.int64)
-        parts.append((doc + lo, first - begins[doc], last - begins[doc], at - begins[doc], h[at], rolling.ranges(values, first, last + length)))
+        parts.append((doc + lo, first - begins[doc], last - begins[doc], at - begins[doc], mix(h[at]), rolling.ranges(values, first, last + length)))
     if not parts:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     return [np.concatenate([p[i] for p in parts]) for i in range(6)]
 
 
 def hashes_of(rows: np.ndarray) -> np.ndarray:
-    """Hashes of equally long byte strings, a row each; those of ``anchors`` for k bytes."""
+    """Hashes of equally long byte strings, a row each; those of ``anchors`` for k bytes.
+
+    An anchor has the least hash around, so its hash is mixed once more: ranges of it are even.
+    """
     up, table = Quick().table(rows.shape[1])[0][: rows.shape[1]], byte_table()
-    return np.concatenate([np.zeros(0, U64), *(stir((table[rows[i : i + 4096]] * up).sum(axis=1, dtype=U64)) for i in range(0, len(rows), 4096))])
+    return np.concatenate([np.zeros(0, U64), *(mix(stir((table[rows[i : i + 4096]] * up).sum(axis=1, dtype=U64))) for i in range(0, len(rows), 4096))])
 
 
 class Suffixes:
