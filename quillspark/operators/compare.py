@@ -21,17 +21,28 @@ def pair_versions(before: DataFrame, after: DataFrame, keys: list[str], text: st
     return both.withColumn("same", text_sha256(F.col("before")) == text_sha256(F.col("after"))).withColumn("tokens_before", token_count(F.col("before"))).withColumn("tokens_after", token_count(F.col("after"))).withColumn("delta", F.col("tokens_before") - F.col("tokens_after"))
 
 
-def multiset_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_a, n_b, missing, added: how often each row of keys occurs on either side."""
-    x, y = a.groupBy(*keys).agg(F.count("*").alias("n_a")), b.groupBy(*keys).agg(F.count("*").alias("n_b"))
-    both = x.join(y, keys, "full").fillna(0, ["n_a", "n_b"])
+def _sided(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.count_if(F.col("__side") == 0).alias("n_a"), F.count_if(F.col("__side") == 1).alias("n_b"))
     zero = F.lit(0).cast("long")
-    return both.withColumn("missing", F.greatest(zero, F.col("n_a") - F.col("n_b"))).withColumn("added", F.greatest(zero, F.col("n_b") - F.col("n_a")))
+    return found.withColumn("missing", F.greatest(zero, F.col("n_a") - F.col("n_b"))).withColumn("added", F.greatest(zero, F.col("n_b") - F.col("n_a")))
+
+
+def multiset_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_a, n_b, missing, added: how often each row of keys occurs on either side.
+
+    Both sides go through one aggregation; null keys are equal to each other.
+    """
+    return _counted(_sided(a.select(*keys), b.select(*keys)), keys)
 
 
 def span_diff(before: DataFrame, after: DataFrame, doc_id: str, text: str, kinds: tuple[str, ...]) -> DataFrame:
-    a, b = (explode_spans(x.select(doc_id, text), text, kinds).select(doc_id, "kind", "span") for x in (before, after))
-    return multiset_diff(a, b, [doc_id, "kind", "span"])
+    """``multiset_diff`` of the protected literals of two versions, whose texts are read in one pass."""
+    both = _sided(before.select(doc_id, text), after.select(doc_id, text))
+    return _counted(explode_spans(both, text, kinds), [doc_id, "kind", "span"])
 
 
 def retention_by_kind(diff: DataFrame) -> DataFrame:

@@ -94,10 +94,20 @@ def spans(text: Column, kinds: tuple[str, ...] = tuple(P.SPANS)) -> Column:
     return _placer(order, True)(_found(text, order))
 
 
+def inline_once(df: DataFrame, rows: Column) -> DataFrame:
+    """One row for each struct of ``rows``, an array that a Python function gives, beside df's columns.
+
+    Inlining outer and dropping the empty rows after keeps the function to one evaluation: from
+    plain ``explode`` Spark infers a filter on the array's size, which works the function out once more.
+    """
+    found = df.withColumn("__rows", rows).select("*", F.explode_outer("__rows").alias("__row")).where("__row is not null")
+    return found.drop("__rows")
+
+
 def explode_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = tuple(P.SPANS)) -> DataFrame:
     """start, end, kind, span for each protected literal."""
-    rows = df.withColumn("__spans", spans(F.col(text), kinds)).select("*", F.explode("__spans").alias("__s"))
-    return rows.select("*", "__s.start", "__s.end", "__s.kind", F.col("__s.text").alias("span")).drop("__spans", "__s")
+    rows = inline_once(df, spans(F.col(text), kinds)).withColumnRenamed("__row", "__s")
+    return rows.select("*", "__s.start", "__s.end", "__s.kind", F.col("__s.text").alias("span")).drop("__s")
 
 
 def explode_clauses(df: DataFrame, text: str) -> DataFrame:
@@ -188,7 +198,7 @@ def explode_label_tokens(df: DataFrame, text: str, terms: DataFrame, ignore_case
     if len(wanted) > 10_000:
         raise ValueError("more than 10,000 keep terms are no vocabulary of marker terms")
     tokens = _labeller(sorted(wanted), ignore_case)(F.col(text))
-    return df.withColumn("__t", tokens).drop(text).select("*", F.inline("__t")).drop("__t")
+    return inline_once(df, tokens).drop(text).select("*", "__row.*").drop("__row")
 
 
 REGIONS = T.ArrayType(T.StructType([
@@ -235,4 +245,4 @@ def explode_json_regions(df: DataFrame, text: str) -> DataFrame:
     character. Neighbours with only white space between are ndjson or concatenated_json;
     ``ambiguous`` ones come after a bracket that opens no JSON.
     """
-    return df.withColumn("__r", _regions(F.col(text))).select("*", F.inline("__r")).drop("__r")
+    return inline_once(df, _regions(F.col(text))).select("*", "__row.*").drop("__row")

@@ -159,7 +159,7 @@ def g7(spark, sf):
     none = spark.createDataFrame([], "term string")
     tokens = G.explode_label_tokens(rows, "text", none).select("doc_id", "pos", "start", "end")
     kinds = ("money", "identifier", "constraint")
-    spans = rows.select("doc_id", F.inline(G.span_array(F.col("text"), kinds))).select("doc_id", "start", "end", "kind")
+    spans = G.inline_once(rows, G.span_array(F.col("text"), kinds)).select("doc_id", "__row.start", "__row.end", "__row.kind")
     return C.overlap_join(tokens, spans, "doc_id").groupBy("t.doc_id", "kind").agg(F.count_distinct(F.struct("t.pos", "s.start")).alias("tokens"))
 
 
