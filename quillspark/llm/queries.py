@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_extract, language_id, line_dedup, minhash_dedup, mpeg_audio, quality, sentence_pieces, substring_dedup, suffix_dedup
+from quillspark.llm import fill_in_middle, html_extract, language_id, line_dedup, minhash_dedup, mixture, mpeg_audio, quality, sentence_pieces, substring_dedup, suffix_dedup
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.substring_dedup import repeated_windows
@@ -75,6 +75,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture.mixture(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -86,10 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mixture": op12_mixture,
 }
 ORACLE: dict[str, str] = {
     "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op3_minhash_dedup": minhash_dedup.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_mixture": mixture.ORACLE,
 }
