@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fill_in_middle, html_extract, language_id, line_dedup, minhash_dedup, mixture, mpeg_audio, quality, sentence_pieces, substring_dedup, suffix_dedup
+from quillspark.llm import fill_in_middle, html_extract, language_id, line_dedup, minhash_dedup, mixture, mpeg_audio, prefix_trie, quality, sentence_pieces, substring_dedup, suffix_dedup
 from quillspark.llm.decontaminate import leaks
 from quillspark.llm.minhash_dedup import near_duplicates
 from quillspark.llm.substring_dedup import repeated_windows
@@ -86,6 +86,10 @@ def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_mixture": op12_mixture,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op2_suffix_dedup": suffix_dedup.ORACLE,
@@ -107,4 +112,5 @@ ORACLE: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
     "op12_mixture": mixture.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
