@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import patterns as P
+from quillspark.functions.brackets import regions
 from quillspark.functions.measures import is_critical_clause
 
 
@@ -203,46 +202,26 @@ def explode_label_tokens(df: DataFrame, text: str, terms: DataFrame, ignore_case
 
 REGIONS = T.ArrayType(T.StructType([
     T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("syntax", T.StringType()),
-    T.StructField("duplicate_keys", T.ArrayType(T.StringType())), T.StructField("ambiguous", T.BooleanType()), T.StructField("region", T.StringType()),
+    T.StructField("duplicate_keys", T.ArrayType(T.StringType())), T.StructField("ambiguous", T.BooleanType()), T.StructField("flags", T.ArrayType(T.StringType())),
 ]))
-
-
-def _json_regions(text: str) -> list[dict]:
-    found: list[dict] = []
-    twice: list[str] = []
-
-    def pairs(items: list[tuple]) -> dict:
-        twice.extend(k for k, n in Counter(k for k, _ in items).items() if n > 1)
-        return dict(items)
-
-    decoder, at, broken = json.JSONDecoder(object_pairs_hook=pairs), 0, False
-    while m := re.compile(r"[\[{]").search(text, at):
-        at, end = m.start() + 1, 0
-        twice.clear()
-        try:
-            _, end = decoder.raw_decode(text, m.start())
-        except (json.JSONDecodeError, RecursionError):
-            broken = True  # an opening that doesn't close as JSON may be the parent of what follows
-        if end and not (text[end : end + 1].isalnum() or text[end : end + 1] == "_"):
-            syntax = "strict_json_object" if m[0] == "{" else "strict_json_array"
-            found.append({"start": m.start(), "end": end, "syntax": syntax, "duplicate_keys": sorted(set(twice)), "ambiguous": broken, "region": text[m.start() : end]})
-            at = end
-    for a, b in zip(found, found[1:]):
-        if not (between := text[a["end"] : b["start"]]).strip():
-            a["syntax"] = b["syntax"] = "ndjson" if "\n" in between else "concatenated_json"
-    return found
+SOUND = ("strict_json_object", "strict_json_array", "ndjson", "concatenated_json")
 
 
 @F.arrow_udf(REGIONS)
 def _regions(text: pa.Array) -> pa.Array:
-    return pa.array([_json_regions(t or "") for t in text.to_pylist()], to_arrow_type(REGIONS))
+    return pa.array([regions(t) if t else [] for t in text.to_pylist()], to_arrow_type(REGIONS))
 
 
-def explode_json_regions(df: DataFrame, text: str) -> DataFrame:
-    """start, end, syntax, duplicate_keys, ambiguous, region: JSON objects and arrays inside prose.
+def explode_json_regions(df: DataFrame, text: str, loose: bool = False) -> DataFrame:
+    """start, end, syntax, duplicate_keys, ambiguous, flags, region: JSON objects and arrays inside prose.
 
-    A region is the longest value that starts at an opening bracket and isn't followed by a word
-    character. Neighbours with only white space between are ndjson or concatenated_json;
-    ``ambiguous`` ones come after a bracket that opens no JSON.
+    Sound regions are strict_json_object or strict_json_array; neighbours with only white space
+    between are ndjson or concatenated_json. ``ambiguous`` ones stand inside brackets that hold no JSON;
+    ``flags`` name what the section in front of a region speaks of. With ``loose`` there is a row
+    for every bracket that opens no sound JSON too: jsonc_like (comments, trailing commas),
+    javascript_object_like (bare or single-quoted keys), template_or_bracket_syntax, invalid_balanced
+    and invalid_unbalanced. Such regions may nest and reach to the text's end, so their text is null.
     """
-    return inline_once(df, _regions(F.col(text))).select("*", "__row.*").drop("__row")
+    found = inline_once(df, _regions(F.col(text))).select("*", "__row.*").drop("__row")
+    region = F.when(F.col("syntax").isin(*SOUND), F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))
+    return (found if loose else found.where(F.col("syntax").isin(*SOUND))).withColumn("region", region)

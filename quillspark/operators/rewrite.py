@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from quillspark.functions import patterns as P
 from quillspark.functions.measures import collapsible_line, is_critical_clause, safe_boilerplate, token_count, whole_json
 from quillspark.operators.generators import explode_spans, explode_words, spans, squash
+from quillspark.operators.matching import splice, vocabulary, without_phrases
 
 FENCED = r"(?s)(?:`{3,}|~{3,})[^\n]*\n.*?(?:\n(?:`{3,}|~{3,})[ \t]*(?=\n|$)|$)"
 HTML_WHOLE = r"(?is)^\s*<(?:!doctype|html|body|table|div|section|article|main)\b.*>\s*$"
@@ -73,13 +74,18 @@ def unwrap_nocompress(text: Column) -> dict[str, Column]:
 def drop_phrases(df: DataFrame, text: str, key: str, phrases: DataFrame) -> DataFrame:
     """Removes each key's approved phrases that are safe boilerplate, and heals the space around.
 
-    ``phrases`` (key, phrase) is aggregated to one array for each key before it is joined.
+    ``phrases`` has key and phrase. All phrases of a text are found in one walk, the longest at the
+    leftmost place. A list too large to travel is aggregated to one array for each key and joined.
     """
-    safe = phrases.where(safe_boilerplate(F.col("phrase")) & ~F.col("phrase").rlike(P.java(P.UNSAFE_WRAPPER)))
-    each = safe.groupBy(key).agg(F.array_sort(F.collect_set("phrase")).alias("__p"))
-    cut = F.aggregate(F.col("__p"), F.col(text), lambda t, p: F.replace(t, p, F.lit("")))
-    healed = F.trim(F.regexp_replace(F.regexp_replace(cut, " {2,}", " "), r" +([.,;:!?\n])", "$1"))
-    return df.join(each, key, "left").withColumn("dropped", F.when(F.col("__p").isNull() | (cut == F.col(text)), F.col(text)).otherwise(healed)).drop("__p")
+    safe = phrases.where(safe_boilerplate(F.col("phrase")) & ~F.col("phrase").rlike(P.java(P.UNSAFE_WRAPPER))).select(F.col(key).cast("string").alias("k"), "phrase").dropna().distinct()
+    found = vocabulary(safe)
+    if found is not None:
+        out = df.withColumn("__cut", without_phrases(F.col(key).cast("string"), F.col(text), found))
+    else:
+        each = safe.groupBy("k").agg(F.collect_list("phrase").alias("__p"))
+        out = df.join(each, F.col(key).cast("string") == F.col("k"), "left").withColumn("__cut", splice(F.col(text), F.col("__p"), F.transform("__p", lambda _: F.lit("")))["body"]).drop("k", "__p")
+    healed = F.trim(F.regexp_replace(F.regexp_replace("__cut", " {2,}", " "), r" +([.,;:!?\n])", "$1"))
+    return out.withColumn("dropped", F.when(F.col("__cut") == F.col(text), F.col(text)).otherwise(healed)).drop("__cut")
 
 
 @F.arrow_udf(T.StringType())
@@ -154,14 +160,13 @@ def _with_aliases(df: DataFrame, doc_id: str, text: str, found: DataFrame, min_t
     pair = F.struct("nth", "literal", "alias")
     each = found.groupBy(doc_id).agg(F.array_sort(F.collect_list(pair)).alias("__a"))
     t = F.col(text)
-    body = F.aggregate("__a", t, lambda s, p: F.replace(s, p["literal"], p["alias"]))
-    back = F.aggregate("__a", F.col("__body"), lambda s, p: F.replace(s, p["alias"], p["literal"]))
     legend = F.array_join(F.transform("__a", lambda p: F.concat(p["alias"], F.lit("="), p["literal"], F.lit("\n"))), "")
-    clash = F.exists("__a", lambda p: t.contains(p["alias"]))
-    out = df.join(each, doc_id, "left").withColumn("__body", body).withColumn("__new", F.concat(legend, "__body"))
+    out = df.join(each, doc_id, "left").withColumn("__s", splice(t, F.col("__a.literal"), F.col("__a.alias")))
+    out = out.withColumn("__new", F.concat(legend, "__s.body"))
     saved = token_count(t) - token_count(F.col("__new"))
-    good = F.col("__a").isNotNull() & ~clash & (back == t) & (saved >= min_tokens) & (saved >= token_count(t) * min_reduction)
-    return out.withColumn("applied", F.coalesce(good, F.lit(False))).withColumn("aliased", F.when(F.col("applied"), F.col("__new")).otherwise(t)).drop("__a", "__body", "__new")
+    # An alias that the text holds already is expanded too, so the way back tells of clashes.
+    good = F.col("__a").isNotNull() & (F.col("__s.back") == t) & (saved >= min_tokens) & (saved >= token_count(t) * min_reduction)
+    return out.withColumn("applied", F.coalesce(good, F.lit(False))).withColumn("aliased", F.when(F.col("applied"), F.col("__new")).otherwise(t)).drop("__a", "__s", "__new")
 
 
 def alias_literals(df: DataFrame, doc_id: str, text: str, min_tokens: int = 50, min_reduction: float = 0.05) -> DataFrame:

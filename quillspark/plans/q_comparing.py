@@ -8,6 +8,7 @@ from quillspark.functions import patterns as P
 from quillspark.operators import compare as C
 from quillspark.operators import conversations as V
 from quillspark.operators import generators as G
+from quillspark.operators import matching as X
 from quillspark.plans.common import FIRST, INCIDENTS, fold, lit, query, table, tok
 from quillspark.sources import corpus
 
@@ -171,6 +172,29 @@ def g8(spark, sf):
     return C.constraint_check(rows, rows.select("doc_id", F.inline(rules)), "doc_id", "text")
 
 
+#: Rules by month: 200 terms each, among them the month's own, and keys of the JSON that ends a text.
+MONTH = "strftime(o_orderdate, '%Y-%m')"
+SCANNED = f"select i.doc_id, {MONTH} as month, text || chr(10) || '{{\"order\": ' || o_orderkey || ', \"state\": {{\"' || o_orderstatus || '\": 1}}}}' as text from ({INCIDENTS}) i join orders o on o.o_orderkey = i.doc_id"
+
+
+@query("g8_constraint_scan", f"""with d as ({SCANNED}), m as (select distinct month from d),
+ rules as (select month, 'forbidden' as kind, 'INC-' || lpad(x::varchar, 6, '0') as term from m, range(1, 201) t(x) union all select month, 'required', ' by ' || month || '-1' from m union all select month, 'spaceless', 'Do not  delete' from m
+   union all select month, 'json_key', 'order' from m union all select month, 'json_key', 'F' from m),
+ hit as (select d.doc_id, kind, term, case kind when 'forbidden' then not contains(text, term) when 'required' then contains(text, term) when 'spaceless' then contains(replace(replace(text, ' ', ''), chr(10), ''), 'Donotdelete') else contains(text, '"' || term || '": ') end as ok
+   from d join rules using (month))
+ select doc_id, count(*) as rules, count(*) filter (where not ok) as failed, coalesce(string_agg(kind || ':' || term, '|' order by kind, term) filter (where not ok), '') as misses from hit group by doc_id""")
+def g8s(spark, sf):
+    orders = table(spark, sf, "orders", spread=True).select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus")
+    rows = incidents(spark, sf).join(orders, "doc_id")
+    tail = F.concat(F.lit('\n{"order": '), F.col("doc_id"), F.lit(', "state": {"'), F.col("o_orderstatus"), F.lit('": 1}}'))
+    rows = rows.withColumn("text", F.concat("text", tail))
+    months, rule = orders.select("month").distinct(), lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("term"))
+    codes = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda x: rule("forbidden", F.concat(F.lit("INC-"), F.lpad(x.cast("string"), 6, "0"))))
+    other = F.array(rule("required", F.concat(F.lit(" by "), "month", F.lit("-1"))), rule("spaceless", F.lit("Do not  delete")), rule("json_key", F.lit("order")), rule("json_key", F.lit("F")))
+    rules = months.select("month", F.inline(F.concat(codes, other)))
+    return X.constraint_scan(rows, rules, "doc_id", "month", "text").withColumn("misses", F.array_join("misses", "|"))
+
+
 @query("h1_compact_duplicates", "select doc_id, count(*) as lines, count(*) filter (where r > 1) as duplicates from (select doc_id, case when trim(line) = '' then 1 else row_number() over (partition by doc_id, line order by i) end as r from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)) group by doc_id")
 def h1(spark, sf):
     lines = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

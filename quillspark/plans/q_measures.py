@@ -8,6 +8,7 @@ from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import conversations, profiles
 from quillspark.operators import generators as G
+from quillspark.operators import segments as S
 from quillspark.plans.common import INCIDENTS, LAYOUT, LINES, RE2_SPANS, count, critical, fold, has, lit, query, reasons, squashed, table, tok
 from quillspark.sources import corpus
 
@@ -304,6 +305,38 @@ def d7(spark, sf):
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("segment")).alias("chars"))
 
 
+#: A prompt with every kind of region; brackets, sections and fences inside wrappers are not looked at.
+NESTED = """'Intro [see](x) ' || lang || chr(10) || '# DATA TO PROCESS' || chr(10) || '{"inside": ' || doc_id || '}' || chr(10) || '---' || chr(10) || text || chr(10)
+  || '<nocompress>keep ``` [UI] ' || source || '</nocompress> then {"id": ' || doc_id || ', "a": [1, {}]} and {bad: [' || doc_id || ']} ' || chr(10) || '```json' || chr(10) || '{"k": "' || lang || '"}' || chr(10) || '```' || chr(10)
+  || '~~~py' || chr(10) || 'x = {1}' || chr(10) || '~~~' || chr(10) || '[UI]' || chr(10) || 'panel' || chr(10) || '[/UI]' || chr(10) || '<pre class="x">' || source || '</pre> and <code> without end'"""
+
+
+@query("d7_nested_segments", f"""with t as (select doc_id, lang, source, text, {NESTED} as t, length(lang)::bigint as l, length(source)::bigint as s, length(text)::bigint as n, length(doc_id::varchar)::bigint as d from documents),
+ r as (select doc_id, t, unnest([{{'kind': 'prose', 'len': 15 + l + 1, 'rw': true}}, {{'kind': 'verbatim', 'len': 18 + 11 + d + 2, 'rw': false}}, {{'kind': 'prose', 'len': 4 + n + 1, 'rw': true}}, {{'kind': 'nocompress', 'len': 12 + 14 + s + 13, 'rw': false}},
+   {{'kind': 'prose', 'len': 6, 'rw': true}}, {{'kind': 'json', 'len': 7 + d + 15, 'rw': true}}, {{'kind': 'prose', 'len': 12 + d + 4, 'rw': true}}, {{'kind': 'json', 'len': 8 + 7 + l + 2 + 1 + 4, 'rw': false}}, {{'kind': 'code', 'len': 18, 'rw': false}}, {{'kind': 'verbatim', 'len': 17, 'rw': false}},
+   {{'kind': 'html', 'len': 15 + s + 6, 'rw': false}}, {{'kind': 'prose', 'len': 23, 'rw': true}}]) as x, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], 1) as i from t),
+ e as (select *, (sum(x.len) over (partition by doc_id order by i))::bigint as e from r)
+ select doc_id, i - 1 as pos, (e - x.len)::int as start, e::int as "end", x.kind as kind, x.rw as rewritable, sha256(substr(t, e - x.len + 1, x.len)) as segment_sha256 from e""")
+def d7n(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.expr(NESTED.replace("chr(10)", "char(10)")).alias("t"))
+    return S.explode_nested_segments(rows, "t").select("doc_id", F.col("pos").cast("long").alias("pos"), "start", "end", "kind", "rewritable", F.sha2("segment", 256).alias("segment_sha256"))
+
+
+#: A placeholder follows each line, or 900 characters of one. Units (piece, placeholder, piece ...) go to chunks one after the other.
+KEPT_PIECE = "[^\n]{1,900}\n?|\n"
+
+
+@query("d5_chunk_masked", f"""with recursive l as (select doc_id, regexp_extract_all(text, {lit(KEPT_PIECE)}) as l from documents),
+ u as (select doc_id, 2 * i - 1 + k as i, k, case when k = 1 then 16 else len(l[i]) end::bigint as n from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from l), (values (0), (1)) v(k)),
+ c as (select doc_id, 0::bigint as i, 0::bigint as pos, 0::bigint as size, 0::bigint as kept from l union all
+  select doc_id, i, pos + case when full_ then 1 else 0 end, case when full_ then n else size + n end, case when full_ then k else kept + k end
+  from (select u.doc_id, u.i, u.k, u.n, pos, size, kept, size > 0 and (size + u.n > 4000 or kept + u.k > 8) as full_ from c join u on u.doc_id = c.doc_id and u.i = c.i + 1))
+ select doc_id, pos, max(size)::bigint as chars, max(kept)::bigint as placeholders from c where i > 0 group by doc_id, pos""")
+def d5m(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.regexp_replace("text", KEPT_PIECE, "$0__CK_KEEP_0007__").alias("t"))
+    return S.chunk_masked(rows, "t", 4000, 8).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("chunk").cast("long").alias("chars"), F.col("placeholders").cast("long").alias("placeholders"))
+
+
 HTML = {"link": r'<a\s[^>]*href="([^"]*)"', "comment": r"(?s)<!--(.*?)-->", "heading": r"(?s)<h[1-6][^>]*>(.*?)</h[1-6]>", "cell": r"(?s)<t[dh][^>]*>(.*?)</t[dh]>", "block": r"(?s)<(script|style)\b", "item": r"(?s)<li[^>]*>(.*?)</li>"}
 
 
@@ -341,6 +374,20 @@ def d10(spark, sf):
     return G.explode_json_regions(rows, "text").select("event_id", "start", "end", "syntax", F.array_join("duplicate_keys", ",").alias("duplicate_keys"), "region")
 
 
+LOOSE_PROSE = "'Set {a: ' || user_id || '} or [1, 2,] or ${x' || user_id || '} or {\"k\": 0' || event_id || '} or [say {\"k\": ' || event_id || '}] or {' || event_type || ' and [' || event_id"
+
+
+@query("d10_loose_regions", """select event_id, r.start::int as start, (r.start + r.len)::int as "end", r.syntax, r.amb as ambiguous from (select event_id, unnest([
+   {'start': 4, 'len': 5 + u, 'syntax': 'javascript_object_like', 'amb': false}, {'start': 13 + u, 'len': 7, 'syntax': 'jsonc_like', 'amb': false}, {'start': 25 + u, 'len': 3 + u, 'syntax': 'template_or_bracket_syntax', 'amb': false},
+   {'start': 32 + 2 * u, 'len': 8 + e, 'syntax': 'invalid_balanced', 'amb': false}, {'start': 44 + 2 * u + e, 'len': 13 + e, 'syntax': 'template_or_bracket_syntax', 'amb': false}, {'start': 49 + 2 * u + e, 'len': 7 + e, 'syntax': 'strict_json_object', 'amb': true},
+   {'start': 61 + 2 * u + 2 * e, 'len': 1, 'syntax': 'template_or_bracket_syntax', 'amb': false}, {'start': 67 + 2 * u + 2 * e + t, 'len': 1 + e, 'syntax': 'invalid_unbalanced', 'amb': false}]) as r
+  from (select event_id, len(user_id::varchar)::bigint as u, len(event_id::varchar)::bigint as e, len(event_type)::bigint as t from events))""")
+def d10l(spark, sf):
+    """Every opening bracket's region, sound or not."""
+    rows = table(spark, sf, "events", spread=True).select("event_id", F.expr(LOOSE_PROSE).alias("text"))
+    return G.explode_json_regions(rows, "text", loose=True).select("event_id", "start", "end", "syntax", "ambiguous")
+
+
 @query("m1_synthesize_corpus", f"select doc_id, sha256(text) as text_sha256, length(text)::bigint as chars from ({INCIDENTS})")
 def m1(spark, sf):
     return corpus.incident_corpus(table(spark, sf, "orders", spread=True)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
