@@ -513,11 +513,13 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return dealt.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(remove, RESULT)
 
 
-#: The contract of the registered query, for DuckDB.
+#: The contract of the registered query, for DuckDB. Texts are cut into pieces of 200 bytes and the 49 after
+#: them, as taking a part of a long string costs what is in front of it.
 ORACLE = r"""
 with h as (select doc_id, hex(coalesce(text, '')) as s from documents),
- win as (select doc_id, unnest(range(len(s) // 2)) as i, unnest(list_transform(range(len(s) // 2), lambda i: substr(s, 2 * i + 1, 2))) as byte,
-   unnest(list_transform(range(len(s) // 2), lambda i: case when 2 * i + 100 <= len(s) then substr(s, 2 * i + 1, 100) end)) as k from h),
+ pieces as (select doc_id, o, len(s) // 2 - o as left_, substr(s, 2 * o + 1, 498) as p from (select doc_id, s, unnest(range(0, len(s) // 2, 200)) as o from h)),
+ win as (select doc_id, o + unnest(range(least(200, left_))) as i, unnest(list_transform(range(least(200, left_)), lambda i: substr(p, 2 * i + 1, 2))) as byte,
+   unnest(list_transform(range(least(200, left_)), lambda i: case when i + 50 <= left_ then substr(p, 2 * i + 1, 100) end)) as k from pieces),
  firsts as (select k, min(doc_id) as first, max(doc_id) as last from win where k is not null group by k having min(doc_id) < max(doc_id)),
  ranked as (select win.doc_id, i, byte, coalesce(first < win.doc_id, false) as again from win left join firsts using (k)),
  told as (select *, coalesce(bool_or(again) over (partition by doc_id order by i rows between 49 preceding and current row), false) as gone from ranked),
