@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
+from quillspark.sources.folders import scratch_folder
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -35,57 +34,84 @@ def pathways(records: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentiles(df: DataFrame, value: str, by: list[str], ps: tuple[float, ...], parts: int = 64) -> DataFrame:
-    """by and ``p``, an array of exact percentiles with linear interpolation, nulls left out.
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """g (a struct of the group), v, c: how often each value occurs, null too, written once in the shared folder.
 
-    ``F.percentile`` holds every value of a group in one task. Here equal values are counted
-    first, approximate percentiles (a bounded sketch) cut each group into ``parts`` ranges, and
-    running counts within ranges find the two ranks that each percentile lies between.
+    Reports read these counts as often as they need to, and the input once.
     """
     group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__all")).alias("g")
-    seen = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    seen = df.select(group, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    folder = scratch_folder(df.sparkSession, "value-counts")
+    seen.write.parquet(folder)
+    return df.sparkSession.read.schema(seen.schema).parquet(folder)
+
+
+def exact_percentiles(df: DataFrame, value: str, by: list[str], ps: tuple[float, ...], parts: int = 64) -> DataFrame:
+    """by and ``p``, an array of exact percentiles with linear interpolation, nulls left out."""
+    return percentiles_of(value_counts(df, value, by), ps, parts).select(*[F.col(f"g.{c}") for c in by], "p")
+
+
+def percentiles_of(counts: DataFrame, ps: tuple[float, ...], parts: int = 64) -> DataFrame:
+    """g and ``p``, an array of exact percentiles, from ``value_counts``.
+
+    ``F.percentile`` holds every value of a group in one task. Here approximate percentiles (a bounded
+    sketch) cut each group into ``parts`` ranges, counts of the ranges tell which of them hold the two
+    ranks that a percentile lies between, and only the values of those are ordered.
+    """
+    seen = counts.where("v is not null")
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    edges = seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e"), F.sum("c").alias("n"))
+    edges = seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e"))
     placed = seen.join(edges, "g").withColumn("b", F.size(F.filter("e", lambda e: e < F.col("v")))).drop("e")
     sizes = placed.groupBy("g", "b").agg(F.sum("c").alias("size"))
-    front = F.coalesce(F.sum("size").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sizes.select("g", "b", front.alias("before"))
-    run = placed.withColumn("run", F.sum("c").over(Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).join(before, ["g", "b"])
-    end = F.col("before") + F.col("run")
+    whole, end = Window.partitionBy("g"), F.col("before") + F.col("size")
+    front = F.coalesce(F.sum("size").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("g", "b", "size", front.alias("before"), F.sum("size").over(whole).alias("n"))
     place = [(F.col("n") - 1) * F.lit(float(p)) for p in ps]
     ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("i"), f(x).cast("long").alias("rank")) for i, x in enumerate(place) for k, f in enumerate((F.floor, F.ceil))])
-    hit = F.filter(ranks, lambda r: (r["rank"] < end) & (r["rank"] >= end - F.col("c")))
-    found = run.select("g", "v", "n", F.explode(hit).alias("r"))
+    inside = F.filter(ranks, lambda r: (r["rank"] < end) & (r["rank"] >= F.col("before")))
+    asked = sizes.select("g", "b", "before", "n", inside.alias("ranks")).where(F.size("ranks") > 0)
+    run = F.sum("c").over(Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = placed.join(asked, ["g", "b"]).withColumn("to", F.col("before") + run)
+    hit = F.filter("ranks", lambda r: (r["rank"] < F.col("to")) & (r["rank"] >= F.col("to") - F.col("c")))
+    found = ordered.select("g", "v", "n", F.explode(hit).alias("r"))
     at = found.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r.i", F.col("v").cast("double").alias("v")))).alias("m"))
     low, high = (lambda i: F.element_at("m", F.lit(2 * i))), (lambda i: F.element_at("m", F.lit(2 * i + 1)))
     mixed = F.array(*[low(i) + (high(i) - low(i)) * (x - F.floor(x)) for i, x in enumerate(place)])
-    return at.select(*[F.col(f"g.{c}") for c in by], mixed.alias("p"))
+    return at.select("g", mixed.alias("p"))
+
 
+def _with_percentiles(sums: DataFrame, counts: DataFrame, by: list[str], ps: tuple[float, ...]) -> DataFrame:
+    """Sums by g beside ``p``; null keys are groups of their own."""
+    found = percentiles_of(counts, ps)
+    return sums.join(found, "g", "left").select(*[F.col(f"g.{c}").alias(c) for c in by], *[c for c in sums.columns if c != "g"], "p")
 
-def _with_percentiles(sums: DataFrame, df: DataFrame, value: str, by: list[str], ps: tuple[float, ...]) -> DataFrame:
-    """Sums by group beside ``p``; null keys are groups of their own."""
-    found = exact_percentiles(df, value, by, ps).withColumnsRenamed({c: f"__{c}" for c in by})
-    same = [sums[c].eqNullSafe(found[f"__{c}"]) for c in by] or [F.lit(True)]
-    return sums.join(found, reduce(lambda a, b: a & b, same), "left")
+
+def _mean() -> Column:
+    return F.sum(F.col("v") * F.col("c")) / F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
 
 
 def distribution(df: DataFrame, value: str, by: list[str], digits: int = 6) -> DataFrame:
-    """Exact percentiles with linear interpolation, and min, max, mean."""
-    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), digits).alias("mean"))
-    out = _with_percentiles(sums, df, value, by, (0.1, 0.5, 0.9, 0.95))
+    """Exact percentiles with linear interpolation, and min, max, mean, all from one count of values."""
+    counts = value_counts(df, value, by)
+    number = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0))
+    sums = counts.groupBy("g").agg(number.alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.round(_mean(), digits).alias("mean"))
+    out = _with_percentiles(sums, counts, by, (0.1, 0.5, 0.9, 0.95))
     return out.select(*by, "n", "least", "most", "mean", *[F.round(F.element_at("p", i + 1), digits).alias(n) for i, n in enumerate(("p10", "p50", "p90", "p95"))])
 
 
 def grouped_summary(df: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Overall, by each dimension, and by all of them: each row counts in every one of these groups."""
+    """Overall, by each dimension, and by all of them: each row counts in every one of these groups.
+
+    Values are counted by all dimensions first; the counts, not the rows, go to the other groups.
+    """
     sets = [[], *[[d] for d in dims], list(dims)]
     named = ["overall", *dims, "all"]
     kinds = df.schema
-    rows = F.array(*[F.struct(F.lit(n).alias("group_type"), *[(F.col(d) if d in s else F.lit(None).cast(kinds[d].dataType)).alias(d) for d in dims]) for n, s in zip(named, sets, strict=True)])
-    each = df.select(F.col(value).alias("v"), F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(n).alias("group_type"), *[(F.col(f"g.{d}") if d in s else F.lit(None).cast(kinds[d].dataType)).alias(d) for d in dims], F.lit(0).alias("__all")) for n, s in zip(named, sets, strict=True)])
+    counts = value_counts(df, value, dims).select(F.explode(rows).alias("g"), "v", "c").groupBy("g", "v").agg(F.sum("c").alias("c"))
     by = ["group_type", *dims]
-    sums = each.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
-    return _with_percentiles(sums, each, "v", by, (0.5,)).select(*by, "n", F.round(F.element_at("p", 1), 6).alias("p50"), "mean")
+    sums = counts.groupBy("g").agg(F.sum("c").alias("n"), F.round(_mean(), 6).alias("mean"))
+    return _with_percentiles(sums, counts, by, (0.5,)).select(*by, "n", F.round(F.element_at("p", 1), 6).alias("p50"), "mean")
 
 
 def transform_funnel(records: DataFrame) -> DataFrame:
@@ -108,8 +134,9 @@ def failure_rates(df: DataFrame, checks: list[str]) -> DataFrame:
 
 
 def condition_summary(records: DataFrame, condition: str) -> DataFrame:
-    sums = records.groupBy(condition).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"))
-    out = _with_percentiles(sums, records, "latency_ms", [condition], (0.5,))
+    group = F.struct(F.col(condition), F.lit(0).alias("__all")).alias("g")
+    sums = records.groupBy(group).agg(F.count("*").alias("records"), F.sum("total_tokens_saved").alias("tokens_saved"), F.count_if("failed").alias("failures"))
+    out = _with_percentiles(sums, value_counts(records, "latency_ms", [condition]), [condition], (0.5,))
     return out.select(condition, "records", "tokens_saved", "failures", F.round(F.element_at("p", 1), 6).alias("median_latency"))
 
 

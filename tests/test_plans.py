@@ -35,3 +35,11 @@ def test_null_keys_of_both_sides_meet(spark):
     found = {r["k"]: (r["n_a"], r["n_b"], r["missing"], r["added"]) for r in C.multiset_diff(a, b, ["k"]).collect()}
     assert found == {None: (2, 1, 1, 0), "x": (1, 0, 1, 0), "y": (0, 1, 0, 1)}
     assert C.multiset_diff(a.where(F.lit(False)), b.where(F.lit(False)), ["k"]).count() == 0
+
+
+def test_percentiles_scan_their_input_once(spark, sf):
+    """What is read again are the counts of values, from the shared folder."""
+    for name in ("f6_lineitem_distribution", "f7_grouped_summary"):
+        text = plan(registry.QUERIES[name](spark, sf))
+        assert "lineitem.parquet" not in text and "documents.parquet" not in text
+        assert "value-counts" in text
