@@ -42,7 +42,6 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
 SPACED = frozenset("br td th option wbr".split()) - {"wbr"}
-COPY = 0.8  # a partner that shares this part of the lines is a copy of the page, no sign of a template
 REACH = 2  # neighbours looked at on each side
 AGREE = 3  # of them, those that must share a line of a main region
 MAIN, PLAIN, FRAME = 2, 1, 0
@@ -162,17 +161,24 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def template(own: list[int], other: list[int]) -> set[int] | None:
-    """Indexes of own lines shared with another page; None if that is empty or a copy."""
-    found = shared(own, other) if other else set()
-    return found if other and len(found) < COPY * max(len(own), len(other)) else None
+def template(own: list[int], other: list[int], main: set[int] = frozenset()) -> set[int] | None:
+    """Indexes of own lines shared with another page; None if that is empty or a copy.
+
+    A copy has the page's whole text, or the whole of its declared main region (``main``, indexes of
+    its lines); what such a page shares tells nothing about a template.
+    """
+    if not other or own == other:
+        return None
+    found = shared(own, other)
+    return None if main and main <= found else found
 
 
 def main_text(page: str, partner: list[int] | None, others: list[list[int]] = ()) -> str:
     """The page's main text, given the line hashes of its partner page and of further neighbours."""
     blocks = lines(page)
     own = [line_hash(t) for t, _ in blocks]
-    found = [template(own, p or []) for p in (partner, *others)]
+    main = {i for i, (_, r) in enumerate(blocks) if r == MAIN}
+    found = [template(own, p or [], main) for p in (partner, *others)]
     gone, told = found[0] or set(), [f for f in found if f is not None]
     agreed = set.intersection(*told) if len(told) >= AGREE else set()
     return "\n".join(t for i, (t, r) in enumerate(blocks) if r != FRAME and i not in (agreed if r == MAIN else gone))
@@ -260,8 +266,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     A null page is empty and gives an empty text. A null or broken URL is the host "" with the
     URL as path. Rows without an id have no partner and are read by markup alone; rows that
     share an id share one partner, and one neighbour at each distance. Ties in common path length
-    go to the smaller partner id. A partner that holds COPY of the lines is a copy and deletes
-    nothing; nor does such a neighbour count as one. An empty table gives an empty result. Only
+    go to the smaller partner id. A partner that holds the page's whole text, or its whole declared
+    main region, is a copy and deletes nothing; nor does such a neighbour count as one. An empty table gives an empty result. Only
     the named columns are read.
 
     Ordering is a range sort over all hosts, so a hot host spreads over many partitions; only

@@ -235,7 +235,7 @@ class Stream:
     def __init__(self, data: bytes) -> None:
         self.tags, at = read_tag(data)
         end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
-        self.id3v1, self.vbr, self.start = end < len(data), None, 0
+        self.id3v1, self.vbr, self.start, self.head = end < len(data), None, 0, None
         self.offsets, self.skipped, self.bad, self.checked = [], 0, 0, 0
         self.samples, self.duration, bodies, kind = 0, Fraction(0), [], None
         free, own = 0, LENGTH_FRAME.decode() in self.tags
@@ -256,7 +256,7 @@ class Stream:
                 self.skipped += step - at
                 at = step
                 continue
-            kind = h.kind
+            kind, self.head = h.kind, self.head or h
             if h.protected:
                 self.checked += 1
                 self.bad += not sound
@@ -361,13 +361,20 @@ def describe(payload: bytes, s: Stream) -> str:
     level = int((a * a).sum())
     turns = int(((a[1:] < 0) != (a[:-1] < 0)).sum())
     crc = f"{s.checked - s.bad}/{s.checked}"
-    return f"layer3 44100 mono {s.vbr['kind'] if s.vbr else 'CBR'}; frames {len(s.offsets)}; samples {s.samples}; crc {crc}; energy {level}; turns {turns}"
+    form = f"layer{s.head.layer} {s.head.hertz} {'mono' if s.head.mono else 'stereo'}" if s.head else "no frames"
+    return f"{form} {s.vbr['kind'] if s.vbr else 'CBR'}; frames {len(s.offsets)}; samples {s.samples}; crc {crc}; energy {level}; turns {turns}"
+
+
+def _stated(tag: str | None, whole: int) -> int:
+    """The payload's length that a tag states; the whole body if it states none that the body can hold."""
+    return int(tag) if tag and tag.isascii() and tag.isdigit() and int(tag) <= whole else whole
 
 
 def read(media: DataFrame) -> DataFrame:
     """Reads streams of a ``media`` column back: payload digests, features, exact duration
     (duration_num / duration_den seconds), bad checksums, bytes skipped to resynchronise, and
-    each frame's offset. A null stream, or one without a frame, has an empty payload."""
+    each frame's offset. A null stream, or one without a frame, has an empty payload. A length tag
+    that is no number, or more than the body holds, is passed over."""
 
     def run(batches):
         for b in batches:
@@ -375,7 +382,7 @@ def read(media: DataFrame) -> DataFrame:
             for doc, n, data in zip(b["id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"].to_pylist(), strict=True):
                 data = data or b""
                 s = read_stream(data)
-                payload = s.body[: int(s.tags.get(LENGTH_FRAME.decode(), len(s.body)))]
+                payload = s.body[: _stated(s.tags.get(LENGTH_FRAME.decode()), len(s.body))]
                 row = (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), describe(payload, s), s.duration.numerator, s.duration.denominator, s.bad, s.skipped, s.offsets)
                 for name, v in zip(out, row, strict=True):
                     out[name].append(v)

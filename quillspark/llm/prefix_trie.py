@@ -23,6 +23,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.graph import cut_lineage
 
@@ -41,7 +42,7 @@ def _hash(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:DIGEST]
 
 
-@F.arrow_udf("array<binary>")
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def _chained(turns: pa.Array) -> pa.Array:
     """For each array of digests the digests of its prefixes."""
     out = []

@@ -399,6 +399,20 @@ def test_audio_seek_tables_and_gaps():
     assert s.duration == Fraction(3456, 44100) and s.played == Fraction(3456 - 676, 44100)
 
 
+@pytest.mark.parametrize("tag", ["12x", "-5", "", "99999999999", "٣"])
+def test_audio_length_tags_that_are_none(tag):
+    assert mpeg_audio._stated(tag, 640) == 640
+    assert mpeg_audio._stated("64", 640) == 64
+
+
+def test_audio_features_name_the_stream(spark):
+    media = mpeg_audio.store(frame(spark, [(1, "abc")]))
+    (row,) = mpeg_audio.read(media).collect()
+    assert row.feature.startswith("layer3 44100 mono")
+    (none,) = mpeg_audio.read(media.withColumn("media", F.lit(b"no frame here"))).collect()
+    assert none.feature.startswith("no frames") and none.payload_bytes == 0
+
+
 def test_audio_query(spark, sf):
     docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op7_mpeg_audio(spark, sf).collect():
@@ -465,6 +479,18 @@ def test_extract_asks_neighbours_across_borders(spark, parts):
     assert out == {i: f"Lead {i}\nText {i}\nTail {i}" + "\nRead more" * (i in ends) for i in range(30)}
 
 
+def test_a_template_goes_however_much_of_the_page_it_is():
+    site = [f"<p>site line {i}</p>" for i in range(10)]
+    mine, other = "".join([*site, "<p>my own line</p>"]), "".join([*site, "<p>theirs</p>"])
+    seen = [H.line_hash(t) for t, _ in H.lines(other)]
+    assert H.main_text(mine, seen) == "my own line"
+    whole = [H.line_hash(t) for t, _ in H.lines(mine)]
+    assert H.main_text(mine, whole).count("\n") == 10  # a copy tells nothing
+    article = "<article><p>a</p><p>b</p></article>"
+    copy = [H.line_hash(t) for t, _ in H.lines("<p>menu two</p>" + article)]
+    assert H.main_text("<p>menu</p>" + article, copy, [copy] * 3) == "menu\na\nb"
+
+
 def test_shared_is_a_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(300):
