@@ -8,6 +8,7 @@ from quillspark.plans.common import query, table, tok
 from quillspark.sources import corpus
 from quillspark.sources.folders import scratch_folder
 from quillspark.streaming import streams as S
+from quillspark.streaming import timed as TS
 
 
 def _stream(spark, sf):
@@ -52,6 +53,36 @@ def k3(spark, sf):
     return S.run_once(S.repeat_tracker(_stream(spark, sf).select("user_id", "event_id", "ts", "event_type"), "user_id", "event_type"))
 
 
+#: What the watermark, a day behind the last event, has passed.
+PASSED = "(select * from events where ts < (select max(ts) from events) - interval 1 day)"
+
+
+def _timed(spark, sf):
+    return S.read_requests(spark, f"{sf}/events.parquet", late="1 day")
+
+
+@query("k1_timed_rate_limit", LIMITED.replace("user_id % 10 = 0 then 0 when user_id % 3 = 0 then 1 else 3 end", "user_id % 10 = 0 then 0 else 2 end").replace("from events", f"from {PASSED} e").replace("user_id, event_type", "user_id").replace("r.user_id, r.event_type", "r.user_id").replace(" and r.event_type = s.event_type", ""))
+def k1t(spark, sf):
+    """A window of a day for each user, judged when the watermark has passed a request."""
+    stream = _timed(spark, sf).withColumn("limit", F.when(F.col("user_id") % 10 == 0, 0).otherwise(2)).select("user_id", "event_id", "ts", "limit")
+    with TS.timed_state(spark):
+        return S.run_once(TS.timed_rate_limit(stream, "user_id", 86_400))
+
+
+@query("k2_timed_reuse", REUSED.replace("from events", f"from {PASSED} e"))
+def k2t(spark, sf):
+    key = S.request_key(F.col("event_type"), F.col("user_id") % 20, F.lit("{}"))
+    stream = _timed(spark, sf).withColumn("key", key).withColumn("no_store", F.col("event_id") % 50 == 0).select("key", "event_id", "ts", "no_store")
+    with TS.timed_state(spark):
+        return S.run_once(TS.timed_reuse(stream, "key", 6 * 3600))
+
+
+@query("k3_timed_repeats", f"select user_id, event_id, row_number() over w as nth, lag(event_type) over w = event_type as same_as_previous from {PASSED} e window w as (partition by user_id order by ts, event_id)")
+def k3t(spark, sf):
+    with TS.timed_state(spark):
+        return S.run_once(TS.timed_repeats(_timed(spark, sf).select("user_id", "event_id", "ts", "event_type"), "user_id", "event_type"))
+
+
 @query("k4_usage_rollup", "select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as requests, round(sum(value), 4)::double as value, count(*) filter (where event_type = 'error') as errors from events group by 1, 2")
 def k4(spark, sf):
     out = S.run_once(S.usage_rollup(_stream(spark, sf), "user_id"), mode="complete")

@@ -50,3 +50,31 @@ def test_exports_of_another_version_fail(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"schema_version": "benchmark-export.v1", "records": [{"case_id": "x"}]}')
     with pytest.raises(Exception, match="unsupported schema_version"):
         corpus.read_export(spark, [str(tmp_path)]).collect()
+
+
+def test_late_rows_are_judged_in_order_over_several_batches(spark, tmp_path):
+    """Files are batches; a row that comes late but within the watermark counts at its own time, a later one is dropped."""
+    from pyspark.sql import functions as F
+
+    from quillspark.streaming import streams as S
+    from quillspark.streaming import timed
+
+    minute = lambda m: f"2024-01-01 {m // 60:02}:{m % 60:02}:00"
+    batches = [[(1, "a", 0), (2, "a", 40), (3, "b", 41)], [(4, "a", 20), (5, "a", 60)], [(6, "a", 300)], [(7, "a", 10), (8, "b", 310)], [(9, "z", 1000)], [(10, "z", 1001), (11, "a", 15)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(e, k, minute(m)) for e, k, m in rows], "event_id long, key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+
+    def run(make):
+        # Folders in the order of their names, one at a time.
+        stream = spark.readStream.schema("event_id long, key string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in").withWatermark("ts", "1 hour")
+        with timed.timed_state(spark):
+            return S.run_once(make(stream.withColumn("limit", F.lit(2)).withColumn("no_store", F.lit(False)))).collect()
+
+    found = run(lambda s: timed.timed_rate_limit(s, "key", 3600))
+    # a: 0, 10 and 20 (late), 40, 60 (a new hour), 300; event 11 is later than the watermark.
+    assert {r.event_id: r.allowed for r in found} == {1: True, 7: True, 4: False, 2: False, 5: True, 6: True, 3: True, 8: True}
+    found = run(lambda s: timed.timed_reuse(s, "key", 1800))
+    assert {r.event_id: r.outcome for r in found} == {1: "miss", 7: "hit", 4: "hit", 2: "miss", 5: "hit", 6: "miss", 3: "miss", 8: "miss"}
+    found = run(lambda s: timed.timed_repeats(s.withColumn("out", F.lit("x")), "key", "out"))
+    assert {r.event_id: r.nth for r in found} == {1: 1, 7: 2, 4: 3, 2: 4, 5: 5, 6: 6, 3: 1, 8: 2}
