@@ -16,6 +16,25 @@ def compact_duplicates(parts: DataFrame, conversation: str, order: list[str], te
     return parts.withColumn("duplicate", real & (nth > 1))
 
 
+def regroup_messages(parts: DataFrame, conversation: str, turn: str, part: str, role: str, text: str) -> DataFrame:
+    """conversation, turn, role, parts, kept_parts (their texts in order), dropped, reason, kept for each message.
+
+    Parts repeated in a conversation's user messages go (see ``compact_duplicates``), and the rest are put
+    back together in order. A user message without text goes as ``empty_user_message_dropped``; one whose
+    text was all said before as ``duplicate_user_text_dropped``; others have no reason. Null texts are no parts.
+    """
+    told = compact_duplicates(parts.where(F.col(text).isNotNull()), conversation, [turn, part], text, role)
+    said = F.trim(text) != ""
+    kept = F.filter(F.collect_list(F.when(~F.col("duplicate"), F.struct(part, text))), lambda x: x.isNotNull())
+    each = told.groupBy(conversation, turn, role).agg(
+        F.count("*").alias("parts"), F.transform(F.array_sort(kept), lambda x: x[text]).alias("kept_parts"), F.count_if("duplicate").alias("dropped"),
+        F.bool_or(said).alias("__said"), F.bool_or(said & ~F.col("duplicate")).alias("__new"),
+    )
+    user = F.lower(F.col(role)) == "user"
+    reason = F.when(user & ~F.col("__said"), "empty_user_message_dropped").when(user & ~F.col("__new"), "duplicate_user_text_dropped")
+    return each.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()).drop("__said", "__new")
+
+
 def compact_empty(messages: DataFrame, role: str, text: str) -> DataFrame:
     """Drops user messages without text."""
     return messages.where(~((F.lower(F.col(role)) == "user") & (F.trim(F.coalesce(F.col(text), F.lit(""))) == "")))

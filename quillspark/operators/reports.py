@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
 from quillspark.sources.folders import scratch_folder
@@ -126,6 +127,50 @@ def opportunity_totals(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.unpivot([], columns, "name", "total")
 
 
+def nested_totals(df: DataFrame, column: str) -> DataFrame:
+    """name, total of every number inside a column of structs and maps, by its path: ``a.b``, or ``a.key`` for a map.
+
+    Structs are walked by the schema, maps by their keys. Pairs of path and number are summed before
+    they are shuffled, in one scan; nulls, and what is no number, count nothing.
+    """
+    pairs: list[Column] = []
+
+    def walk(value: Column, path: str, kind: T.DataType) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(value.getField(f.name), f"{path}.{f.name}" if path else f.name, f.dataType)
+        elif isinstance(kind, T.MapType) and isinstance(kind.valueType, T.NumericType):
+            keyed = F.transform(F.map_entries(value), lambda e: F.struct(F.concat(F.lit(f"{path}." if path else ""), e["key"].cast("string")).alias("name"), e["value"].cast("double").alias("v")))
+            pairs.append(F.coalesce(keyed, F.array().cast("array<struct<name:string,v:double>>")))
+        elif isinstance(kind, T.NumericType):
+            pairs.append(F.array(F.struct(F.lit(path).alias("name"), value.cast("double").alias("v"))))
+
+    walk(F.col(column), "", df.schema[column].dataType)
+    each = df.select(F.inline(F.concat(*pairs)))
+    return each.groupBy("name").agg(F.sum("v").alias("total")).where("total is not null")
+
+
+def transform_details(records: DataFrame) -> DataFrame:
+    """The funnel of each transform with time, what gates held back, and what they would have saved.
+
+    ``transforms`` is an array<struct<transform, status, candidates, applied, tokens_saved, elapsed_ms,
+    gate_reasons: map<string, bigint>, would_apply, would_save>>. ``statuses`` and ``gate_reasons`` are
+    maps of summed counts; they are summed by key before a transform's few keys come together.
+    """
+    each = records.select(F.inline("transforms")).withColumn("transform", F.coalesce("transform", F.lit("unknown")))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = each.groupBy("transform").agg(
+        F.count("*").alias("rows"), zero("candidates").alias("candidates"), zero("applied").alias("applied"), zero("tokens_saved").alias("tokens_saved"), F.round(zero("elapsed_ms"), 3).alias("elapsed_ms"),
+        F.count_if("would_apply").alias("would_apply"), zero("would_save").alias("would_save"),
+    )
+    status = F.array(F.struct(F.lit("statuses").alias("part"), F.coalesce("status", F.lit("unknown")).alias("key"), F.lit(1).cast("long").alias("n")))
+    gates = F.transform(F.map_entries("gate_reasons"), lambda e: F.struct(F.lit("gate_reasons").alias("part"), e["key"].alias("key"), e["value"].cast("long").alias("n")))
+    keyed = each.select("transform", F.inline(F.concat(status, F.coalesce(gates, F.array().cast("array<struct<part:string,key:string,n:bigint>>")))))
+    keyed = keyed.groupBy("transform", "part", "key").agg(F.sum("n").alias("n"))
+    maps = [F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("part") == p, F.struct("key", "n"))), lambda x: x.isNotNull()))).alias(p) for p in ("statuses", "gate_reasons")]
+    return sums.join(keyed.groupBy("transform").agg(*maps), "transform")
+
+
 def failure_rates(df: DataFrame, checks: list[str]) -> DataFrame:
     """check, applicable, failed, rate: each check is a boolean column, null where it does not apply."""
     counts = df.agg(*[x for c in checks for x in (F.count(c).alias(f"{c}__n"), F.count_if(~F.col(c)).alias(f"{c}__f"))])

@@ -206,6 +206,19 @@ def h1c(spark, sf):
     return V.compact_duplicates(table(spark, sf, "conversations"), "conv_id", ["turn"], "text", "role").select("conv_id", "turn", "duplicate")
 
 
+SAID = "case when turn % 2 = 0 then 'again' else text end", "case when turn % 3 = 0 then '' else 'again' end"
+
+
+@query("h1_regroup_messages", f"""with p as (select conv_id, turn, role, unnest([0, 1]) as part, unnest([{SAID[0]}, {SAID[1]}]) as text from conversations),
+ d as (select *, role = 'user' and trim(text) <> '' and row_number() over (partition by conv_id, role = 'user', text order by turn, part) > 1 as dup from p)
+ select conv_id, turn, role, count(*) as parts, coalesce(string_agg(text, '|' order by part) filter (where not dup), '') as kept_parts, count(*) filter (where dup) as dropped,
+  case when role = 'user' and max(trim(text)) = '' then 'empty_user_message_dropped' when role = 'user' and count(*) filter (where trim(text) <> '' and not dup) = 0 then 'duplicate_user_text_dropped' end as reason from d group by conv_id, turn, role""")
+def h1r(spark, sf):
+    said = F.array(*[F.expr(x) for x in SAID])
+    parts = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(said).alias("part", "said"))
+    return V.regroup_messages(parts, "conv_id", "turn", "part", "role", "said").withColumn("kept_parts", F.array_join("kept_parts", "|")).drop("kept")
+
+
 @query("h2_compact_empty", "select conv_id, turn, role from conversations where not (role = 'user' and turn % 4 = 0)")
 def h2(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 4 == 0, " ").otherwise(F.col("text")))

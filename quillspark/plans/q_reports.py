@@ -83,6 +83,32 @@ def f9(spark, sf):
     return totals.withColumn("name", F.when(F.col("name") == "numbers", "json.numbers").otherwise(F.col("name")))
 
 
+@query("f8_transform_details", f"""select transform, count(*) as rows, sum(greatest(s, 0))::bigint as tokens_saved, round(sum(latency_ms), 3)::double as elapsed_ms, count(*) filter (where s < 0) as would_apply, coalesce(sum(7) filter (where s < 0), 0)::bigint as would_save,
+  array_to_string(list_filter([case when count(*) filter (where s > 0) > 0 then 'applied=' || count(*) filter (where s > 0) end, case when count(*) filter (where s < 0) > 0 then 'gated=' || count(*) filter (where s < 0) end, case when count(*) filter (where s = 0) > 0 then 'none=' || count(*) filter (where s = 0) end], lambda x: x is not null), ',') as statuses,
+  case when count(*) filter (where s < 0) > 0 then 'latency=' || count(*) filter (where s < 0) || ',low_saving=' || 2 * count(*) filter (where s < 0) else '' end as gate_reasons
+  from (select case_id, latency_ms, unnest(['articles', 'conjunctions']) as transform, unnest([deterministic_tokens_saved, case when model_ran then model_tokens_saved else -1 end]) as s from (RECORDS)) group by transform""")
+def f8d(spark, sf):
+    def row(name, saved, gated):
+        status = F.when(gated, "gated").when(saved > 0, "applied").otherwise("none")
+        reasons = F.when(gated, F.create_map(F.lit("low_saving"), F.lit(2).cast("long"), F.lit("latency"), F.lit(1).cast("long")))
+        n = F.when(gated, F.lit(0).cast("long")).otherwise(saved)
+        return F.struct(F.lit(name).alias("transform"), status.alias("status"), n.alias("candidates"), n.alias("applied"), n.alias("tokens_saved"), F.col("latency_ms").alias("elapsed_ms"), reasons.alias("gate_reasons"), gated.alias("would_apply"), F.when(gated, F.lit(7).cast("long")).alias("would_save"))
+
+    both = F.array(row("articles", F.col("deterministic_tokens_saved"), F.lit(False)), row("conjunctions", F.col("model_tokens_saved"), ~F.col("model_ran")))
+    out = R.transform_details(records(spark, sf).withColumn("transforms", both))
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("transform", "rows", "tokens_saved", "elapsed_ms", "would_apply", "would_save", shown("statuses").alias("statuses"), shown("gate_reasons").alias("gate_reasons"))
+
+
+@query("f9_nested_totals", f"""select 'chars' as name, sum(length(text))::double as total from documents union all select 'json.numbers', sum({count('text', '[0-9]+')})::double from documents
+  union all select 'by_lang.' || lang, sum(n_chars)::double from documents where lang is not null group by lang""")
+def f9n(spark, sf):
+    from quillspark.functions import measures as M
+
+    found = F.struct(F.length("text").alias("chars"), F.struct(M.count_of(F.col("text"), "[0-9]+").alias("numbers"), F.col("lang").alias("label")).alias("json"), F.when(F.col("lang").isNotNull(), F.create_map(F.coalesce("lang", F.lit("")), "n_chars")).alias("by_lang"))
+    return R.nested_totals(docs(spark, sf).select(found.alias("found")), "found")
+
+
 @query("f10_failure_rates", """select 'integrity' as "check", count(*) as applicable, count(*) filter (where failed) as failed, round(count(*) filter (where failed) / nullif(count(*), 0), 6)::double as rate from (RECORDS)
  union all select 'model', count(*) filter (where model_ran), count(*) filter (where model_ran and model_tokens_saved = 0), round(count(*) filter (where model_ran and model_tokens_saved = 0) / nullif(count(*) filter (where model_ran), 0), 6)::double from (RECORDS)
  union all select 'json', 0, 0, null""")
