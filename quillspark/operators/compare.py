@@ -71,16 +71,30 @@ def set_changes(before: Column, after: Column, kind: str = "number", cap: int =
 FAILURES = (("url", ("url", "markdown_link")), ("inline_code", ("inline_code", "code_fence")), ("constraint", ("constraint", "critical_clause")), ("identifier", ("identifier", "constant")))
 
 
-def integrity_verdict(docs: DataFrame, doc_id: str, diff: DataFrame, json: tuple[str, str] | None = None) -> DataFrame:
+def occurrences(text: Column, term: Column) -> Column:
+    """How often a term stands in a text, without overlaps; an empty term never."""
+    gone = F.length(text) - F.length(F.replace(text, term, F.lit("")))
+    return F.when(F.length(term) > 0, gone / F.length(term)).otherwise(0.0)
+
+
+def integrity_verdict(docs: DataFrame, doc_id: str, diff: DataFrame, json: tuple[str, str] | None = None, placeholders: tuple[str, str] | None = None, required: tuple[str, str, str] | None = None) -> DataFrame:
     """For each document: changed values, failure classes in order of priority, primary, passed.
 
-    ``diff`` is a ``span_diff``; ``json`` names before and after columns whose canonical JSON
-    must agree where the first is JSON.
+    ``diff`` is a ``span_diff``. ``placeholders`` names the text after and an array of tokens none of which
+    may be left in it; ``required`` the texts before and after and an array of terms that must occur as
+    often after as before; ``json`` the texts whose canonical JSON must agree where the first is
+    JSON. Null arrays ask for nothing; a null text holds nothing.
     """
     changed = diff.where("missing + added > 0").groupBy(doc_id).agg(F.sum("missing").alias("missing"), F.sum("added").alias("added"), F.collect_set("kind").alias("kinds"))
     known = [k for _, g in FAILURES for k in g]
     tests = [F.when(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in g])), n) for n, g in FAILURES]
     tests.append(F.when(F.exists("kinds", lambda k: ~k.isin(*known)), "protected_span"))
+    if placeholders:
+        left = F.coalesce(F.col(placeholders[0]), F.lit(""))
+        tests.append(F.when(F.exists(placeholders[1], lambda p: F.contains(left, p) & (p != "")), "placeholder"))
+    if required:
+        was, now = (F.coalesce(F.col(c), F.lit("")) for c in required[:2])
+        tests.append(F.when(F.exists(required[2], lambda t: occurrences(now, t) < occurrences(was, t)), "required_term"))
     if json:
         a, b = canonical_json_sha256(F.col(json[0])), canonical_json_sha256(F.col(json[1]))
         tests.append(F.when(a.isNotNull() & ~a.eqNullSafe(b), "json_structure"))

@@ -101,6 +101,18 @@ def j4(spark, sf):
     return _verdict(spark, sf).select("doc_id", "missing", "added", F.array_join("failures", ",").alias("failures"), "passed", "primary")
 
 
+@query("j4_integrity_classes", f"select doc_id, concat_ws(',', nullif(failures, ''), case when doc_id % 5 = 0 then 'placeholder' end, case when doc_id % 7 = 0 then 'required_term' end) as failures from ({VERDICT})")
+def j4c(spark, sf):
+    """A mask left in the text, and a term that occurs less often."""
+    rows = incidents(spark, sf)
+    after = F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("retry_limit"), F.lit("limit"))).otherwise(F.col("text"))
+    after = F.concat(after, F.when(F.col("doc_id") % 5 == 0, " __CK_KEEP_0001__").otherwise(""))
+    both = rows.join(changed(rows).select("doc_id", after.alias("after")), "doc_id")
+    both = both.withColumn("tokens", F.array(F.lit("__CK_KEEP_0000__"), F.lit("__CK_KEEP_0001__"))).withColumn("terms", F.array(F.lit("INC-"), F.lit("retry_limit")))
+    out = C.integrity_verdict(both, "doc_id", _diff(spark, sf), placeholders=("after", "tokens"), required=("text", "after", "terms"))
+    return out.select("doc_id", F.array_join("failures", ",").alias("failures"))
+
+
 @query("j5_accept_or_rollback", f"""select v.doc_id, sha256(case when failures = '' then c.text else i.text end) as final_sha256, case when failures <> '' then 'output_rejected_integrity_' || string_split(failures, ',')[1] end as reason, case when failures <> '' then sha256(c.text) end as rejected_sha256,
   greatest(0, {tok('i.text')} - case when failures = '' then {tok('c.text')} else {tok('i.text')} end) as tokens_saved from ({VERDICT}) v join ({INCIDENTS}) i using (doc_id) join ({CHANGED}) c using (doc_id)""")
 def j5(spark, sf):
