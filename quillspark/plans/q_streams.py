@@ -54,6 +54,7 @@ def k3(spark, sf):
 
 
 #: What the watermark, a day behind the last event, has passed.
+#: Milliseconds are cut, as in the streams; ``epoch_ms`` rounds them.
 PASSED = "(select * from events where ts < (select max(ts) from events) - interval 1 day)"
 
 
@@ -61,7 +62,7 @@ def _timed(spark, sf):
     return S.read_requests(spark, f"{sf}/events.parquet", late="1 day")
 
 
-@query("k1_timed_rate_limit", LIMITED.replace("user_id % 10 = 0 then 0 when user_id % 3 = 0 then 1 else 3 end", "user_id % 10 = 0 then 0 else 2 end").replace("from events", f"from {PASSED} e").replace("user_id, event_type", "user_id").replace("r.user_id, r.event_type", "r.user_id").replace(" and r.event_type = s.event_type", ""))
+@query("k1_timed_rate_limit", LIMITED.replace("user_id % 10 = 0 then 0 when user_id % 3 = 0 then 1 else 3 end", "user_id % 10 = 0 then 0 else 2 end").replace("from events", f"from {PASSED} e").replace("user_id, event_type", "user_id").replace("r.user_id, r.event_type", "r.user_id").replace(" and r.event_type = s.event_type", "").replace("epoch_ms(ts)", "epoch_us(ts) // 1000"))
 def k1t(spark, sf):
     """A window of a day for each user, judged when the watermark has passed a request."""
     stream = _timed(spark, sf).withColumn("limit", F.when(F.col("user_id") % 10 == 0, 0).otherwise(2)).select("user_id", "event_id", "ts", "limit")
@@ -69,7 +70,7 @@ def k1t(spark, sf):
         return S.run_once(TS.timed_rate_limit(stream, "user_id", 86_400))
 
 
-@query("k2_timed_reuse", REUSED.replace("from events", f"from {PASSED} e"))
+@query("k2_timed_reuse", REUSED.replace("from events", f"from {PASSED} e").replace("epoch_ms(ts)", "epoch_us(ts) // 1000"))
 def k2t(spark, sf):
     key = S.request_key(F.col("event_type"), F.col("user_id") % 20, F.lit("{}"))
     stream = _timed(spark, sf).withColumn("key", key).withColumn("no_store", F.col("event_id") % 50 == 0).select("key", "event_id", "ts", "no_store")
