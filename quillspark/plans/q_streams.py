@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.plans.common import query, table, tok
 from quillspark.sources import corpus
 from quillspark.sources.folders import scratch_folder
+from quillspark.streaming import rollups as U
 from quillspark.streaming import streams as S
 from quillspark.streaming import timed as TS
 
@@ -140,3 +141,20 @@ def a6(spark, sf):
     return S.run_once(_stream(spark, sf).select("event_type", "user_id")).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+
+
+@query("k4_usage_windows", f"""with e as (select user_id, ts, event_type, {tok(BODY)} as a, {tok(TIDY)} as b from events),
+ h as (select user_id, date_trunc('hour', ts) as start, count(*) as requests, sum(a)::bigint as tokens_in, sum(b)::bigint as tokens_out, sum(greatest(0, a - b))::bigint as saved, count(*) filter (where event_type = 'error') as errors
+   from e group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 day from events)),
+ d as (select user_id, date_trunc('day', start) as start, sum(requests)::bigint as requests, sum(tokens_in)::bigint as tokens_in, sum(tokens_out)::bigint as tokens_out, sum(saved)::bigint as saved, sum(errors)::bigint as errors
+   from h group by 1, 2 having date_trunc('day', start) + interval 1 day <= (select max(start) from h))
+ select 'hour' as width, * replace (strftime(start, '%Y-%m-%d %H') as start) from h union all select 'day', * replace (strftime(start, '%Y-%m-%d %H') as start) from d""")
+def k4w(spark, sf):
+    """Tokens before and after compaction; windows that the watermark has passed."""
+    body = F.expr(BODY.replace("chr(10)", "char(10)"))
+    stream = S.stream_measures(_timed(spark, sf).withColumn("body", body), "body")
+    events = U.measured(stream, F.col("tokens"), F.col("compact_tokens"), F.col("event_type") == "error").select("event_id", "user_id", "ts", *U.COUNTS)
+    folder = scratch_folder(spark, "usage")
+    U.run_rollups(events, "user_id", folder, "event_id")
+    hours, days = (spark.read.parquet(f"{folder}/{w}s").withColumn("width", F.lit(w)) for w in ("hour", "day"))
+    return hours.unionByName(days).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))

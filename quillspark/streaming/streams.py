@@ -8,6 +8,7 @@ Idle keys leave the state by a timeout on the watermark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,6 +160,19 @@ def stream_measures(stream: DataFrame, text: str) -> DataFrame:
     return stream.withColumn("tokens", token_count(t)).withColumn("exact", requires_exact_output(t)).withColumn("compact_tokens", token_count(compact_text(t)))
 
 
+@contextmanager
+def session_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for what starts inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into the shared folder, and reads the result back."""
     spark = stream.sparkSession

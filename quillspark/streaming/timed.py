@@ -9,7 +9,7 @@ by one, never gathered in Python. A row is answered once the watermark is past i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +17,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.functions import patterns as P
-from quillspark.streaming.streams import limit_rows, reuse_rows
+from quillspark.streaming.streams import limit_rows, reuse_rows, session_settings
 
 SETTING, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def timed_state(spark: SparkSession) -> Iterator[None]:
+def timed_state(spark: SparkSession) -> AbstractContextManager[None]:
     """Streams started inside keep their state in RocksDB, which timers and typed state need."""
-    before = spark.conf.get(SETTING, None)
-    spark.conf.set(SETTING, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.set(SETTING, before) if before else spark.conf.unset(SETTING)
+    return session_settings(spark, {SETTING: ROCKS})
 
 
 class InOrder(StatefulProcessor):

@@ -78,3 +78,50 @@ def test_late_rows_are_judged_in_order_over_several_batches(spark, tmp_path):
     assert {r.event_id: r.outcome for r in found} == {1: "miss", 7: "hit", 4: "hit", 2: "miss", 5: "hit", 6: "miss", 3: "miss", 8: "miss"}
     found = run(lambda s: timed.timed_repeats(s.withColumn("out", F.lit("x")), "key", "out"))
     assert {r.event_id: r.nth for r in found} == {1: 1, 7: 2, 4: 3, 2: 4, 5: 5, 6: 6, 3: 1, 8: 2}
+
+
+def test_rollups_over_runs_with_late_and_repeated_events(spark, tmp_path):
+    """Four runs: what is on time counts once, in its hour and day; what is late is dropped and counted."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from quillspark.streaming import rollups as U
+    from quillspark.streaming import streams as S
+
+    hour = lambda h: f"2024-01-0{1 + int(h) // 24} {int(h) % 24:02}:{int(h * 60) % 60:02}:00"
+    runs = [
+        [(1, "a", 0.5), (2, "a", 0.75), (3, None, 1.5), (4, "a", 6)],  # the watermark is now at 4
+        [(5, "a", 4.5), (2, "a", 0.75), (6, "b", 3.5), (7, "a", 5), (7, "a", 5), (8, "a", 23.5)],  # 2 and 6 are late, 7 comes twice; at 21.5
+        [(9, "b", 22), (10, "a", 30)],  # at 28
+        [(11, "b", 27), (12, "a", 60)],  # 11 is late; at 58
+    ]
+    schema = "event_id long, tenant string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in").withWatermark("ts", "2 hours")
+    events = U.measured(stream, F.col("event_id"), F.lit(3), F.col("event_id") % 2 == 0)
+    assert U.run_rollups(events, "tenant", f"{tmp_path}/out", "event_id") == U.Taken(0, 0)
+    taken = []
+    for i, rows in enumerate(runs):
+        df = spark.createDataFrame([(e, k, hour(h)) for e, k, h in rows], "event_id long, tenant string, ts string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        taken.append(U.run_rollups(events, "tenant", f"{tmp_path}/out", "event_id"))
+    assert taken == [U.Taken(4, 0), U.Taken(6, 2), U.Taken(2, 0), U.Taken(2, 1)]
+
+    good = {e: (k, h) for rows in runs for e, k, h in rows if e not in (6, 11)}
+    for name, width, until in (("hours", 1, 58), ("days", 24, 30)):
+        want = {c: Counter() for c in U.COUNTS}
+        for e, (k, h) in good.items():
+            start = h // width * width
+            if start + width <= until:
+                for c, v in {"requests": 1, "tokens_in": e, "tokens_out": 3, "saved": max(0, e - 3), "errors": 1 - e % 2}.items():
+                    want[c][k, hour(start)] += v
+        found = spark.read.parquet(f"{tmp_path}/out/{name}").collect()
+        assert len(found) == len(want["requests"])
+        for c in U.COUNTS:
+            assert {(r.tenant, str(r.start)): r[c] for r in found} == dict(want[c]), (name, c)
+    free = U.run_rollups(events, "tenant", f"{tmp_path}/free")
+    assert free.read == 14 and free.late is None
+    with S.session_settings(spark, {"quill.test": "1"}):
+        assert spark.conf.get("quill.test") == "1"
+    assert spark.conf.get("quill.test", None) is None
