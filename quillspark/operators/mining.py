@@ -10,21 +10,34 @@ from quillspark.functions.measures import TokenCounter, boilerplate_reasons, tok
 from quillspark.operators.generators import explode_blocks, explode_html, explode_words, squash
 
 
+def block_key(block: Column) -> Column:
+    """16 bytes that stand for a block's text."""
+    return F.substring(F.unhex(F.sha2(block, 256)), 1, 16)
+
+
 def discover_boilerplate(
     df: DataFrame, tenant: str, record: str, conversation: str, text: str, unit: str = "paragraph",
-    min_records: int = 50, min_fraction: float = 0.30, min_conversations: int = 2, min_tokens: int = 8, count: TokenCounter = token_count,
+    min_records: int = 50, min_fraction: float = 0.30, min_conversations: int = 2, min_tokens: int = 8, count: TokenCounter = token_count, only_eligible: bool = False,
 ) -> DataFrame:
     """One row for each tenant and block: counts, fraction, tokens, eligible, ordered reasons.
 
-    Occurrences are reduced to distinct (tenant, block, record, conversation) first, and the
-    heavy tests run once for each distinct block. ``rejection_reasons`` is joined by commas.
+    Occurrences are counted by a 128-bit digest of the block; its text crosses the network once,
+    after each task has kept one copy, and the heavy tests run once for each distinct block.
+    ``only_eligible`` leaves out blocks that fail on their counts before those tests.
+    ``rejection_reasons`` is joined by commas. Rows without a tenant belong to none.
     """
     rows = df.select(F.col(tenant).alias("tenant"), F.col(record).alias("record"), F.col(conversation).alias("conversation"), F.col(text).alias("text"))
     totals = rows.groupBy("tenant").agg(F.count("*").alias("total"))
-    seen = explode_blocks(rows, "text", unit).select("tenant", "block", "record", "conversation").distinct()
-    records = seen.select("tenant", "block", "record").distinct().groupBy("tenant", "block").agg(F.count("*").alias("record_count"))
-    talks = seen.select("tenant", "block", "conversation").distinct().groupBy("tenant", "block").agg(F.count("conversation").alias("conversation_count"))
-    each = records.join(talks, ["tenant", "block"]).join(totals, "tenant").withColumn("record_fraction", F.round(F.col("record_count") / F.col("total"), 6)).withColumn("tokens", count(F.col("block")))
+    blocks = explode_blocks(rows, "text", unit).withColumn("key", block_key(F.col("block")))
+    # Both kinds of partner in one pass; of each row one is null.
+    partners = blocks.select("tenant", "key", "record", "conversation", F.explode(F.array(F.lit(True), F.lit(False))).alias("of_record"))
+    seen = partners.select("tenant", "key", "of_record", F.when(F.col("of_record"), F.col("record")).alias("record"), F.when(~F.col("of_record"), F.col("conversation")).alias("conversation")).distinct()
+    counts = seen.groupBy("tenant", "key").agg(F.count_if("of_record").alias("record_count"), F.count("conversation").alias("conversation_count"))
+    texts = blocks.groupBy("tenant", "key").agg(F.first("block").alias("block"))
+    each = counts.join(totals, "tenant").withColumn("record_fraction", F.round(F.col("record_count") / F.col("total"), 6))
+    if only_eligible:
+        each = each.where((F.col("record_count") >= min_records) & (F.col("record_fraction") >= min_fraction) & (F.col("conversation_count") >= min_conversations))
+    each = each.join(texts, ["tenant", "key"]).withColumn("tokens", count(F.col("block")))
     early = [
         F.when(F.col("record_count") < min_records, "below_minimum_records"),
         F.when(F.col("record_fraction") < min_fraction, "below_minimum_fraction"),
@@ -33,6 +46,8 @@ def discover_boilerplate(
     ]
     reasons = F.concat(F.filter(F.array(*early), lambda x: x.isNotNull()), boilerplate_reasons(F.col("block")))
     out = each.withColumn("reasons", reasons)
+    if only_eligible:
+        out = out.where(F.size("reasons") == 0)
     return out.select("tenant", "block", "record_count", "conversation_count", "record_fraction", "tokens", (F.size("reasons") == 0).alias("eligible"), F.array_join("reasons", ",").alias("rejection_reasons"))
 
 

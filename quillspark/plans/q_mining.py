@@ -20,8 +20,8 @@ F1 = f"""select *, rejection_reasons = '' as eligible from (select *, {reasons('
   from ({LINES}) l join (select lang, count(*) as total from documents group by lang) t using (lang) group by l.lang, block))"""
 
 
-def _found(spark, sf):
-    return N.discover_boilerplate(docs(spark, sf), "lang", "doc_id", "source", "text", unit="line", min_records=3, min_fraction=0.01, min_tokens=4)
+def _found(spark, sf, only_eligible=False):
+    return N.discover_boilerplate(docs(spark, sf), "lang", "doc_id", "source", "text", unit="line", min_records=3, min_fraction=0.01, min_tokens=4, only_eligible=only_eligible)
 
 
 @query("f1_discover_boilerplate", F1)
@@ -38,7 +38,7 @@ def f1p(spark, sf):
 
 @query("i1_rank_candidates", f"select tenant, block, record_count, tokens from ({F1}) where eligible order by record_count desc, tokens desc, block, tenant")
 def i1(spark, sf):
-    return N.rank_candidates(_found(spark, sf).where("eligible")).select("tenant", "block", "record_count", "tokens")
+    return N.rank_candidates(_found(spark, sf, only_eligible=True)).select("tenant", "block", "record_count", "tokens")
 
 
 @query("f2_duplicate_blocks", f"select doc_id, sum(n - 1)::bigint as extra, sum((n - 1) * tokens)::bigint as extra_tokens, sum((n - 1) * length(block))::bigint as extra_chars from (select doc_id, block, count(*) as n, {tok('block')} as tokens from ({LINES}) group by doc_id, block) where n > 1 and tokens >= 4 group by doc_id")

@@ -324,3 +324,17 @@ def test_tool_exchange_and_contexts(spark):
     assert one(spark, M.requires_exact_output, "Please RETURN THE INPUT EXACTLY") and not one(spark, M.requires_exact_output, "exactly")
     assert one(spark, M.verbatim_context, "Schema: x") and one(spark, M.verbatim_context, "preserve the template") and not one(spark, M.verbatim_context, "preserve it")
     assert one(spark, M.html_exact_context, "please preserve the page css") and not one(spark, M.html_exact_context, "exact\nhtml")
+
+
+def test_boilerplate_counts_on_digests(spark):
+    """Nulls, repeats in one record, records without a conversation; eligible ones alone are the same rows."""
+    from quillspark.operators import mining as N
+
+    line = "a quiet river runs past the old mill and the green meadow"
+    rows = [("t", 1, "c1", f"{line}\n{line}\nown one"), ("t", 2, "c2", line), ("t", 3, None, line.replace(" ", "  ")), ("t", None, "c1", line), (None, 9, "c", line), ("u", 4, "c", line), ("u", 5, "c", None), ("t", 6, "c6", "")]
+    docs = spark.createDataFrame(rows, "tenant string, record long, conversation string, text string")
+    found = N.discover_boilerplate(docs, "tenant", "record", "conversation", "text", unit="line", min_records=2, min_fraction=0.1, min_tokens=4)
+    got = {(r.tenant, r.block): (r.record_count, r.conversation_count, r.record_fraction, r.eligible) for r in found.collect()}
+    assert got == {("t", line): (4, 2, 0.8, True), ("t", "own one"): (1, 1, 0.2, False), ("u", line): (1, 1, 0.5, False)}
+    only = N.discover_boilerplate(docs, "tenant", "record", "conversation", "text", unit="line", min_records=2, min_fraction=0.1, min_tokens=4, only_eligible=True)
+    assert sorted(only.collect()) == sorted(found.where("eligible").collect())
