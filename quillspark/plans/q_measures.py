@@ -11,6 +11,7 @@ from quillspark.operators import generators as G
 from quillspark.operators import segments as S
 from quillspark.plans.common import INCIDENTS, LAYOUT, LINES, RE2_SPANS, count, critical, fold, has, lit, query, reasons, squashed, table, tok
 from quillspark.sources import corpus
+from quillspark.sources import prompts as PR
 
 
 def docs(spark, sf):
@@ -393,6 +394,46 @@ def m1(spark, sf):
     return corpus.incident_corpus(table(spark, sf, "orders", spread=True)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
 
 
+#: Token budgets and shares of the prompts made for each order.
+GRID = ([128, 256, 512, 1000], [0.0, 0.1, 0.25, 0.5, 0.75], [0.0, 0.25])
+
+
+def _prompt_sql() -> str:
+    """The case of an order, then its parts from units whose tokens are counted on a sample."""
+    number = lambda kind: f"('0x' || substr(md5(o_orderkey || ':{kind}:' || i), 1, 8))::bigint"
+    six = "lpad((x % 1000000)::varchar, 6, '0')"
+    units = {
+        "prose": f"concat('Ticket TCK-', {six}, ' reports slow checkout and repeated retries; its owner expects an update by 2026-09-', lpad((1 + x % 28)::varchar, 2, '0'), ', see https://status.example.com/t/', {six}, '. ')",
+        "json": f"""concat(chr(10), '  {{"ticket": "TCK-', {six}, '", "region": "', (['north', 'east', 'west'])[(1 + x % 3)::int], '", "retry_limit": ', 3 + x % 2, ', "p95_ms": ', 250 + x % 700, ', "link": "https://status.example.com/t/', {six}, '"}}')""",
+        "html": f"""concat('<section id="t', {six}, '"><h2>Ticket TCK-', {six}, '</h2>', chr(10), '<p>Checkout latency rose; never raise retry_limit above 3. See https://status.example.com/p/', {six}, '.</p></section>', chr(10))""",
+    }
+    frames = {"prose": ("", ""), "json": (PR.JSON_HEAD, PR.JSON_TAIL), "html": (PR.HTML_HEAD, PR.HTML_TAIL)}
+    parts = []
+    for kind, unit in units.items():
+        head, tail = frames[kind]
+        comma = "," if kind == "json" else ""
+        each = f"(select {tok(f"u || '{comma}'")} from (select {unit} as u from (select 0 as x)))"
+        n = f"greatest(1, ceil((b_{kind} - {tok(lit(head + tail)) if head else 0}) / {each}))::bigint"
+        body = f"{lit(head)} || list_reduce(list_transform(list_transform(range(1, {n} + 1), lambda i: {number(kind)}), lambda x: {unit}), lambda a, b: a || '{comma}' || b) || {lit(tail)}"
+        parts.append(f"case when b_{kind} > 0 then {body} else '' end as {kind}")
+    cases = ", ".join(f"({n}, {t}, {j}::double, {h}::double)" for n, (t, j, h) in enumerate((t, j, h) for t in GRID[0] for j in GRID[1] for h in GRID[2] if j + h <= 1))
+    budgets = "floor(t * j) as b_json, floor(t * h) as b_html, greatest(1, t - floor(t * j) - floor(t * h)) as b_prose"
+    count = len(cases.split("("))  - 1
+    rows = f"select o_orderkey, t, {budgets} from orders join (values {cases}) c(n, t, j, h) on c.n = o_orderkey % {count}"
+    texts = f"select *, array_to_string(list_filter([{lit(PR.TASK)}, prose, json, html, {lit(PR.CLOSING)}], lambda p: p <> ''), chr(10) || chr(10)) as text from (select *, {', '.join(parts)} from ({rows}))"
+    return f"select o_orderkey as doc_id, t::bigint as target_tokens, {tok('prose')} as prose_tokens, {tok('json')} as json_tokens, {tok('html')} as html_tokens, sha256(text) as text_sha256 from ({texts})"
+
+
+@query("m1_synthesize_prompts", _prompt_sql())
+def m1p(spark, sf):
+    """A prompt for each order, of one of the cases in turn."""
+    cases = PR.grid(spark, *GRID)
+    orders = table(spark, sf, "orders", spread=True).select("o_orderkey", (F.col("o_orderkey") % cases.count()).alias("n"))
+    made = PR.synthesize_prompts(orders.join(F.broadcast(cases), "n"), "o_orderkey", "target_tokens", "json_share", "html_share")
+    counts = [M.token_count(F.col(c)).alias(a) for c, a in (("prose", "prose_tokens"), ("json_block", "json_tokens"), ("html_block", "html_tokens"))]
+    return made.select(F.col("o_orderkey").alias("doc_id"), "target_tokens", *counts, F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("m2_synthesize_labels", f"select doc_id, sha256(text) as text_sha256 from ({LABELLED})")
 def m2(spark, sf):
     return corpus.label_corpus(docs(spark, sf)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
