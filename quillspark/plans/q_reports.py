@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import patterns as P
 from quillspark.operators import reports as R
 from quillspark.operators import rewrite as W
-from quillspark.plans.common import WORDS, count, query, table, tok
+from quillspark.operators import scoring as SC
+from quillspark.plans.common import WORDS, count, lit, query, table, tok
+from quillspark.plans.q_measures import LABELLED
 from quillspark.sources import corpus
 
 
@@ -161,6 +165,28 @@ def f20(spark, sf):
     return R.separation(scores.join(labels, "doc_id"))
 
 
+#: A word's share of its repeats against its place in the text: two scorers that need no model.
+SCORED = f"""select doc_id, word, 1.0 / count(*) over (partition by doc_id, word) as base, 1 - (pos - 1)::double / count(*) over (partition by doc_id) as candidate
+ from (select doc_id, unnest(l) as word, generate_subscripts(l, 1) as pos from (select doc_id, regexp_extract_all(lower(text), {lit(P.WORD)}) as l from ({LABELLED})))"""
+
+
+def _margin(side: str) -> str:
+    return f"round((coalesce(avg({side}) filter (where word = 'loratenant'), 0) + coalesce(avg({side}) filter (where word = 'adapteractive'), 0)) / 2 - coalesce(avg({side}) filter (where word = 'tenantnoise'), 0), 6)"
+
+
+@query("f20_gain_detection", f"""select doc_id as "case", changed, base_margin, candidate_margin, gain, changed and candidate_margin >= 0.3 and gain >= 0.15 as detected,
+  concat_ws(',', case when not changed then 'output_unchanged' end, case when candidate_margin < 0.3 then 'margin_too_small' end, case when gain < 0.15 then 'gain_too_small' end) as failed
+ from (select *, round(candidate_margin - base_margin, 6) as gain from (select doc_id, bool_or((base >= 0.5) <> (candidate >= 0.5)) as changed, {_margin('base')} as base_margin, {_margin('candidate')} as candidate_margin from ({SCORED}) group by doc_id))""")
+def f20g(spark, sf):
+    each, doc = W.explode_words(corpus.label_corpus(docs(spark, sf)).select("doc_id", "text"), "text").drop("text"), Window.partitionBy("case")
+    words = each.select(F.col("doc_id").alias("case"), "pos", "word")
+    words = words.withColumn("base", 1.0 / F.count("*").over(Window.partitionBy("case", "word"))).withColumn("candidate", 1 - F.col("pos") / F.count("*").over(doc))
+    outputs = words.groupBy("case").agg(F.bool_or((F.col("base") >= 0.5) != (F.col("candidate") >= 0.5)).alias("changed"))
+    keep, drop = ["loratenant", "adapteractive"], ["tenantnoise"]
+    scores = words.where(F.col("word").isin(keep + drop)).select("case", F.col("word").alias("term"), F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("score")) for s in ("base", "candidate")])))
+    return SC.detect_gain(scores, outputs, keep, drop)
+
+
 @query("f22_efficiency", "select round(sum(latency_ms) / nullif(sum(total_tokens_saved) / 1000, 0), 4)::double as ms_per_1k_saved, round(sum(original_tokens) / nullif(sum(latency_ms) / 1000, 0), 4)::double as tokens_per_s from (RECORDS)")
 def f22(spark, sf):
     return R.efficiency(records(spark, sf))

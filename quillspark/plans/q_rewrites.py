@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import rewrite as R
+from quillspark.operators import scoring as SC
 from quillspark.plans.common import FIRST, INCIDENTS, LAYOUT, WORDS, critical, fold, lit, query, table, tok
 from quillspark.sources import corpus
 
@@ -193,6 +194,25 @@ def l2(spark, sf):
     return counts.join(scores, "word").select("word", "documents", "score")
 
 
+def _idf_sql(part: str, key: str, least: int) -> str:
+    """Scores from some of the documents, over all of them or by language."""
+    of, by = (f"{key}, ", f"on n.{key} = w.{key}") if key else ("", "on true")
+    total = f"select {of}count(distinct doc_id) as total from documents where {part} {'group by ' + key if key else ''} having count(distinct doc_id) >= {least}"
+    return f"select {'w.' + of if key else ''}word, round(ln(any_value(total) / count(distinct doc_id)), 6) as score from w join ({total}) n {by} where {part} group by {'w.' + of if key else ''}word"
+
+
+@query("l2_tenant_scores", f"""with w as (select doc_id, lang, unnest(regexp_extract_all(lower(text), {lit(P.WORD)})) as word from documents)
+ select w.lang as tenant, w.word as unit, count(*) as n, coalesce(any_value(o.score), any_value(b.score), 0)::double as score, case when any_value(o.score) is not null then 'tenant' when any_value(b.score) is not null then 'base' else 'default' end as scored_by
+ from w left join ({_idf_sql('doc_id % 2 = 0', 'lang', 20)}) o on o.lang = w.lang and o.word = w.word left join ({_idf_sql('doc_id % 3 = 0', '', 1)}) b on b.word = w.word group by w.lang, w.word""")
+def l2t(spark, sf):
+    """Scores of each language from half of its documents, the base from a third of all."""
+    d = docs(spark, sf)
+    own = SC.tenant_scores(d.where("doc_id % 2 = 0"), "lang", "doc_id", "text", 20)
+    base = R.idf_scores(d.where("doc_id % 3 = 0"), "doc_id", "text").withColumnRenamed("word", "unit")
+    units = R.explode_words(d.select("lang", "text"), "text").select(F.col("lang").alias("tenant"), F.col("word").alias("unit"))
+    return SC.score_units(units, own, base)
+
+
 @query("l3_pluggable_converter", f"select page_id, length(t)::bigint as chars from (select page_id, {_page_sql()} as t from pages)")
 def l3(spark, sf):
     convert = {"html": R.page_text}
