@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,28 @@ def test_leaks_match_brute_force(spark):
     assert leaks(frame(spark, docs), frame(spark, [], "item_id long, text string")).count() == 0
 
 
+def test_documents_are_scanned_once_for_all_blocks_of_items(spark, monkeypatch):
+    """Many blocks of items over many portions of text find what one block finds, in one pass."""
+    from quillspark.llm import decontaminate as D
+
+    words = "amber basin cedar delta ember fjord grove haven inlet jetty".split()
+    items = [(n, " ".join(words[(n + k * k) % 10] + str(n) for k in range(6))) for n in range(40)] + [(None, "  "), (41, None)]
+    docs = [(n, f"Before it. {items[n % 40][1].upper()} and {items[(n * 7) % 40][1][:-1]}x") for n in range(60)] + [(None, items[3][1]), (61, None), (62, ""), (63, " ".join(t for _, t in items[:40]) * 3)]
+    d, i = frame(spark, docs).repartition(3), frame(spark, items, "item_id long, text string")
+    want = sorted(map(str, leaks(d, i).collect()))
+    assert len(want) > 100
+    monkeypatch.setattr(D, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(D, "PORTION_CHARS", 500)
+    found = leaks(d, i)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+    assert sorted(map(str, found.collect())) == want
+
+    batches = [pa.record_batch({"id": [1, 2, 3], "body": ["aa", "bbbb", "c"]}), pa.record_batch({"id": [4], "body": ["dd"]})]
+    assert [[i for i, _ in p] for p in D.portions(batches, 5)] == [[1, 2], [3, 4]]
+    assert [[i for i, _ in p] for p in D.portions(batches, 0)] == [[1, 2, 3], [4]]
+
+
 def test_leak_spans_point_into_the_original(spark):
     item = "alpha beta gamma delta epsilon zeta"
     text = "Intro…  ALPHA  beta\ngamma delta epsilon zeta! more"
