@@ -241,6 +241,34 @@ def compression_path(before: Column, after: Column, model_ran: Column) -> Column
     return F.when(model_ran, "deterministic_plus_model").when(before == after, "unchanged").otherwise("deterministic_only")
 
 
+#: Kinds of spans whose characters make a text dense with what must not change.
+DENSE_KINDS = ("email", "number", "identifier", "constant", "money", "url")
+
+
+def route_features(text: Column, compacted: Column, count: TokenCounter = token_count, kinds: Iterable[str] = DENSE_KINDS) -> dict[str, Column]:
+    """What ``route``, ``expected_reduction`` and ``projected_cost`` ask of a text, read from it.
+
+    ``compacted`` is the text after the cheap rewrites: its tokens are what is left to a model.
+    Densities are shares of characters (a character of two kinds counts for both) and shares of
+    lines (headings, bullets, JSON). A null text has no tokens and no density.
+    """
+    found = {k: F.regexp_extract_all(text, F.lit(P.JAVA_SPANS[k]), F.lit(0)) for k in kinds}
+    chars = {k: F.aggregate(m, F.lit(0), lambda n, x: n + F.length(x)) for k, m in found.items()}
+    total, lines = F.length(text), count_of(text, "\n") + 1
+    marks = structural_features(text)
+    before, after = (F.coalesce(count(t), F.lit(0)) for t in (text, compacted))
+    return {
+        "tokens": after.cast("long"),
+        "exact": F.coalesce(requires_exact_output(text), F.lit(False)),
+        "deterministic": ratio(F.greatest(F.lit(0), before - after), before),
+        "protected": ratio(reduce(lambda a, b: a + b, chars.values()), total),
+        "identifier": ratio(chars["identifier"], total) if "identifier" in chars else F.lit(0.0),
+        "structured": F.coalesce(ratio(marks["headings"] + marks["bullets"] + marks["json_like_lines"], lines), F.lit(0.0)),
+        "placeholders": F.coalesce(reduce(lambda a, b: a + b, (F.size(m) for m in found.values())), F.lit(0)).cast("long"),
+        "segments": F.coalesce(count_of(text, r"\n[ \t\r]*\n") + 1, F.lit(0)).cast("long"),
+    }
+
+
 ROUTE_LIMITS = {"tokens": 20000, "deterministic": 0.12, "protected": 0.20, "structured": 0.35, "placeholders": 400, "cost": 60000.0, "saving": 2000, "reduction": 0.05}
 
 

@@ -9,7 +9,7 @@ from quillspark.functions import patterns as P
 from quillspark.operators import conversations, profiles
 from quillspark.operators import generators as G
 from quillspark.operators import segments as S
-from quillspark.plans.common import INCIDENTS, LAYOUT, LINES, RE2_SPANS, count, critical, fold, has, lit, query, reasons, squashed, table, tok
+from quillspark.plans.common import FIRST, INCIDENTS, LAYOUT, LINES, RE2_SPANS, count, critical, fold, has, lit, query, reasons, squashed, table, tok
 from quillspark.sources import corpus
 from quillspark.sources import prompts as PR
 
@@ -477,6 +477,37 @@ def j3(spark, sf):
     return _gate(spark, sf).select("doc_id", F.round("cost", 4).alias("cost"), F.round(half, 4).alias("half"))
 
 
+def _texts_sql() -> str:
+    """Features of order incidents and of documents, from their texts."""
+    spans = {k: f"regexp_extract_all({fold('text')}, {lit(P.SPANS[k])})" for k in M.DENSE_KINDS}
+    lists = ", ".join(f"{m} as m_{k}" for k, m in spans.items())
+    size = lambda k: f"coalesce(list_sum(list_transform(m_{k}, lambda x: length(x))), 0)"
+    sums = {"chars": " + ".join(size(k) for k in spans), "spans": " + ".join(f"len(m_{k})" for k in spans)}
+    marks = "headings + bullets + json_like_lines"
+    return f"""select doc_id, exact, after as tokens, greatest(0, before - after) / before as deterministic, ({sums['chars']}) / length(text) as protected, {size('identifier')} / length(text) as identifier,
+  ({marks}) / lines as structured, ({sums['spans']})::bigint as placeholders, segments, length(text) as n
+ from (select doc_id, text, {_any('text', P.EXACT_OUTPUT)} as exact, {tok('text')} as before, {tok(FIRST)} as after, {lists}, {FEATURES}, len(string_split(text, chr(10))) as lines, len(regexp_extract_all(text, '\\n[ \\t\\r]*\\n')) + 1 as segments
+  from ({INCIDENTS} union all select -doc_id - 1, text from documents))"""
+
+
+ROUTED = f"""select doc_id, tokens, segments::bigint as segments, placeholders, round(protected, 6)::double as protected, round(structured, 6)::double as structured, round(deterministic, 6)::double as deterministic, round(expected, 6)::double as expected,
+ case when exact then 'skipped_exact_output_context' when tokens < 60 then 'skipped_low_candidate_tokens' when deterministic >= 0.12 then 'skipped_deterministic_savings_sufficient' when protected > 0.20 then 'skipped_high_protected_density' when structured > 0.35 then 'skipped_high_structured_density'
+  when placeholders > 400 then 'skipped_high_placeholder_count' when 50.0 + ceil(n / 24000.0) * 900.0 + 20.0 > 2000 then 'skipped_high_projected_latency' when floor(tokens * expected) < 10 or expected < 0.05 then 'skipped_low_expected_incremental_savings' else 'run' end as decision
+ from (select *, greatest(0, (case when structured < 0.10 then 0.08 else 0.05 end) - (case when protected > 0.10 then 0.02 else 0 end) - (case when identifier > 0.10 then 0.02 else 0 end) - (case when tokens / segments < 120 then 0.02 else 0 end) - (case when deterministic >= 0.10 then 0.02 else 0 end))::double as expected from ({_texts_sql()}))"""
+
+
+@query("j1_route_texts", ROUTED)
+def j1t(spark, sf):
+    """Routes of incidents and documents on what their texts hold, with limits for short texts."""
+    both = corpus.incident_corpus(table(spark, sf, "orders", spread=True)).unionByName(docs(spark, sf).select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    compacted = F.regexp_replace("text", "(^| )(?:the|de|der) ", "$1")
+    rows = both.withColumns(M.route_features(F.col("text"), compacted))
+    rows = rows.withColumn("expected", M.expected_reduction(*[F.col(c) for c in ("tokens", "segments", "deterministic", "protected", "identifier", "structured")])).withColumn("cost", M.projected_cost(F.length("text"), F.lit(50.0), F.lit(900.0), F.lit(20.0)))
+    names = ("tokens", "exact", "deterministic", "protected", "structured", "placeholders", "cost", "expected")
+    decision = M.route(F.lit("model_auto"), F.lit(0.8), *[F.col(c) for c in names], limits={"tokens": 60, "saving": 10, "cost": 2000.0})
+    return rows.select("doc_id", "tokens", "segments", "placeholders", *[F.round(c, 6).alias(c) for c in ("protected", "structured", "deterministic", "expected")], decision.alias("decision"))
+
+
 @query("j6_compression_path", "select case_id, case when model_ran then 'deterministic_plus_model' when input_sha256 = output_sha256 then 'unchanged' else 'deterministic_only' end as path from (RECORDS)")
 def j6(spark, sf):
     r = corpus.version_records(docs(spark, sf))

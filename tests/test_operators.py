@@ -338,3 +338,16 @@ def test_boilerplate_counts_on_digests(spark):
     assert got == {("t", line): (4, 2, 0.8, True), ("t", "own one"): (1, 1, 0.2, False), ("u", line): (1, 1, 0.5, False)}
     only = N.discover_boilerplate(docs, "tenant", "record", "conversation", "text", unit="line", min_records=2, min_fraction=0.1, min_tokens=4, only_eligible=True)
     assert sorted(only.collect()) == sorted(found.where("eligible").collect())
+
+
+def test_route_features_come_from_the_text(spark):
+    """Nulls and empty texts have none; densities are shares of characters and lines."""
+    from quillspark.functions import measures as M
+
+    rows = [(1, None), (2, ""), (3, "see https://a.example/x\n\n- one\n- two"), (4, "return only json"), (5, "the cat and the dog")]
+    docs = spark.createDataFrame(rows, "i long, text string")
+    found = {r.i: r for r in docs.withColumns(M.route_features(F.col("text"), F.regexp_replace("text", "the ", ""))).collect()}
+    for i in (1, 2):
+        assert (found[i].tokens, found[i].protected, found[i].structured, found[i].placeholders, found[i].deterministic, found[i].exact) == (0, 0.0, 0.0, 0, 0.0, False)
+    assert found[1].segments == 0 and found[3].segments == 2 and found[3].structured == 0.5 and found[3].placeholders >= 1
+    assert found[3].protected >= len("https://a.example/x") / len(rows[2][1]) and found[5].deterministic == 0.4 and found[5].tokens == 3
