@@ -155,15 +155,19 @@ def fold_of(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def fit(rows: DataFrame, text: str, lang: str, key: str, per_lang: int = 4000) -> Model:
+def fit(rows: DataFrame, text: str, lang: str, key: str, per_lang: int = 4000, most_langs: int = 1000) -> Model:
     """Learns all words and n-grams of about ``per_lang`` rows of each language (all, where there are fewer).
 
+    Of more than ``most_langs`` values of ``lang`` the most frequent are learned, at a tie the first by name,
+    so a column of unclean values bounds neither the driver's memory nor the plan's width by its size.
+
     The sample is the rows whose hash of ``key`` falls below per_lang / count. That bound keeps
     the size of the model, 8 + 4 x languages bytes for each word or n-gram, apart from the size of the
     table; it grows with the number of languages. Rows without a key are not learned from.
     """
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    most = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r[0]: r[1] for r in most.collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(0, U64), np.zeros(0, np.int32), np.zeros((0, 0)), {})

@@ -200,6 +200,15 @@ def test_language_matches_plain_counts(spark):
     assert {x.lang_pred for x in more.collect()} <= set("abc")
 
 
+def test_language_learns_the_most_frequent_values_of_an_unclean_column(spark):
+    rows = [(i, "ka lo", "a") for i in range(6)] + [(10 + i, "sch ung", "b") for i in range(4)] + [(20 + i, "qu", f"stray {i:02}") for i in range(40)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs, "text", "lang", "doc_id", most_langs=3).langs == ["a", "b", "stray 00"]
+    two = language_id.fit(docs, "text", "lang", "doc_id", most_langs=2)
+    tests = frame(spark, [(1, "lo ka"), (2, "ung"), (3, "qu")])
+    assert [r.lang_pred for r in language_id.predict(tests, two).orderBy("id").collect()][:2] == ["a", "b"]
+
+
 def test_language_edge_cases(spark):
     docs = frame(spark, [(1, None, "en"), (2, "", None), (None, "hello there", "en"), (3, "12", "en")], "doc_id long, text string, lang string")
     model = language_id.fit(docs, "text", "lang", "doc_id")
