@@ -251,19 +251,23 @@ def route_features(text: Column, compacted: Column, count: TokenCounter = token_
     ``compacted`` is the text after the cheap rewrites: its tokens are what is left to a model.
     Densities are shares of characters (a character of two kinds counts for both) and shares of
     lines (headings, bullets, JSON). A null text has no tokens and no density.
+
+    Each pattern is matched once a text: no lambda and no condition stands around a match, as
+    generated code shares equal expressions only outside of those.
     """
     found = {k: F.regexp_extract_all(text, F.lit(P.JAVA_SPANS[k]), F.lit(0)) for k in kinds}
-    chars = {k: F.aggregate(m, F.lit(0), lambda n, x: n + F.length(x)) for k, m in found.items()}
+    chars = {k: F.length(F.array_join(m, "")) for k, m in found.items()}
+    part = lambda n, of: F.coalesce(n / F.nullif(of, F.lit(0)), F.lit(0.0))
     total, lines = F.length(text), count_of(text, "\n") + 1
     marks = structural_features(text)
     before, after = (F.coalesce(count(t), F.lit(0)) for t in (text, compacted))
     return {
         "tokens": after.cast("long"),
         "exact": F.coalesce(requires_exact_output(text), F.lit(False)),
-        "deterministic": ratio(F.greatest(F.lit(0), before - after), before),
-        "protected": ratio(reduce(lambda a, b: a + b, chars.values()), total),
-        "identifier": ratio(chars["identifier"], total) if "identifier" in chars else F.lit(0.0),
-        "structured": F.coalesce(ratio(marks["headings"] + marks["bullets"] + marks["json_like_lines"], lines), F.lit(0.0)),
+        "deterministic": part(F.greatest(F.lit(0), before - after), before),
+        "protected": part(reduce(lambda a, b: a + b, chars.values()), total),
+        "identifier": part(chars["identifier"], total) if "identifier" in chars else F.lit(0.0),
+        "structured": part(marks["headings"] + marks["bullets"] + marks["json_like_lines"], lines),
         "placeholders": F.coalesce(reduce(lambda a, b: a + b, (F.size(m) for m in found.values())), F.lit(0)).cast("long"),
         "segments": F.coalesce(count_of(text, r"\n[ \t\r]*\n") + 1, F.lit(0)).cast("long"),
     }

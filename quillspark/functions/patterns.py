@@ -108,3 +108,5 @@ def java(pattern: str) -> str:
 
 
 JAVA_SPANS = {k: java(p) for k, p in SPANS.items()}
+# What stands before the @ can hold none, so giving letters back never helps.
+JAVA_SPANS["email"] = JAVA_SPANS["email"].replace("]+@", "]++@", 1)

@@ -1,7 +1,11 @@
 """Plans: heavy functions run once for each input row."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from quillspark.functions import measures as M
+from quillspark.functions import patterns as P
 from quillspark.operators import compare as C
 from quillspark.operators import generators as G
 from quillspark.plans import registry
@@ -43,3 +47,18 @@ def test_percentiles_scan_their_input_once(spark, sf):
         text = plan(registry.QUERIES[name](spark, sf))
         assert "lineitem.parquet" not in text and "documents.parquet" not in text
         assert "value-counts" in text
+
+
+def test_route_features_match_each_pattern_once(spark):
+    text = "Mail a.b+c@x-y.example and x@ y@@z.example, pay $5.10 by 2024-01-02 for INC-000042\n\n# head\n- item\n{\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    made = docs.withColumns(M.route_features(F.col("text"), F.col("text")))
+    assert "lambda" not in plan(made).lower()
+    rows = {r["doc_id"]: r for r in made.collect()}
+    found = {k: [m.group() for m in re.finditer(P.SPANS[k], text)] for k in M.DENSE_KINDS}
+    assert found["email"] == ["a.b+c@x-y.example"]
+    assert rows[1]["placeholders"] == sum(map(len, found.values()))
+    assert rows[1]["protected"] == sum(len(m) for v in found.values() for m in v) / len(text)
+    assert rows[1]["structured"] == 3 / 6 and rows[1]["segments"] == 2 and rows[1]["deterministic"] == 0
+    for i in (2, 3):
+        assert (rows[i]["tokens"], rows[i]["placeholders"], rows[i]["protected"], rows[i]["identifier"], rows[i]["deterministic"]) == (0, 0, 0.0, 0.0, 0.0)
