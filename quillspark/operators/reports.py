@@ -42,9 +42,14 @@ def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """
     group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__all")).alias("g")
     seen = df.select(group, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
-    folder = scratch_folder(df.sparkSession, "value-counts")
-    seen.write.parquet(folder)
-    return df.sparkSession.read.schema(seen.schema).parquet(folder)
+    return _written(seen, "value-counts")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once in the shared folder, so that every reader sees the same ones."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def exact_percentiles(df: DataFrame, value: str, by: list[str], ps: tuple[float, ...], parts: int = 64) -> DataFrame:
@@ -61,8 +66,10 @@ def percentiles_of(counts: DataFrame, ps: tuple[float, ...], parts: int = 64) ->
     """
     seen = counts.where("v is not null")
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    edges = seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e"))
-    placed = seen.join(edges, "g").withColumn("b", F.size(F.filter("e", lambda e: e < F.col("v")))).drop("e")
+    # Sketches depend on the order in which they are merged; both readers of the ranges must see the same edges.
+    edges = _written(seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e")), "percentile-edges")
+    # Sizes are guessed from the counts before they go to several groups, so plain joins may broadcast all values.
+    placed = seen.hint("merge").join(edges, "g").withColumn("b", F.size(F.filter("e", lambda e: e < F.col("v")))).drop("e")
     sizes = placed.groupBy("g", "b").agg(F.sum("c").alias("size"))
     whole, end = Window.partitionBy("g"), F.col("before") + F.col("size")
     front = F.coalesce(F.sum("size").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -72,7 +79,7 @@ def percentiles_of(counts: DataFrame, ps: tuple[float, ...], parts: int = 64) ->
     inside = F.filter(ranks, lambda r: (r["rank"] < end) & (r["rank"] >= F.col("before")))
     asked = sizes.select("g", "b", "before", "n", inside.alias("ranks")).where(F.size("ranks") > 0)
     run = F.sum("c").over(Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ordered = placed.join(asked, ["g", "b"]).withColumn("to", F.col("before") + run)
+    ordered = placed.hint("merge").join(asked, ["g", "b"]).withColumn("to", F.col("before") + run)
     hit = F.filter("ranks", lambda r: (r["rank"] < F.col("to")) & (r["rank"] >= F.col("to") - F.col("c")))
     found = ordered.select("g", "v", "n", F.explode(hit).alias("r"))
     at = found.groupBy("g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r.i", F.col("v").cast("double").alias("v")))).alias("m"))

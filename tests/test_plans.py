@@ -49,6 +49,13 @@ def test_percentiles_scan_their_input_once(spark, sf):
         assert "value-counts" in text
 
 
+def test_values_of_percentiles_are_never_broadcast(spark, sf):
+    """And the edges of their ranges are the same for all who read them."""
+    text = plan(registry.QUERIES["f7_grouped_summary"](spark, sf))
+    assert "percentile_approx" not in text and "percentile-edges" in text
+    assert text.count("SortMergeJoin [") >= 3 and "BroadcastHashJoin [" not in text
+
+
 def test_route_features_match_each_pattern_once(spark):
     text = "Mail a.b+c@x-y.example and x@ y@@z.example, pay $5.10 by 2024-01-02 for INC-000042\n\n# head\n- item\n{\n"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
