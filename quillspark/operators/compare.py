@@ -144,7 +144,8 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, key: str, width: int = 102
     """Tokens with the spans of their document that they overlap (half-open intervals).
 
     Both sides are dealt to stretches of ``width`` characters, so that a long document's rows meet
-    only near each other; a pair counts in the stretch where the later of the two begins.
+    only near each other; a pair counts in the stretch where the later of the two begins. Both are
+    exploded from texts, of which Spark knows too small a size, so neither may be broadcast.
     """
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def overlap_join(tokens: DataFrame, spans: DataFrame, key: str, width: int = 102
     near = (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t.__at") == F.col("s.__at"))
     meet = (F.col("t.start") < F.col("s.end")) & (F.col("t.end") > F.col("s.start"))
     once = F.col("t.__at") == F.floor(F.greatest("t.start", "s.start") / width)
-    found = t.join(s, near & meet & once)
+    found = t.hint("merge").join(s, near & meet & once)
     return found.select(*[F.col(f"t.{c}") for c in tokens.columns], *[F.col(f"s.{c}") for c in spans.columns])
 
 

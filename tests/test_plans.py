@@ -56,6 +56,10 @@ def test_values_of_percentiles_are_never_broadcast(spark, sf):
     assert text.count("SortMergeJoin [") >= 3 and "BroadcastHashJoin [" not in text
 
 
+def test_exploded_tokens_are_never_broadcast(spark, sf):
+    assert "BroadcastHashJoin" not in plan(registry.QUERIES["g7_overlap_join"](spark, sf))
+
+
 def test_route_features_match_each_pattern_once(spark):
     text = "Mail a.b+c@x-y.example and x@ y@@z.example, pay $5.10 by 2024-01-02 for INC-000042\n\n# head\n- item\n{\n"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
