@@ -1,15 +1,19 @@
 """Requests judged in the order of their time, across micro-batches, on state with event-time timers.
 
-A key's rows wait in a map by their time, each with a timer; when the watermark passes it, the
-timer hands the rows of that time to a small step function, which keeps one value for each key.
-So late rows are taken where they belong, and a hot key's rows are written and read one
-by one, never gathered in Python. A row is answered once the watermark is past it.
+A key's rows are sorted in runs of bounded size, and each run waits in the state as pieces of a few
+hundred rows. When the watermark passes a key's earliest row, a timer merges what is due of all runs, holding
+one piece of each, and hands it row by row to a small step function, which keeps one value for each key.
+So late rows are taken where they belong, a hot key is never gathered in Python, and a key costs a few calls
+on the state for each piece, not for each row. A row is answered once the watermark is past it.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,9 @@ from quillspark.streaming.streams import limit_rows, reuse_rows, session_setting
 
 SETTING, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a key that are sorted at once, and rows of a piece in the state.
+RUN, PIECE = 50_000, 512
+
 
 def timed_state(spark: SparkSession) -> AbstractContextManager[None]:
     """Streams started inside keep their state in RocksDB, which timers and typed state need."""
@@ -38,33 +45,59 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", f"events array<long>, items array<{self.value}>")
+        self.waiting = handle.getMapState("waiting", "first long, run long, part long", f"times array<long>, events array<long>, items array<{self.value}>")
         self.state = handle.getValueState("kept", f"last long, {self.kept}")
+        self.runs = handle.getValueState("runs", "n long")
+
+    def _put(self, run: int, part: int, rows: list[tuple]) -> None:
+        times, events, items = zip(*rows, strict=True)
+        self.waiting.updateValue((times[0], run, part), (list(times), list(events), list(items)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            at = (r["ms"],)
-            events, items = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [])
-            self.waiting.updateValue(at, ([*events, r["event_id"]], [*items, r["value"]]))
-            self.handle.registerTimer(r["ms"] + 1)
+        each, n, first = ((r["ms"], r["event_id"], r["value"]) for r in rows), self.runs.get()[0] if self.runs.exists() else 0, None
+        while run := sorted(islice(each, RUN), key=lambda r: r[:2]):
+            for part in range(0, len(run), PIECE):
+                self._put(n, part, run[part : part + PIECE])
+            n, first = n + 1, run[0][0] if first is None else min(first, run[0][0])
+        self.runs.update((n,))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
         return iter(())
 
+    def _due(self, pieces: list[tuple], until: int) -> Iterator[tuple]:
+        """A run's rows before ``until``, piece by piece; what a piece holds beyond stays."""
+        for at in sorted(pieces):
+            rows = list(zip(*self.waiting.getValue(at), strict=True))
+            self.waiting.removeKey(at)
+            for i, r in enumerate(rows):
+                if r[0] >= until:
+                    self._put(at[1], at[2], rows[i:])
+                    break
+                yield r
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        at = (until - 1,)
+        until, now = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
         last, *kept = self.state.get() if self.state.exists() else (0,)
-        if not self.waiting.containsKey(at):
-            if kept and until >= last + self.idle:
+        runs = defaultdict(list)
+        for first, run, part in self.waiting.keys():
+            if first < until:
+                runs[run].append((first, run, part))
+        if not runs:
+            if kept and now >= last + self.idle:
                 self.state.clear()
             return
-        events, items = self.waiting.getValue(at)
-        self.waiting.removeKey(at)
         kept = tuple(kept) or None
-        for event, item in sorted(zip(events, items, strict=True), key=lambda x: x[0]):
-            out, kept = self.step(kept, until - 1, item)
+        for ms, event, item in heapq.merge(*[self._due(p, until) for p in runs.values()], key=lambda r: r[:2]):
+            out, kept = self.step(kept, ms, item)
+            last = ms
             yield Row(**dict(zip(self.names, (key[0], event, *out), strict=True)))
-        self.state.update((until - 1, *kept))
-        self.handle.registerTimer(until - 1 + self.idle)
+        self.state.update((last, *kept))
+        self.handle.registerTimer(last + self.idle)
+        left = min((first for first, _, _ in self.waiting.keys()), default=None)
+        if left is not None:
+            self.handle.registerTimer(left + 1)
+        else:
+            self.runs.clear()
 
     def close(self) -> None:
         pass
