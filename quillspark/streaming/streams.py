@@ -41,6 +41,11 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    """``ms``, the nearest millisecond of ts, counted in whole microseconds and in any session's time zone."""
+    return stream.withColumn("ms", F.expr("(unix_micros(ts) + 500) div 1000"))
+
+
 def _keep(state: GroupState, value: tuple, until_ms: int) -> None:
     state.update(value)
     mark = state.getCurrentWatermarkMs()
@@ -64,10 +69,6 @@ def limit_rows(times_ms: list[int], limits: list[int], count: int, reset_ms: int
     return out, count, reset_ms
 
 
-def _millis(ts: pd.Series) -> list[int]:
-    return [int(x.timestamp() * 1000) for x in ts]
-
-
 def rate_limit(stream: DataFrame, keys: list[str], period_s: int = P.PERIOD_SECONDS) -> DataFrame:
     """stream(keys, event_id, ts, limit): a window opens with a key's first request after the last
     one closed; requests beyond the limit are denied with the seconds to wait."""
@@ -79,7 +80,7 @@ def rate_limit(stream: DataFrame, keys: list[str], period_s: int = P.PERIOD_SECO
             return
         rows = _ordered(frames)
         count, reset = state.get if state.exists else (0, 0)
-        found, count, reset = limit_rows(_millis(rows["ts"]), rows["limit"].tolist(), count, reset, period)
+        found, count, reset = limit_rows(rows["ms"].tolist(), rows["limit"].tolist(), count, reset, period)
         _keep(state, (count, reset), reset)
         out = rows[["event_id"]].copy()
         for k, v in zip(keys, key, strict=True):
@@ -89,7 +90,7 @@ def rate_limit(stream: DataFrame, keys: list[str], period_s: int = P.PERIOD_SECO
 
     types = dict(stream.dtypes)
     ddl = ", ".join(f"{k} {types[k]}" for k in keys) + ", event_id long, allowed boolean, retry_after_s long"
-    return stream.groupBy(*keys).applyInPandasWithState(run, ddl, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(stream).groupBy(*keys).applyInPandasWithState(run, ddl, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reuse_rows(times_ms: list[int], bypass: list[bool], stored_ms: int, ttl_ms: int):
@@ -119,11 +120,11 @@ def reuse_within_ttl(stream: DataFrame, key: str, ttl_s: int) -> DataFrame:
             state.remove()
             return
         rows = _ordered(frames)
-        found, stored = reuse_rows(_millis(rows["ts"]), rows["no_store"].tolist(), state.get[0] if state.exists else -1, ttl)
+        found, stored = reuse_rows(rows["ms"].tolist(), rows["no_store"].tolist(), state.get[0] if state.exists else -1, ttl)
         _keep(state, (stored,), stored + ttl)
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"].tolist(), "outcome": found})
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} string, event_id long, outcome string", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(stream).groupBy(key).applyInPandasWithState(run, f"{key} string, event_id long, outcome string", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def repeat_tracker(stream: DataFrame, key: str, output: str, idle_ms: int = 30 * 86_400_000) -> DataFrame:

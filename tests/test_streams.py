@@ -36,6 +36,18 @@ def test_rate_limit_matches_a_loop(spark, sf):
     assert got == want
 
 
+def test_waits_count_from_the_nearest_millisecond(spark, tmp_path):
+    """As ``epoch_ms`` does; a cut millisecond would ask for a second less."""
+    from pyspark.sql import functions as F
+
+    from quillspark.streaming import streams as S
+
+    rows = [(1, "2024-01-01 00:00:00.000600"), (2, "2024-01-01 00:00:01.000400")]
+    spark.createDataFrame(rows, "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = S.read_requests(spark, f"{tmp_path}/in").select(F.lit("a").alias("key"), "event_id", "ts", F.lit(1).alias("limit"))
+    assert {r.event_id: r.retry_after_s for r in S.run_once(S.rate_limit(stream, ["key"], 61)).collect()} == {1: 0, 2: 61}
+
+
 def test_reuse_matches_a_loop(spark, sf):
     got = {r.event_id: r.outcome for r in q_streams.k2(spark, sf).collect()}
     state, want = {}, {}
