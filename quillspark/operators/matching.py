@@ -107,14 +107,15 @@ def constraint_scan(docs: DataFrame, rules: DataFrame, doc_id: str, group: str,
     found = vocabulary(rows)
     if found is None:
         return None
-    by_group: dict[str, list[tuple[str, str]]] = defaultdict(list)
-    for g, kind, term in sorted(found):
-        by_group[g].append((kind, term))
-    kinds = {k for _, k, _ in found}
-    if unknown := kinds - {"required", "forbidden", "spaceless", "json_key"}:
+    if unknown := {k for _, k, _ in found} - {"required", "forbidden", "spaceless", "json_key"}:
         raise ValueError(f"unknown kinds of rules: {sorted(unknown)}")
+    # A text costs what it holds and what it lacks, not a step for each rule that it keeps.
+    by_group: dict[str, dict[str, dict[str, str]]] = {}
+    for g, kind, term in found:
+        mine = by_group.setdefault(g, {k: {} for k in ("forbidden", "required", "spaceless", "json_key")})
+        mine[kind][term] = _SPACE.sub("", term) if kind == "spaceless" else term
     literal = {t for _, k, t in found if k in ("required", "forbidden")}
-    bare = {_SPACE.sub("", t) for _, k, t in found if k == "spaceless"}
+    bare = {short for mine in by_group.values() for short in mine["spaceless"].values()}
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("rules", T.LongType()), T.StructField("failed", T.LongType()), T.StructField("misses", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +129,18 @@ def constraint_scan(docs: DataFrame, rules: DataFrame, doc_id: str, group: str,
                 t = t or ""
                 # Every occurrence, overlapping or not; an empty term is in every text.
                 seen = {x for _, x in plain.iter(t)} if plain is not None else set()
-                squeezed = {x for _, x in tight.iter(_SPACE.sub("", t))} if tight is not None else set()
-                keys = json_keys(t) if any(k == "json_key" for k, _ in mine) else set()
-                missed = []
-                for kind, term in mine:
-                    short = _SPACE.sub("", term) if kind == "spaceless" else term
-                    there = term in keys if kind == "json_key" else not short or short in (squeezed if kind == "spaceless" else seen)
-                    if there == (kind == "forbidden"):
-                        missed.append(f"{kind}:{term}")
+                missed = [("forbidden", x) for x in (*seen, "") if x in mine["forbidden"]]
+                missed += [("required", x) for x in mine["required"] if x and x not in seen]
+                if mine["spaceless"]:
+                    squeezed = {x for _, x in tight.iter(_SPACE.sub("", t))} if tight is not None else set()
+                    missed += [("spaceless", x) for x, short in mine["spaceless"].items() if short and short not in squeezed]
+                if mine["json_key"]:
+                    keys = json_keys(t)
+                    missed += [("json_key", x) for x in mine["json_key"] if x not in keys]
                 kept.append(i)
-                n.append(len(mine))
+                n.append(sum(map(len, mine.values())))
                 failed.append(len(missed))
-                misses.append(missed)
+                misses.append([f"{kind}:{term}" for kind, term in sorted(missed)])
             columns = [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(n, pa.int64()), pa.array(failed, pa.int64()), pa.array(misses, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
