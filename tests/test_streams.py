@@ -137,3 +137,40 @@ def test_rollups_over_runs_with_late_and_repeated_events(spark, tmp_path):
     with S.session_settings(spark, {"quill.test": "1"}):
         assert spark.conf.get("quill.test") == "1"
     assert spark.conf.get("quill.test", None) is None
+
+
+def test_waiting_rows_cost_a_call_for_each_piece():
+    """5,000 rows of a key in two batches: judged in order up to the watermark, in far fewer calls on the state than rows."""
+    from types import SimpleNamespace
+
+    from quillspark.streaming.timed import InOrder
+
+    calls, timers = [], []
+
+    class Kept(dict):
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                return {"getValue": lambda: self[a[0]], "updateValue": lambda: self.update({a[0]: a[1]}), "removeKey": lambda: self.pop(a[0]), "containsKey": lambda: a[0] in self, "exists": lambda: 0 in self}[name]()
+
+            return call
+
+        def get(self):
+            return self[0]
+
+        def update(self, v):
+            super().update(v if isinstance(v, dict) else {0: v})
+
+        def keys(self):
+            return list(super().keys())
+
+    handle = SimpleNamespace(getMapState=lambda *_: Kept(), getValueState=lambda *_: Kept(), registerTimer=timers.append)
+    p = InOrder(lambda kept, ms, item: ((ms,), ((kept or (0,))[0] + 1,)), "int", "n long", ["key", "event", "ms"], 10)
+    p.init(handle)
+    rows = [{"ms": i * 7919 % 5000, "event_id": i, "value": i} for i in range(5000)]
+    for part in (rows[:2500], rows[2500:]):
+        p.handleInputRows(("a",), iter(part), None)
+    out = list(p.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3000), SimpleNamespace(getExpiryTimeInMs=lambda: 1)))
+    assert [r.ms for r in out] == list(range(3000)) and 3001 in timers
+    out = list(p.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 9000), SimpleNamespace(getExpiryTimeInMs=lambda: 3001)))
+    assert [r.ms for r in out] == list(range(3000, 5000)) and len(calls) < 100
