@@ -89,18 +89,21 @@ def integrity_verdict(docs: DataFrame, doc_id: str, diff: DataFrame, json: tuple
     known = [k for _, g in FAILURES for k in g]
     tests = [F.when(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in g])), n) for n, g in FAILURES]
     tests.append(F.when(F.exists("kinds", lambda k: ~k.isin(*known)), "protected_span"))
+    # What texts tell is asked in front of the join, which texts then need not cross.
+    asked = {}
     if placeholders:
         left = F.coalesce(F.col(placeholders[0]), F.lit(""))
-        tests.append(F.when(F.exists(placeholders[1], lambda p: F.contains(left, p) & (p != "")), "placeholder"))
+        asked["placeholder"] = F.exists(placeholders[1], lambda p: F.contains(left, p) & (p != ""))
     if required:
         was, now = (F.coalesce(F.col(c), F.lit("")) for c in required[:2])
-        tests.append(F.when(F.exists(required[2], lambda t: occurrences(now, t) < occurrences(was, t)), "required_term"))
+        asked["required_term"] = F.exists(required[2], lambda t: occurrences(now, t) < occurrences(was, t))
     if json:
         a, b = canonical_json_sha256(F.col(json[0])), canonical_json_sha256(F.col(json[1]))
-        tests.append(F.when(a.isNotNull() & ~a.eqNullSafe(b), "json_structure"))
-    out = docs.join(changed, doc_id, "left").fillna(0, ["missing", "added"])
+        asked["json_structure"] = a.isNotNull() & ~a.eqNullSafe(b)
+    tests += [F.when(F.col(f"__{n}"), n) for n in asked]
+    out = docs.withColumns({f"__{n}": test for n, test in asked.items()}).join(changed, doc_id, "left").fillna(0, ["missing", "added"])
     out = out.withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>"))).withColumn("failures", F.filter(F.array(*tests), lambda x: x.isNotNull()))
-    return out.withColumn("passed", F.size("failures") == 0).withColumn("primary", F.get("failures", 0)).drop("kinds")
+    return out.withColumn("passed", F.size("failures") == 0).withColumn("primary", F.get("failures", 0)).drop("kinds", *[f"__{n}" for n in asked])
 
 
 def accept_or_rollback(rows: DataFrame, before: str, after: str) -> DataFrame:

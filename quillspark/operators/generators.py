@@ -14,7 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import patterns as P
 from quillspark.functions.brackets import regions
-from quillspark.functions.measures import is_critical_clause
+from quillspark.functions.measures import is_critical_clause, may_hold
+
+
+def by_slices(work, *arrays: pa.Array, most: int = 1 << 20) -> pa.Array:
+    """``work`` of a batch's arrays, a few rows at a time, so that Python objects of about ``most`` bytes of the first are held at once."""
+    size = pc.fill_null(pc.binary_length(arrays[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 256
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), len(size)]
+    return pa.concat_arrays([work(*[x.slice(a, b - a) for x in arrays]) for a, b in zip(cuts, cuts[1:])])
 
 
 def squash(text: Column) -> Column:
@@ -22,30 +29,47 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"[{P.SPACE_CLASS}]+", " "))
 
 
+def posexplode_once(df: DataFrame, rows: Column, pos: str, value: str) -> DataFrame:
+    """``posexplode`` of an array that costs much to make, beside df's columns.
+
+    From plain ``explode`` and ``inline`` Spark infers a filter on the array's size, which makes the array
+    once more, and for a table of one file in one task, as the filter moves below ``repartition``.
+    """
+    return df.select("*", F.posexplode_outer(rows).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def explode_blocks(df: DataFrame, text: str, unit: str = "paragraph") -> DataFrame:
     """pos, raw, block. Paragraphs are parted by blank lines; unit ``line`` takes lines, ``auto``
     takes lines of texts that are one paragraph."""
     paragraphs, lines = F.split(F.col(text), r"\n\s*\n"), F.split(F.col(text), "\n")
     parts = {"paragraph": paragraphs, "line": lines, "auto": F.when(F.size(paragraphs) > 1, paragraphs).otherwise(lines)}[unit]
-    found = df.select("*", F.posexplode(parts).alias("pos", "raw")).withColumn("block", squash(F.col("raw")))
+    found = posexplode_once(df, parts, "pos", "raw").withColumn("block", squash(F.col("raw")))
     return found.where("block <> ''").withColumn("raw", F.trim("raw"))
 
 
-def matches_with_gaps(text: Column, pattern: str) -> Column:
-    """array<struct<m, gap>>: each match and the length of the text between it and the one before.
+#: A character that texts hardly hold; those that do hold it are matched twice instead.
+MARK = "\x01"
+
 
-    Both arrays are made once and zipped; a lambda that named the second would make it anew for
-    each element.
+def pieces(text: Column, pattern: str) -> Column:
+    """array<struct<m, n>>: a text cut at its matches, with each piece's length; m is null where nothing matches.
+
+    One pass sets marks around the matches, and cutting at a mark is cheap. The array is named once:
+    a lambda that named a second one would make it anew for each element.
     """
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    once = F.transform(marked, lambda x, i: F.struct(F.when(i % 2 == 1, x).alias("m"), F.length(x).alias("n")))
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"))), lambda x: x["m"].isNotNull())
+    piece = lambda m, of: F.struct(m.alias("m"), F.coalesce(F.length(of), F.lit(0)).alias("n"))
+    twice = F.flatten(F.zip_with(gaps, found, lambda g, m: F.array(piece(F.lit(None).cast("string"), g), piece(m, m))))
+    return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
 SPANS_TYPE = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
 def _found(text: Column, kinds: list[str]) -> Column:
-    return F.array(*[matches_with_gaps(text, P.JAVA_SPANS[k]) for k in kinds])
+    return F.array(*[F.when(may_hold(text, k), pieces(text, P.JAVA_SPANS[k])) for k in kinds])
 
 
 def _placer(kinds: list[str], settle: bool):
@@ -58,13 +82,13 @@ def _placer(kinds: list[str], settle: bool):
     @F.arrow_udf(SPANS_TYPE)
     def place(found: pa.Array) -> pa.Array:
         lists = found.flatten()
-        pairs, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-        texts = pairs.field("m")
-        gap, size = pairs.field("gap").to_numpy(zero_copy_only=False).astype(np.int64), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        texts, length = parts.field("m"), parts.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
         of = np.repeat(np.arange(len(lists)), sizes)
-        ends = np.cumsum(gap + size)
-        before = np.concatenate([[0], ends])[np.cumsum(sizes) - sizes]  # what lists in front add up to
-        ends = ends - before[of]
+        sums = np.cumsum(length)
+        before = np.concatenate([[0], sums])[np.cumsum(sizes) - sizes]  # what lists in front add up to
+        hit = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+        texts, of, size, ends = texts.take(pa.array(hit)), of[hit], length[hit], (sums - before[of])[hit]
         row, kind = of // len(kinds), of % len(kinds)
         order = np.lexsort((kind, -size, ends - size, row))
         if settle:
@@ -112,13 +136,13 @@ def explode_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = tuple(P.SPA
 def explode_clauses(df: DataFrame, text: str) -> DataFrame:
     """pos, clause, critical: pieces that end with . ! ? or a line."""
     parts = F.split(F.col(text), r"(?<=[.!?])|\n")
-    found = df.select("*", F.posexplode(parts).alias("pos", "clause")).withColumn("clause", F.trim("clause"))
+    found = posexplode_once(df, parts, "pos", "clause").withColumn("clause", F.trim("clause"))
     return found.where(F.col("clause").rlike(r"[^\s.!?]")).withColumn("critical", is_critical_clause(F.col("clause")))
 
 
 def explode_words(df: DataFrame, text: str) -> DataFrame:
     """pos, word: lower-cased."""
-    return df.select("*", F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(P.WORD), F.lit(0))).alias("pos", "word"))
+    return posexplode_once(df, F.regexp_extract_all(F.lower(F.col(text)), F.lit(P.WORD), F.lit(0)), "pos", "word")
 
 
 def chunk_text(df: DataFrame, text: str, max_chars: int = P.CHUNK_CHARS) -> DataFrame:
@@ -126,7 +150,7 @@ def chunk_text(df: DataFrame, text: str, max_chars: int = P.CHUNK_CHARS) -> Data
     space inside the limit where there is one. Joined in order, the chunks are the text."""
     piece = rf"(?s).{{1,{max_chars - 1}}}[\n ]|.{{1,{max_chars}}}"
     whole = F.length(F.col(text)) <= max_chars
-    return df.select("*", F.posexplode(F.when(whole, F.array(F.col(text))).otherwise(F.regexp_extract_all(F.col(text), F.lit(piece), F.lit(0)))).alias("pos", "chunk"))
+    return posexplode_once(df, F.when(whole, F.array(F.col(text))).otherwise(F.regexp_extract_all(F.col(text), F.lit(piece), F.lit(0))), "pos", "chunk")
 
 
 def explode_parts(df: DataFrame, parts: str) -> DataFrame:
@@ -142,7 +166,7 @@ def explode_segments(df: DataFrame, text: str) -> DataFrame:
     t = F.col(text)
     regions, gaps = F.regexp_extract_all(t, F.lit(SEGMENT), F.lit(0)), F.split(t, SEGMENT, -1)
     woven = F.flatten(F.zip_with(gaps, regions, lambda g, r: F.array(g, F.coalesce(r, F.lit("")))))
-    found = df.select("*", F.posexplode(woven).alias("pos", "segment")).where("segment <> ''")
+    found = posexplode_once(df, woven, "pos", "segment").where("segment <> ''")
     kind = F.when(F.col("pos") % 2 == 0, "prose").when(F.col("segment").startswith("<nocompress>"), "nocompress").when(F.col("segment").rlike("^(?:```|~~~)"), "code").otherwise("html")
     return found.withColumn("kind", kind).withColumn("compressible", F.col("kind") == "prose")
 
@@ -157,7 +181,7 @@ def explode_html(pages: DataFrame, html: str) -> DataFrame:
         found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(group))
         return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("piece")))
 
-    return pages.select("*", F.inline(F.concat(*[each(k, p, g) for k, (p, g) in HTML_PIECES.items()])))
+    return inline_once(pages, F.concat(*[each(k, p, g) for k, (p, g) in HTML_PIECES.items()])).select("*", "__row.*").drop("__row")
 
 
 TOKENS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("label", T.IntegerType())]))
@@ -169,20 +193,27 @@ def _labeller(terms: list[str], ignore_case: bool):
     wanted = re.compile("(?=(" + "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) + "))", flags) if terms else None
     word = re.compile(P.WORD)
 
-    @F.arrow_udf(TOKENS)
-    def label(text: pa.Array) -> pa.Array:
-        rows = []
+    kind = to_arrow_type(TOKENS)
+
+    def some(text: pa.Array) -> pa.Array:
+        cuts, columns = [0], ([], [], [], [], [])
         for t in text.to_pylist():
             # Longest first at each place, so these are enough to tell what any occurrence covers.
             hits = [(m.start(), m.end(1)) for m in wanted.finditer(t or "")] if wanted else []
-            out, at, reach = [], 0, 0
+            at, reach = 0, 0
             for pos, m in enumerate(word.finditer(t or "")):
                 while at < len(hits) and hits[at][0] < m.end():
                     reach = max(reach, hits[at][1])
                     at += 1
-                out.append((pos, m.start(), m.end(), m[0], int(reach > m.start())))
-            rows.append([dict(zip(("pos", "start", "end", "token", "label"), x, strict=True)) for x in out])
-        return pa.array(rows, to_arrow_type(TOKENS))
+                for column, x in zip(columns, (pos, m.start(), m.end(), m[0], int(reach > m.start())), strict=True):
+                    column.append(x)
+            cuts.append(len(columns[0]))
+        made = [pa.array(x, f.type) for x, f in zip(columns, kind.value_type, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(made, fields=list(kind.value_type)))
+
+    @F.arrow_udf(TOKENS)
+    def label(text: pa.Array) -> pa.Array:
+        return by_slices(some, text)
 
     return label
 
@@ -209,7 +240,7 @@ SOUND = ("strict_json_object", "strict_json_array", "ndjson", "concatenated_json
 
 @F.arrow_udf(REGIONS)
 def _regions(text: pa.Array) -> pa.Array:
-    return pa.array([regions(t) if t else [] for t in text.to_pylist()], to_arrow_type(REGIONS))
+    return by_slices(lambda part: pa.array([regions(t) if t else [] for t in part.to_pylist()], to_arrow_type(REGIONS)), text)
 
 
 def explode_json_regions(df: DataFrame, text: str, loose: bool = False) -> DataFrame:

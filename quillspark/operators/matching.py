@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.brackets import STRICT, regions
+from quillspark.operators.generators import by_slices
 
 MOST_TERMS, MOST_BYTES = 100_000, 16 << 20
 SEQUENCES = (*STRICT, "ndjson", "concatenated_json")
@@ -60,8 +61,7 @@ def spliced(text: str, pairs: dict[str, str], terms: ahocorasick.Automaton | Non
 SPLICED = T.StructType([T.StructField("body", T.StringType()), T.StructField("back", T.StringType())])
 
 
-@F.arrow_udf(SPLICED)
-def _splice(text: pa.Array, literals: pa.Array, aliases: pa.Array) -> pa.Array:
+def _spliced(text: pa.Array, literals: pa.Array, aliases: pa.Array) -> pa.Array:
     bodies, backs = [], []
     for t, ls, ns in zip(text.to_pylist(), literals.to_pylist(), aliases.to_pylist(), strict=True):
         if t is None or not ls:
@@ -74,6 +74,11 @@ def _splice(text: pa.Array, literals: pa.Array, aliases: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(bodies, pa.string()), pa.array(backs, pa.string())], ["body", "back"])
 
 
+@F.arrow_udf(SPLICED)
+def _splice(text: pa.Array, literals: pa.Array, aliases: pa.Array) -> pa.Array:
+    return by_slices(_spliced, text, literals, aliases)
+
+
 def splice(text: Column, literals: Column, aliases: Column) -> Column:
     """struct<body, back>: literals replaced by the aliases of the same place, and these again by the literals.
 
@@ -154,8 +159,7 @@ def without_phrases(key: Column, text: Column, phrases: list[tuple[str, str]]) -
         by_key[k].add(p)
     made: dict[str, ahocorasick.Automaton] = {}
 
-    @F.arrow_udf(T.StringType())
-    def drop(keys: pa.Array, texts: pa.Array) -> pa.Array:
+    def some(texts: pa.Array, keys: pa.Array) -> pa.Array:
         out = []
         for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True):
             if t is None or k not in by_key:
@@ -166,4 +170,8 @@ def without_phrases(key: Column, text: Column, phrases: list[tuple[str, str]]) -
             out.append(spliced(t, dict.fromkeys(by_key[k], ""), made[k]))
         return pa.array(out, pa.string())
 
-    return drop(key, text)
+    @F.arrow_udf(T.StringType())
+    def drop(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        return by_slices(some, texts, keys)
+
+    return drop(text, key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 from quillspark.functions.measures import TokenCounter, boilerplate_reasons, token_count
-from quillspark.operators.generators import explode_blocks, explode_html, explode_words, squash
+from quillspark.operators.generators import explode_blocks, explode_html, explode_words, posexplode_once, squash
 
 
 def block_key(block: Column) -> Column:
@@ -65,7 +65,7 @@ def duplicate_blocks(df: DataFrame, doc_id: str, text: str, unit: str = "line",
 
 def duplicate_lines(df: DataFrame, doc_id: str, text: str, min_chars: int = 20) -> DataFrame:
     """For each document: repeated lower-cased lines and their characters."""
-    rows = df.select(doc_id, F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.length(F.trim("line")) >= min_chars)
+    rows = posexplode_once(df.select(doc_id, text), F.split(F.col(text), "\n"), "pos", "line").where(F.length(F.trim("line")) >= min_chars)
     each = rows.groupBy(doc_id, F.lower(squash(F.col("line"))).alias("line")).agg(F.count("*").alias("n")).where("n > 1")
     return each.groupBy(doc_id).agg(F.sum(F.col("n") - 1).alias("duplicate_lines"), F.sum((F.col("n") - 1) * F.length("line")).alias("duplicate_chars"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
+from quillspark.operators.generators import inline_once, posexplode_once
 from quillspark.sources.folders import scratch_folder
 
 
@@ -124,7 +125,7 @@ def grouped_summary(df: DataFrame, dims: list[str], value: str) -> DataFrame:
 
 def transform_funnel(records: DataFrame) -> DataFrame:
     """For each transform of an array<struct<transform, status, candidates, applied, tokens_saved>>."""
-    each = records.select(F.inline("transforms"))
+    each = posexplode_once(records.select("transforms"), F.col("transforms"), "pos", "t").select("t.*")
     return each.groupBy("transform").agg(F.count("*").alias("rows"), F.sum("candidates").alias("candidates"), F.sum("applied").alias("applied"), F.sum("tokens_saved").alias("tokens_saved"), F.count_if(F.col("status") == "applied").alias("n_applied"), F.count_if(F.col("status") == "gated").alias("n_gated"), F.count_if(F.col("status") == "none").alias("n_none"))
 
 
@@ -153,7 +154,7 @@ def nested_totals(df: DataFrame, column: str) -> DataFrame:
             pairs.append(F.array(F.struct(F.lit(path).alias("name"), value.cast("double").alias("v"))))
 
     walk(F.col(column), "", df.schema[column].dataType)
-    each = df.select(F.inline(F.concat(*pairs)))
+    each = inline_once(df.select(column), F.concat(*pairs)).select("__row.*")
     return each.groupBy("name").agg(F.sum("v").alias("total")).where("total is not null")
 
 
@@ -164,18 +165,20 @@ def transform_details(records: DataFrame) -> DataFrame:
     gate_reasons: map<string, bigint>, would_apply, would_save>>. ``statuses`` and ``gate_reasons`` are
     maps of summed counts; they are summed by key before a transform's few keys come together.
     """
-    each = records.select(F.inline("transforms")).withColumn("transform", F.coalesce("transform", F.lit("unknown")))
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    sums = each.groupBy("transform").agg(
-        F.count("*").alias("rows"), zero("candidates").alias("candidates"), zero("applied").alias("applied"), zero("tokens_saved").alias("tokens_saved"), F.round(zero("elapsed_ms"), 3).alias("elapsed_ms"),
-        F.count_if("would_apply").alias("would_apply"), zero("would_save").alias("would_save"),
-    )
+    each = posexplode_once(records.select("transforms"), F.col("transforms"), "pos", "t").select("t.*").withColumn("transform", F.coalesce("transform", F.lit("unknown")))
     status = F.array(F.struct(F.lit("statuses").alias("part"), F.coalesce("status", F.lit("unknown")).alias("key"), F.lit(1).cast("long").alias("n")))
     gates = F.transform(F.map_entries("gate_reasons"), lambda e: F.struct(F.lit("gate_reasons").alias("part"), e["key"].alias("key"), e["value"].cast("long").alias("n")))
-    keyed = each.select("transform", F.inline(F.concat(status, F.coalesce(gates, F.array().cast("array<struct<part:string,key:string,n:bigint>>")))))
-    keyed = keyed.groupBy("transform", "part", "key").agg(F.sum("n").alias("n"))
+    keyed = inline_once(each, F.concat(status, F.coalesce(gates, F.array().cast("array<struct<part:string,key:string,n:bigint>>")))).select("*", "__row.*")
+    # A row has one status, so what it adds to the sums goes with that; the records are read once.
+    own, summed = F.col("part") == "statuses", ("candidates", "applied", "tokens_saved", "elapsed_ms", "would_save")
+    keyed = keyed.groupBy("transform", "part", "key").agg(F.sum("n").alias("n"), F.count_if(own & F.col("would_apply")).alias("would_apply"), *[F.sum(F.when(own, F.col(c))).alias(c) for c in summed])
+    zero = {c: F.coalesce(F.sum(c), F.lit(0)) for c in summed}
+    sums = [
+        F.sum(F.when(own, F.col("n"))).alias("rows"), *[zero[c].alias(c) for c in ("candidates", "applied", "tokens_saved")], F.round(zero["elapsed_ms"], 3).alias("elapsed_ms"),
+        F.sum("would_apply").alias("would_apply"), zero["would_save"].alias("would_save"),
+    ]
     maps = [F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("part") == p, F.struct("key", "n"))), lambda x: x.isNotNull()))).alias(p) for p in ("statuses", "gate_reasons")]
-    return sums.join(keyed.groupBy("transform").agg(*maps), "transform")
+    return keyed.groupBy("transform").agg(*sums, *maps)
 
 
 def failure_rates(df: DataFrame, checks: list[str]) -> DataFrame:
