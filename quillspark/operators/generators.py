@@ -65,11 +65,34 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
+def email_pieces(text: Column) -> Column:
+    """``pieces`` of e-mail addresses. About a text's only @ they are read outwards from it, not tried at every place.
+
+    In front, what may belong to an address is a run of characters, which is read backwards; an address
+    begins at its first word character.
+    """
+    pattern, word = P.JAVA_SPANS["email"], r"\p{L}\p{N}_"
+    front, rest = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
+    name = F.regexp_extract(F.reverse(front), rf"^[{word}.+-]*[{word}]", 0)
+    host = F.regexp_extract(rest, "^" + pattern.split("@", 1)[1], 0)
+    parts = F.struct(name.alias("name"), host.alias("host"), F.length(front).alias("front"), F.length(rest).alias("rest"), text.alias("text"))
+    piece = lambda m, n: F.struct(m.alias("m"), n.alias("n"))
+    none = F.lit(None).cast("string")
+
+    def cut(x: Column) -> Column:
+        a, b = F.length(x["name"]), F.length(x["host"])
+        at = F.array(piece(none, x["front"] - a), piece(F.concat(F.reverse(x["name"]), F.lit("@"), x["host"]), a + b + 1), piece(none, x["rest"] - b))
+        return F.when((a > 0) & (b > 0), at).otherwise(F.array(piece(none, F.length(x["text"]))))
+
+    one = F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit(""))) == 1
+    return F.when(one, F.get(F.transform(F.array(parts), cut), F.lit(0))).otherwise(pieces(text, pattern))
+
+
 SPANS_TYPE = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
 def _found(text: Column, kinds: list[str]) -> Column:
-    return F.array(*[F.when(may_hold(text, k), pieces(text, P.JAVA_SPANS[k])) for k in kinds])
+    return F.array(*[F.when(may_hold(text, k), email_pieces(text) if k == "email" else pieces(text, P.JAVA_SPANS[k])) for k in kinds])
 
 
 def _placer(kinds: list[str], settle: bool):

@@ -1,5 +1,6 @@
 """What larger tables cost: arrays made once, texts matched once and kept out of joins, Python objects of few rows at once."""
 
+import random
 import re
 
 import pyarrow as pa
@@ -76,3 +77,15 @@ def test_labels_of_many_slices(spark):
     n = len(re.findall(P.WORD, (text + " ") * 10 + "1"))
     assert len(rows) == 4000 and {(r["n"], r["kept"]) for r in rows} == {(n, 60)}
     assert all(r["last"] == str(r["doc_id"]) for r in rows)
+
+
+def test_addresses_about_one_mark(spark):
+    """Read outwards from the only @, they are what the pattern finds."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab_.+-1é ,\n", k=rng.randint(0, 12))) + "@" + "".join(rng.choices("ab_.+-1é ,\n", k=rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["ops3@example.com.", "..a.b@x.y", "..@x.y", "@", "a@b", "a@b.c@d.e", "x y@z.w-", "𝒜b@c.d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r["doc_id"], r["start"], r["end"], r["span"]) for r in G.explode_spans(docs, "text", ("email",)).collect()]
+    assert sorted(found) == [(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in re.finditer(P.SPANS["email"], t)]
+    plain = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.JAVA_SPANS["email"]), F.lit(0))).alias("m")).collect()
+    assert sorted((r["doc_id"], r["m"]) for r in plain) == sorted((i, m) for i, _, _, m in found)
