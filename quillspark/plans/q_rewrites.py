@@ -53,8 +53,8 @@ STRICT = f"case when trim(x) <> '' and not contains(x, '|') and not ({LAYOUT.rep
 @query("e3_collapse_prose", f"""select doc_id, {tok('text')} as before, {tok('t')} as after, length(t)::bigint as chars, sha256(t) as out_sha256
   from (select doc_id, text, array_to_string(list_transform(string_split({BLANKS}, chr(10)), lambda x: {STRICT}), chr(10)) as t from (select doc_id, {LOOSE} as text from documents))""")
 def e3(spark, sf):
-    out = R.collapse_prose(F.col("text"))
-    return loose(spark, sf).select("doc_id", M.token_count(F.col("text")).alias("before"), M.token_count(out).alias("after"), F.length(out).cast("long").alias("chars"), F.sha2(out, 256).alias("out_sha256"))
+    rows, out = loose(spark, sf).withColumn("out", R.collapse_prose(F.col("text"))), F.col("out")
+    return rows.select("doc_id", M.token_count(F.col("text")).alias("before"), M.token_count(out).alias("after"), F.length(out).cast("long").alias("chars"), F.sha2(out, 256).alias("out_sha256"))
 
 
 @query("e4_unwrap_nocompress", "select doc_id, sha256(lang || ' keep ' || text) as out_sha256, doc_id % 2 = 0 as protected from documents")

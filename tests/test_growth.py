@@ -89,3 +89,9 @@ def test_addresses_about_one_mark(spark):
     assert sorted(found) == [(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in re.finditer(P.SPANS["email"], t)]
     plain = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.JAVA_SPANS["email"]), F.lit(0))).alias("m")).collect()
     assert sorted((r["doc_id"], r["m"]) for r in plain) == sorted((i, m) for i, _, _, m in found)
+
+
+def test_a_line_is_rewritten_in_few_steps(spark, sf):
+    """A lambda that names a costly value several times would hold it as often."""
+    text = optimized(spark, sf, "e3_collapse_prose")
+    assert text.count("regexp_replace(") < 60 and text.count("zip_with(") == 1
