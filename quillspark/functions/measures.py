@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
+from quillspark.functions.batches import batch_token_count
 
 TokenCounter = Callable[[Column], Column]
 
@@ -22,9 +23,10 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def any_of(text: Column, phrases: Iterable[str]) -> Column:
-    """Whether a lower-cased text contains one of the phrases."""
+    """Whether a lower-cased text contains one of the phrases; ``greatest`` lower-cases it once, a chain of ors for each."""
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(p) for p in phrases])
+    found = [low.contains(p) for p in phrases]
+    return F.greatest(*found) if len(found) > 1 else found[0]
 
 
 # --- measures -------------------------------------------------------------------------------
@@ -250,21 +252,40 @@ def compression_path(before: Column, after: Column, model_ran: Column) -> Column
 DENSE_KINDS = ("email", "number", "identifier", "constant", "money", "url")
 
 
-def route_features(text: Column, compacted: Column, count: TokenCounter = token_count, kinds: Iterable[str] = DENSE_KINDS) -> dict[str, Column]:
+def _matches_of(text: Column, kind: str) -> Column:
+    """All matches of a kind, which a text that lacks what they need is not searched for.
+
+    Those of an address about a text's only @ lie in the characters around it that may belong to one.
+    """
+    word = r"\p{L}\p{N}_"
+    where = F.when(may_hold(text, kind), text)
+    if kind == "email":
+        one = F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit(""))) == 1
+        front = F.regexp_extract(F.reverse(F.substring_index(text, "@", 1)), f"^[{word}.+-]*", 0)
+        around = F.concat(F.reverse(front), F.lit("@"), F.regexp_extract(F.substring_index(text, "@", -1), f"^[{word}.-]*", 0))
+        where = F.when(one, around).when(may_hold(text, kind), text)
+    return F.regexp_extract_all(where.otherwise("") if kind in P.NEEDED else text, F.lit(P.JAVA_SPANS[kind]), F.lit(0))
+
+
+def route_features(text: Column, compacted: Column, count: TokenCounter = batch_token_count, kinds: Iterable[str] = DENSE_KINDS) -> dict[str, Column]:
     """What ``route``, ``expected_reduction`` and ``projected_cost`` ask of a text, read from it.
 
     ``compacted`` is the text after the cheap rewrites: its tokens are what is left to a model.
     Densities are shares of characters (a character of two kinds counts for both) and shares of
     lines (headings, bullets, JSON). A null text has no tokens and no density.
 
-    Each pattern is matched once a text: no lambda and no condition stands around a match, as
-    generated code shares equal expressions only outside of those.
+    Each pattern is matched once a text, as generated code shares equal expressions that are always
+    worked out, and only where the text holds what a match needs.
     """
-    found = {k: F.regexp_extract_all(text, F.lit(P.JAVA_SPANS[k]), F.lit(0)) for k in kinds}
+    found = {k: _matches_of(text, k) for k in kinds}
     chars = {k: F.length(F.array_join(m, "")) for k, m in found.items()}
     part = lambda n, of: F.coalesce(n / F.nullif(of, F.lit(0)), F.lit(0.0))
-    total, lines = F.length(text), count_of(text, "\n") + 1
+    total, lines = F.length(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     marks = structural_features(text)
+    needed = {"headings": ["#"], "bullets": [m + s for m in "-*+" for s in " \t"], "json_like_lines": list('"{[')}
+    holds = lambda these: reduce(lambda a, b: a | b, [text.contains(x) for x in these])
+    marked = reduce(lambda a, b: a + b, [F.when(holds(these), marks[k]).otherwise(F.lit(0)) for k, these in needed.items()])
+    blank = F.when(holds([f"\n{x}" for x in "\n \t\r"]), count_of(text, r"\n[ \t\r]*\n")).when(text.isNotNull(), F.lit(0))
     before, after = (F.coalesce(count(t), F.lit(0)) for t in (text, compacted))
     return {
         "tokens": after.cast("long"),
@@ -272,9 +293,9 @@ def route_features(text: Column, compacted: Column, count: TokenCounter = token_
         "deterministic": part(F.greatest(F.lit(0), before - after), before),
         "protected": part(reduce(lambda a, b: a + b, chars.values()), total),
         "identifier": part(chars["identifier"], total) if "identifier" in chars else F.lit(0.0),
-        "structured": part(marks["headings"] + marks["bullets"] + marks["json_like_lines"], lines),
+        "structured": part(marked, lines),
         "placeholders": F.coalesce(reduce(lambda a, b: a + b, (F.size(m) for m in found.values())), F.lit(0)).cast("long"),
-        "segments": F.coalesce(count_of(text, r"\n[ \t\r]*\n") + 1, F.lit(0)).cast("long"),
+        "segments": F.coalesce(blank + 1, F.lit(0)).cast("long"),
     }
 
 

@@ -13,17 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.functions import patterns as P
+from quillspark.functions.batches import by_slices
 from quillspark.functions.brackets import regions
 from quillspark.functions.measures import is_critical_clause, may_hold
 
 
-def by_slices(work, *arrays: pa.Array, most: int = 1 << 20) -> pa.Array:
-    """``work`` of a batch's arrays, a few rows at a time, so that Python objects of about ``most`` bytes of the first are held at once."""
-    size = pc.fill_null(pc.binary_length(arrays[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 256
-    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), len(size)]
-    return pa.concat_arrays([work(*[x.slice(a, b - a) for x in arrays]) for a, b in zip(cuts, cuts[1:])])
-
-
 def squash(text: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(text, rf"[{P.SPACE_CLASS}]+", " "))

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import batches as B
+from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import generators as G
 from quillspark.plans import registry
@@ -95,3 +97,29 @@ def test_a_line_is_rewritten_in_few_steps(spark, sf):
     """A lambda that names a costly value several times would hold it as often."""
     text = optimized(spark, sf, "e3_collapse_prose")
     assert text.count("regexp_replace(") < 60 and text.count("zip_with(") == 1
+
+
+def test_tokens_of_batches_are_those_of_matching(spark):
+    """Also at the edges of texts, for empty and null ones and beyond ASCII."""
+    rng = random.Random(4)
+    texts = ["", None, "a", "a b", "ab", "\x1c\x0b \t", "-", "é", "naïve fool", "a b", "日本 2", "💡x", "x_y"] + ["".join(chr(rng.choice((rng.randrange(128), 97, 32, 45))) for _ in range(rng.randrange(40))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = docs.select("text", B.batch_token_count(F.col("text")).alias("a"), M.token_count(F.col("text")).alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == [] and sum(r.a is None for r in rows) == 1
+    ascii_only = docs.where("text = 'a b'").select(B.batch_token_count(F.col("text")))
+    assert "RegExpExtractAll" not in ascii_only._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[1]
+
+
+def test_addresses_about_the_only_at_sign_are_those_of_matching(spark):
+    rng = random.Random(5)
+    texts = ["a@b.c", "..a.b@c.d.", "@", "a@", "x é.a@b-c.dé y", "a@b..c", "a@b.c-", "--@a.b", "a@b.c, d@e.f", "+a@b.c"] + ["".join(rng.choice("ab.+-@ é_") for _ in range(14)) for _ in range(500)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = docs.select("text", M._matches_of(F.col("text"), "email").alias("a"), F.regexp_extract_all("text", F.lit(P.JAVA_SPANS["email"]), F.lit(0)).alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == [] and sum(len(r.a) for r in rows) > 20
+
+
+def test_a_text_is_lower_cased_once_for_all_phrases(spark):
+    """A chain of ors lower-cases for each phrase, as what follows the first is worked out only at need."""
+    found = spark.createDataFrame([("Byte Exact",), ("no",), (None,)], "text string").select(M.requires_exact_output(F.col("text")).alias("x"))
+    assert [r.x for r in found.collect()] == [True, False, None]
+    assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()
