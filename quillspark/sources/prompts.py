@@ -54,7 +54,9 @@ def _fill(seed: Column, kind: str, unit: Callable[[Column], Column], budget: Col
     """As many units as the budget needs beside the frame; every unit has the same number of tokens."""
     each = count(F.concat(unit(F.lit(0).cast("long")), F.lit(between)))
     n = F.greatest(F.lit(least).cast("long"), F.ceil((budget - frame) / each))
-    return F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: unit(_number(seed, kind, i))), between)
+    # Numbers first: a unit names its number several times, and a lambda would make it for each.
+    numbers = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: _number(seed, kind, i))
+    return F.array_join(F.transform(numbers, unit), between)
 
 
 def synthesize_prompts(cases: DataFrame, seed: str, tokens: str, json_share: str, html_share: str, count: TokenCounter = token_count) -> DataFrame:

@@ -12,6 +12,7 @@ from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import generators as G
 from quillspark.plans import registry
+from quillspark.sources import prompts as PR
 
 
 def optimized(spark, sf, name) -> str:
@@ -123,3 +124,10 @@ def test_a_text_is_lower_cased_once_for_all_phrases(spark):
     found = spark.createDataFrame([("Byte Exact",), ("no",), (None,)], "text string").select(M.requires_exact_output(F.col("text")).alias("x"))
     assert [r.x for r in found.collect()] == [True, False, None]
     assert " OR " not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_unit_names_its_number_once(spark):
+    """``md5`` stands once for each of the three parts."""
+    cases = spark.createDataFrame([(1, 100, 0.3, 0.3)], "i long, t long, j double, h double")
+    made = PR.synthesize_prompts(cases, "i", "t", "j", "h").select("prose", "json_block", "html_block")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
