@@ -187,7 +187,8 @@ def has_protected_span(text: Column) -> Column:
 
 
 def has_critical_clause(text: Column) -> Column:
-    return F.exists(F.split(text, r"(?<=[.!?])|\n"), is_critical_clause)
+    """What a clause holds stands in the text too, with the same edges, so most texts are never cut into clauses."""
+    return is_critical_clause(text) & F.exists(F.split(text, r"(?<=[.!?])|\n"), is_critical_clause)
 
 
 def boilerplate_reasons(phrase: Column) -> Column:

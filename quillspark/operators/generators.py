@@ -19,8 +19,8 @@ from quillspark.functions.measures import is_critical_clause, may_hold
 
 
 def squash(text: Column) -> Column:
-    """White space runs as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, rf"[{P.SPACE_CLASS}]+", " "))
+    """White space runs as one space, trimmed. Runs that are one blank already are not matched."""
+    return F.trim(F.regexp_replace(text, rf"[{P.SPACE_CLASS}&&[^ ]][{P.SPACE_CLASS}]*+| [{P.SPACE_CLASS}]++", " "))
 
 
 def posexplode_once(df: DataFrame, rows: Column, pos: str, value: str) -> DataFrame:

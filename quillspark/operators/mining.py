@@ -33,7 +33,8 @@ def discover_boilerplate(
     partners = blocks.select("tenant", "key", "record", "conversation", F.explode(F.array(F.lit(True), F.lit(False))).alias("of_record"))
     seen = partners.select("tenant", "key", "of_record", F.when(F.col("of_record"), F.col("record")).alias("record"), F.when(~F.col("of_record"), F.col("conversation")).alias("conversation")).distinct()
     counts = seen.groupBy("tenant", "key").agg(F.count_if("of_record").alias("record_count"), F.count("conversation").alias("conversation_count"))
-    texts = blocks.groupBy("tenant", "key").agg(F.first("block").alias("block"))
+    # A key has one text; an aggregate that takes the first of a group would sort the texts.
+    texts = blocks.select("tenant", "key", "block").distinct()
     each = counts.join(totals, "tenant").withColumn("record_fraction", F.round(F.col("record_count") / F.col("total"), 6))
     if only_eligible:
         each = each.where((F.col("record_count") >= min_records) & (F.col("record_fraction") >= min_fraction) & (F.col("conversation_count") >= min_conversations))

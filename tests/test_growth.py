@@ -131,3 +131,30 @@ def test_a_unit_names_its_number_once(spark):
     cases = spark.createDataFrame([(1, 100, 0.3, 0.3)], "i long, t long, j double, h double")
     made = PR.synthesize_prompts(cases, "i", "t", "j", "h").select("prose", "json_block", "html_block")
     assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
+
+
+def test_white_space_is_squashed_as_before(spark):
+    rng = random.Random(6)
+    texts = [None, "", " ", "a b", "a  b", "\ta\n", "   x 　y\x85", "a b"] + ["".join(rng.choice("ab  \t\n  \x1f") for _ in range(12)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = docs.select("text", G.squash(F.col("text")).alias("a"), F.trim(F.regexp_replace("text", rf"[{P.SPACE_CLASS}]+", " ")).alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == []
+    assert docs.where("text = 'a b'").select(F.regexp_count(F.col("text"), F.lit(rf"[{P.SPACE_CLASS}&&[^ ]][{P.SPACE_CLASS}]*+| [{P.SPACE_CLASS}]++"))).first()[0] == 0
+
+
+def test_a_text_without_critical_words_is_not_cut(spark):
+    """The same answer as from each clause; parts of a test may stand in different clauses."""
+    rng = random.Random(7)
+    parts = ["keep", "must not", "above", "7", "exact format", "the", ".", "! ", "\n", " ", "unless", "returning", "x"]
+    texts = [None, "", "Keep it. You must", "must keep", "exact\nformat", "exact format", "set.above 5"] + [" ".join(rng.choice(parts) for _ in range(6)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    clauses = F.exists(F.split("text", r"(?<=[.!?])|\n"), M.is_critical_clause)
+    rows = docs.select("text", M.has_critical_clause(F.col("text")).alias("a"), clauses.alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == [] and {r.a for r in rows} == {True, False, None}
+    plan = docs.select(M.has_critical_clause(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert " AND exists(split(" in plan
+
+
+def test_boilerplate_texts_are_not_sorted(spark, sf):
+    made = registry.QUERIES["f1_discover_boilerplate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in made
