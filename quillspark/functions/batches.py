@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,11 +14,16 @@ from pyspark.sql import types as T
 from quillspark.functions import patterns as P
 
 
-def by_slices(work, *arrays: pa.Array, most: int = 1 << 20) -> pa.Array:
-    """``work`` of a batch's arrays, a few rows at a time, so that Python objects of about ``most`` bytes of the first are held at once."""
+def slices(*arrays: pa.Array, most: int = 1 << 20) -> Iterator[list[pa.Array]]:
+    """A batch's arrays, a few rows at a time: of about ``most`` bytes of the first."""
     size = pc.fill_null(pc.binary_length(arrays[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 256
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), len(size)]
-    return pa.concat_arrays([work(*[x.slice(a, b - a) for x in arrays]) for a, b in zip(cuts, cuts[1:])])
+    return ([x.slice(a, b - a) for x in arrays] for a, b in zip(cuts, cuts[1:]))
+
+
+def by_slices(work, *arrays: pa.Array, most: int = 1 << 20) -> pa.Array:
+    """``work`` of a batch's arrays, a few rows at a time, so that Python objects of about ``most`` bytes of the first are held at once."""
+    return pa.concat_arrays([work(*part) for part in slices(*arrays, most=most)])
 
 
 #: What an ASCII character is to ``P.TOKEN``: 0 a space, 1 part of a run, 2 a token of its own; 3 is none.
@@ -50,3 +57,32 @@ def batch_token_count(text: Column) -> Column:
     function can't stand inside a lambda.
     """
     return F.coalesce(_tokens(text), F.regexp_count(text, F.lit(P.TOKEN)).cast("long"))
+
+
+#: What a byte is to ``P.WORD``: 1 part of a run, 2 a mark that may join two runs, 3 the first byte of one of three.
+_PART = np.array([1 if c < 128 and (chr(c).isalnum() or c == 95) else 2 if chr(c) in "'.-" else 3 if c == 0xE2 else 0 for c in range(256)], np.uint8)
+
+
+def word_lists(text: pa.Array) -> list[list[str]]:
+    """The words (``P.WORD``) of each text; a null has none.
+
+    What belongs to no word becomes a blank and the rest is split, which takes a third of the time of matching.
+    """
+    text = pc.fill_null(text, "")
+    _, ends, data = text.buffers()
+    ends = np.frombuffer(ends, np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    part, begins = _PART[raw], np.zeros(len(raw) + 1, bool)
+    run, begins[ends] = part == 1, True
+    kept, at = run.copy(), np.flatnonzero(part > 1)
+    for mark in (b"'", b".", b"-", "’".encode()):
+        one, size = at[raw[at] == mark[0]], len(mark)
+        one = one[(one > 0) & (one + size < len(raw))]
+        for i in range(1, size):
+            one = one[raw[one + i] == mark[i]]
+        one = one[run[one - 1] & run[one + size] & ~begins[one] & ~begins[one + size]]
+        for i in range(size):
+            kept[one + i] = True
+    plain = np.where(kept, raw, np.uint8(32)).tobytes()
+    return [plain[a:b].decode().split() for a, b in zip(ends.tolist(), ends[1:].tolist())]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
 from quillspark.operators.generators import inline_once, posexplode_once
-from quillspark.sources.folders import scratch_folder
+from quillspark.sources.folders import written
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -43,14 +43,7 @@ def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """
     group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__all")).alias("g")
     seen = df.select(group, F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
-    return _written(seen, "value-counts")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once in the shared folder, so that every reader sees the same ones."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return written(seen, "value-counts")
 
 
 def exact_percentiles(df: DataFrame, value: str, by: list[str], ps: tuple[float, ...], parts: int = 64) -> DataFrame:
@@ -68,7 +61,7 @@ def percentiles_of(counts: DataFrame, ps: tuple[float, ...], parts: int = 64) ->
     seen = counts.where("v is not null")
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     # Sketches depend on the order in which they are merged; both readers of the ranges must see the same edges.
-    edges = _written(seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e")), "percentile-edges")
+    edges = written(seen.groupBy("g").agg(F.percentile_approx("v", steps, 1000).alias("e")), "percentile-edges")
     # Sizes are guessed from the counts before they go to several groups, so plain joins may broadcast all values.
     placed = seen.hint("merge").join(edges, "g").withColumn("b", F.size(F.filter("e", lambda e: e < F.col("v")))).drop("e")
     sizes = placed.groupBy("g", "b").agg(F.sum("c").alias("size"))

@@ -1,5 +1,6 @@
 """What larger tables cost: arrays made once, texts matched once and kept out of joins, Python objects of few rows at once."""
 
+import math
 import random
 import re
 
@@ -11,6 +12,7 @@ from quillspark.functions import batches as B
 from quillspark.functions import measures as M
 from quillspark.functions import patterns as P
 from quillspark.operators import generators as G
+from quillspark.operators import rewrite as R
 from quillspark.plans import registry
 from quillspark.sources import prompts as PR
 
@@ -158,3 +160,55 @@ def test_a_text_without_critical_words_is_not_cut(spark):
 def test_boilerplate_texts_are_not_sorted(spark, sf):
     made = registry.QUERIES["f1_discover_boilerplate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in made
+
+
+def test_words_by_table_are_those_of_the_pattern():
+    """Also where marks stand at the edges of texts, beside each other or beside other characters."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab.-'’_ \n9é‘€\x00A") for _ in range(rng.randrange(14))) for _ in range(5000)]
+    texts += [None, "", "a.", "b", "’", "a’", "’b", "a’b", "a’’b", "a.b-c'd", "日a本"] * 2
+    want = [re.findall(P.WORD, t or "") for t in texts]
+    assert B.word_lists(pa.array(texts)) == want and B.word_lists(pa.array(texts).slice(40, 900)) == want[40:940]
+    assert B.word_lists(pa.array([], pa.string())) == [] and B.word_lists(pa.array([None], pa.string())) == [[]]
+
+
+def test_words_are_no_rows_of_a_shuffle(spark, sf):
+    """A document's words are ranked in its row, and what is joined are words that no function holds."""
+    plan = optimized(spark, sf, "e13_prune_to_rate")
+    assert "Window" not in plan and "regexp_extract_all" not in plan
+
+
+def pruned(rows, scores, rate, forced=()):
+    """By plain loops: words of an id's texts by position, then by word, as the rows of one id leave ties open."""
+    words = {}
+    for i, t in rows:
+        words.setdefault(i, []).extend(enumerate(re.findall(P.WORD, (t or "").lower())))
+    for i, found in words.items():
+        best = sorted(sorted(found), key=lambda x: (x[1] not in forced, -scores.get(x[1], 0.0)))
+        kept = sorted(best[: max(1, math.ceil(len(found) * rate), sum(w in forced for _, w in found))])
+        if found:
+            yield i, len(found), len(kept), " ".join(w for _, w in kept)
+
+
+@pytest.mark.parametrize("most_held", [0, 7, 30, 1 << 17])
+@pytest.mark.parametrize("forced", [(), ("w3", "w39")])
+def test_pruning_is_the_same_whatever_is_held(spark, most_held, forced):
+    rng = random.Random(9)
+    some = lambda: " ".join(f"W{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(40)))
+    rows = [(i, some()) for i in range(60)] + [(5, some()), (5, some()), (6, None), (70, None), (71, ""), (72, "–"), (73, "x" * 100 + " x"), (None, "w1 of none"), (None, "w2")]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    holders = {}
+    for i, t in rows:
+        for w in re.findall(P.WORD, (t or "").lower()):
+            holders.setdefault(w, set()).add(i)
+    ids = len({i for i, _ in rows if i is not None})
+    scores = {w: round(math.log(ids / len(of)), 6) for w, of in holders.items()}
+    assert {r.word: r.score for r in R.idf_scores(docs, "id", "t").collect()} == pytest.approx(scores)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = [tuple(r) for r in R.prune_to_rate(docs, "id", "t", 0.3, forced=forced, most_held=most_held).collect()]
+    assert sorted(got, key=key) == sorted(pruned(rows, scores, 0.3, forced), key=key)
+    given = {f"w{i}": float(i % 7) for i in range(1, 40)} | {"w50": None, "w51": float("nan"), "x": -1.0}
+    table = spark.createDataFrame(list(given.items()), "word string, score double")
+    got = [tuple(r) for r in R.prune_to_rate(docs, "id", "t", 0.6, table, forced, most_held).collect()]
+    known = {w: s for w, s in given.items() if s is not None and s == s}
+    assert sorted(got, key=key) == sorted(pruned(rows, known, 0.6, forced), key=key)
