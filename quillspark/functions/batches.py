@@ -66,7 +66,7 @@ _PART = np.array([1 if c < 128 and (chr(c).isalnum() or c == 95) else 2 if chr(c
 def word_lists(text: pa.Array) -> list[list[str]]:
     """The words (``P.WORD``) of each text; a null has none.
 
-    What belongs to no word becomes a blank and the rest is split, which takes a third of the time of matching.
+    What belongs to no word becomes a blank and the rest is split, which takes less than half the time of matching (126 and 314 ns a word).
     """
     text = pc.fill_null(text, "")
     _, ends, data = text.buffers()
