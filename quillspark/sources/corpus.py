@@ -35,15 +35,23 @@ def read_export(spark: SparkSession, paths: list[str]) -> DataFrame:
     return known.select("source_file", F.inline("records"))
 
 
-def read_measurements(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
-    """Headered CSV with quoted multi-line text; what is no number becomes 0."""
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return rows.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in numbers})
+#: A field of this noncharacter alone is read as missing. By default Spark reads quoted empty fields as missing too.
+MISSING = "\ufdd0"
+
+
+def read_measurements(spark: SparkSession, path: str, numbers: list[str], missing: float | None = 0.0) -> DataFrame:
+    """Headered CSV with quoted multi-line text; what is no number becomes 0, and a missing field ``missing``.
+
+    An empty field is missing if it stands without quotes, and an empty text within them.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=MISSING)
+    return rows.withColumns({c: F.when(F.col(c).isNull(), F.lit(missing)).otherwise(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))) for c in numbers})
 
 
 def write_results(df: DataFrame, path: str, kind: str = "json") -> None:
-    """JSON lines, CSV or Parquet."""
-    {"json": df.write.json, "csv": lambda p: df.write.csv(p, header=True, quote='"', escape='"'), "parquet": df.write.parquet}[kind](path)
+    """JSON lines, CSV or Parquet. CSV keeps blanks and line feeds at the ends of texts."""
+    csv = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    {"json": df.write.json, "csv": lambda p: df.write.csv(p, **csv), "parquet": df.write.parquet}[kind](path)
 
 
 def text_free(df: DataFrame, columns: list[str]) -> DataFrame:
