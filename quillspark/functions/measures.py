@@ -97,17 +97,22 @@ def stage_savings(original: Column, middle: Column, final: Column) -> dict[str,
 
 
 def structural_features(text: Column) -> dict[str, Column]:
-    """Counts of lines, marks and tags; duplicate lines need ``operators.mining.duplicate_lines``."""
+    """Counts of lines, marks and tags; duplicate lines need ``operators.mining.duplicate_lines``.
+
+    Only line feeds part lines (hence the flag ``d``), and an empty text is one empty line. An empty last line,
+    where Java's ``^`` does not match, is counted on its own.
+    """
+    last = F.when((text == "") | text.endswith("\n"), F.lit(1)).otherwise(F.lit(0))
     return {
         "chars": F.length(text).cast("long"),
-        "blank_lines": count_of(text, r"(?m)^[ \t\r]*$"),
-        "trailing_space_lines": count_of(text, r"(?m)[ \t]+$"),
-        "multi_space_runs": count_of(text, r"(?<![\n ]) {2,}"),
+        "blank_lines": count_of(text, r"(?dm)^[ \t\r]*$") + last,
+        "trailing_space_lines": count_of(text, r"[ \t](?![^\n])"),
+        "multi_space_runs": count_of(text, r"(?<=[^\n ]) {2,}"),
         "html_tags": count_of(text, r"</?[A-Za-z][^>]*>"),
         "html_comments": count_of(text, r"<!--[\s\S]*?-->"),
-        "headings": count_of(text, r"(?m)^#{1,6}\s"),
-        "bullets": count_of(text, r"(?m)^[ \t]*[-*+][ \t]+"),
-        "json_like_lines": count_of(text, r"(?m)^[ \t]*[\"{\[]"),
+        "headings": count_of(text, r"(?dm)^#{1,6}[ \t]"),
+        "bullets": count_of(text, r"(?dm)^[ \t]*[-*+][ \t]+"),
+        "json_like_lines": count_of(text, r"(?dm)^[ \t]*[\"{\[]"),
     }
 
 

@@ -4,7 +4,9 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quillspark.functions import measures as M
 from quillspark.plans import registry
 from quillspark.sources import corpus
 
@@ -12,6 +14,7 @@ TEXTS = [
     "", None, " ", "   ", "\n", "\t", " lead", "trail ", "\tx\t", "one line\n", "a b\n\n", "x\n \t\n", "x\n  \n  y  ", "  a  b\n  c   d",
     "a\r\nb\r\n", "\r", "a\rb", "x\r\n\r\ny", "\x85a b", "a # b - c", "#\n# x\n#\x0bz\n#\ty", "- a\n* b\n-\nc\n+\td", "{\n [\n \"x\"", '"', '""', '"q', 'a"b"', "a,b", "a\\", '\\"', "n/a",
     "\x00z", "a\x01b", "\U0001F600 a", "\U0001F600" * 4100, "x" * 4000 + " y", "x" * 3999 + " y", " " * 4100, ("w" * 3998 + "\n") * 3, "the de ! ? .", "mail a@b.example by 2024-01-02",
+    "<!--a!b--><!-- c\n--><!-- d <!-- e --><p>\n</p >", "a\n\x85\n\u2028\n - b\u2029# c \r", "a  \nb\t\n\n \n",
 ]
 
 
@@ -41,7 +44,7 @@ def same_as_sql(spark, folder, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["a3_read_measurements"])
+@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features"])
 def test_query_equals_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
 
@@ -52,3 +55,13 @@ def test_csv_keeps_texts_and_missing_fields_apart(spark, tmp_path):
     found = {r.id: (r.text, r.n) for r in corpus.read_measurements(spark, f"{tmp_path}/csv", ["n"]).collect()}
     assert found == {"a": ("", 5.0), "b": (None, 0.0), "c": (" x\n", 0.0), "d": ("\n", 7.0)}
     assert {r.id: r.n for r in corpus.read_measurements(spark, f"{tmp_path}/csv", ["n"], missing=None).collect()}["b"] is None
+
+
+def test_lines_are_parted_by_line_feeds_only(spark):
+    """An empty text is one blank line, as is what follows a last line feed; a first line's indent is no run of blanks."""
+    texts = ["", "\n", "a\n", "a\n\n \r\n", "  a  b\r# c", "#\n# d \n - e", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    names = ("blank_lines", "trailing_space_lines", "multi_space_runs", "headings", "bullets")
+    found = M.structural_features(F.col("text"))
+    got = [tuple(r)[1:] for r in docs.select("i", *[found[n].alias(n) for n in names]).orderBy("i").collect()]
+    assert got == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (1, 0, 0, 0, 0), (3, 0, 0, 0, 0), (0, 0, 1, 0, 0), (0, 1, 0, 1, 1), (None,) * 5]
