@@ -44,7 +44,7 @@ def same_as_sql(spark, folder, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features"])
+@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals"])
 def test_query_equals_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
 
