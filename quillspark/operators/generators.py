@@ -164,9 +164,9 @@ def explode_words(df: DataFrame, text: str) -> DataFrame:
 
 def chunk_text(df: DataFrame, text: str, max_chars: int = P.CHUNK_CHARS) -> DataFrame:
     """pos, chunk: pieces of at most ``max_chars`` characters, cut after the last line feed or
-    space inside the limit where there is one. Joined in order, the chunks are the text."""
+    space inside the limit where there is one. Joined in order, the chunks are the text; an empty text has none."""
     piece = rf"(?s).{{1,{max_chars - 1}}}[\n ]|.{{1,{max_chars}}}"
-    whole = F.length(F.col(text)) <= max_chars
+    whole = F.length(F.col(text)).between(1, max_chars)
     return posexplode_once(df, F.when(whole, F.array(F.col(text))).otherwise(F.regexp_extract_all(F.col(text), F.lit(piece), F.lit(0))), "pos", "chunk")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import measures as M
+from quillspark.operators import generators as G
 from quillspark.plans import registry
 from quillspark.sources import corpus
 
@@ -44,7 +45,7 @@ def same_as_sql(spark, folder, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals"])
+@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals", "d5_chunk_text"])
 def test_query_equals_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
 
@@ -65,3 +66,9 @@ def test_lines_are_parted_by_line_feeds_only(spark):
     found = M.structural_features(F.col("text"))
     got = [tuple(r)[1:] for r in docs.select("i", *[found[n].alias(n) for n in names]).orderBy("i").collect()]
     assert got == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (1, 0, 0, 0, 0), (3, 0, 0, 0, 0), (0, 0, 1, 0, 0), (0, 1, 0, 1, 1), (None,) * 5]
+
+
+def test_empty_texts_have_no_chunks(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "ab cd\nef")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.pos, r.chunk) for r in G.chunk_text(docs, "text", 4).collect())
+    assert found == [(3, 0, " "), (4, 0, "ab "), (4, 1, "cd\n"), (4, 2, "ef")]
