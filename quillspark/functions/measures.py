@@ -232,12 +232,13 @@ def is_candidate(text: Column, rate: Column | float = 0.5, count: TokenCounter =
 # --- decisions ------------------------------------------------------------------------------
 
 
-def expected_reduction(tokens: Column, segments: Column, deterministic: Column, protected: Column, identifier: Column, structured: Column) -> Column:
+def expected_reduction(tokens: Column, segments: Column, deterministic: Column, protected: Column, identifier: Column, structured: Column, idle: float | None = 0.0) -> Column:
+    """The share a model may cut: ``idle`` of a text without tokens or, where that is None, what the same steps give."""
     cut = lambda test: F.when(test, 0.02).otherwise(0.0)
-    average = F.when(segments > 0, tokens / segments).otherwise(0.0)
+    average = F.when(segments > 0, tokens / segments)
     base = F.when(structured < 0.10, 0.08).otherwise(0.05)
-    found = base - cut(protected > 0.10) - cut(identifier > 0.10) - cut((average > 0) & (average < 120)) - cut(deterministic >= 0.10)
-    return F.when(tokens <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), found))
+    found = F.greatest(F.lit(0.0), base - cut(protected > 0.10) - cut(identifier > 0.10) - cut(average < 120) - cut(deterministic >= 0.10))
+    return found if idle is None else F.when(tokens <= 0, idle).otherwise(found)
 
 
 def projected_chunks(chars: Column) -> Column:
@@ -273,39 +274,42 @@ def _matches_of(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(where.otherwise("") if kind in P.NEEDED else text, F.lit(P.JAVA_SPANS[kind]), F.lit(0))
 
 
-def route_features(text: Column, compacted: Column, count: TokenCounter = batch_token_count, kinds: Iterable[str] = DENSE_KINDS) -> dict[str, Column]:
+def route_features(text: Column, compacted: Column, count: TokenCounter = batch_token_count, kinds: Iterable[str] = DENSE_KINDS, plain: bool = False) -> dict[str, Column]:
     """What ``route``, ``expected_reduction`` and ``projected_cost`` ask of a text, read from it.
 
     ``compacted`` is the text after the cheap rewrites: its tokens are what is left to a model.
     Densities are shares of characters (a character of two kinds counts for both) and shares of
-    lines (headings, bullets, JSON). A null text has no tokens and no density.
+    lines (headings, bullets, JSON). A null text has no tokens and no density, and a share of nothing is 0;
+    ``plain`` leaves them as they are divided: all of a null text is null, and a share of nothing not a number.
 
     Each pattern is matched once a text, as generated code shares equal expressions that are always
     worked out, and only where the text holds what a match needs.
     """
     found = {k: _matches_of(text, k) for k in kinds}
     chars = {k: F.length(F.array_join(m, "")) for k, m in found.items()}
-    part = lambda n, of: F.coalesce(n / F.nullif(of, F.lit(0)), F.lit(0.0))
+    part = lambda n, of: F.coalesce(n / F.nullif(of, F.lit(0)), F.when(of == 0, float("nan")) if plain else F.lit(0.0))
+    known = lambda c, other: c if plain else F.coalesce(c, F.lit(other))
     total, lines = F.length(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     marks = structural_features(text)
     needed = {"headings": ["#"], "bullets": [m + s for m in "-*+" for s in " \t"], "json_like_lines": list('"{[')}
     holds = lambda these: reduce(lambda a, b: a | b, [text.contains(x) for x in these])
     marked = reduce(lambda a, b: a + b, [F.when(holds(these), marks[k]).otherwise(F.lit(0)) for k, these in needed.items()])
     blank = F.when(holds([f"\n{x}" for x in "\n \t\r"]), count_of(text, r"\n[ \t\r]*\n")).when(text.isNotNull(), F.lit(0))
-    before, after = (F.coalesce(count(t), F.lit(0)) for t in (text, compacted))
+    before, after = (known(count(t), 0) for t in (text, compacted))
     return {
         "tokens": after.cast("long"),
-        "exact": F.coalesce(requires_exact_output(text), F.lit(False)),
+        "exact": known(requires_exact_output(text), False),
         "deterministic": part(F.greatest(F.lit(0), before - after), before),
         "protected": part(reduce(lambda a, b: a + b, chars.values()), total),
         "identifier": part(chars["identifier"], total) if "identifier" in chars else F.lit(0.0),
         "structured": part(marked, lines),
-        "placeholders": F.coalesce(reduce(lambda a, b: a + b, (F.size(m) for m in found.values())), F.lit(0)).cast("long"),
-        "segments": F.coalesce(blank + 1, F.lit(0)).cast("long"),
+        "placeholders": known(reduce(lambda a, b: a + b, (F.size(m) for m in found.values())), 0).cast("long"),
+        "segments": known(blank + 1, 0).cast("long"),
     }
 
 
-ROUTE_LIMITS = {"tokens": 20000, "deterministic": 0.12, "protected": 0.20, "structured": 0.35, "placeholders": 400, "cost": 60000.0, "saving": 2000, "reduction": 0.05}
+#: ``prose`` is the number of tokens that is no prose at all, below 0 if there is none such.
+ROUTE_LIMITS = {"prose": 0, "tokens": 20000, "deterministic": 0.12, "protected": 0.20, "structured": 0.35, "placeholders": 400, "cost": 60000.0, "saving": 2000, "reduction": 0.05}
 
 
 def route(mode: Column, rate: Column, tokens: Column, exact: Column, deterministic: Column, protected: Column, structured: Column, placeholders: Column, cost: Column, expected: Column, limits: dict | None = None) -> Column:
@@ -315,7 +319,7 @@ def route(mode: Column, rate: Column, tokens: Column, exact: Column, determinist
     ladder = [
         (mode == "deterministic", "skipped_mode_deterministic"),
         (rate >= 1, "skipped_aggressiveness_zero"),
-        (tokens <= 0, "skipped_no_candidate_prose"),
+        (tokens <= x["prose"], "skipped_no_candidate_prose"),
         (exact, "skipped_exact_output_context"),
         (auto & (tokens < x["tokens"]), "skipped_low_candidate_tokens"),
         (auto & (deterministic >= x["deterministic"]), "skipped_deterministic_savings_sufficient"),

@@ -45,7 +45,7 @@ def same_as_sql(spark, folder, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals", "d5_chunk_text"])
+@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals", "d5_chunk_text", "j1_route_texts", "j1_route", "j2_expected_reduction"])
 def test_query_equals_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
 
@@ -72,3 +72,22 @@ def test_empty_texts_have_no_chunks(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "ab cd\nef")], "doc_id long, text string")
     found = sorted((r.doc_id, r.pos, r.chunk) for r in G.chunk_text(docs, "text", 4).collect())
     assert found == [(3, 0, " "), (4, 0, "ab "), (4, 1, "cd\n"), (4, 2, "ef")]
+
+
+def test_plain_features_are_as_divided(spark):
+    """Shares of nothing are no numbers, and nothing is known of a null text; without ``plain`` both are 0."""
+    docs = spark.createDataFrame([(0, ""), (1, None), (2, "\n"), (3, "the cat")], "i long, text string")
+    names = ("tokens", "deterministic", "protected", "structured", "placeholders", "segments")
+
+    def features(**how):
+        made = docs.withColumns(M.route_features(F.col("text"), F.regexp_replace("text", "the ", ""), **how))
+        return [[norm(r[n]) for n in names] for r in made.orderBy("i").collect()]
+
+    assert features(plain=True) == [["0", "nan", "nan", "0.0", "0", "1"], ["None"] * 6, ["0", "nan", "0.0", "0.0", "0", "1"], ["1", "0.5", "0.0", "0.0", "0", "1"]]
+    assert features() == [["0", "0.0", "0.0", "0.0", "0", "1"], ["0", "0.0", "0.0", "0.0", "0", "0"], ["0", "0.0", "0.0", "0.0", "0", "1"], ["1", "0.5", "0.0", "0.0", "0", "1"]]
+
+
+def test_expected_reduction_without_tokens(spark):
+    row = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 0.0)], "tokens long, segments long, deterministic double, protected double, identifier double, structured double")
+    asked = [F.col(c) for c in row.columns]
+    assert [round(x, 6) for x in row.select(M.expected_reduction(*asked), M.expected_reduction(*asked, idle=None)).first()] == [0.0, 0.06]
