@@ -245,10 +245,11 @@ def projected_chunks(chars: Column) -> Column:
     return F.when(chars <= 0, 0).otherwise(F.ceil(chars / P.CHUNK_CHARS)).cast("long")
 
 
-def projected_cost(chars: Column, fixed: Column, per_chunk: Column, tokens: Column) -> Column:
-    """Null where a baseline is missing."""
+def projected_cost(chars: Column, fixed: Column, per_chunk: Column, tokens: Column, idle: float | None = 0.0) -> Column:
+    """Null where a baseline is missing; ``idle`` for no chunks or, where that is None, what is paid without any."""
     n = projected_chunks(chars)
-    return F.when(n == 0, 0.0).otherwise(fixed + n * per_chunk + tokens)
+    found = fixed + n * per_chunk + tokens
+    return found if idle is None else F.when(n == 0, idle).otherwise(found)
 
 
 def compression_path(before: Column, after: Column, model_ran: Column) -> Column:

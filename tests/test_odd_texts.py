@@ -45,7 +45,7 @@ def same_as_sql(spark, folder, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals", "d5_chunk_text", "j1_route_texts", "j1_route", "j2_expected_reduction"])
+@pytest.mark.parametrize("name", ["a3_read_measurements", "b8_structural_features", "f9_opportunity_totals", "d5_chunk_text", "j1_route_texts", "j1_route", "j2_expected_reduction", "j3_projected_cost"])
 def test_query_equals_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
 
@@ -91,3 +91,12 @@ def test_expected_reduction_without_tokens(spark):
     row = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 0.0)], "tokens long, segments long, deterministic double, protected double, identifier double, structured double")
     asked = [F.col(c) for c in row.columns]
     assert [round(x, 6) for x in row.select(M.expected_reduction(*asked), M.expected_reduction(*asked, idle=None)).first()] == [0.0, 0.06]
+
+
+def test_cost_without_chunks(spark):
+    """0, or what is paid without any chunk; null where a baseline is missing."""
+    rows = spark.createDataFrame([(0, 900.0), (1, 900.0), (24_001, 900.0), (0, None), (5, None), (None, 900.0)], "chars long, per_chunk double")
+    cost = lambda **how: M.projected_cost(F.col("chars"), F.lit(50.0), F.col("per_chunk"), F.lit(20.0), **how)
+    found = rows.select(cost().alias("a"), cost(idle=None).alias("b")).collect()
+    assert [r.a for r in found] == [0.0, 970.0, 1870.0, 0.0, None, None]
+    assert [r.b for r in found] == [70.0, 970.0, 1870.0, None, None, None]
